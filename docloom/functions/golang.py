@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.once import let
+
 IDENT = r"[\p{L}_][\p{L}\p{Nd}_]*+"
 NAMES = rf"{IDENT}(?:, *+{IDENT})*+"
 LINE_COMMENT = r"//[^\n]*+"
@@ -96,15 +98,17 @@ def code_only(content: Column) -> Column:
 
 def parses(content: Column) -> Column:
     """Whether a file looks like Go: a package clause and balanced brackets."""
-    code = code_only(unix_lines(content))
 
-    def count(char: str) -> Column:
-        return F.length(code) - F.length(F.replace(code, F.lit(char), F.lit("")))
 
-    balanced = F.lit(True)
-    for opening, closing in ("()", "[]", "{}"):
-        balanced = balanced & (count(opening) == count(closing))
-    return code.rlike(rf"(?md)^package[ \t]+{IDENT}[ \t;]*$") & balanced
+    def test(code: Column) -> Column:
+        balanced = code.rlike(rf"(?md)^package[ \t]+{IDENT}[ \t;]*$")
+        for opening, closing in ("()", "[]", "{}"):
+            unopened = F.length(F.translate(code, opening, ""))
+            unclosed = F.length(F.translate(code, closing, ""))
+            balanced = balanced & (unopened == unclosed)
+        return balanced
+
+    return let(code_only(unix_lines(content)), test)
 
 
 def doc_text(comment: Column) -> Column:
@@ -117,7 +121,7 @@ def doc_text(comment: Column) -> Column:
     text = F.regexp_replace(text, r"(?md)[ \t\r]++$", "")
     text = F.regexp_replace(text, r"\n{3,}+", "\n\n")
     text = F.regexp_replace(text, r"\A\n++|\n++\z", "")
-    return F.when(text == "", F.lit("")).otherwise(F.concat(text, F.lit("\n")))
+    return let(text, lambda t: F.when(t == "", t).otherwise(F.concat(t, F.lit("\n"))))
 
 
 def type_name(text: Column) -> Column:
@@ -130,7 +134,9 @@ def type_name(text: Column) -> Column:
     text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{Nd}}_.])(?!map\[)(?:{IDENT}\.)?+{IDENT}{BRACKET}", "unknown")
     text = F.regexp_replace(text, r"(?<!map)\[[^\[\]]*+\]", "[]")
     text = F.regexp_replace(text, PAREN, "unknown")
-    return F.when((text == "") | text.startswith("..."), F.lit("unknown")).otherwise(text)
+    return let(
+        text, lambda t: F.when((t == "") | t.startswith("..."), F.lit("unknown")).otherwise(t)
+    )
 
 
 def _pieces(parenthesised: Column) -> Column:
@@ -167,18 +173,12 @@ def field_list(parenthesised: Column) -> Column:
             type_name(F.when(named, F.coalesce(own, F.lit(""))).otherwise(item["piece"])).alias("type"),
         )
 
-    # The one-element array binds the list once for the inner lambdas.
-    return F.flatten(
-        F.transform(
-            F.array(pieces),
-            lambda items: F.transform(items, lambda item, index: entry(item, index, items)),
-        )
-    )
+    return let(pieces, lambda items: F.transform(items, lambda item, index: entry(item, index, items)))
 
 
 def receiver_parts(receiver: Column) -> Column:
     """Base type name and pointer mark of ``(r *T[K])``; name '' when there is none."""
-    pattern = rf"\A\(\s*+(?:(?!\*){IDENT}\s++)?+(\*?+)\s*+({IDENT})"
+    pattern = rf"\A\(\s*+(?:{IDENT}\s++(?!\)))?+(\*?+)\s*+({IDENT})"
     return F.struct(
         F.regexp_extract(receiver, pattern, 2).alias("base"),
         (F.regexp_extract(receiver, pattern, 1) == "*").alias("is_ptr"),
@@ -234,8 +234,10 @@ def function_parts(items: Column) -> Column:
         return F.regexp_extract(item["header"], rf"(?d)\A{HEADER}", number)
 
     def results(item: Column) -> Column:
-        text = F.trim(group(item, HEADER_RESULTS))
-        return F.when((text == "") | text.startswith("("), text).otherwise(F.concat(F.lit("("), text, F.lit(")")))
+        return let(
+            F.trim(group(item, HEADER_RESULTS)),
+            lambda t: F.when((t == "") | t.startswith("("), t).otherwise(F.concat(F.lit("("), t, F.lit(")"))),
+        )
 
     return F.transform(
         items,
@@ -316,15 +318,20 @@ def struct_fields(type_text: Column) -> Column:
     """Named fields as ``array<struct<name, is_ptr>>``; embedded ones are skipped.
     ``type_text`` holds no comments or tags."""
     pattern = rf"(?md)^\t({NAMES})[ \t]++(?=\S)(\*?+)"
-    body = F.regexp_extract(type_text, r"\Astruct[ \t]*+\{([\s\S]*)\}", 1)
-    one_line = F.concat(F.lit("\t"), F.regexp_replace(F.trim(body), r";[ \t]*+", "\n\t"))
-    body = F.when(body.contains("\n"), body).otherwise(one_line)
-    names = F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
-    stars = F.regexp_extract_all(body, F.lit(pattern), F.lit(2))
-    pairs = F.zip_with(
-        names, stars,
-        lambda n, s: F.transform(
-            F.split(n, ", *"), lambda one: F.struct(one.alias("name"), (s == "*").alias("is_ptr"))
-        ),
-    )
-    return F.flatten(pairs)
+
+
+    def lines(body: Column) -> Column:
+        one_line = F.concat(F.lit("\t"), F.regexp_replace(F.trim(body), r";[ \t]*+", "\n\t"))
+        return F.when(body.contains("\n"), body).otherwise(one_line)
+
+    def found(body: Column) -> Column:
+        return F.zip_with(
+            F.regexp_extract_all(body, F.lit(pattern), F.lit(1)),
+            F.regexp_extract_all(body, F.lit(pattern), F.lit(2)),
+            lambda n, s: F.transform(
+                F.split(n, ", *"), lambda one: F.struct(one.alias("name"), (s == "*").alias("is_ptr"))
+            ),
+        )
+
+    body = let(F.regexp_extract(type_text, r"\Astruct[ \t]*+\{([\s\S]*)\}", 1), lines)
+    return F.flatten(let(body, found))

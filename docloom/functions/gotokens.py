@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.once import let
 from docloom.functions.golang import COMMENT, IDENT, OPAQUE, RAW_STRING, RUNE, STRING
 
 # Words that are never names.
@@ -46,18 +47,19 @@ def last_comment_pairs(content: Column) -> Column:
     )
     # Between two functions only comments are left, so the entry before a function is
     # the last comment seen, or the function that used up the one before.
-    paired = F.flatten(
-        F.transform(
-            F.array(tokens),
-            lambda all_tokens: F.transform(
-                all_tokens,
-                lambda t, i: F.struct(
-                    t.alias("token"),
-                    F.when(i > 0, F.get(all_tokens, i - 1)).alias("before"),
-                    F.filter(F.regexp_extract_all(t, F.lit(rf"(?d){OPAQUE}"), F.lit(0)), _is_comment).alias("inside"),
-                ),
+    paired = let(
+        tokens,
+        lambda seen: F.transform(
+            seen,
+            lambda t, i: F.struct(
+                t.alias("token"),
+                F.when(i > 0, F.get(seen, i - 1)).alias("before"),
+                F.when(
+                    ~_is_comment(t),
+                    F.filter(F.regexp_extract_all(t, F.lit(rf"(?d){OPAQUE}"), F.lit(0)), _is_comment),
+                ).alias("inside"),
             ),
-        )
+        ),
     )
     functions = F.filter(paired, lambda p: ~_is_comment(p["token"]))
     return F.transform(

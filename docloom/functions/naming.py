@@ -7,6 +7,7 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.once import let
 from docloom.functions.text import word_count
 
 
@@ -31,18 +32,21 @@ def indefinite_article(word: Column) -> Column:
 
 def value_phrase(name: Column) -> Column:
     """Phrase for a variable or constant; '' for a single word."""
-    text = snake_words(name)
-    return (
-        F.when(word_count(text) < 2, F.lit(""))
-        .when(
-            text.contains("url"),
-            F.concat(
-                F.lit(" that indicates the endpoint URL for accessing to "),
-                F.replace(text, F.lit("url"), F.lit("")),
-            ),
+
+    def phrase(text: Column) -> Column:
+        return (
+            F.when(word_count(text) < 2, F.lit(""))
+            .when(
+                text.contains("url"),
+                F.concat(
+                    F.lit(" that indicates the endpoint URL for accessing to "),
+                    F.replace(text, F.lit("url"), F.lit("")),
+                ),
+            )
+            .otherwise(text)
         )
-        .otherwise(text)
-    )
+
+    return let(snake_words(name), phrase)
 
 
 # Leading letters of a function name and the phrase put for them.
@@ -59,9 +63,12 @@ OTHER_VERB_PHRASE = " which execute "
 
 def function_phrase(name: Column) -> Column:
     """Phrase for a function; '' for a single word."""
-    text = snake_words(name)
-    phrase = F.when(word_count(text) < 2, F.lit(""))
-    for prefix, lead in VERB_PHRASES.items():
-        rest = F.substr(text, F.lit(len(prefix) + 1))
-        phrase = phrase.when(text.startswith(prefix), F.concat(F.lit(lead), rest))
-    return phrase.otherwise(F.concat(F.lit(OTHER_VERB_PHRASE), text))
+
+    def phrase(text: Column) -> Column:
+        found = F.when(word_count(text) < 2, F.lit(""))
+        for prefix, lead in VERB_PHRASES.items():
+            rest = F.substr(text, F.lit(len(prefix) + 1))
+            found = found.when(text.startswith(prefix), F.concat(F.lit(lead), rest))
+        return found.otherwise(F.concat(F.lit(OTHER_VERB_PHRASE), text))
+
+    return let(snake_words(name), phrase)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.once import let
 from docloom.functions.naming import (
     function_phrase,
     indefinite_article,
@@ -121,7 +122,8 @@ def _lookup(values: dict[str, str], key: Column) -> Column:
 
 def example_literal(type_text: Column) -> Column:
     """Literal for a type; a package-qualified type is looked up by its last name."""
-    return _lookup(EXAMPLE_LITERALS, F.regexp_replace(type_text, r"^[^.*\[\] ]+\.", ""))
+    last = F.regexp_replace(type_text, r"^[^.*\[\] ]+\.", "")
+    return let(last, lambda name: _lookup(EXAMPLE_LITERALS, name))
 
 
 def example_variable(type_text: Column) -> Column:
@@ -136,10 +138,18 @@ def printf_format(count: Column) -> Column:
 
 def usage_example(decl: Column) -> Column:
     """Example call; '' without inputs and outputs or when a type has no sample value."""
-    inputs = F.transform(decl["params"], lambda p: example_literal(p["type"]))
-    outputs = F.transform(decl["results"], lambda r: example_variable(r["type"]))
+    values = F.struct(
+        decl["name"].alias("name"),
+        F.transform(decl["params"], lambda p: example_literal(p["type"])).alias("inputs"),
+        F.transform(decl["results"], lambda r: example_variable(r["type"])).alias("outputs"),
+        F.get(decl["params"], F.lit(0))["type"].alias("first"),
+    )
+    return let(values, _example_text)
+
+
+def _example_text(values: Column) -> Column:
+    inputs, outputs, first = values["inputs"], values["outputs"], values["first"]
     shown = F.filter(outputs, lambda o: o != "err")
-    first = F.get(decl["params"], F.lit(0))["type"]
     return F.when(
         ((F.size(inputs) == 0) & (F.size(outputs) == 0))
         | F.array_contains(inputs, "unknown")
@@ -153,7 +163,7 @@ def usage_example(decl: Column) -> Column:
                 F.lit("ctx := context.Background()\n//   "),
             ).otherwise(_blank()),
             F.when(F.size(outputs) > 0, F.concat(F.array_join(outputs, ", "), F.lit(" := "))).otherwise(_blank()),
-            decl["name"], F.lit("("), F.array_join(inputs, ", "), F.lit(")\n"),
+            values["name"], F.lit("("), F.array_join(inputs, ", "), F.lit(")\n"),
             F.when(
                 F.array_contains(outputs, "err"),
                 F.lit('//   if err != nil {\n//       log.Fatalf("Error: %v", err)\n//   }\n'),
@@ -240,6 +250,10 @@ def spec_comment(kind: Column, spec: Column, has_paren: Column, signature: Colum
     """
     names = spec["names"]
     name = F.when(has_paren, F.get(names, F.lit(0))).otherwise(F.get(names, F.size(names) - 1))
+    return let(name, lambda n: _named_spec_comment(kind, spec, n, has_paren, signature))
+
+
+def _named_spec_comment(kind: Column, spec: Column, name: Column, has_paren: Column, signature: Column) -> Column:
     author = author_line(signature)
     constant = constant_comment(name)
     variable = variable_comment(name, spec["type"])
@@ -247,18 +261,16 @@ def spec_comment(kind: Column, spec: Column, has_paren: Column, signature: Colum
         alias_comment(name, spec["type"])
     )
     return (
-        F.when((spec["doc"] != "") | (F.size(names) == 0), _blank())
+        F.when((spec["doc"] != "") | name.isNull(), _blank())
         .when(kind == "type", F.concat(kind_of_type, author))
-        .when((kind == "const") & has_paren, constant)
-        .when(kind == "const", F.concat(constant, F.lit("\n"), author))
-        .when(has_paren, variable)
-        .otherwise(F.concat(variable, F.lit(".\n"), author))
+        .when(kind == "const", F.concat(constant, F.when(has_paren, _blank()).otherwise(F.concat(F.lit("\n"), author))))
+        .otherwise(F.concat(variable, F.when(has_paren, _blank()).otherwise(F.concat(F.lit(".\n"), author))))
     )
 
 
 def slash_lines(text: Column) -> Column:
     """Prefixes every line with ``// `` after dropping one final line feed and closing
     the text with a period."""
-    text = F.regexp_replace(text, r"\n\z", "")
-    text = F.when(text.endswith("."), text).otherwise(F.concat(text, F.lit(".")))
-    return F.regexp_replace(text, r"(?md)^", "// ")
+    cut = F.regexp_replace(text, r"\n\z", "")
+    closed = let(cut, lambda t: F.when(t.endswith("."), t).otherwise(F.concat(t, F.lit("."))))
+    return F.concat(F.lit("// "), F.replace(closed, F.lit("\n"), F.lit("\n// ")))

@@ -22,11 +22,10 @@ def file_stem(path: Column) -> Column:
 
 def directory(path: Column) -> Column:
     """Parent directory, '.' for a bare name and '/' for an entry of the root."""
-    parent = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
     return (
         F.when(~path.contains("/"), F.lit("."))
-        .when(parent == "", F.lit("/"))
-        .otherwise(parent)
+        .when(path.rlike("^/[^/]*$"), F.lit("/"))
+        .otherwise(F.regexp_extract(path, r"^(.*)/[^/]*$", 1))
     )
 
 

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import grading
+from docloom.functions.once import with_once
 from docloom.functions.grading import DEFAULT_LEXICON, Lexicon
 from docloom.operators.joins import lookup_join
 
 
 def graded(df: DataFrame, comment: str = "comment", lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """Adds ``counts``, ``grade`` and ``comment_analysis``; narrow, row by row."""
-    tagged = df.withColumn("_items", grading.tagged(F.col(comment), lexicon))
-    counted = tagged.withColumn("counts", grading.counts(F.col("_items"), lexicon))
+    tagged = with_once(df, "_items", grading.tagged(F.col(comment), lexicon))
+    counted = with_once(tagged, "counts", grading.counts(F.col("_items"), lexicon))
     c = F.col("counts")
     return counted.select(
         *df.columns, "counts",

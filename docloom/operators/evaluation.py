@@ -79,7 +79,7 @@ def version_scores(predictions: DataFrame, expected: str = "comment") -> DataFra
 def epoch_losses(steps: DataFrame) -> DataFrame:
     """Mean loss per epoch and phase of ``(epoch, phase, step, loss)``."""
     return steps.groupBy("epoch", "phase").agg(
-        F.count(F.lit(1)).alias("n_steps"), (F.sum("loss") / F.count(F.lit(1))).alias("mean_loss")
+        F.count(F.lit(1)).alias("n_steps"), (F.sum("loss").cast("double") / F.count(F.lit(1))).alias("mean_loss")
     )
 
 

@@ -35,10 +35,13 @@ def functions(files: DataFrame) -> DataFrame:
     keep = _others(files, "content")
     found = (
         parsable(files)
-        .withColumn("items", F.filter(_lexemes(), lambda x: x["kind"] == "func"))
-        .select(*keep, F.posexplode("items").alias("pos", "item"))
-        # One function per row from here on: its parts are computed once and reused.
-        .withColumn("decl", F.get(golang.function_parts(F.array("item")), F.lit(0)))
+        # The generator also keeps later predicates from inlining the parsing.
+        .select(
+            *keep,
+            F.posexplode(
+                golang.function_parts(F.filter(_lexemes(), lambda x: x["kind"] == "func"))
+            ).alias("pos", "decl"),
+        )
         .filter(F.col("decl.name") != "")
     )
     decl = F.col("decl")
@@ -69,11 +72,12 @@ def value_and_type_specs(files: DataFrame) -> DataFrame:
     keep = _others(files, "content")
     return (
         parsable(files)
-        .withColumn(
-            "items",
-            golang.spec_parts(F.filter(_lexemes(), lambda x: x["kind"].isin("const", "var", "type"))),
+        .select(
+            *keep,
+            F.posexplode(
+                golang.spec_parts(F.filter(_lexemes(), lambda x: x["kind"].isin("const", "var", "type")))
+            ).alias("pos", "item"),
         )
-        .select(*keep, F.posexplode("items").alias("pos", "item"))
         .select(*keep, "pos", "item.kind", "item.has_paren", F.posexplode("item.specs").alias("spec_pos", "spec"))
         .filter(F.size("spec.names") > 0)
     )

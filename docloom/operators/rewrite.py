@@ -10,17 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import golang, templates
+from docloom.functions.once import let, with_once
 from docloom.operators.filters import changed, is_entry_point
 
 
 def _ends_line(text: Column) -> Column:
-    return F.when((text == "") | text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
+    return let(
+        text, lambda t: F.when((t == "") | t.endswith("\n"), t).otherwise(F.concat(t, F.lit("\n")))
+    )
 
 
 def _function_draft(decl: Column, signature: Column, with_example: Column) -> Column:
     skip = (decl["name"] == "") | (decl["doc"] != "") | is_entry_point(decl["name"])
-    text = _ends_line(templates.function_comment(decl, with_example))
-    return F.when(skip, F.lit("")).otherwise(F.concat(text, templates.author_line(signature)))
+    draft = F.concat(templates.function_comment(decl, with_example), templates.author_line(signature))
+    return F.when(skip, F.lit("")).otherwise(_ends_line(draft))
 
 
 def commented(
@@ -37,44 +40,46 @@ def commented(
     """
     signature = F.lit(None).cast("string") if signature is None else signature
     with_example = F.lit(False) if with_example is None else with_example
-    items = golang.lexeme_parts(golang.lexemes(F.col(content)))
 
     def rewritten_specs(item: Column) -> Column:
         indent = F.when(item["has_paren"], F.lit("\t")).otherwise(F.lit(""))
 
         def placed(spec: Column) -> Column:
-            draft = templates.spec_comment(item["kind"], spec, item["has_paren"], signature)
-            draft = F.regexp_replace(_ends_line(draft), r"(?m)^(?!\z)", F.lit("\t"))
-            plain = _ends_line(templates.spec_comment(item["kind"], spec, item["has_paren"], signature))
-            return F.concat(F.when(indent == "", plain).otherwise(draft), spec["text"])
+            draft = _ends_line(templates.spec_comment(item["kind"], spec, item["has_paren"], signature))
+            return F.concat(F.regexp_replace(draft, F.lit(r"(?m)^(?!\z)"), indent), spec["text"])
 
         return F.array_join(F.transform(item["specs"], placed), "")
 
     # Functions and other declarations go through their own parsers; both keep their
     # place in the file and meet again in order.
+    def rebuilt(items: Column) -> Column:
+        with_functions = F.transform(
+            golang.function_parts(F.filter(items, lambda x: x["kind"] == "func")),
+            lambda d: F.struct(
+                d["at"].alias("at"),
+                F.concat(_function_draft(d, signature, with_example), d["text"]).alias("text"),
+            ),
+        )
+        with_specs = F.transform(
+            golang.spec_parts(F.filter(items, lambda x: x["kind"].isin("const", "var", "type"))),
+            lambda d: F.struct(d["at"].alias("at"), rewritten_specs(d).alias("text")),
+        )
+        rest = F.transform(
+            F.filter(items, lambda x: x["kind"] == ""),
+            lambda x: F.struct(x["at"].alias("at"), x["text"].alias("text")),
+        )
+        ordered = F.array_sort(F.concat(with_functions, with_specs, rest))
+        return F.array_join(F.transform(ordered, lambda x: x["text"]), "")
+
+    items = golang.lexeme_parts(golang.lexemes(F.col(content)))
     numbered = F.transform(items, lambda x, i: x.withField("at", i))
-    with_functions = F.transform(
-        golang.function_parts(F.filter(numbered, lambda x: x["kind"] == "func")),
-        lambda d: F.struct(
-            d["at"].alias("at"),
-            F.concat(_ends_line(_function_draft(d, signature, with_example)), d["text"]).alias("text"),
-        ),
-    )
-    with_specs = F.transform(
-        golang.spec_parts(F.filter(numbered, lambda x: x["kind"].isin("const", "var", "type"))),
-        lambda d: F.struct(d["at"].alias("at"), rewritten_specs(d).alias("text")),
-    )
-    rest = F.transform(
-        F.filter(numbered, lambda x: x["kind"] == ""),
-        lambda x: F.struct(x["at"].alias("at"), x["text"].alias("text")),
-    )
-    ordered = F.array_sort(F.concat(with_functions, with_specs, rest))
-    text = F.array_join(F.transform(ordered, lambda x: x["text"]), "")
-    same = text == golang.unix_lines(F.col(content))
-    return files.withColumn(
-        "new_content",
-        F.when(F.coalesce(golang.parses(F.col(content)), F.lit(False)) & ~same, text).otherwise(F.col(content)),
+    # A draft only ever adds lines, so an unchanged length means an unchanged file.
+    text = let(
+        let(numbered, rebuilt),
+        lambda t: F.when(F.length(t) == F.length(golang.unix_lines(F.col(content))), F.col(content)).otherwise(t),
     )
+    parsed = F.coalesce(golang.parses(F.col(content)), F.lit(False))
+    return with_once(files, "new_content", F.when(parsed, text).otherwise(F.col(content)))
 
 
 def changed_paths(files: DataFrame) -> DataFrame:

@@ -536,14 +536,14 @@ def _steps(spark, sf) -> DataFrame:
 @query
 def epoch_losses(spark, sf):
     return evaluation.epoch_losses(_steps(spark, sf)).select(
-        "epoch", "phase", "n_steps", F.round(F.col("mean_loss").cast("double"), 6).alias("mean_loss")
+        "epoch", "phase", "n_steps", "mean_loss"
     )
 
 
 @query
 def loss_curves(spark, sf):
     curves = evaluation.running_losses(_steps(spark, sf))
-    return curves.select("epoch", "phase", "step", F.round("running_loss", 9).alias("running_loss"))
+    return curves.select("epoch", "phase", "step", "running_loss")
 
 
 @query
