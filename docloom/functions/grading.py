@@ -8,11 +8,14 @@ be a literal, see ``operators.analysis.analyze_with_lexicon``.
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.once import let
+
 TOKEN = r"[\p{L}\p{N}_]++|\n++|[^\p{L}\p{N}_\s]"
 
 # Technical terms of programming; a graded comment needs one.
@@ -56,6 +59,7 @@ IRREGULAR_LEMMAS = {
     "found": "find", "kept": "keep", "held": "hold", "ran": "run", "wrote": "write", "written": "write",
     "an": "a", "these": "this", "those": "that",
 }
+ASCII_MARKS = tuple(c for c in string.punctuation if c != "_")
 DATE_WORDS = (
     "January February March April May June July August September October November December "
     "Monday Tuesday Wednesday Thursday Friday Saturday Sunday"
@@ -87,19 +91,31 @@ def tokens(comment: Column) -> Column:
 
 def _mapped(key: Column, values: dict[str, str]) -> Column:
     """Value of a literal map; the set test keeps the linear lookup off the common path."""
+    if not values:
+        return F.lit(None).cast("string")
     pairs = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
     return F.when(key.isin(*values), F.element_at(pairs, key))
 
 
-def lemma(word: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    """Base form of a lower-cased word: listed form, else suffix rules whose candidates
-    are tried against the verb list."""
+def _listed(word: Column, lexicon: Lexicon) -> Column:
+    return word.isin(*sorted({*lexicon.verbs, *lexicon.lemmas, *lexicon.stop_words}))
+
+
+def listed_lemma(word: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+    """Base form of a word of the lexicon."""
+    irregular = {form: base for form, base in lexicon.lemmas.items() if form not in lexicon.verbs}
+    return F.coalesce(_mapped(word, irregular), word)
+
+
+def unlisted_lemma(word: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+    """Base form of a lower-cased word by suffix rules, whose candidates are tried
+    against the verb list.  Most words end in no suffix and leave at the first test."""
     verbs = lexicon.verbs
 
     def cut(n: int) -> Column:
         return F.substr(word, F.lit(1), F.length(word) - n)
 
-    def undo(ending: str, stem: Column) -> Column:
+    def undo(stem: Column) -> Column:
         with_e = F.concat(stem, F.lit("e"))
         single = F.substr(stem, F.lit(1), F.length(stem) - 1)
         doubled = F.substr(stem, F.length(stem), F.lit(1)) == F.substr(stem, F.length(stem) - 1, F.lit(1))
@@ -112,39 +128,67 @@ def lemma(word: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
 
     size = F.length(word)
     return (
-        F.when(word.isin(*verbs), word)
-        .when(word.isin(*lexicon.lemmas), _mapped(word, lexicon.lemmas))
-        .when(word.isin(*lexicon.stop_words), word)
-        .when(word.endswith("ing") & (size > 5), undo("ing", cut(3)))
-        .when(word.endswith("ed") & (size > 4), undo("ed", cut(2)))
-        .when(word.endswith("s") & cut(1).isin(*verbs), cut(1))
+        F.when(~(word.endswith("s") | word.endswith("ing") | word.endswith("ed")), word)
+        .when(word.endswith("ing"), F.when(size > 5, let(cut(3), undo)).otherwise(word))
+        .when(word.endswith("ed"), F.when(size > 4, let(cut(2), undo)).otherwise(word))
+        .when(cut(1).isin(*verbs), cut(1))
         .when(word.endswith("es") & cut(2).isin(*verbs), cut(2))
         .when(word.endswith("ies") & (size > 4), F.concat(cut(3), F.lit("y")))
-        .when(word.rlike("(?:ss|us|is)$") | ~word.endswith("s") | (size <= 3), word)
+        .when((size <= 3) | word.endswith("ss") | word.endswith("us") | word.endswith("is"), word)
         .otherwise(cut(1))
     )
 
 
-def pos_tag(text: Column, word: Column, base: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    """Coarse tag of a token: closed class, digits, marks, verb by list or suffix, else NOUN."""
-    tag = F.when(text.rlike(r"^\n"), F.lit("SPACE"))
+def _verb_suffix(word: Column) -> Column:
+    size = F.length(word)
+    return (word.endswith("ing") & (size > 5)) | (word.endswith("ed") & (size > 4))
+
+
+def pos_tag(item: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+    """Coarse tag of ``(text, word, listed, lemma)``: closed class, digits, marks, verb by
+    list or suffix, else NOUN.
+
+    A token that starts with an ASCII letter is neither digits nor a mark; the patterns
+    are left to the few others.
+    """
+    text, word, base = item["text"], item["word"], item["lemma"]
+    closed = F.when(F.lit(False), F.lit(""))
     for name, words in lexicon.closed.items():
-        tag = tag.when(word.isin(*words), F.lit(name))
-    return (
-        tag.when(text.rlike(r"^\p{Nd}+$"), F.lit("NUM"))
-        .when(text.rlike(r"^[^\p{L}\p{N}_]$"), F.lit("PUNCT"))
-        .when(base.isin(*lexicon.verbs), F.lit("VERB"))
-        .when((word.endswith("ing") & (F.length(word) > 5)) | (word.endswith("ed") & (F.length(word) > 4)), F.lit("VERB"))
+        closed = closed.when(word.isin(*words), F.lit(name))
+    open_class = (
+        F.when(_verb_suffix(word) | base.isin(*lexicon.verbs), F.lit("VERB"))
         .when(word.endswith("ly") & (F.length(word) > 4), F.lit("ADV"))
         .otherwise(F.lit("NOUN"))
     )
+    starts_with_letter = (word >= "a") & (word < "{")
+    return (
+        F.when(item["listed"], closed.otherwise(F.lit("VERB")))
+        .when(starts_with_letter, open_class)
+        .when(text.isin(*ASCII_MARKS), F.lit("PUNCT"))
+        .when(text.startswith("\n"), F.lit("SPACE"))
+        .when(text.rlike(r"^\p{Nd}++$"), F.lit("NUM"))
+        .when(text.rlike(r"^[^\p{L}\p{N}_]$"), F.lit("PUNCT"))
+        .otherwise(open_class)
+    )
 
 
 def tagged(comment: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    """``array<struct<text, word, lemma, pos>>`` of a comment."""
+    """``array<struct<text, word, listed, lemma, pos>>`` of a comment."""
     items = F.transform(tokens(comment), lambda t: F.struct(t.alias("text"), F.lower(t).alias("word")))
-    items = F.transform(items, lambda x: x.withField("lemma", lemma(x["word"], lexicon)))
-    return F.transform(items, lambda x: x.withField("pos", pos_tag(x["text"], x["word"], x["lemma"], lexicon)))
+    items = F.transform(
+        items,
+        lambda x: F.struct(
+            x["text"].alias("text"), x["word"].alias("word"), _listed(x["word"], lexicon).alias("listed")
+        ),
+    )
+    items = F.transform(
+        items,
+        lambda x: x.withField(
+            "lemma",
+            F.when(x["listed"], listed_lemma(x["word"], lexicon)).otherwise(unlisted_lemma(x["word"], lexicon)),
+        ),
+    )
+    return F.transform(items, lambda x: x.withField("pos", pos_tag(x, lexicon)))
 
 
 def analysis(items: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
@@ -172,7 +216,7 @@ def counts(items: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
     return F.struct(
         F.size(items).alias("n_tokens"),
         _count(items, lambda x: x["pos"] == "VERB").alias("n_verbs"),
-        _count(items, lambda x: x["word"].isin(*lexicon.stop_words)).alias("n_stop"),
+        _count(items, lambda x: x["listed"] & x["word"].isin(*lexicon.stop_words)).alias("n_stop"),
         _count(items, lambda x: x["lemma"].isin(*lexicon.tech_terms)).alias("n_tech"),
     )
 

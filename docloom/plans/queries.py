@@ -25,6 +25,7 @@ from docloom.operators import (
 )
 from docloom.plans import corpus, dataset
 from docloom.plans.corpus import table
+from docloom.session import spread
 from docloom.sources import code_host, files, listings, web_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -277,7 +278,7 @@ def response_decode(spark, sf):
 
 
 def _documents(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.col("text").alias("comment"))
+    return spread(table(spark, sf, "documents").select("doc_id", F.col("text").alias("comment")), "doc_id")
 
 
 @query
@@ -415,7 +416,8 @@ def random_pick(spark, sf):
 
 
 def _pairs(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents"), "doc_id")
+    return docs.select(
         "doc_id", F.col("source").alias("file_name"), F.concat_ws("", F.col("lang"), F.lit("-doc")).alias("name"),
         F.col("text").alias("comment"),
     )

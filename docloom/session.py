@@ -16,12 +16,24 @@ def local_session(cpus: int | str = "*", app: str = "docloom", memory: str = "8g
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cpus) if str(cpus).isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
+        # Small test tables: keep all cores busy after a shuffle.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deals a small input over all cores before CPU-bound work.
+
+    Only an input with fewer splits than the session has cores is moved; a large table
+    has many more and is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``.
 
