@@ -14,8 +14,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docloom.functions.once import let
-
 TOKEN = r"[\p{L}\p{N}_]++|\n++|[^\p{L}\p{N}_\s]"
 
 # Technical terms of programming; a graded comment needs one.
@@ -89,135 +87,111 @@ def tokens(comment: Column) -> Column:
     return F.regexp_extract_all(comment, F.lit(TOKEN), F.lit(0))
 
 
-def _mapped(key: Column, values: dict[str, str]) -> Column:
-    """Value of a literal map; the set test keeps the linear lookup off the common path."""
-    if not values:
-        return F.lit(None).cast("string")
-    pairs = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-    return F.when(key.isin(*values), F.element_at(pairs, key))
+# The tagging rules are SQL text: word lists are long, and as text a list is one call.
 
 
-def _listed(word: Column, lexicon: Lexicon) -> Column:
-    return word.isin(*sorted({*lexicon.verbs, *lexicon.lemmas, *lexicon.stop_words}))
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def listed_lemma(word: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    """Base form of a word of the lexicon."""
-    irregular = {form: base for form, base in lexicon.lemmas.items() if form not in lexicon.verbs}
-    return F.coalesce(_mapped(word, irregular), word)
+def _one_of(value: str, words) -> str:
+    return f"{value} IN ({', '.join(_text(w) for w in words)})" if words else "false"
+
 
+def _mapped(key: str, values: dict[str, str]) -> str:
+    pairs = ", ".join(f"{_text(k)}, {_text(v)}" for k, v in values.items())
+    return f"element_at(map({pairs}), {key})" if values else "CAST(NULL AS STRING)"
+
+
+def lemma_rule(word: str, lexicon: Lexicon = DEFAULT_LEXICON) -> str:
+    """Base form of a lower-cased word: listed form, else suffix rules whose candidates
+    are tried against the verb list.  Most words end in no suffix and leave early."""
+    irregular = {form: base for form, base in lexicon.lemmas.items() if form not in lexicon.verbs}
+    known = sorted({*lexicon.verbs, *lexicon.stop_words})
 
-def unlisted_lemma(word: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    """Base form of a lower-cased word by suffix rules, whose candidates are tried
-    against the verb list.  Most words end in no suffix and leave at the first test."""
-    verbs = lexicon.verbs
+    def verb(value: str) -> str:
+        return _one_of(value, lexicon.verbs)
 
-    def cut(n: int) -> Column:
-        return F.substr(word, F.lit(1), F.length(word) - n)
+    def cut(n: int, value: str = word) -> str:
+        return f"left({value}, length({value}) - {n})"
 
-    def undo(stem: Column) -> Column:
-        with_e = F.concat(stem, F.lit("e"))
-        single = F.substr(stem, F.lit(1), F.length(stem) - 1)
-        doubled = F.substr(stem, F.length(stem), F.lit(1)) == F.substr(stem, F.length(stem) - 1, F.lit(1))
+    def undo(stem: str) -> str:
         return (
-            F.when(stem.isin(*verbs), stem)
-            .when(with_e.isin(*verbs), with_e)
-            .when(doubled & single.isin(*verbs), single)
-            .otherwise(stem)
+            f"CASE WHEN {verb(stem)} THEN {stem} WHEN {verb(f'concat({stem}, {_text("e")})')} THEN concat({stem}, 'e') "
+            f"WHEN right({stem}, 1) = left(right({stem}, 2), 1) AND {verb(cut(1, stem))} THEN {cut(1, stem)} "
+            f"ELSE {stem} END"
         )
 
-    size = F.length(word)
     return (
-        F.when(~(word.endswith("s") | word.endswith("ing") | word.endswith("ed")), word)
-        .when(word.endswith("ing"), F.when(size > 5, let(cut(3), undo)).otherwise(word))
-        .when(word.endswith("ed"), F.when(size > 4, let(cut(2), undo)).otherwise(word))
-        .when(cut(1).isin(*verbs), cut(1))
-        .when(word.endswith("es") & cut(2).isin(*verbs), cut(2))
-        .when(word.endswith("ies") & (size > 4), F.concat(cut(3), F.lit("y")))
-        .when((size <= 3) | word.endswith("ss") | word.endswith("us") | word.endswith("is"), word)
-        .otherwise(cut(1))
+        f"CASE WHEN {_one_of(word, irregular)} THEN {_mapped(word, irregular)} "
+        f"WHEN right({word}, 1) NOT IN ('s', 'g', 'd') OR {_one_of(word, known)} THEN {word} "
+        f"WHEN right({word}, 3) = 'ing' THEN IF(length({word}) > 5, {undo(cut(3))}, {word}) "
+        f"WHEN right({word}, 2) = 'ed' THEN IF(length({word}) > 4, {undo(cut(2))}, {word}) "
+        f"WHEN right({word}, 1) <> 's' THEN {word} "
+        f"WHEN {verb(cut(1))} THEN {cut(1)} "
+        f"WHEN right({word}, 2) = 'es' AND {verb(cut(2))} THEN {cut(2)} "
+        f"WHEN right({word}, 3) = 'ies' AND length({word}) > 4 THEN concat({cut(3)}, 'y') "
+        f"WHEN length({word}) <= 3 OR right({word}, 2) IN ('ss', 'us', 'is') THEN {word} "
+        f"ELSE {cut(1)} END"
     )
 
 
-def _verb_suffix(word: Column) -> Column:
-    size = F.length(word)
-    return (word.endswith("ing") & (size > 5)) | (word.endswith("ed") & (size > 4))
-
-
-def pos_tag(item: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    """Coarse tag of ``(text, word, listed, lemma)``: closed class, digits, marks, verb by
-    list or suffix, else NOUN.
+def pos_rule(text: str, word: str, base: str, lexicon: Lexicon = DEFAULT_LEXICON) -> str:
+    """Coarse tag of a token: closed class, digits, marks, verb by list or suffix, else NOUN.
 
     A token that starts with an ASCII letter is neither digits nor a mark; the patterns
     are left to the few others.
     """
-    text, word, base = item["text"], item["word"], item["lemma"]
-    closed = F.when(F.lit(False), F.lit(""))
-    for name, words in lexicon.closed.items():
-        closed = closed.when(word.isin(*words), F.lit(name))
+    listed = sorted({*lexicon.verbs, *lexicon.lemmas, *lexicon.stop_words})
+    closed = " ".join(f"WHEN {_one_of(word, words)} THEN {_text(tag)}" for tag, words in lexicon.closed.items())
     open_class = (
-        F.when(_verb_suffix(word) | base.isin(*lexicon.verbs), F.lit("VERB"))
-        .when(word.endswith("ly") & (F.length(word) > 4), F.lit("ADV"))
-        .otherwise(F.lit("NOUN"))
+        f"CASE WHEN right({word}, 3) = 'ing' AND length({word}) > 5 THEN 'VERB' "
+        f"WHEN right({word}, 2) = 'ed' AND length({word}) > 4 THEN 'VERB' WHEN {_one_of(base, lexicon.verbs)} THEN 'VERB' "
+        f"WHEN right({word}, 2) = 'ly' AND length({word}) > 4 THEN 'ADV' ELSE 'NOUN' END"
     )
-    starts_with_letter = (word >= "a") & (word < "{")
     return (
-        F.when(item["listed"], closed.otherwise(F.lit("VERB")))
-        .when(starts_with_letter, open_class)
-        .when(text.isin(*ASCII_MARKS), F.lit("PUNCT"))
-        .when(text.startswith("\n"), F.lit("SPACE"))
-        .when(text.rlike(r"^\p{Nd}++$"), F.lit("NUM"))
-        .when(text.rlike(r"^[^\p{L}\p{N}_]$"), F.lit("PUNCT"))
-        .otherwise(open_class)
+        f"CASE WHEN {_one_of(word, listed)} THEN CASE {closed} ELSE 'VERB' END "
+        f"WHEN {word} >= 'a' AND {word} < '{{' THEN {open_class} "
+        f"WHEN {_one_of(text, ASCII_MARKS)} THEN 'PUNCT' WHEN startswith({text}, '\\n') THEN 'SPACE' "
+        f"WHEN {text} RLIKE {_text(_DIGITS)} THEN 'NUM' WHEN {text} RLIKE {_text(_MARK)} THEN 'PUNCT' "
+        f"ELSE {open_class} END"
     )
 
 
-def tagged(comment: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    """``array<struct<text, word, listed, lemma, pos>>`` of a comment."""
-    items = F.transform(tokens(comment), lambda t: F.struct(t.alias("text"), F.lower(t).alias("word")))
-    items = F.transform(
-        items,
-        lambda x: F.struct(
-            x["text"].alias("text"), x["word"].alias("word"), _listed(x["word"], lexicon).alias("listed")
-        ),
+_DIGITS = r"^\p{Nd}++$"
+_MARK = r"^[^\p{L}\p{N}_]$"
+
+
+def tagged(comment: str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+    """``array<struct<text, word, lemma, pos>>`` of the named comment column."""
+    split = f"transform(regexp_extract_all({comment}, {_text(TOKEN)}, 0), t -> struct(t AS text, lower(t) AS word))"
+    based = (
+        f"transform({split}, x -> struct(x.text AS text, x.word AS word, {lemma_rule('x.word', lexicon)} AS lemma))"
     )
-    items = F.transform(
-        items,
-        lambda x: x.withField(
-            "lemma",
-            F.when(x["listed"], listed_lemma(x["word"], lexicon)).otherwise(unlisted_lemma(x["word"], lexicon)),
-        ),
+    return F.expr(
+        f"transform({based}, x -> struct(x.text AS text, x.word AS word, x.lemma AS lemma, "
+        f"{pos_rule('x.text', 'x.word', 'x.lemma', lexicon)} AS pos))"
     )
-    return F.transform(items, lambda x: x.withField("pos", pos_tag(x, lexicon)))
 
 
-def analysis(items: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+def analysis(items: str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
     """The stored analysis: tokens, lemmas, tags and entities of ``tagged`` items."""
-    entities = F.transform(
-        F.filter(items, lambda x: (x["pos"] == "NUM") | x["text"].isin(*lexicon.entities)),
-        lambda x: F.struct(
-            x["text"].alias("text"),
-            F.coalesce(_mapped(x["text"], lexicon.entities), F.lit("CARDINAL")).alias("label"),
-        ),
-    )
-    return F.struct(
-        F.transform(items, lambda x: x["text"]).alias("tokens"),
-        F.transform(items, lambda x: x["lemma"]).alias("lemmas"),
-        F.transform(items, lambda x: x["pos"]).alias("pos_tags"),
-        entities.alias("entities"),
+    entity = f"x.pos = 'NUM' OR {_one_of('x.text', lexicon.entities)}"
+    label = f"coalesce({_mapped('x.text', lexicon.entities)}, 'CARDINAL')"
+    return F.expr(
+        f"struct({items}.text AS tokens, {items}.lemma AS lemmas, {items}.pos AS pos_tags, "
+        f"transform(filter({items}, x -> {entity}), x -> struct(x.text AS text, {label} AS label)) AS entities)"
     )
 
 
-def _count(items: Column, test) -> Column:
-    return F.size(F.filter(items, test))
-
+def counts(items: str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+    def count(test: str) -> str:
+        return f"size(filter({items}, x -> {test}))"
 
-def counts(items: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    return F.struct(
-        F.size(items).alias("n_tokens"),
-        _count(items, lambda x: x["pos"] == "VERB").alias("n_verbs"),
-        _count(items, lambda x: x["listed"] & x["word"].isin(*lexicon.stop_words)).alias("n_stop"),
-        _count(items, lambda x: x["lemma"].isin(*lexicon.tech_terms)).alias("n_tech"),
+    return F.expr(
+        f"struct(size({items}) AS n_tokens, {count(_text('VERB') + ' = x.pos')} AS n_verbs, "
+        f"{count(_one_of('x.word', lexicon.stop_words))} AS n_stop, "
+        f"{count(_one_of('x.lemma', lexicon.tech_terms))} AS n_tech)"
     )
 
 

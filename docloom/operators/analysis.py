@@ -13,13 +13,13 @@ from docloom.operators.joins import lookup_join
 
 def graded(df: DataFrame, comment: str = "comment", lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """Adds ``counts``, ``grade`` and ``comment_analysis``; narrow, row by row."""
-    tagged = with_once(df, "_items", grading.tagged(F.col(comment), lexicon))
-    counted = with_once(tagged, "counts", grading.counts(F.col("_items"), lexicon))
+    tagged = with_once(df, "_items", grading.tagged(comment, lexicon))
+    counted = with_once(tagged, "counts", grading.counts("_items", lexicon))
     c = F.col("counts")
     return counted.select(
         *df.columns, "counts",
         grading.grade(c["n_tokens"], c["n_verbs"], c["n_stop"], c["n_tech"]).alias("grade"),
-        grading.analysis(F.col("_items"), lexicon).alias("comment_analysis"),
+        grading.analysis("_items", lexicon).alias("comment_analysis"),
     )
 
 
@@ -39,7 +39,7 @@ def analyze_with_lexicon(
     """
     rows = df.select(
         *id_columns,
-        F.posexplode_outer(grading.tagged(F.col(comment))).alias("pos_in_text", "item"),
+        F.posexplode_outer(grading.tagged(comment)).alias("pos_in_text", "item"),
     ).withColumn("word", F.col("item.word"))
     known = lexicon.select(
         "word",

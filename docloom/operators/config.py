@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import directory, module_name
 from docloom.operators.joins import lookup_join
+from docloom.session import checkpointed
 
 CONFIG_FILE = ".gocomments"
 MODULE_FILE = "go.mod"
@@ -184,6 +185,9 @@ def choose_provider(resolved: DataFrame) -> DataFrame:
 
 def with_config(files: DataFrame, resolved: DataFrame) -> DataFrame:
     """Files with the configuration of their directory; a folder that holds much of the
-    corpus is spread over salted copies when the configurations are not broadcast."""
+    corpus is spread over salted copies when the configurations are not broadcast.
+
+    The configurations are measured and then joined, so they are stored once in between.
+    """
     placed = files.withColumn("dir", directory(F.col("path")))
-    return lookup_join(placed, resolved, ["dir"], "left")
+    return lookup_join(placed, checkpointed(resolved), ["dir"], "left")

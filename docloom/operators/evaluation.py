@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.once import let, with_once
 from docloom.functions.text import words
 
 # Fixed value: the version an inference request gets when it names none.
@@ -24,7 +25,7 @@ def with_versions(rows: DataFrame, latest: int | Column, column: str = "version"
 
 def predict(rows: DataFrame, predictor: Callable[[Column, Column], Column], text: str = "name") -> DataFrame:
     """Adds ``predicted`` from a column expression of (text, version)."""
-    return rows.withColumn("predicted", predictor(F.col(text), F.col("version")))
+    return with_once(rows, "predicted", predictor(F.col(text), F.col("version")))
 
 
 def predict_in_batches(
@@ -61,8 +62,13 @@ def predict_in_batches(
 def word_f1(predicted: Column, expected: Column) -> Column:
     """F1 of the two sets of lower-cased words; 1 when both are empty."""
     left, right = (F.array_distinct(words(F.lower(F.coalesce(c, F.lit(""))))) for c in (predicted, expected))
-    total = F.size(left) + F.size(right)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(left, right)) / total)
+
+    def score(sets: Column) -> Column:
+        total = F.size(sets["left"]) + F.size(sets["right"])
+        common = F.size(F.array_intersect(sets["left"], sets["right"]))
+        return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * common / total)
+
+    return let(F.struct(left.alias("left"), right.alias("right")), score)
 
 
 def version_scores(predictions: DataFrame, expected: str = "comment") -> DataFrame:

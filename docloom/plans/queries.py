@@ -112,7 +112,7 @@ def line_counts(spark, sf):
 @query
 def rejected_files(spark, sf):
     """Documents are no Go files: all of them are set aside, none of the rendered files is."""
-    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc"), "doc_id").alias("path"), F.col("text").alias("content"))
+    docs = _documents(spark, sf).select(F.concat(F.lit("doc"), "doc_id").alias("path"), F.col("comment").alias("content"))
     return filters.unparsable(docs.unionByName(go_files(spark, sf))).select("path")
 
 
@@ -358,9 +358,7 @@ def repo_blobs(spark, sf):
     supplier = table(spark, sf, "supplier")
     repos = corpus.repositories(supplier)
     listing, blobs = corpus.repository_answers(table(spark, sf, "lineitem"), supplier, table(spark, sf, "part"))
-    return code_host.repository_files(
-        code_host.top_repositories(repos, per_page=10), code_host.contents_listing(listing), code_host.blobs(blobs)
-    )
+    return code_host.repository_files(code_host.top_repositories(repos, per_page=10), listing, blobs)
 
 
 @query

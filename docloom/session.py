@@ -18,6 +18,9 @@ def local_session(cpus: int | str = "*", app: str = "docloom", memory: str = "8g
         .config("spark.sql.adaptive.enabled", "true")
         # Small test tables: keep all cores busy after a shuffle.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
+        # Call sites of single column operations are not needed; recording them costs more
+        # than building the plans does.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .getOrCreate()

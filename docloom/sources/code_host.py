@@ -55,17 +55,19 @@ def blobs(answers: DataFrame, body: str = "body") -> DataFrame:
     return answers.select(*others, decode_blob(blob["encoding"], blob["content"]).alias("content"))
 
 
-def repository_files(repos: DataFrame, listing: DataFrame, blob_rows: DataFrame) -> DataFrame:
-    """Files of the given repositories: ``(owner, repo, path, content)``; a file whose blob
-    cannot be decoded drops out.
+def repository_files(repos: DataFrame, listing_answers: DataFrame, blob_answers: DataFrame) -> DataFrame:
+    """Go files of the given repositories: ``(owner, repo, path, content)``; a file whose
+    blob cannot be decoded drops out.
 
-    ``repos`` is one result page, bounded by its page size, so it is broadcast; a
-    repository that holds most of the listing is then never gathered by its key.  The
-    second join is by file, which is unique on both sides.
+    ``repos`` is one result page, bounded by its page size, so it is broadcast: answers of
+    other repositories go before any JSON is read, and a repository that holds most of the
+    listing is never gathered by its key.  The second join is by file, unique on both sides.
     """
-    wanted = listing.join(F.broadcast(repos.select("owner", "repo")), ["owner", "repo"])
+    page = F.broadcast(repos.select("owner", "repo"))
+    listed = contents_listing(listing_answers.join(page, ["owner", "repo"], "left_semi"))
+    stored = blobs(blob_answers.join(page, ["owner", "repo"], "left_semi"))
     return (
-        wanted.join(blob_rows, ["owner", "repo", "path"])
+        listed.join(stored, ["owner", "repo", "path"])
         .filter(F.col("content").isNotNull())
         .select("owner", "repo", "path", "content")
     )
