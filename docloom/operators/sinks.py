@@ -35,9 +35,9 @@ def write_json(df: DataFrame, folder: str) -> None:
 
 
 def write_pairs_csv(pairs: DataFrame, folder: str) -> None:
-    """``name,comment`` with a header; comments of several lines are quoted."""
-    pairs.select("name", "comment").write.mode("overwrite").option("header", True).option("quoteAll", True).option(
-        "escape", '"'
+    """``name,comment`` with a header; every value is quoted and kept as it is."""
+    pairs.select("name", "comment").write.mode("overwrite").options(
+        header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(folder)
 
 

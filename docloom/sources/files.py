@@ -108,6 +108,6 @@ def read_newest_dataset(
 
 
 def read_table_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("inferSchema", True).option("multiLine", True).option(
-        "escape", '"'
-    ).csv(path)
+    """A CSV file with a header.  Quoted values may span lines, so a file is one task;
+    land large tables as parquet."""
+    return spark.read.options(header=True, inferSchema=True, multiLine=True, escape='"').csv(path)
