@@ -108,7 +108,8 @@ def parses(content: Column) -> Column:
             balanced = balanced & (unopened == unclosed)
         return balanced
 
-    return let(code_only(unix_lines(content)), test)
+    # The cheap test first: most texts that are no Go stop there.
+    return content.rlike(r"(?m)^package[ \t]") & let(code_only(unix_lines(content)), test)
 
 
 def doc_text(comment: Column) -> Column:

@@ -107,7 +107,7 @@ def lemma_rule(word: str, lexicon: Lexicon = DEFAULT_LEXICON) -> str:
     """Base form of a lower-cased word: listed form, else suffix rules whose candidates
     are tried against the verb list.  Most words end in no suffix and leave early."""
     irregular = {form: base for form, base in lexicon.lemmas.items() if form not in lexicon.verbs}
-    known = sorted({*lexicon.verbs, *lexicon.stop_words})
+    listed = sorted({*lexicon.verbs, *lexicon.lemmas, *lexicon.stop_words})
 
     def verb(value: str) -> str:
         return _one_of(value, lexicon.verbs)
@@ -123,14 +123,14 @@ def lemma_rule(word: str, lexicon: Lexicon = DEFAULT_LEXICON) -> str:
         )
 
     return (
-        f"CASE WHEN {_one_of(word, irregular)} THEN {_mapped(word, irregular)} "
-        f"WHEN right({word}, 1) NOT IN ('s', 'g', 'd') OR {_one_of(word, known)} THEN {word} "
-        f"WHEN right({word}, 3) = 'ing' THEN IF(length({word}) > 5, {undo(cut(3))}, {word}) "
-        f"WHEN right({word}, 2) = 'ed' THEN IF(length({word}) > 4, {undo(cut(2))}, {word}) "
+        f"CASE WHEN {_one_of(word, listed)} THEN coalesce(IF({_one_of(word, irregular)}, {_mapped(word, irregular)}, NULL), {word}) "
+        f"WHEN right({word}, 1) NOT IN ('s', 'g', 'd') THEN {word} "
+        f"WHEN endswith({word}, 'ing') THEN IF(length({word}) > 5, {undo(cut(3))}, {word}) "
+        f"WHEN endswith({word}, 'ed') THEN IF(length({word}) > 4, {undo(cut(2))}, {word}) "
         f"WHEN right({word}, 1) <> 's' THEN {word} "
         f"WHEN {verb(cut(1))} THEN {cut(1)} "
-        f"WHEN right({word}, 2) = 'es' AND {verb(cut(2))} THEN {cut(2)} "
-        f"WHEN right({word}, 3) = 'ies' AND length({word}) > 4 THEN concat({cut(3)}, 'y') "
+        f"WHEN endswith({word}, 'es') AND {verb(cut(2))} THEN {cut(2)} "
+        f"WHEN endswith({word}, 'ies') AND length({word}) > 4 THEN concat({cut(3)}, 'y') "
         f"WHEN length({word}) <= 3 OR right({word}, 2) IN ('ss', 'us', 'is') THEN {word} "
         f"ELSE {cut(1)} END"
     )
@@ -144,10 +144,12 @@ def pos_rule(text: str, word: str, base: str, lexicon: Lexicon = DEFAULT_LEXICON
     """
     listed = sorted({*lexicon.verbs, *lexicon.lemmas, *lexicon.stop_words})
     closed = " ".join(f"WHEN {_one_of(word, words)} THEN {_text(tag)}" for tag, words in lexicon.closed.items())
+    # An unlisted word without one of these endings is its own lemma, hence no verb.
     open_class = (
-        f"CASE WHEN right({word}, 3) = 'ing' AND length({word}) > 5 THEN 'VERB' "
-        f"WHEN right({word}, 2) = 'ed' AND length({word}) > 4 THEN 'VERB' WHEN {_one_of(base, lexicon.verbs)} THEN 'VERB' "
-        f"WHEN right({word}, 2) = 'ly' AND length({word}) > 4 THEN 'ADV' ELSE 'NOUN' END"
+        f"CASE WHEN right({word}, 1) NOT IN ('g', 'd', 's', 'y') THEN 'NOUN' "
+        f"WHEN endswith({word}, 'ing') AND length({word}) > 5 THEN 'VERB' "
+        f"WHEN endswith({word}, 'ed') AND length({word}) > 4 THEN 'VERB' WHEN {_one_of(base, lexicon.verbs)} THEN 'VERB' "
+        f"WHEN endswith({word}, 'ly') AND length({word}) > 4 THEN 'ADV' ELSE 'NOUN' END"
     )
     return (
         f"CASE WHEN {_one_of(word, listed)} THEN CASE {closed} ELSE 'VERB' END "

@@ -37,7 +37,10 @@ def analyze_with_lexicon(
     put together again from its own tokens, so a group never exceeds one input row.
     Words that the table lacks keep the built-in lemma and tag.
     """
-    rows = df.select(
+    # Placed by id before the explode: with the lexicon broadcast, the comments are the
+    # only rows that are shuffled, not their tokens.
+    placed = df.select(*id_columns, comment).repartition(*id_columns)
+    rows = placed.select(
         *id_columns,
         F.posexplode_outer(grading.tagged(comment)).alias("pos_in_text", "item"),
     ).withColumn("word", F.col("item.word"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.grading import TOKEN
+from docloom.operators.joins import lookup_join
+from docloom.session import checkpointed
 
 # Special ids of the encoding and the id that the loss ignores.
 PAD_ID, BEGIN_ID, END_ID, UNKNOWN_ID, FIRST_TOKEN_ID = 0, 1, 2, 3, 4
@@ -40,8 +42,8 @@ def build_vocabulary(texts: DataFrame, columns: list[str], size: int = VOCABULAR
     """``(token, token_id, n)`` of the most frequent tokens, ties by token.
 
     Counting combines before the shuffle, so frequent tokens cost one row per task.
-    ``size`` includes the special ids, is the width of the model's embedding table and
-    bounds the result, which is why the encoder may broadcast it.
+    ``size`` includes the special ids and is the width of the model's embedding table.
+    The result is stored: every encoding run reads it, none counts the corpus again.
     """
     all_tokens = F.concat(*[encoder_tokens(F.col(c)) for c in columns])
     ranked = (
@@ -51,7 +53,7 @@ def build_vocabulary(texts: DataFrame, columns: list[str], size: int = VOCABULAR
         .limit(size - FIRST_TOKEN_ID)
     )
     number = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
-    return ranked.select("token", (number + F.lit(FIRST_TOKEN_ID - 1)).alias("token_id"), "n")
+    return checkpointed(ranked.select("token", (number + F.lit(FIRST_TOKEN_ID - 1)).alias("token_id"), "n"))
 
 
 def _padded(ids: Column, length: int) -> Column:
@@ -72,8 +74,8 @@ def encode(
 
     Texts are cut to the model's lengths first, as the model's own encoder does, so a
     row explodes into at most ``max_input + max_target`` tokens.  The rows are placed by
-    id before they are exploded; the vocabulary is broadcast, and putting a row together
-    again needs no second shuffle.
+    id before they are exploded; with the vocabulary broadcast (its size is measured),
+    putting a row together again needs no second shuffle.
     """
 
     def side(name: str, column: str, length: int) -> Column:
@@ -84,11 +86,10 @@ def encode(
 
     both = F.concat(side("input", input_column, max_input), side("target", target_column, max_target))
     placed = rows.select(row_id, both.alias("parts")).repartition(row_id)
-    found = (
-        placed.select(row_id, F.explode_outer("parts").alias("part"))
-        .select(row_id, "part.side", "part.at", "part.token")
-        .join(F.broadcast(vocabulary.select("token", "token_id")), "token", "left")
+    pieces = placed.select(row_id, F.explode_outer("parts").alias("part")).select(
+        row_id, "part.side", "part.at", "part.token"
     )
+    found = lookup_join(pieces, vocabulary.select("token", "token_id"), ["token"], "left")
     item = F.struct("side", "at", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("token_id"))
     whole = found.groupBy(row_id).agg(
         F.array_sort(F.collect_list(F.when(F.col("side").isNotNull(), item))).alias("items")

@@ -166,6 +166,19 @@ def config_tree(lineitem: DataFrame, supplier: DataFrame) -> tuple[DataFrame, Da
     return files, root.unionByName(lib), modules
 
 
+def repository_settings(region: DataFrame) -> DataFrame:
+    """Configuration files for the folders ``repo0``..``repo4`` of the rendered files."""
+    r = F.col("r_regionkey")
+    return region.select(
+        F.concat(F.lit("repo"), r, F.lit("/.gocomments")).alias("path"),
+        F.concat(
+            F.lit("signature: "), F.col("r_name"), F.lit("\nactive-examples: "), (r % 2 == 0).cast("string"),
+            F.lit("\nlocalai:\n  active: "), (r == 3).cast("string"), F.lit("\n  api_model_version: "), r,
+            F.lit("\nopenai:\n  active: "), (r == 1).cast("string"), F.lit("\n  url: https://chat.example\n"),
+        ).alias("content"),
+    )
+
+
 def archive_records(pages: DataFrame) -> DataFrame:
     """``value``: archive records as the reader cuts them; every fifth is a request."""
     kind = F.when(F.col("page_id") % 5 == 0, F.lit("request")).otherwise(F.lit("response"))

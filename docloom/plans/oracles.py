@@ -115,32 +115,50 @@ for _name, _test in (("func_comments", "k % 10 <> 5"), ("ctor_comments", "k % 10
     ORACLES[_name] = f"""
 WITH {FN}, {DRAFT} SELECT path, name, draft AS comment FROM drafts WHERE {GENERATED} AND {BARE} AND {_test}"""
 
-ORACLES["usage_examples"] = f"""
-WITH {FN}
-SELECT path, name, CASE WHEN k % 5 = 3 OR (k // 5) % 4 = 3 OR (k % 5 = 0 AND (k // 5) % 4 = 0) THEN '' ELSE
+# Example call of a function; '' where a type has no sample value.
+EXAMPLE = f"""CASE WHEN k % 5 = 3 OR (k // 5) % 4 = 3 OR (k % 5 = 0 AND (k // 5) % 4 = 0) THEN '' ELSE
   '//' || {NL} || '// Example:' || {NL} || '//   '
   || CASE WHEN k % 5 = 2 THEN 'ctx := context.Background()' || {NL} || '//   ' ELSE '' END
   || ['', 'err := ', 'str, err := '][(k // 5) % 4 + 1] || name || '(' || ['', '50', 'ctx, 56.64', '', '50, 50'][k % 5 + 1] || ')' || {NL}
   || CASE WHEN (k // 5) % 4 > 0 THEN '//   if err != nil {{' || {NL} || '//       log.Fatalf("Error: %v", err)' || {NL} || '//   }}' || {NL} ELSE '' END
-  || CASE WHEN (k // 5) % 4 = 2 THEN '//   fmt.Printf("%v ", str)' || {NL} ELSE '' END END AS example
-FROM fn WHERE {GENERATED} AND {BARE} AND k % 10 <> 5"""
+  || CASE WHEN (k // 5) % 4 = 2 THEN '//   fmt.Printf("%v ", str)' || {NL} ELSE '' END END"""
+ORACLES["usage_examples"] = f"""
+WITH {FN} SELECT path, name, {EXAMPLE} AS example FROM fn WHERE {GENERATED} AND {BARE} AND k % 10 <> 5"""
 
-ORACLES["rewritten_files"] = f"""
-WITH {FN}, {DRAFT},
+
+def _commented(example: str, author: str) -> str:
+    """CTE ``blocks``: the commented text of every function; both arguments are SQL."""
+    return f"""
 blocks AS (
-  SELECT f, k, path, {BARE} AS bare,
+  SELECT f, k, path, {BARE} AS bare, {author} AS author,
     ['', '// ' || name || ' loads the value.' || {NL}, '// TODO: ' || name || {NL}, '// deprecated ' || name || {NL},
      '// ' || name || ' stores the item.' || {NL} || '// It returns early when done.' || {NL},
      '/* ' || name || ' stores it */' || {NL}, '// ' || name || ' is an orphan.' || {NL} || {NL}][k % 7 + 1]
-    || CASE WHEN {BARE} THEN draft || '//' || {NL} || '// Author: corpus.' || {NL} ELSE '' END
+    || CASE WHEN {BARE} THEN draft || {example} || '//' || {NL} || '// Author: ' || {author} || '.' || {NL} ELSE '' END
     || 'func ' || ['', '(x *' || brand || ') ', '(x ' || brand || ') '][k % 3 + 1] || name || '('
     || ['', 'size int', 'ctx context.Context, price float64', 'items []string, opts map[string]int', 'a, b int'][k % 5 + 1]
     || ')' || ['', ' error', ' (string, error)', ' (*' || brand || ', bool)'][r + 1]
     || ' {{' || {NL} || chr(9) || '_ = "func Fake() {{}}"' || {NL} || '}}' || {NL} || {NL} AS block
-  FROM drafts WHERE {GENERATED})
+  FROM drafts LEFT JOIN region ON f % 5 = r_regionkey WHERE {GENERATED})"""
+
+
+ORACLES["rewritten_files"] = f"""
+WITH {FN}, {DRAFT}, {_commented("''", "'corpus'")}
 SELECT path, 'package p' || {NL} || {NL} || string_agg(block, '' ORDER BY k) AS new_content
 FROM blocks GROUP BY f, path HAVING bool_or(bare)"""
 
+_WITH_EXAMPLE = f"CASE WHEN f % 5 % 2 = 0 AND k % 10 <> 5 THEN {EXAMPLE} ELSE '' END"
+ORACLES["commented_corpus"] = f"""
+WITH {FN}, {DRAFT}, {_commented(_WITH_EXAMPLE, "r_name")}
+SELECT path, author, 'package p' || {NL} || {NL} || string_agg(block, '' ORDER BY k) AS new_content
+FROM blocks WHERE f % 5 NOT IN (1, 3) GROUP BY f, path, author"""
+
+# Folder 1 has a chat provider without a key, so only folder 3 gives requests.
+ORACLES["model_requests"] = f"""
+WITH {FN}
+SELECT path, 'localai' AS provider, '{{"text":"' || signature || '","version":3}}' AS request
+FROM fn WHERE {GENERATED} AND {BARE} AND f % 5 = 3"""
+
 # One row per rendered const, var or type block.
 DC = f"""
 db AS (
@@ -407,6 +425,8 @@ SELECT stem AS file_name, signature AS name, doc AS comment,
     ELSE ' store the item . ' || {NL} || ' it return early when done . ' || {NL} END AS lemmas
 FROM lead"""
 
+ORACLES["streamed_dataset"] = f"SELECT file_name, name, comment FROM ({ORACLES['graded_dataset']})"
+
 # -- web and code-host corpora ---------------------------------------------------------
 
 ORACLES["warc_responses"] = """

@@ -5,6 +5,7 @@ Each reads the given tables whole.  ``oracles`` holds the SQL that must agree.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +24,11 @@ from docloom.operators import (
     rewrite,
     sinks,
 )
-from docloom.plans import corpus, dataset
+from docloom.plans import commenter, corpus, dataset
 from docloom.plans.corpus import table
-from docloom.session import spread
+from docloom.session import checkpoint_dir, spread
 from docloom.sources import code_host, files, listings, web_archive
+from docloom.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,6 +66,16 @@ def graded_dataset(spark, sf):
     return rows.select("file_name", "name", "comment", joined("comment_analysis.pos_tags"), joined("comment_analysis.lemmas"))
 
 
+@query
+def streamed_dataset(spark, sf):
+    """The same rows by an incremental run over landed files."""
+    folder = f"{checkpoint_dir(spark)}/streamed-{uuid.uuid4().hex}"
+    go_files(spark, sf).write.parquet(f"{folder}/landed")
+    landed = incremental.landed_files(spark, f"{folder}/landed")
+    incremental.run_available(landed, f"{folder}/rows", f"{folder}/state")
+    return files.read_dataset(spark, f"{folder}/rows").select("file_name", "name", "comment")
+
+
 @query
 def undocumented_functions(spark, sf):
     found = extract.undocumented_functions(filters.generator_files(go_files(spark, sf)))
@@ -247,6 +259,25 @@ def module_names(spark, sf):
     return config.module_dirs(modules)
 
 
+def _configured(spark, sf) -> DataFrame:
+    settings = config.parse_config(corpus.repository_settings(table(spark, sf, "region")))
+    no_modules = config.module_dirs(spark.createDataFrame([], "path string, content string"))
+    return commenter.configured_files(go_files(spark, sf), settings, no_modules)
+
+
+@query
+def commented_corpus(spark, sf):
+    """The comment job: every file with the author and examples its folder asks for."""
+    done = commenter.commented_files(_configured(spark, sf).filter("provider = 'template'"))
+    return done.select("path", "author", "new_content")
+
+
+@query
+def model_requests(spark, sf):
+    """The other side of the comment job: request bodies for folders with a model."""
+    return commenter.model_requests(_configured(spark, sf)).select("path", "provider", "request")
+
+
 @query
 def prompt_requests(spark, sf):
     found = extract.undocumented_functions(filters.generator_files(go_files(spark, sf)))

@@ -22,7 +22,7 @@ def newest_file(listing: DataFrame, prefix: str = "", extension: str = "") -> Da
 
 def version_number(name: Column) -> Column:
     found = F.regexp_extract(name, VERSION_NAME, 1)
-    return F.when(found != "", found.cast("int"))
+    return F.when(found != "", found.try_cast("bigint"))
 
 
 def latest_version(listing: DataFrame) -> DataFrame:
