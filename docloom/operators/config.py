@@ -9,9 +9,6 @@ from docloom.functions.text import directory, module_name
 from docloom.operators.joins import lookup_join
 from docloom.session import checkpointed
 
-CONFIG_FILE = ".gocomments"
-MODULE_FILE = "go.mod"
-
 # Address and version used when a configuration names none.
 DEFAULT_LOCAL_URL = "http://:5000"
 DEFAULT_LOCAL_VERSION = 1

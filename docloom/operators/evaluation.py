@@ -11,11 +11,19 @@ from pyspark.sql import functions as F
 
 from docloom.functions.once import let, with_once
 from docloom.functions.text import words
+from docloom.operators.filters import split_blank_inputs
 
 # Fixed value: the version an inference request gets when it names none.
 DEFAULT_VERSION = 9
 
 
+def inference_requests(rows: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(requests, rejected): a missing version becomes the default, an empty text is
+    rejected with an ``error``."""
+    version = F.coalesce(F.col("version"), F.lit(DEFAULT_VERSION))
+    return split_blank_inputs(rows.withColumn("version", version), text)
+
+
 def with_versions(rows: DataFrame, latest: int | Column, column: str = "version") -> DataFrame:
     """Every row once per model version 1..latest, in place (no join)."""
     last = F.lit(latest) if isinstance(latest, int) else latest

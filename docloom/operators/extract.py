@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docloom.functions import golang
 from docloom.functions.gotokens import last_comment_pairs
 from docloom.functions.naming import is_exported
+from docloom.functions.once import let
 from docloom.functions.text import fenced_code
 from docloom.operators.filters import (
     has_ignored_annotation,
@@ -84,21 +85,44 @@ def value_and_type_specs(files: DataFrame) -> DataFrame:
 
 
 def declarations(files: DataFrame) -> DataFrame:
-    """All declarations, one row per declared name:
-    ``(..., kind, pos, name, exported, has_paren, doc, type, fields)``.
+    """All declarations in one pass, one row per declared name:
+    ``(..., pos, kind, name, has_paren, doc, type, fields, exported)``.
 
-    ``pos`` numbers functions and other declarations of a file separately.
+    ``pos`` is the place of the declaration in its file; the names of a group share it.
     """
-    keep = _others(files, "content")
-    specs = value_and_type_specs(files).select(
-        *keep, "kind", "pos", F.explode("spec.names").alias("name"), "has_paren",
-        F.col("spec.doc").alias("doc"), F.col("spec.type").alias("type"), F.col("spec.fields").alias("fields"),
-    )
-    funcs = functions(files).select(
-        *keep, F.lit("func").alias("kind"), "pos", "name", F.lit(False).alias("has_paren"), "doc",
-        F.col("signature").alias("type"), F.lit(None).cast(specs.schema["fields"].dataType).alias("fields"),
-    )
-    return specs.unionByName(funcs).withColumn("exported", is_exported(F.col("name")))
+    no_fields = F.lit(None).cast("array<struct<name: string, is_ptr: boolean>>")
+
+    def row(item: Column, kind: Column, name: Column, has_paren: Column, doc: Column, kind_text: Column, fields: Column):
+        return F.struct(
+            item["at"].alias("pos"), kind.alias("kind"), name.alias("name"), has_paren.alias("has_paren"),
+            doc.alias("doc"), kind_text.alias("type"), fields.alias("fields"),
+        )
+
+    def spec_rows(item: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                item["specs"],
+                lambda s: F.transform(
+                    s["names"],
+                    lambda n: row(item, item["kind"], n, item["has_paren"], s["doc"], s["type"], s["fields"]),
+                ),
+            )
+        )
+
+    def rows(items: Column) -> Column:
+        funcs = golang.function_parts(F.filter(items, lambda x: x["kind"] == "func"))
+        specs = golang.spec_parts(F.filter(items, lambda x: x["kind"].isin("const", "var", "type")))
+        return F.concat(
+            F.transform(
+                F.filter(funcs, lambda d: d["name"] != ""),
+                lambda d: row(d, F.lit("func"), d["name"], F.lit(False), d["doc"], golang.signature(d), no_fields),
+            ),
+            F.flatten(F.transform(specs, spec_rows)),
+        )
+
+    numbered = F.transform(_lexemes(), lambda x, i: x.withField("at", i))
+    found = parsable(files).select(*_others(files, "content"), F.explode(let(numbered, rows)).alias("decl"))
+    return found.select(*_others(files, "content"), "decl.*").withColumn("exported", is_exported(F.col("name")))
 
 
 def undocumented(decls: DataFrame) -> DataFrame:

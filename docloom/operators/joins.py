@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
+# The most frequent keys are spread; any other key holds at most 1/HOT_KEYS of the rows.
+HOT_KEYS = 1000
+HOT_ROWS = 100_000
+SALTS = 64
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -15,23 +20,38 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(size, F.lit(0)).alias("n")).first()["n"]
 
 
+def hot_keys(df: DataFrame, on: list[str], at_least: int = HOT_ROWS) -> DataFrame:
+    """The keys with most rows, at most ``HOT_KEYS`` of them, as a small literal frame."""
+    spark = df.sparkSession
+    counts = df.select(*on).dropna().groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    top = counts.filter(F.col("n") >= at_least).orderBy(F.desc("n"), *on).limit(HOT_KEYS).drop("n")
+    return spark.createDataFrame(top.collect(), top.schema).withColumn("_hot", F.lit(True))
+
+
 def lookup_join(
     large: DataFrame,
     lookup: DataFrame,
     on: list[str],
     how: str = "inner",
     max_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``large`` joined to a lookup that is unique on ``on`` (inner or left).
 
-    The lookup's size is measured; up to ``max_bytes`` it is broadcast.  Beyond that
-    both sides are shuffled with a salt: each lookup row is copied ``salts`` times and
-    every row of ``large`` picks one copy, so a hot key is spread over ``salts`` tasks.
+    The lookup's size is measured; up to ``max_bytes`` it is broadcast.  Beyond that both
+    sides are shuffled.  Rows of a hot key are dealt over ``SALTS`` tasks, and only the
+    lookup rows of hot keys are copied to meet them; rows without a key, which match
+    nothing, are dealt out as well.
     """
     if measured_bytes(lookup) <= max_bytes:
         return large.join(F.broadcast(lookup), on, how)
-    columns = large.columns
-    salted = large.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int"))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    hot = F.broadcast(hot_keys(large, on, hot_rows))
+    columns = [*on, *[c for c in large.columns if c not in on]]
+    no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    salt = F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+    spread = large.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot") | no_key, salt).otherwise(0))
+    copies = lookup.join(hot, on, "left").withColumn(
+        "_salt",
+        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))),
+    )
+    return spread.drop("_hot").join(copies.drop("_hot"), [*on, "_salt"], how).drop("_salt")

@@ -144,7 +144,7 @@ def config_tree(lineitem: DataFrame, supplier: DataFrame) -> tuple[DataFrame, Da
     )
     s = F.col("s_suppkey")
     root = supplier.select(
-        F.concat(F.lit("org"), s, F.lit("/.gocomments")).alias("path"),
+        F.concat(F.lit("org"), s, F.lit("/.comments.yaml")).alias("path"),
         F.concat(
             F.lit('# settings\nsignature: "'), F.col("s_name"), F.lit('"\nprefixes:\n  - org'), s,
             F.lit("/api\nlocalai:\n  active: "), (s % 4 == 0).cast("string"),
@@ -152,7 +152,7 @@ def config_tree(lineitem: DataFrame, supplier: DataFrame) -> tuple[DataFrame, Da
         ).alias("content"),
     )
     lib = supplier.filter(s % 2 == 1).select(
-        F.concat(F.lit("org"), s, F.lit("/lib/.gocomments")).alias("path"),
+        F.concat(F.lit("org"), s, F.lit("/lib/.comments.yaml")).alias("path"),
         F.concat(
             F.lit("signature: lib-"), s, F.lit(" # own\nactive-examples: true\nprefixes: [lib"), s,
             F.lit("]\nopenai:\n  active: "), (s % 5 == 1).cast("string"),
@@ -170,7 +170,7 @@ def repository_settings(region: DataFrame) -> DataFrame:
     """Configuration files for the folders ``repo0``..``repo4`` of the rendered files."""
     r = F.col("r_regionkey")
     return region.select(
-        F.concat(F.lit("repo"), r, F.lit("/.gocomments")).alias("path"),
+        F.concat(F.lit("repo"), r, F.lit("/.comments.yaml")).alias("path"),
         F.concat(
             F.lit("signature: "), F.col("r_name"), F.lit("\nactive-examples: "), (r % 2 == 0).cast("string"),
             F.lit("\nlocalai:\n  active: "), (r == 3).cast("string"), F.lit("\n  api_model_version: "), r,

@@ -517,6 +517,11 @@ sets AS (SELECT version, predicted = comment AS exact, list_distinct(regexp_extr
 SELECT version, count(*) AS n, round(avg(exact::INTEGER), 9) AS exact_rate,
   round(avg(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) END::DOUBLE), 9) AS mean_f1
 FROM sets GROUP BY version"""
+ORACLES["inference_requests"] = """
+SELECT conv_id, turn, text, CASE WHEN turn % 2 = 0 THEN turn + 1 ELSE 9 END AS version
+FROM conversations WHERE turn % 5 < 3 AND text <> ''"""
+ORACLES["rejected_requests"] = """
+SELECT conv_id, turn, 'text is required' AS error FROM conversations WHERE turn % 5 >= 3 OR text = ''"""
 ORACLES["valid_lines"] = "SELECT conv_id, turn, role AS name, text AS comment FROM conversations WHERE conv_id % 7 <> 3"
 ORACLES["rejected_lines"] = "SELECT conv_id, turn FROM conversations WHERE conv_id % 7 = 3"
 ORACLES["row_window"] = """

@@ -531,6 +531,27 @@ def version_scores(spark, sf):
     )
 
 
+def _requests(spark, sf) -> tuple[DataFrame, DataFrame]:
+    turn = F.col("turn")
+    return evaluation.inference_requests(
+        table(spark, sf, "conversations").select(
+            "conv_id", "turn",
+            F.when(turn % 5 == 4, F.lit("")).when(turn % 5 != 3, F.col("text")).alias("text"),
+            F.when(turn % 2 == 0, turn + 1).alias("version"),
+        )
+    )
+
+
+@query
+def inference_requests(spark, sf):
+    return _requests(spark, sf)[0]
+
+
+@query
+def rejected_requests(spark, sf):
+    return _requests(spark, sf)[1].select("conv_id", "turn", "error")
+
+
 def _json_lines(spark, sf) -> DataFrame:
     rows = _eval_rows(spark, sf)
     line = F.to_json(F.struct("name", "comment"))

@@ -102,7 +102,7 @@ def read_newest_dataset(
         .select("path", F.substring_index("path", "/", -1).alias("name"), F.col("modificationTime").alias("modified_at"))
     )
     newest = newest_file(listing, prefix, extension).first()
-    if newest is None or newest["path"] is None:
+    if newest is None:
         raise FileNotFoundError(f"no {prefix}*{extension} in {folder}")
     return read_dataset(spark, newest["path"])
 

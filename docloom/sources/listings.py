@@ -10,14 +10,11 @@ VERSION_NAME = r"^checkpoint-tf-(\d+)$"
 
 
 def newest_file(listing: DataFrame, prefix: str = "", extension: str = "") -> DataFrame:
-    """One row ``(path, modified_at)``: the matching file changed last; of equal times
-    the smallest path.  The row is null when nothing matches."""
+    """The matching file changed last, of equal times the smallest path: one row, or none."""
     matching = listing.filter(F.col("name").startswith(prefix) & F.col("name").endswith(extension))
     if "is_dir" in listing.columns:
         matching = matching.filter(~F.col("is_dir"))
-    last = F.max(F.col("modified_at"))
-    newest = matching.groupBy("modified_at").agg(F.min("path").alias("path"))
-    return newest.agg(F.max_by("path", "modified_at").alias("path"), last.alias("modified_at"))
+    return matching.orderBy(F.desc("modified_at"), "path").limit(1).select("path", "modified_at")
 
 
 def version_number(name: Column) -> Column:

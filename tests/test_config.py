@@ -28,7 +28,7 @@ CHILD = "signature: child\r\nprefixes:\r\n  - c\r\nlocalai:\r\n  active: false\r
 
 
 def test_parse(spark):
-    df = spark.createDataFrame([("/r/.gocomments", ROOT), ("/r/x/.gocomments", CHILD), (".gocomments", "")], FILES)
+    df = spark.createDataFrame([("/r/.comments.yaml", ROOT), ("/r/x/.comments.yaml", CHILD), (".comments.yaml", "")], FILES)
     got = {r["dir"]: r for r in config.parse_config(df).collect()}
     root, child, empty = got["/r"], got["/r/x"], got["."]
     assert (root["local"], root["signature"], root["prefixes"], root["update_comments"]) == ("example.com/root", "root team", ["a", "b"], True)
@@ -39,7 +39,7 @@ def test_parse(spark):
 
 def test_nearest_wins_and_siblings_are_apart(spark):
     got = resolve(
-        spark, ["/r", "/r/x", "/r/x/deep/er", "/r/y", "/"], [("/r/.gocomments", ROOT), ("/r/x/.gocomments", CHILD)]
+        spark, ["/r", "/r/x", "/r/x/deep/er", "/r/y", "/"], [("/r/.comments.yaml", ROOT), ("/r/x/.comments.yaml", CHILD)]
     )
     assert got["/r"]["provider"] == got["/r/y"]["provider"] == "localai"
     assert got["/r/x"]["provider"] == got["/r/x/deep/er"]["provider"] == "openai"
@@ -51,7 +51,7 @@ def test_nearest_wins_and_siblings_are_apart(spark):
 
 def test_module_file_bounds_the_walk(spark):
     modules = [("/r/x/go.mod", "// c\nmodule example.com/x\n"), ("/r/go.mod", "module example.com/r // no\n")]
-    got = resolve(spark, ["/r/x/d", "/r/y"], [("/r/.gocomments", ROOT), ("/r/x/.gocomments", "signature: s\n")], modules)
+    got = resolve(spark, ["/r/x/d", "/r/y"], [("/r/.comments.yaml", ROOT), ("/r/x/.comments.yaml", "signature: s\n")], modules)
     assert got["/r/x/d"]["local"] == "example.com/x" and got["/r/x/d"]["signature"] == "s"
     assert got["/r/x/d"]["provider"] == "template" and got["/r/x/d"]["prefixes"] == []
     assert got["/r/y"]["local"] == "example.com/root"
@@ -75,7 +75,7 @@ def test_arguments(spark):
     ],
 )
 def test_providers(spark, text, provider, error):
-    got = resolve(spark, ["d"], [("d/.gocomments", text)])["d"]
+    got = resolve(spark, ["d"], [("d/.comments.yaml", text)])["d"]
     assert (got["provider"], got["config_error"]) == (provider, error)
 
 
@@ -86,7 +86,7 @@ def test_comment_job(spark):
     )
     configs = config.parse_config(
         spark.createDataFrame(
-            [("r/.gocomments", "signature: me\nactive-examples: true\n"), ("r/x/.gocomments", "localai:\n  active: true\n  api_model_version: 4\n")], FILES
+            [("r/.comments.yaml", "signature: me\nactive-examples: true\n"), ("r/x/.comments.yaml", "localai:\n  active: true\n  api_model_version: 4\n")], FILES
         )
     )
     modules = config.module_dirs(spark.createDataFrame([], FILES))

@@ -50,7 +50,7 @@ def test_lexicon_table(spark, monkeypatch, max_bytes):
     df = spark.createDataFrame([(1, text), (2, "the flurb"), (3, "")], "id long, comment string")
     lexicon = spark.createDataFrame([("flurb", "flurbo", "VERB", False), ("the", "the", "DET", True)], "word string, lemma string, pos string, is_stop boolean")
     full = joins.lookup_join
-    monkeypatch.setattr(analysis, "lookup_join", lambda a, b, on, how: full(a, b, on, how, max_bytes=max_bytes))
+    monkeypatch.setattr(analysis, "lookup_join", lambda a, b, on, how: full(a, b, on, how, max_bytes=max_bytes, hot_rows=100))
     got = {r["id"]: r for r in analysis.analyze_with_lexicon(df, lexicon, ["id"]).collect()}
     assert got[1]["n_tokens"] == 404 and got[1]["n_stop"] == 401 and got[1]["n_verbs"] == 2 and got[1]["n_tech"] == 1
     assert got[1]["tokens"][-4:] == ["flurb", "sets", "the", "value"] and got[1]["lemmas"][-4:] == ["flurbo", "set", "the", "value"]

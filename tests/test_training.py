@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import evaluation, features, ordering, recipe
-from docloom.operators.joins import lookup_join
+from docloom.operators.joins import hot_keys, lookup_join
 
 
 @pytest.mark.parametrize("n", [1, 7, 10, 1000, 12_345])
@@ -138,13 +138,33 @@ def test_losses(spark):
 
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join_equals_broadcast_join(spark, how):
-    large = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    """A third of the rows have one key, some have none, some keys are not in the lookup."""
+    key = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, F.col("id") % 50)
+    large = spark.range(5000).select(key.alias("k"), "id")
     lookup = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    small, salted = (lookup_join(large, lookup, ["k"], how, max_bytes=b) for b in (1 << 30, 0))
+    small, salted = (lookup_join(large, lookup, ["k"], how, max_bytes=b, hot_rows=100) for b in (1 << 30, 0))
+    assert [r["k"] for r in hot_keys(large, ["k"], 100).collect()] == [0]
     order = lambda df: sorted(map(tuple, df.select("k", "id", "v").collect()), key=repr)
     assert order(small) == order(salted)
 
 
+def test_hot_and_missing_keys_are_dealt_out(spark):
+    key = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, F.col("id") % 50)
+    large = spark.range(6000).select(key.alias("k"), "id")
+    lookup = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        joined = lookup_join(large, lookup, ["k"], "left", max_bytes=0, hot_rows=100)
+        sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 6000 and max(sizes) < 1500
+
+
 def test_forest(spark, tmp_path):
     df = spark.range(200).select("id", F.array((F.col("id") % 2).cast("float"), F.lit(1.0).cast("float")).alias("e"), (F.col("id") % 2).alias("y"))
     model, predictions = recipe.fit_forest(df, "e", "y", "id", trees=3)
