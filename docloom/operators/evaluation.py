@@ -15,6 +15,8 @@ from docloom.operators.filters import split_blank_inputs
 
 # Fixed value: the version an inference request gets when it names none.
 DEFAULT_VERSION = 9
+# Block width and number of blocks of a running sum.
+MIN_BLOCK, MAX_BLOCKS = 65_536, 100_000
 
 
 def inference_requests(rows: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -103,12 +105,16 @@ def batch_loss(token_losses: Column, labels: Column, batch_size: int) -> Column:
     return F.aggregate(kept, F.lit(0.0), lambda total, x: total + x) / F.lit(float(batch_size))
 
 
-def running_losses(steps: DataFrame, block: int = 65_536) -> DataFrame:
+def running_losses(steps: DataFrame, block: int | None = None) -> DataFrame:
     """Adds ``running_loss``, the mean loss of an epoch and phase up to each step.
 
     Steps are cut into blocks; the sums of earlier blocks (one row per block) are added
-    to the running sum within a block, so a task never holds a whole epoch.
+    to the running sum within a block, so a task never holds a whole epoch.  The width
+    of a block follows the range of the steps, which also bounds the number of blocks.
     """
+    if block is None:
+        low, high = steps.agg(F.min("step"), F.max("step")).first()
+        block = max(MIN_BLOCK, ((high or 0) - (low or 0)) // MAX_BLOCKS + 1)
     blocked = steps.withColumn("_block", F.floor(F.col("step") / block))
     key = ["epoch", "phase"]
     earlier = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

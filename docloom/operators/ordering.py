@@ -27,7 +27,7 @@ def _literal(key: Row, order_by: Sequence[str]) -> Column:
 def key_at(df: DataFrame, order_by: Sequence[str], position: int) -> Row | None:
     """The order key of the row at a 0-based position, None past the end.
 
-    ``order_by`` identifies a row.  Only key columns are read.  Each round range-
+    ``order_by`` identifies a row and has no nulls.  Only key columns are read.  Each round range-
     partitions the keys and fetches one (count, first key) per partition, then goes on
     inside the partition that holds the position, so the driver sees a bounded summary
     and a round divides the candidates by the number of partitions.
@@ -153,11 +153,20 @@ def pick_one(df: DataFrame, row_id: str, seed: int) -> DataFrame:
 def row_window(df: DataFrame, order_by: Sequence[str], start: int = 0, length: int = 50) -> DataFrame:
     """Rows whose 1-based number is in ``[start, start + length]``, numbered in ``row_no``.
 
-    Only the first ``start + length`` rows are numbered: a top-k, not a global sort.
+    A top-k of the window's rows, not a global sort; the rows before a far start are
+    skipped by the key found there.
     """
-    head = df.orderBy(*order_by).limit(start + length)
-    numbered = head.withColumn("row_no", F.row_number().over(Window.orderBy(*order_by)))
-    return numbered.filter(F.col("row_no").between(start, start + length))
+    skipped = max(start - 1, 0)
+    if skipped > SMALL_RANGE:
+        first = key_at(df, order_by, skipped)
+        if first is None:
+            return df.limit(0).withColumn("row_no", F.lit(0))
+        df = df.filter(_tuple(order_by) >= _literal(first, order_by))
+    else:
+        length, skipped = start + length - (1 if start else 0), 0
+    head = df.orderBy(*order_by).limit(length + (1 if start else 0))
+    numbered = head.withColumn("row_no", F.row_number().over(Window.orderBy(*order_by)) + skipped)
+    return numbered.filter(F.col("row_no") >= start)
 
 
 def random_split(df: DataFrame, row_id: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:

@@ -98,10 +98,46 @@ def unified_diffs(files: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "path string, diff string")
 
 
+def _inserted(before: list[str], after: list[str]) -> list[tuple[str, int, int, int, int]]:
+    """Edit steps for texts that only gained lines, in linear time; [] when lines went."""
+    steps, i, j = [], 0, 0
+    while j < len(after):
+        start_i, start_j = i, j
+        if i < len(before) and before[i] == after[j]:
+            while i < len(before) and j < len(after) and before[i] == after[j]:
+                i, j = i + 1, j + 1
+            steps.append(("equal", start_i, i, start_j, j))
+        else:
+            while j < len(after) and (i == len(before) or before[i] != after[j]):
+                j += 1
+            steps.append(("insert", i, i, start_j, j))
+    return steps if i == len(before) else []
+
+
 def _diff(path: str, before: str, after: str) -> str:
-    out = [f"diff -u {path}.orig {path}\n"]
-    for line in difflib.unified_diff(
-        before.splitlines(keepends=True), after.splitlines(keepends=True), f"{path}.orig", path
-    ):
-        out.append(line if line.endswith("\n") else f"{line}\n\\ No newline at end of file\n")
+    old, new = before.splitlines(keepends=True), after.splitlines(keepends=True)
+    matcher = difflib.SequenceMatcher(None, old, new) if not (steps := _inserted(old, new)) else _Known(steps)
+    out = [f"diff -u {path}.orig {path}\n--- {path}.orig\n+++ {path}\n"]
+    for hunk in matcher.get_grouped_opcodes(3):
+        out.append(f"@@ -{_span(hunk[0][1], hunk[-1][2])} +{_span(hunk[0][3], hunk[-1][4])} @@\n")
+        for tag, i1, i2, j1, j2 in hunk:
+            gone = [(" " if tag == "equal" else "-") + line for line in old[i1:i2]]
+            come = [] if tag == "equal" else ["+" + line for line in new[j1:j2]]
+            for line in gone + come:
+                out.append(line if line.endswith("\n") else f"{line}\n\\ No newline at end of file\n")
     return "".join(out)
+
+
+def _span(start: int, stop: int) -> str:
+    size = stop - start
+    if size == 1:
+        return str(start + 1)
+    return f"{start + 1 if size else start},{size}"
+
+
+class _Known(difflib.SequenceMatcher):
+    """A matcher whose edit steps are already known."""
+
+    def __init__(self, steps: list[tuple[str, int, int, int, int]]):
+        super().__init__()
+        self.opcodes = steps

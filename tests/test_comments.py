@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import subprocess
+import difflib
 
 from pyspark.sql import functions as F
 
@@ -115,15 +115,31 @@ def test_diff_can_be_applied(go, tmp_path):
     assert sorted(diffs) == ["f0.go", "f1.go"] == sorted(r["path"] for r in rewrite.changed_paths(done).collect())
     for row in done.filter("path <> 'f2.go'").collect():
         diff = diffs[row["path"]]
+        plain = difflib.unified_diff(
+            row["content"].splitlines(keepends=True), row["new_content"].splitlines(keepends=True),
+            f"{row['path']}.orig", row["path"],
+        )
+        if row["content"].endswith("\n"):
+            assert diff.split("\n", 1)[1] == "".join(plain)
         assert diff.startswith(f"diff -u {row['path']}.orig {row['path']}\n--- {row['path']}.orig\n+++ {row['path']}\n@@ ")
-        kept = [line[1:] for line in diff.splitlines()[3:] if line[0] in " -"]
-        made = [line[1:] for line in diff.splitlines()[3:] if line[0] in " +"]
+        body = diff.splitlines()[3:]
+        kept = [line[1:] for line in body if line[0] in " -"]
+        made = [line[1:] for line in body if line[0] in " +"]
         assert set(kept) <= set(row["content"].splitlines())
         assert set(made) <= set(row["new_content"].splitlines())
         added = len(row["new_content"].splitlines()) - len(row["content"].splitlines())
         assert len(made) - len(kept) == added
 
 
+def test_diff_of_a_long_file_is_linear():
+    old = "".join(f"line {i % 3}\n" for i in range(200_000))
+    new = old.replace("line 2\n", "line 2\nline new\n", 1) + "end\n"
+    lines = rewrite._diff("p", old, new).splitlines()
+    assert [x for x in lines[3:] if x[0] == "+"] == ["+line new", "+end"]
+    changed = rewrite._diff("p", "a\nb\nc", "a\nx\nc\n")
+    assert changed.splitlines()[3:] == ["@@ -1,3 +1,3 @@", " a", "-b", "-c", "\\ No newline at end of file", "+x", "+c"]
+
+
 def test_generator_files(spark):
     paths = ["a.go", "a_test.go", "a_example.go", ".a.go", "vendor/a.go", "x/vendor/y/a.go", "vendored/a.go", "a.txt"]
     df = spark.createDataFrame([(p,) for p in paths], "path string")

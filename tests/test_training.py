@@ -66,6 +66,16 @@ def test_plan(spark):
     assert row["total_steps"] == 520 and row["warmup_steps"] == 104
 
 
+def test_row_window(spark, monkeypatch):
+    df = spark.range(3000).withColumn("k", F.lit(5000) - F.col("id"))
+    for limit in (10, 100_000):
+        monkeypatch.setattr(ordering, "SMALL_RANGE", limit)
+        for start in (0, 1, 5, 500, 2990, 4000):
+            got = [(r["row_no"], r["k"]) for r in ordering.row_window(df, ["k"], start, 50).orderBy("row_no").collect()]
+            low = max(start, 1)
+            assert got == [(n, 2000 + n) for n in range(low, min(start + 50, 3000) + 1)]
+
+
 def test_random_split_is_exact(spark):
     got = ordering.split_counts(ordering.random_split(spark.range(101), "id"))
     assert dict(map(tuple, got.collect())) == {"train": 80, "validation": 21}
