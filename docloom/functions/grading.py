@@ -186,14 +186,48 @@ def analysis(items: str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
     )
 
 
-def counts(items: str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    def count(test: str) -> str:
-        return f"size(filter({items}, x -> {test}))"
+# Bits of a word's role.
+IS_VERB, IS_STOP, IS_TECH = 1, 2, 4
+
+
+def role_rule(word: str, lexicon: Lexicon = DEFAULT_LEXICON) -> str:
+    """Role bits of a lower-cased word: what the tag and lemma rules say about it, without
+    building either.  The roles of listed words are known beforehand."""
+    stop, closed = set(lexicon.stop_words), set(lexicon.stop_words)
+    listed = {*lexicon.verbs, *lexicon.lemmas, *stop}
+    by_role: dict[int, list[str]] = {}
+    for entry in sorted(listed):
+        base = entry if entry in lexicon.verbs else lexicon.lemmas.get(entry, entry)
+        role = IS_STOP * (entry in stop) + IS_VERB * (entry not in closed) + IS_TECH * (base in lexicon.tech_terms)
+        by_role.setdefault(role, []).append(entry)
+    known = " ".join(f"WHEN {_one_of(word, entries)} THEN {role}" for role, entries in by_role.items())
+    other_terms = sorted(set(lexicon.tech_terms) - listed)
+    suffixed = (
+        f"element_at(transform(array({lemma_rule(word, lexicon)}), base -> "
+        f"IF(endswith({word}, 'ing') AND length({word}) > 5 OR endswith({word}, 'ed') AND length({word}) > 4 "
+        f"OR {_one_of('base', lexicon.verbs)}, {IS_VERB}, 0) + IF({_one_of('base', lexicon.tech_terms)}, {IS_TECH}, 0)), 1)"
+    )
+    return (
+        f"CASE {known} WHEN right({word}, 1) NOT IN ('s', 'g', 'd') THEN IF({_one_of(word, other_terms)}, {IS_TECH}, 0) "
+        f"ELSE {suffixed} END"
+    )
+
+
+def roles(comment: str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+    """``array<int>``: role bits of every token of the named comment column."""
+    lowered = f"transform(regexp_extract_all({comment}, {_text(TOKEN)}, 0), t -> lower(t))"
+    return F.expr(f"transform({lowered}, w -> {role_rule('w', lexicon)})")
+
+
+def counts(role_array: str) -> Column:
+    """Counts of the named ``roles`` column."""
+
+    def count(bit: int) -> str:
+        return f"size(filter({role_array}, r -> r & {bit} > 0))"
 
     return F.expr(
-        f"struct(size({items}) AS n_tokens, {count(_text('VERB') + ' = x.pos')} AS n_verbs, "
-        f"{count(_one_of('x.word', lexicon.stop_words))} AS n_stop, "
-        f"{count(_one_of('x.lemma', lexicon.tech_terms))} AS n_tech)"
+        f"struct(size({role_array}) AS n_tokens, {count(IS_VERB)} AS n_verbs, "
+        f"{count(IS_STOP)} AS n_stop, {count(IS_TECH)} AS n_tech)"
     )
 
 

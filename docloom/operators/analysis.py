@@ -12,17 +12,22 @@ from docloom.operators.joins import lookup_join
 
 
 def graded(df: DataFrame, comment: str = "comment", lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
-    """Adds ``counts``, ``grade`` and ``comment_analysis``; narrow, row by row."""
-    tagged = with_once(df, "_items", grading.tagged(comment, lexicon))
-    counted = with_once(tagged, "counts", grading.counts("_items", lexicon))
+    """Adds ``counts`` and ``grade``; narrow, row by row."""
+    counted = with_once(
+        with_once(df, "_roles", grading.roles(comment, lexicon)), "counts", grading.counts("_roles")
+    )
     c = F.col("counts")
     return counted.select(
-        *df.columns, "counts",
-        grading.grade(c["n_tokens"], c["n_verbs"], c["n_stop"], c["n_tech"]).alias("grade"),
-        grading.analysis("_items", lexicon).alias("comment_analysis"),
+        *df.columns, "counts", grading.grade(c["n_tokens"], c["n_verbs"], c["n_stop"], c["n_tech"]).alias("grade")
     )
 
 
+def analyzed(df: DataFrame, comment: str = "comment", lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+    """Adds ``comment_analysis``.  Grading needs far less work, so filter by grade first."""
+    tagged = with_once(df, "_items", grading.tagged(comment, lexicon))
+    return tagged.withColumn("comment_analysis", grading.analysis("_items", lexicon)).drop("_items")
+
+
 def good_only(graded_rows: DataFrame) -> DataFrame:
     return graded_rows.filter(F.col("grade") == "good")
 

@@ -38,6 +38,12 @@ def encoder_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def first_tokens(text: Column, count: int) -> Column:
+    """The first ``count`` tokens, without cutting up the rest of a long text."""
+    head = F.regexp_extract(text, rf"\A(?:[^\S\n]*+(?:{TOKEN})){{0,{count}}}+", 0)
+    return encoder_tokens(head)
+
+
 def build_vocabulary(texts: DataFrame, columns: list[str], size: int = VOCABULARY_SIZE) -> DataFrame:
     """``(token, token_id, n)`` of the most frequent tokens, ties by token.
 
@@ -79,9 +85,8 @@ def encode(
     """
 
     def side(name: str, column: str, length: int) -> Column:
-        cut = F.slice(encoder_tokens(F.col(column)), 1, length - 2)
         return F.transform(
-            cut, lambda t, i: F.struct(F.lit(name).alias("side"), i.alias("at"), t.alias("token"))
+            first_tokens(F.col(column), length - 2), lambda t, i: F.struct(F.lit(name).alias("side"), i.alias("at"), t.alias("token"))
         )
 
     both = F.concat(side("input", input_column, max_input), side("target", target_column, max_target))

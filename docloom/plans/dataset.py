@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import file_stem
-from docloom.operators.analysis import good_only, graded
+from docloom.operators.analysis import analyzed, good_only, graded
 from docloom.operators.extract import function_pairs
 from docloom.operators.filters import corpus_files
 
@@ -20,5 +20,5 @@ def graded_pairs(files: DataFrame) -> DataFrame:
 
 
 def dataset(files: DataFrame) -> DataFrame:
-    """Only the rows graded 'good'."""
-    return good_only(graded_pairs(files))
+    """The rows graded 'good', with their analysis."""
+    return analyzed(good_only(graded_pairs(files)))

@@ -327,7 +327,7 @@ def graded_good(spark, sf):
 
 @query
 def comment_analysis(spark, sf):
-    a = analysis.graded(_documents(spark, sf))
+    a = analysis.analyzed(_documents(spark, sf))
     entities = F.transform("comment_analysis.entities", lambda e: F.concat_ws("/", e["text"], e["label"]))
     return a.select(
         "doc_id", joined("comment_analysis.tokens"), joined("comment_analysis.lemmas"),
@@ -454,7 +454,7 @@ def _pairs(spark, sf) -> DataFrame:
 
 @query
 def model_inputs(spark, sf):
-    return features.with_model_text(analysis.graded(_pairs(spark, sf))).select("doc_id", "input", "target")
+    return features.with_model_text(analysis.analyzed(_pairs(spark, sf))).select("doc_id", "input", "target")
 
 
 def _texts(spark, sf) -> DataFrame:

@@ -30,7 +30,7 @@ def test_grades(spark):
 
 def test_tags(spark):
     df = spark.createDataFrame([("It's stored in 3 maps,\n\nquickly running on Monday. Tries boxes buses été",)], "comment string")
-    a = analysis.graded(df).first()["comment_analysis"]
+    a = analysis.analyzed(df).first()["comment_analysis"]
     got = list(zip(a["tokens"], a["lemmas"], a["pos_tags"], strict=True))
     assert got == [
         ("It", "it", "PRON"), ("'", "'", "PUNCT"), ("s", "s", "NOUN"), ("stored", "store", "VERB"), ("in", "in", "ADP"),
@@ -64,6 +64,26 @@ def test_custom_word_lists(spark):
     assert row["grade"] == "good" and row["counts"]["n_verbs"] == 1
 
 
+def test_roles_agree_with_tags(spark):
+    """The short way to the counts gives what the tags and lemmas say."""
+    words = sorted({*grading.VERBS, *grading.IRREGULAR_LEMMAS, *grading.DEFAULT_LEXICON.stop_words})
+    forms = [w + end for w in words for end in ("", "s", "es", "ed", "ing", w[-1] + "ing", "ly")]
+    forms += ["3rd", "_ed", "été", "Ring", "sing", "bed", "gas", "bus", "yes", "sss", "x", "٣", "İs", "5s", "widget", "widgets"]
+    custom = grading.Lexicon(verbs=("zap", "do"), lemmas={"zapt": "zap", "did": "do"}, closed={"AUX": ["do", "did"]}, tech_terms=("widget", "zap"))
+    df = spark.createDataFrame([(w,) for w in forms], "comment string")
+    for lexicon in (grading.DEFAULT_LEXICON, custom):
+        rows = df.select(
+            "comment", grading.tagged("comment", lexicon).alias("items"), grading.roles("comment", lexicon).alias("roles")
+        ).collect()
+        for row in rows:
+            want = [
+                (item["pos"] == "VERB") * grading.IS_VERB + (item["word"] in lexicon.stop_words) * grading.IS_STOP
+                + (item["lemma"] in lexicon.tech_terms) * grading.IS_TECH
+                for item in row["items"]
+            ]
+            assert row["roles"] == want, row["comment"]
+
+
 def test_dataset_job_and_layout(spark, go, tmp_path):
     text = "package p\n\n// Load parses the raw data.\nfunc Load() {\n}\n\n// Bad.\nfunc Bad() {\n}\n"
     rows = dataset.dataset(go(text))

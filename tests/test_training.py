@@ -99,6 +99,16 @@ def test_encoding(spark):
     assert [r["token"] for r in cut.collect()] == ["x"]
 
 
+def test_first_tokens_are_the_first_of_all_tokens(spark):
+    texts = ["", " ", "\n", "a", "  a\n\n b ,c", "é_1 x\t\x0b.\r\n\n..y", "x " * 500, "\n \n \n a", "a\u00a0b \u2003c 😀d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 2, 3, 5, 126):
+        rows = df.select(
+            features.first_tokens(F.col("t"), n).alias("head"), F.slice(features.encoder_tokens(F.col("t")), 1, n).alias("cut")
+        ).collect()
+        assert all(r["head"] == r["cut"] for r in rows)
+
+
 def test_encoding_shuffles_once(spark):
     """After the placement by id nothing is exchanged again but the broadcast."""
     texts = spark.range(100).select("id", F.lit("a b").alias("input"), F.lit("c").alias("target"))
