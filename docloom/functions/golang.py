@@ -99,7 +99,6 @@ def code_only(content: Column) -> Column:
 def parses(content: Column) -> Column:
     """Whether a file looks like Go: a package clause and balanced brackets."""
 
-
     def test(code: Column) -> Column:
         balanced = code.rlike(rf"(?md)^package[ \t]+{IDENT}[ \t;]*$")
         for opening, closing in ("()", "[]", "{}"):

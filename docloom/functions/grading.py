@@ -38,7 +38,9 @@ CLOSED_CLASSES = {
     "ADP": "of in on at by for with from into over under between through about after before as against via".split(),
     "CCONJ": "and or but nor".split(),
     "SCONJ": "if because while when whether although since unless until".split(),
-    "AUX": "is are was were be been being am has have had do does did can could will would shall should may might must".split(),
+    "AUX": (
+        "is are was were be been being am has have had do does did can could will would shall should may might must"
+    ).split(),
     "PART": "to not".split(),
     "ADV": "then there here now very also only just too so again once how where why".split(),
 }

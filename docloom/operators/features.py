@@ -105,7 +105,9 @@ def encode(
             F.transform(F.filter("items", lambda x: x["side"] == name), lambda x: x["token_id"]), length
         )
 
-    encoded = whole.select(row_id, ids("input", max_input).alias("input_ids"), ids("target", max_target).alias("target_ids"))
+    encoded = whole.select(
+        row_id, ids("input", max_input).alias("input_ids"), ids("target", max_target).alias("target_ids")
+    )
     return encoded.select(
         row_id, "input_ids",
         F.transform("input_ids", lambda x: F.when(x == PAD_ID, 0).otherwise(1)).alias("attention_mask"),

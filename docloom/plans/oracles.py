@@ -510,6 +510,12 @@ predicted AS (
     array_to_string(list_filter(regexp_extract_all(text, '\\S+'), lambda w, i: i % (version + 1) <> 0), ' ') AS predicted
   FROM conversations, versions)"""
 ORACLES["eval_matrix"] = f"WITH {PREDICTED} SELECT conv_id, turn, version, predicted FROM predicted"
+ORACLES["model_replies"] = f"""
+WITH {PREDICTED}
+SELECT conv_id, turn, version,
+  CASE WHEN version = 2 AND length(comment) % 3 = 0 THEN NULL ELSE version || ': ' || length(comment) || ' characters' END AS predicted,
+  CASE WHEN version = 2 AND length(comment) % 3 = 0 THEN 'no answer' END AS error
+FROM predicted"""
 ORACLES["version_scores"] = f"""
 WITH {PREDICTED},
 sets AS (SELECT version, predicted = comment AS exact, list_distinct(regexp_extract_all(lower(predicted), '\\S+')) AS a,

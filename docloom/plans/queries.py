@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions import golang, grading, naming, prompts, templates, text
+from docloom.functions import grading, naming, prompts, templates, text
 from docloom.operators import (
     analysis,
     config,
@@ -459,7 +459,8 @@ def model_inputs(spark, sf):
 
 def _texts(spark, sf) -> DataFrame:
     rows = _pairs(spark, sf)
-    return rows.select("doc_id", features.model_input(F.col("file_name"), F.col("name")).alias("input"), F.col("comment").alias("target"))
+    model_input = features.model_input(F.col("file_name"), F.col("name"))
+    return rows.select("doc_id", model_input.alias("input"), F.col("comment").alias("target"))
 
 
 VOCABULARY_SIZE = 1000
@@ -500,7 +501,9 @@ def _versions(spark, sf) -> int:
 
 
 def _eval_rows(spark, sf) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("name"), F.col("text").alias("comment"))
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.col("role").alias("name"), F.col("text").alias("comment")
+    )
 
 
 def _first_words(spark, sf) -> DataFrame:
@@ -522,6 +525,25 @@ def eval_matrix(spark, sf):
     )
 
 
+def _length_model() -> Callable[[str, int], str]:
+    """A stand-in for a loaded model: tells the length of its input, fails on some."""
+
+    def reply(value: str, version: int) -> str:
+        if version == 2 and len(value) % 3 == 0:
+            raise RuntimeError("no answer")
+        return f"{version}: {len(value)} characters"
+
+    return reply
+
+
+@query
+def model_replies(spark, sf):
+    """The evaluation matrix through a Python model, in batches; failures stay in their rows."""
+    rows = evaluation.with_versions(_eval_rows(spark, sf), _versions(spark, sf))
+    replies = evaluation.predict_in_batches(rows, _length_model, text="comment")
+    return replies.select("conv_id", "turn", F.col("version").cast("bigint").alias("version"), "predicted", "error")
+
+
 @query
 def version_scores(spark, sf):
     scores = evaluation.version_scores(_first_words(spark, sf))
