@@ -84,29 +84,28 @@ def encode(
     putting a row together again needs no second shuffle.
     """
 
-    def side(name: str, column: str, length: int) -> Column:
+    def side(column: str, length: int, start: int) -> Column:
         return F.transform(
-            first_tokens(F.col(column), length - 2), lambda t, i: F.struct(F.lit(name).alias("side"), i.alias("at"), t.alias("token"))
+            first_tokens(F.col(column), length - 2), lambda t, i: F.struct((i + start).alias("at"), t.alias("token"))
         )
 
-    both = F.concat(side("input", input_column, max_input), side("target", target_column, max_target))
+    # Places below max_input are the input's, the others the target's.
+    both = F.concat(side(input_column, max_input, 0), side(target_column, max_target, max_input))
     placed = rows.select(row_id, both.alias("parts")).repartition(row_id)
-    pieces = placed.select(row_id, F.explode_outer("parts").alias("part")).select(
-        row_id, "part.side", "part.at", "part.token"
-    )
+    pieces = placed.select(row_id, F.explode_outer("parts").alias("part")).select(row_id, "part.at", "part.token")
     found = lookup_join(pieces, vocabulary.select("token", "token_id"), ["token"], "left")
-    item = F.struct("side", "at", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("token_id"))
+    item = F.struct("at", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("token_id"))
     whole = found.groupBy(row_id).agg(
-        F.array_sort(F.collect_list(F.when(F.col("side").isNotNull(), item))).alias("items")
+        F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), item))).alias("items")
     )
 
-    def ids(name: str, length: int) -> Column:
-        return _padded(
-            F.transform(F.filter("items", lambda x: x["side"] == name), lambda x: x["token_id"]), length
-        )
+    def ids(of_side, length: int) -> Column:
+        return _padded(F.transform(F.filter("items", of_side), lambda x: x["token_id"]), length)
 
     encoded = whole.select(
-        row_id, ids("input", max_input).alias("input_ids"), ids("target", max_target).alias("target_ids")
+        row_id,
+        ids(lambda x: x["at"] < max_input, max_input).alias("input_ids"),
+        ids(lambda x: x["at"] >= max_input, max_target).alias("target_ids"),
     )
     return encoded.select(
         row_id, "input_ids",

@@ -41,12 +41,13 @@ def lookup_join(
     The lookup's size is measured; up to ``max_bytes`` it is broadcast.  Beyond that both
     sides are shuffled.  Rows of a hot key are dealt over ``SALTS`` tasks, and only the
     lookup rows of hot keys are copied to meet them; rows without a key, which match
-    nothing, are dealt out as well.
+    nothing, are dealt out as well.  The dealing is a hash of the row, so that a task run
+    again deals alike: ``large`` needs a column that tells the rows of a key apart.
     """
     if measured_bytes(lookup) <= max_bytes:
         return large.join(F.broadcast(lookup), on, how)
     hot = F.broadcast(hot_keys(large, on, hot_rows))
-    columns = [*on, *[c for c in large.columns if c not in on]]
+    columns = [name for name, kind in large.dtypes if "map<" not in kind]
     no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     salt = F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
     spread = large.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot") | no_key, salt).otherwise(0))

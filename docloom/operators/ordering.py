@@ -20,8 +20,8 @@ def _tuple(order_by: Sequence[str]) -> Column:
     return F.struct(*order_by)
 
 
-def _literal(key: Row, order_by: Sequence[str]) -> Column:
-    return F.struct(*[F.lit(key[c]).alias(c) for c in order_by])
+def _literal(key: Row, df: DataFrame, order_by: Sequence[str]) -> Column:
+    return F.struct(*[F.lit(key[c]).cast(df.schema[c].dataType).alias(c) for c in order_by])
 
 
 def key_at(df: DataFrame, order_by: Sequence[str], position: int) -> Row | None:
@@ -49,10 +49,10 @@ def key_at(df: DataFrame, order_by: Sequence[str], position: int) -> Row | None:
         else:
             return None
         low = part["first"]
-        keys = keys.filter((F.col(order_by[0]) >= F.lit(low[0])) & (_tuple(order_by) >= _literal(low, order_by)))
+        keys = keys.filter((F.col(order_by[0]) >= F.lit(low[0])) & (_tuple(order_by) >= _literal(low, df, order_by)))
         if i + 1 < len(summary):
             high = summary[i + 1]["first"]
-            keys = keys.filter((F.col(order_by[0]) <= F.lit(high[0])) & (_tuple(order_by) < _literal(high, order_by)))
+            keys = keys.filter((F.col(order_by[0]) <= F.lit(high[0])) & (_tuple(order_by) < _literal(high, df, order_by)))
         if part["n"] <= SMALL_RANGE:
             return keys.orderBy(*order_by).offset(position).limit(1).first()
         if len(summary) == 1 and partitions > 1:
@@ -71,7 +71,7 @@ def positional_split(
     cut = key_at(df, order_by, total - math.ceil(test_share * total))
     if cut is None:
         return df.withColumn(column, F.lit("train"))
-    late = _tuple(order_by) >= _literal(cut, order_by)
+    late = _tuple(order_by) >= _literal(cut, df, order_by)
     return df.withColumn(column, F.when(late, F.lit("validation")).otherwise(F.lit("train")))
 
 
@@ -161,7 +161,7 @@ def row_window(df: DataFrame, order_by: Sequence[str], start: int = 0, length: i
         first = key_at(df, order_by, skipped)
         if first is None:
             return df.limit(0).withColumn("row_no", F.lit(0))
-        df = df.filter(_tuple(order_by) >= _literal(first, order_by))
+        df = df.filter(_tuple(order_by) >= _literal(first, df, order_by))
     else:
         length, skipped = start + length - (1 if start else 0), 0
     head = df.orderBy(*order_by).limit(length + (1 if start else 0))
