@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.store import new_folder
+from docloom.llm.decontaminate import find_contamination
+from docloom.llm.parity_join import similar_sets
+from docloom.llm.secrets import SINGLE, find_secrets
+from docloom.llm.store import new_folder, stored
 from docloom.llm.token_counts import token_counts
+from docloom.llm.web_records import read_pages, resolve_revisits, write_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +33,73 @@ TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
 
 
+@query
+def op2_decontamination(spark, sf):
+    found = find_contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def _sql_words(column: str) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"regexp_extract_all(translate(COALESCE({column}, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+ORACLES["op2_decontamination"] = f"""
+WITH i AS (SELECT item_id, {_sql_words("text")} AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS phrase
+      FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_sql_words("text")} AS w FROM documents),
+s AS (SELECT DISTINCT n FROM p),
+o AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS phrase
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, s WHERE len(w) >= n)),
+m AS (SELECT doc_id, item_id, n, k FROM o JOIN p USING (n, phrase)),
+h AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS word FROM m) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM m) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n_hit, 0)::BIGINT AS n_hit, COALESCE(n_items, 0)::BIGINT AS n_items,
+       sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query
+def op4_parity_join(spark, sf):
+    return similar_sets(read(spark, sf, "documents"))
+
+
+@query
+def op6_warc(spark, sf):
+    """Pages to archives and back; a record that did not come back whole stops the job."""
+    folder = new_folder(spark, "archives")
+    write_pages(read(spark, sf, "pages"), folder)
+    records = stored(read_pages(spark, folder).drop("payload"), "records")
+    resolved = resolve_revisits(records)
+    whole = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("page_id"))
+    return resolved.select(
+        whole.cast("long").alias("page_id"),
+        F.col("n_bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        F.col("refers_to_page").cast("long").alias("refers_to"),
+    )
+
+
+ORACLES["op6_warc"] = """
+WITH p AS (SELECT page_id, COALESCE(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest FROM p),
+r AS (SELECT payload_digest, max(page_id) AS origin FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN d.payload_bytes >= 1000 AND d.page_id <> r.origin THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN d.payload_bytes >= 1000 AND d.page_id <> r.origin THEN r.origin END AS refers_to
+FROM d LEFT JOIN r USING (payload_digest)
+"""
+
+
 @query
 def op7_token_counts(spark, sf):
     """Counts through a cache that starts empty."""
@@ -37,3 +108,19 @@ def op7_token_counts(spark, sf):
     folder = new_folder(spark, "token-cache")
     counted = token_counts(read(spark, sf, "documents"), folder, public_tokenizers.path(TOKENIZER))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def _span_list(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["end"])), ",")
+
+
+@query
+def op8_secret_scans(spark, sf):
+    found = find_secrets(read(spark, sf, "documents"))
+    kinds = [kind for kind, *_ in SINGLE]
+
+    def of(*wanted: str):
+        return F.filter("spans", lambda s: s["kind"].isin(*wanted))
+
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in kinds]
+    return found.select("doc_id", *counts, F.sha2(_span_list(of(*kinds)), 256).alias("base_sha256"), _span_list(F.col("spans")).alias("spans"))

@@ -73,8 +73,9 @@ class Words:
 
 
 def split_words(column: pa.Array, inside: np.ndarray) -> Words:
-    """Maximal runs of bytes of the class ``inside``, with A-Z in lower case."""
+    """Maximal runs of bytes of the class ``inside``, after A-Z became lower case."""
     data, offsets = string_bytes(column)
+    data = LOWER[data]
     mask = inside[data]
     before = np.zeros(len(mask), bool)
     before[1:] = mask[:-1]
@@ -86,7 +87,7 @@ def split_words(column: pa.Array, inside: np.ndarray) -> Words:
     after[ends[ends > 0] - 1] = False
     start = np.flatnonzero(mask & ~before)
     end = np.flatnonzero(mask & ~after) + 1
-    return Words(LOWER[data], start, end, np.searchsorted(start, offsets))
+    return Words(data, start, end, np.searchsorted(start, offsets))
 
 
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
