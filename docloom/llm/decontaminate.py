@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.llm.fm_index import FMIndex
 from docloom.llm.words import LETTER_DIGIT, Words, mixed, range_hashes, slices, split_words, string_bytes
@@ -128,7 +129,11 @@ def find_phrases(words: Words, phrases: Phrases) -> tuple[np.ndarray, list[set[s
 
 
 RANGES = "array<struct<begin: int, end: int>>"
-FOUND = f"n_words long, n_hit long, items array<string>, words {RANGES}, spans {RANGES}"
+_RANGES_TYPE = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+FOUND = [
+    T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("words", _RANGES_TYPE), T.StructField("spans", _RANGES_TYPE),
+]
 _RANGE = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
 
@@ -193,7 +198,7 @@ def _pass(frame: DataFrame, phrases: Phrases, texts: str) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc", "text", "n_words", "n_hit", "items", "words", "spans"])
 
-    return frame.mapInArrow(scan, f"doc {frame.schema['doc'].dataType.simpleString()}, text string, {FOUND}")
+    return frame.mapInArrow(scan, T.StructType([frame.schema["doc"], frame.schema["text"], *FOUND]))
 
 
 def phrase_blocks(items: DataFrame, text: str, item_id: str, window: int, block_words: int) -> Iterator[Phrases]:
@@ -210,7 +215,7 @@ def phrase_blocks(items: DataFrame, text: str, item_id: str, window: int, block_
 
 
 def _search(docs: DataFrame, keep: list[str], items: DataFrame, text: str, item_text: str, item_id: str, window: int, block_words: int, texts: str) -> DataFrame:
-    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(text).alias("text"))
+    found = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(text).alias("text"))
     found = found.select("*", F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(RANGES).alias("words"))
     blocks = phrase_blocks(items, item_text, item_id, window, block_words)
     phrases = next(blocks, phrases_of([], window))
@@ -239,7 +244,7 @@ def find_contamination(
     gives no rows, one of items no hits.
     """
     found = _search(docs, [id_column], items, text, item_text, item_id, window, block_words, "empty")
-    return found.select("doc.*", "n_words", "n_hit", "items", "words", "spans")
+    return found.select(F.col(f"doc.`{id_column}`").alias(id_column), "n_words", "n_hit", "items", "words", "spans")
 
 
 def remove_contamination(

@@ -138,11 +138,12 @@ def _keys(shingle: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndar
             value = np.bitwise_xor.reduceat(bit, begin)
             place = np.uint64(group << 32) + block[begin]
             set_ = value != 0
+            owner, used = row[begin][set_], block[begin][set_].astype(np.int64)
             keys.append(mixed(value[set_] + mixed(place[set_])))
-            rows.append(row[begin][set_])
-            zeros = n - np.bincount(rows[-1], minlength=len(size))[which]
+            rows.append(owner)
+            zeros = n - np.bincount(owner, minlength=len(size))[which]
             for r in which[zeros > spare].tolist():
-                absent = np.setdiff1d(np.arange(n), block[begin][set_][rows[-1] == r].astype(np.int64))
+                absent = np.setdiff1d(np.arange(n), used[owner == r])
                 keys.append(mixed(np.uint64(1) + mixed(np.uint64(group << 32) + absent.astype(np.uint64))))
                 rows.append(np.full(len(absent), r))
     if not keys:

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.decontaminate import find_contamination
+from docloom.llm.language_id import held_out, predict_language, train
+from docloom.llm.line_dedup import drop_repeated_lines
+from docloom.llm.mixing import mix_sources
 from docloom.llm.parity_join import similar_sets
 from docloom.llm.secrets import SINGLE, find_secrets
 from docloom.llm.store import new_folder, stored
@@ -67,6 +70,13 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+@query
+def op3_language_id(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang", held_out("doc_id").alias("held_out"))
+    trees = train(docs.filter(~F.col("held_out")))
+    return predict_language(docs.select("doc_id", "held_out", "text"), trees, with_text=False)
+
+
 @query
 def op4_parity_join(spark, sf):
     return similar_sets(read(spark, sf, "documents"))
@@ -124,3 +134,18 @@ def op8_secret_scans(spark, sf):
 
     counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in kinds]
     return found.select("doc_id", *counts, F.sha2(_span_list(of(*kinds)), 256).alias("base_sha256"), _span_list(F.col("spans")).alias("spans"))
+
+
+#: Every source is repeated twice at most, in a mix as large as the corpus.
+REPETITIONS = 2.0
+
+
+@query
+def op9_mixing(spark, sf):
+    return mix_sources(read(spark, sf, "documents"), repetitions=REPETITIONS)
+
+
+@query
+def op10_line_dedup(spark, sf):
+    kept = drop_repeated_lines(read(spark, sf, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
