@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
@@ -24,6 +24,8 @@ WIDTH = 4
 LEAST, PART = 85, 100
 #: Bits of a block: a handful of shingles in it make a key that few other sets have.
 BLOCK_BITS = 256
+#: Sets of a bucket whose pairs are listed, and sets of one side of a cell beyond that.
+FEW, CELL = 32, 1000
 #: Bits of the bitmap that tells which sets a second reading needs: 8 MB, whatever the data.
 BITMAP_BITS = 1 << 26
 
@@ -278,9 +280,9 @@ def similar_sets(
     other links have already joined them.
 
     Equal sets are one node from the start.  Each node is first compared with the most
-    central set of its buckets only, which joins a group of near copies by as many pairs
-    as it has members; then come the pairs of a bucket that are still apart, cut down by
-    the sketches before sets are fetched.
+    central set it shares most keys with, which joins a group of near copies by as many
+    pairs as it has members; then come the pairs of a bucket that are still apart.  The
+    sketches cut both down before sets are fetched.
 
     A document without words or text has an empty set and is its own component.  Rows
     with one id, or none, are documents of their own; a component of null ids only is
@@ -301,32 +303,98 @@ def similar_sets(
     return labelled.select(F.col("id").alias(id_column), F.col("size").alias("n_shingles"), component.alias("component_id"))
 
 
-def _links(held: DataFrame, nodes: DataFrame, width: int, seed: int, least: int, part: int) -> DataFrame:
-    from pyspark.sql import Window
+def near(pairs: DataFrame, nodes: DataFrame, least: int, part: int) -> DataFrame:
+    """Of pairs (a, b) of nodes, those whose sizes and sketches allow a link."""
+    for end in ("a", "b"):
+        facts = nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}"))
+        pairs = pairs.join(facts, end)
+    both = F.col("size_a") + F.col("size_b")
+    fits = F.least("size_a", "size_b") * part >= F.greatest("size_a", "size_b") * least
+    close = hamming(F.col("sketch_a"), F.col("sketch_b")) <= most_different(both, least, part)
+    return pairs.filter(fits).filter(close).select("a", "b")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
+    """Rows in order, cut where one of the first ``width`` columns changes."""
+    open_: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(k).to_numpy() for k in range(width)], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if open_ and tuple(keys[a]) != last:
+                yield pa.Table.from_batches(open_)
+                open_ = []
+            open_.append(batch.slice(a, b - a))
+            last = tuple(keys[a])
+    if open_:
+        yield pa.Table.from_batches(open_)
+
+
+def _close_in_cell(cell: pa.Table, least: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a cell's two parts that are still apart and may link."""
+    side, node, root, size = (cell.column(c).to_numpy() for c in ("side", "node", "root", "size"))
+    sketches = [np.array(x, np.int64).view(np.uint64) for x in cell.column("sketch").to_pylist()]
+    length = min(len(x) for x in sketches)
+    folded = np.stack([np.bitwise_xor.reduce(x.reshape(-1, length), axis=0) for x in sketches])
+    low, high = int(cell.column("low")[0].as_py()), int(cell.column("high")[0].as_py())
+    ones, others = np.flatnonzero(side == low), np.flatnonzero(side == high)
+    found = []
+    for i in ones.tolist():
+        differ = np.bitwise_count(folded[others] ^ folded[i]).sum(axis=1)
+        both = size[others] + size[i]
+        most = both - 2 * -(-both * least // (part + least))
+        fits = np.minimum(size[others], size[i]) * part >= np.maximum(size[others], size[i]) * least
+        hit = others[(differ <= most) & fits & (root[others] != root[i])]
+        found.append(np.stack([np.minimum(node[hit], node[i]), np.maximum(node[hit], node[i])]))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pairs[0], pairs[1]
+
+
+def close_in_large(rows: DataFrame, nodes: DataFrame, least: int, part: int) -> DataFrame:
+    """Pairs (a, b) that may link, from buckets of many sets: ``rows`` is (key, node, root, n).
+
+    A bucket is dealt into parts of about ``CELL`` sets and every two parts meet in a
+    cell of their own, so a large bucket is many equal tasks.  A cell sends on the pairs
+    whose sketches are near, never all of its pairs.
+    """
+    parts = F.ceil(F.col("n") / CELL).cast("int")
+    dealt = rows.withColumn("side", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "root")
+    dealt = dealt.join(nodes.select("node", "size", "sketch"), "node").select("key", "low", "high", "side", "node", "root", "size", "sketch")
+    ordered = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _runs(batches, 3):
+            a, b = _close_in_cell(cell, least, part)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return ordered.mapInArrow(compare, "a long, b long").distinct()
+
 
+def _links(held: DataFrame, nodes: DataFrame, width: int, seed: int, least: int, part: int) -> DataFrame:
     bucket = Window.partitionBy("key")
     keys = block_keys(held, width, seed, least, part)
     shared = keys.select("key", "node", F.min("node").over(bucket).alias("low"), F.max("node").over(bucket).alias("high"), F.count(F.lit(1)).over(bucket).alias("n"))
     shared = stored(shared.filter("low <> high").select("key", "node", "n").distinct(), "buckets")
     # The more sets share a node's keys, the nearer it is to the middle of its group.
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    weighed = shared.join(weight, "node")
-    centre = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("centre"))
-    best = shared.select("key", "node").join(centre, "key").groupBy("node").agg(F.max("centre").alias("centre"))
-    stars = best.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).filter("a <> b")
-    first = stored(verified(stored(stars, "stars"), held, width, seed, least, part), "links")
+    centres = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("centre"))
+    met = shared.select("key", "node").join(centres, "key").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("times"))
+    best = met.filter(F.col("node") != F.col("centre.node")).groupBy("node").agg(F.max(F.struct("times", "centre")).alias("best"))
+    stars = best.select(F.col("node").alias("a"), F.col("best.centre.node").alias("b"))
+    first = stored(verified(stored(near(stars, nodes, least, part), "stars"), held, width, seed, least, part), "links")
     known = components(first)
     labelled = shared.select("key", "node").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    open_ = labelled.join(apart, "key", "left_semi")
-    one = open_.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    two = open_.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    pairs = one.join(two, "key").filter(F.col("root_a") < F.col("root_b")).select("a", "b").distinct()
-    facts = nodes.select("node", "size", "sketch")
-    for end in ("a", "b"):
-        pairs = pairs.join(facts.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
-    both = F.col("size_a") + F.col("size_b")
-    fits = F.least("size_a", "size_b") * part >= F.greatest("size_a", "size_b") * least
-    pairs = pairs.filter(fits).filter(hamming(F.col("sketch_a"), F.col("sketch_b")) <= most_different(both, least, part))
-    second = verified(stored(pairs.select("a", "b"), "pairs"), held, width, seed, least, part)
+    apart = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+    open_ = stored(labelled.join(apart.filter("low <> high").select("key", "n"), "key"), "open")
+    few = open_.filter(F.col("n") <= FEW)
+    one = few.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    two = few.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    pairs = one.join(two, "key").filter(F.col("root_a") < F.col("root_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = near(pairs, nodes, least, part).union(close_in_large(open_.filter(F.col("n") > FEW), nodes, least, part)).distinct()
+    second = verified(stored(pairs, "pairs"), held, width, seed, least, part)
     return first.union(second)
