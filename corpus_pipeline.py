@@ -2,13 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docloom.llm.decontaminate import remove_contamination
+from docloom.llm.language_id import UNKNOWN, held_out, predict_language, train
+from docloom.llm.line_dedup import drop_repeated_lines
+from docloom.llm.mixing import mix_sources
+from docloom.llm.parity_join import similar_sets
 from docloom.llm.store import stored
 
-STAGES = []
+#: No source may be repeated more often, in a mix as large as what is left.
+REPETITIONS = 1.5
 
-#: No stage but the first could be said in SQL; tests/llm holds brute-force versions.
+
+def _row(docs: DataFrame) -> Column:
+    """A document's name in order of ids, nulls last; rows equal in all columns share it."""
+    columns = [F.col(f"`{c}`") for c in docs.columns if "map<" not in dict(docs.dtypes)[c]]
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*columns, *[c.isNull() for c in columns]).alias("hash"))
+
+
+def _resized(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``n_chars`` follows the text where the text has changed."""
+    return docs.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language; those without a letter, or without text, go."""
+    trees = train(docs.filter(~held_out("doc_id")))
+    return predict_language(docs, trees).filter(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that stand elsewhere; those that lose every line go."""
+    kept = drop_repeated_lines(docs)
+    return _resized(kept.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))), docs.columns)
+
+
+def similar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of similar ones; the others go."""
+    named = docs.withColumn("_row", _row(docs))
+    groups = similar_sets(named, id_column="_row")
+    first = groups.filter(F.col("_row") == F.col("component_id")).select("_row").distinct()
+    return named.dropDuplicates(["_row"]).join(first, "_row", "left_semi").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the phrases of test items; those with no word left go."""
+    columns = docs.columns
+    cleaned = remove_contamination(docs.withColumn("_before", F.length("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    emptied = (F.length("text") < F.col("_before")) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return _resized(cleaned.filter(~F.coalesce(emptied, F.lit(False))), columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their tokens, their source's weight, and how often the mix holds them."""
+    named = docs.withColumn("_row", _row(docs))
+    drawn = mix_sources(named, id_column="_row", repetitions=REPETITIONS)
+    drawn = drawn.select("_row", "n_tokens", "weight", "copies", "position").dropDuplicates(["_row"])
+    return named.join(drawn, "_row").select(*docs.columns, "n_tokens", "weight", "copies", "position")
+
+
+STAGES = [
+    ("language id", language_id),
+    ("line dedup", line_dedup),
+    ("similar documents", similar_documents),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+#: Learned statistics, chunk boundaries and sketches cannot be said in SQL; tests/llm
+#: holds the result against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm import licences
 from docloom.llm.decontaminate import find_contamination
 from docloom.llm.language_id import held_out, predict_language, train
 from docloom.llm.line_dedup import drop_repeated_lines
 from docloom.llm.mixing import mix_sources
 from docloom.llm.parity_join import similar_sets
+from docloom.llm.quality_rules import judge
 from docloom.llm.secrets import SINGLE, find_secrets
 from docloom.llm.store import new_folder, stored
 from docloom.llm.token_counts import token_counts
@@ -36,6 +38,12 @@ TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
 
 
+@query
+def op1_quality_rules(spark, sf):
+    judged, _ = judge(read(spark, sf, "documents"), read(spark, sf, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 @query
 def op2_decontamination(spark, sf):
     found = find_contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
@@ -82,6 +90,39 @@ def op4_parity_join(spark, sf):
     return similar_sets(read(spark, sf, "documents"))
 
 
+@query
+def op5_licences(spark, sf):
+    found = licences.scan_licences(read(spark, sf, "documents"), licences.known_licences(spark))
+    return found.select("doc_id", "whole_licence", F.array_join("licences", ",").alias("licences"))
+
+
+def _sql_canonical(text: str) -> str:
+    out = f"regexp_replace(translate(COALESCE({text}, ''), '{licences.UPPER}', '{licences.LOWER}'), '{licences.PUNCTUATION}', ' ', 'g')"
+    for pattern, replacement in licences.SPELLINGS:
+        out = f"regexp_replace({out}, '{pattern}', '{replacement.replace('$', chr(92))}', 'g')"
+    return out
+
+
+def _sql_unit(block: str) -> str:
+    lines = f"list_transform(string_split({block}, chr(10)), lambda l: trim(l))"
+    return f"array_to_string(list_filter({lines}, lambda l: l <> '' AND NOT regexp_matches(l, '{licences.COPYRIGHT}')), ' ')"
+
+
+_SQL_KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licences.KNOWN)
+
+ORACLES["op5_licences"] = f"""
+WITH k AS (SELECT sha256({_sql_unit('c')}) AS digest, min(licence) AS licence
+           FROM (SELECT licence, {_sql_canonical('body')} AS c FROM (VALUES {_SQL_KNOWN}) v(licence, body)) GROUP BY 1),
+d AS (SELECT doc_id, {_sql_canonical('text')} AS c FROM documents),
+u AS (SELECT doc_id, true AS whole, {_sql_unit('c')} AS unit FROM d
+      UNION ALL SELECT doc_id, false, {_sql_unit('b')} FROM (SELECT doc_id, unnest(string_split_regex(c, '{licences.BLOCK_END}')) AS b FROM d)
+      UNION ALL SELECT doc_id, false, {_sql_unit('b')} FROM (SELECT doc_id, unnest(string_split(c, chr(10))) AS b FROM d)),
+m AS (SELECT doc_id, min(licence) FILTER (whole) AS whole_licence, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences
+      FROM u JOIN k ON sha256(u.unit) = k.digest WHERE unit <> '' GROUP BY 1)
+SELECT doc_id, whole_licence, COALESCE(licences, '') AS licences FROM documents LEFT JOIN m USING (doc_id)
+"""
+
+
 @query
 def op6_warc(spark, sf):
     """Pages to archives and back; a record that did not come back whole stops the job."""
