@@ -42,7 +42,7 @@ def canonical_lines(text: Column) -> Column:
 
 def _joined(block: Column) -> Column:
     """One unit: a block's lines, without copyright lines, in one."""
-    lines = F.transform(F.split(block, "\n", -1), F.trim)
+    lines = F.transform(F.split(block, "\n", -1), lambda line: F.trim(line))
     return F.array_join(F.filter(lines, lambda line: (line != "") & ~line.rlike(COPYRIGHT)), " ")
 
 
