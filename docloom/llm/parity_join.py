@@ -25,7 +25,7 @@ LEAST, PART = 85, 100
 #: Bits of a block: a handful of shingles in it make a key that few other sets have.
 BLOCK_BITS = 256
 #: Sets of a bucket whose pairs are listed, and sets of one side of a cell beyond that.
-FEW, CELL = 32, 1000
+FEW, CELL = 4, 1000
 #: Bits of the bitmap that tells which sets a second reading needs: 8 MB, whatever the data.
 BITMAP_BITS = 1 << 26
 
