@@ -167,8 +167,8 @@ _MARK = r"^[^\p{L}\p{N}_]$"
 
 
 def tagged(comment: str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    """``array<struct<text, word, lemma, pos>>`` of the named comment column."""
-    split = f"transform(regexp_extract_all({comment}, {_text(TOKEN)}, 0), t -> struct(t AS text, lower(t) AS word))"
+    """``array<struct<text, word, lemma, pos>>`` of the named comment column; a null comment has no items."""
+    split = f"transform(regexp_extract_all(coalesce({comment}, ''), {_text(TOKEN)}, 0), t -> struct(t AS text, lower(t) AS word))"
     based = (
         f"transform({split}, x -> struct(x.text AS text, x.word AS word, {lemma_rule('x.word', lexicon)} AS lemma))"
     )
@@ -216,8 +216,8 @@ def role_rule(word: str, lexicon: Lexicon = DEFAULT_LEXICON) -> str:
 
 
 def roles(comment: str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    """``array<int>``: role bits of every token of the named comment column."""
-    lowered = f"transform(regexp_extract_all({comment}, {_text(TOKEN)}, 0), t -> lower(t))"
+    """``array<int>``: role bits of every token of the named comment column; none for a null."""
+    lowered = f"transform(regexp_extract_all(coalesce({comment}, ''), {_text(TOKEN)}, 0), t -> lower(t))"
     return F.expr(f"transform({lowered}, w -> {role_rule('w', lexicon)})")
 
 

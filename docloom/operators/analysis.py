@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from docloom.functions import grading
 from docloom.functions.once import with_once
 from docloom.functions.grading import DEFAULT_LEXICON, Lexicon
-from docloom.operators.joins import lookup_join
 
 
 def graded(df: DataFrame, comment: str = "comment", lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
-    """Adds ``counts`` and ``grade``; narrow, row by row."""
+    """Adds ``counts`` and ``grade``; narrow, row by row.  A missing comment is graded as an empty one."""
     counted = with_once(
         with_once(df, "_roles", grading.roles(comment, lexicon)), "counts", grading.counts("_roles")
     )
@@ -37,10 +36,11 @@ def analyze_with_lexicon(
 ) -> DataFrame:
     """Analysis against a lexicon *table* ``(word, lemma, pos, is_stop)`` of any size.
 
-    Tokens are exploded and looked up by word; a frequent word is spread over salted
-    copies of its lexicon row when the lexicon is too large to broadcast.  A comment is
+    Tokens are exploded and looked up by word; where the lexicon is too large to
+    broadcast, adaptive execution splits the partition of a frequent word.  A comment is
     put together again from its own tokens, so a group never exceeds one input row.
-    Words that the table lacks keep the built-in lemma and tag.
+    Words that the table lacks keep the built-in lemma and tag.  ``id_columns`` must tell
+    the rows apart.
     """
     # Placed by id before the explode: with the lexicon broadcast, the comments are the
     # only rows that are shuffled, not their tokens.
@@ -53,7 +53,7 @@ def analyze_with_lexicon(
         "word",
         F.col("lemma").alias("_lemma"), F.col("pos").alias("_pos"), F.col("is_stop").alias("_stop"),
     )
-    found = lookup_join(rows, known, ["word"], "left")
+    found = rows.join(known, ["word"], "left")
     item = F.col("item")
     found = found.select(
         *id_columns, "pos_in_text", F.col("item.text").alias("text"),

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import directory, module_name
-from docloom.operators.joins import lookup_join
-from docloom.session import checkpointed
 
 # Address and version used when a configuration names none.
 DEFAULT_LOCAL_URL = "http://:5000"
@@ -33,44 +31,68 @@ def field_name(section: str, key: str) -> str:
 FIELDS = {
     field_name(section, key): kind for section, keys in CONFIG_KEYS.items() for key, kind in keys.items()
 } | {"prefixes": "array<string>"}
+# An empty value counts as set for these; elsewhere an empty text or a zero is not set.
+MAY_BE_EMPTY = {"signature", "openai_api_key", "anthropic_access_key", "anthropic_secret_key", "anthropic_session_token"}
+# Never carried along with files.
+SECRET_FIELDS = ["openai_api_key", "anthropic_access_key", "anthropic_secret_key", "anthropic_session_token"]
+# Spellings of a boolean.
+TRUE, FALSE = ("true", "yes", "on", "y"), ("false", "no", "off", "n")
 
 
 def _scalar(text: Column) -> Column:
-    """A plain or quoted value; a comment after it is dropped, an empty value is null."""
+    """A plain or quoted value; a comment after it is dropped.  No value at all is null,
+    an empty text between quotes is an empty text."""
     quoted = F.regexp_extract(text, r"""^(["'])(.*?)\1[ \t]*(?:#.*)?$""", 2)
     is_quoted = text.rlike(r"""^["']""")
     plain = F.trim(F.regexp_replace(text, r"(?:^|[ \t])#.*$", ""))
     value = F.when(is_quoted, quoted).otherwise(plain)
-    return F.when((value != "") & ~(~is_quoted & value.isin("null", "~")), value)
+    return F.when(is_quoted | ~value.isin("", "null", "~"), value)
+
+
+def _typed(value: Column, kind: str) -> Column:
+    if kind == "boolean":
+        word = F.lower(value)
+        return F.when(word.isin(*TRUE), True).when(word.isin(*FALSE), False)
+    return value.try_cast(kind)
 
 
 def parse_config(files: DataFrame) -> DataFrame:
     """``(path, content)`` of configuration files to one row of fields per directory.
 
-    Spark's file sources skip dot-files, so the files come as a landed table.
+    Spark's file sources skip dot-files, so the files come as a landed table.  A section
+    is a block of indented lines or a flow mapping on one line.  A value that is not of
+    its kind is null, and the first such field is named in ``bad_value``.
     """
     content = F.replace(F.col("content"), F.lit("\r\n"), F.lit("\n"))
 
     def section_text(section: str) -> Column:
         if not section:
             return content
-        return F.regexp_extract(content, rf"(?md)^{section}:[ \t]*\n((?:[ \t]+[^\n]*(?:\n|\z)|\n)*+)", 1)
+        block = F.regexp_extract(content, rf"(?md)^{section}:[ \t]*\n((?:[ \t]+[^\n]*(?:\n|\z)|\n)*+)", 1)
+        flow = F.regexp_extract(content, rf"(?md)^{section}:[ \t]*\{{([^}}\n]*)\}}", 1)
+        return F.when(block != "", block).otherwise(F.concat(F.lit(" "), F.regexp_replace(flow, r"[ \t]*,[ \t]*", "\n ")))
 
-    def value(section: str, key: str, kind: str) -> Column:
+    def raw(section: str, key: str) -> Column:
         indent = r"[ \t]+" if section else ""
-        text = F.regexp_extract(section_text(section), rf"(?md)^{indent}{key}:[ \t]+([^\n]*)$", 1)
-        return _scalar(F.trim(text)).try_cast(kind).alias(field_name(section, key))
+        return _scalar(F.trim(F.regexp_extract(section_text(section), rf"(?md)^{indent}{key}:[ \t]+([^\n]*)$", 1)))
+
+    def bad(section: str, key: str, kind: str) -> Column:
+        wrong = raw(section, key).isNotNull() & _typed(raw(section, key), kind).isNull()
+        return F.when(wrong, F.lit(f"{field_name(section, key)} is not of type {kind}"))
+
+    keys = [(s, key, kind) for s, keys in CONFIG_KEYS.items() for key, kind in keys.items()]
 
     block = F.regexp_extract(content, r"(?md)^prefixes:[ \t]*\n((?:[ \t]*-[ \t]+[^\n]*(?:\n|\z))*+)", 1)
     flow = F.regexp_extract(content, r"(?md)^prefixes:[ \t]*\[([^\]\n]*)\]", 1)
     entries = F.when(block != "", F.regexp_extract_all(block, F.lit(r"(?md)^[ \t]*-[ \t]+([^\n]*)$"), F.lit(1))).otherwise(
         F.split(flow, ",")
     )
-    prefixes = F.filter(F.transform(entries, lambda e: _scalar(F.trim(e))), lambda e: e.isNotNull())
+    prefixes = F.filter(F.transform(entries, lambda e: _scalar(F.trim(e))), lambda e: e != "")
     return files.select(
         directory(F.col("path")).alias("dir"),
-        *[value(s, key, kind) for s, keys in CONFIG_KEYS.items() for key, kind in keys.items()],
+        *[_typed(raw(s, key), kind).alias(field_name(s, key)) for s, key, kind in keys],
         F.when(F.size(prefixes) > 0, prefixes).alias("prefixes"),
+        F.coalesce(*[bad(s, key, kind) for s, key, kind in keys if kind != "string"]).alias("bad_value"),
     )
 
 
@@ -110,29 +132,35 @@ def resolve_configs(
     """The merged configuration of every directory in ``dirs``.
 
     The walk goes up to the first directory with a module file, inclusive, or to the
-    top.  Settings nearer the file win, field by field; ``local`` falls back to the
-    argument, then to the module's name.  Prefixes of all levels are appended from the
+    top.  Settings nearer the file win, field by field; an empty text or a zero wins only
+    where it means something (``MAY_BE_EMPTY``); ``local`` falls back to the argument,
+    then to the module's name.  A bad value of any level is handed on.  Prefixes of all levels are appended from the
     top down.  A directory's group has one row per level, whatever the corpus holds.
     """
     distinct = dirs.select(F.col("dir").alias("of")).distinct()
     chain = distinct.select("of", F.explode(ancestors(F.col("of"))).alias("step")).select(
         "of", "step.depth", "step.dir"
     )
-    chain = lookup_join(chain, modules.withColumn("has_module", F.lit(True)), ["dir"], "left")
-    chain = lookup_join(chain, configs, ["dir"], "left")
+    chain = chain.join(modules.withColumn("has_module", F.lit(True)), ["dir"], "left")
+    chain = chain.join(configs, ["dir"], "left")
     bounded = chain.groupBy("of").agg(
         F.max(F.when(F.col("has_module"), F.col("depth"))).alias("floor"),
-        F.collect_list(F.struct("depth", "module", *FIELDS)).alias("levels"),
+        F.collect_list(F.struct("depth", "module", "bad_value", *FIELDS)).alias("levels"),
     )
     levels = F.array_sort(F.filter("levels", lambda x: x["depth"] >= F.coalesce(F.col("floor"), F.lit(0))))
     # The order of the sort is by depth, the first field; depths are distinct.
     bounded = bounded.withColumn("levels", levels)
 
+    def is_set(name: str, value: Column) -> Column:
+        if name in MAY_BE_EMPTY or FIELDS.get(name) == "boolean":
+            return value.isNotNull()
+        return value != (0 if FIELDS.get(name) == "int" else "")
+
     def nearest(name: str) -> Column:
-        given = F.filter("levels", lambda x: x[name].isNotNull())
+        given = F.filter("levels", lambda x: is_set(name, x[name]))
         return F.get(given, F.size(given) - 1)[name]
 
-    fields = {name: nearest(name) for name in FIELDS if name != "prefixes"}
+    fields = {name: nearest(name) for name in [*FIELDS, "bad_value"] if name != "prefixes"}
     root_local = F.lit(local) if local else F.get("levels", F.lit(0))["module"]
     fields["local"] = F.coalesce(F.when(fields["local"] != "", fields["local"]), root_local, F.lit(""))
     for flag in ("update_comments", "active_examples"):
@@ -151,7 +179,8 @@ def choose_provider(resolved: DataFrame) -> DataFrame:
     """Adds ``provider``, ``model_version`` and ``config_error``.
 
     The first active provider of localai, openai, anthropic is taken, else the template.
-    An active provider that lacks a required setting is reported, not skipped.
+    A bad value, or an active provider that lacks a required setting, is reported, not
+    skipped.
     """
 
     def active(section: str) -> Column:
@@ -168,7 +197,7 @@ def choose_provider(resolved: DataFrame) -> DataFrame:
         "openai": ["openai_api_key", "openai_url"],
         "anthropic": ["anthropic_url", "anthropic_access_key"],
     }
-    error = F.when(F.lit(False), F.lit(""))
+    error = F.when(F.col("bad_value").isNotNull(), F.col("bad_value"))
     for name, settings in required.items():
         for setting in settings:
             error = error.when((F.col("provider") == name) & _missing(setting), F.lit(f"{setting} is not set"))
@@ -181,10 +210,10 @@ def choose_provider(resolved: DataFrame) -> DataFrame:
 
 
 def with_config(files: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Files with the configuration of their directory; a folder that holds much of the
-    corpus is spread over salted copies when the configurations are not broadcast.
+    """Files with the configuration of their directory, without keys and secrets.
 
-    The configurations are measured and then joined, so they are stored once in between.
+    Spark broadcasts the configurations if they are small; else adaptive execution splits
+    the partition of a folder that holds much of the corpus.
     """
     placed = files.withColumn("dir", directory(F.col("path")))
-    return lookup_join(placed, checkpointed(resolved), ["dir"], "left")
+    return placed.join(resolved.drop(*SECRET_FIELDS), ["dir"], "left")

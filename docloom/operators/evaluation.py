@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.once import let, with_once
 from docloom.functions.text import words
+from docloom.operators.features import IGNORED_LABEL, kept_labels
 from docloom.operators.filters import split_blank_inputs
 
 # Fixed value: the version an inference request gets when it names none.
@@ -99,10 +100,10 @@ def epoch_losses(steps: DataFrame) -> DataFrame:
     )
 
 
-def batch_loss(token_losses: Column, labels: Column, batch_size: int) -> Column:
-    """Sum of the losses of kept labels, scaled by the batch size."""
-    kept = F.filter(F.zip_with(token_losses, labels, lambda x, y: F.when(y != -100, x)), lambda x: x.isNotNull())
-    return F.aggregate(kept, F.lit(0.0), lambda total, x: total + x) / F.lit(float(batch_size))
+def batch_loss(token_losses: Column, labels: Column) -> Column:
+    """Mean of the losses of kept labels; null for a batch without one."""
+    kept = F.filter(F.zip_with(token_losses, labels, lambda x, y: F.when(y != IGNORED_LABEL, x)), lambda x: x.isNotNull())
+    return F.try_divide(F.aggregate(kept, F.lit(0.0), lambda total, x: total + x), kept_labels(labels))
 
 
 def running_losses(steps: DataFrame, block: int | None = None) -> DataFrame:
@@ -111,6 +112,7 @@ def running_losses(steps: DataFrame, block: int | None = None) -> DataFrame:
     Steps are cut into blocks; the sums of earlier blocks (one row per block) are added
     to the running sum within a block, so a task never holds a whole epoch.  The width
     of a block follows the range of the steps, which also bounds the number of blocks.
+    A null epoch or phase is a group like any other; rows without a step come first.
     """
     if block is None:
         low, high = steps.agg(F.min("step"), F.max("step")).first()
@@ -120,14 +122,18 @@ def running_losses(steps: DataFrame, block: int | None = None) -> DataFrame:
     earlier = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = blocked.groupBy(*key, "_block").agg(F.sum("loss").alias("_s"), F.count(F.lit(1)).alias("_n"))
     offsets = totals.select(
-        *key, "_block", F.sum("_s").over(earlier).alias("_before"), F.sum("_n").over(earlier).alias("_count")
+        *[F.col(c).alias(f"_{c}") for c in key], F.col("_block").alias("_own"),
+        F.sum("_s").over(earlier).alias("_before"), F.sum("_n").over(earlier).alias("_count"),
     )
     inside = Window.partitionBy(*key, "_block").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     summed = blocked.withColumn("_sum", F.sum("loss").over(inside)).withColumn("_rows", F.count(F.lit(1)).over(inside))
     total = F.col("_sum") + F.coalesce("_before", F.lit(0).cast(steps.schema["loss"].dataType))
     rows = F.col("_rows") + F.coalesce("_count", F.lit(0))
+    same = F.col("_block").eqNullSafe(F.col("_own"))
+    for c in key:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
     return (
-        summed.join(offsets, [*key, "_block"])
+        summed.join(offsets, same)
         .withColumn("running_loss", total.cast("double") / rows)
         .select(*steps.columns, "running_loss")
     )

@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.grading import TOKEN
-from docloom.operators.joins import lookup_join
-from docloom.session import checkpointed
+from docloom.operators.ordering import with_position
+from docloom.session import stored
 
 # Special ids of the encoding and the id that the loss ignores.
 PAD_ID, BEGIN_ID, END_ID, UNKNOWN_ID, FIRST_TOKEN_ID = 0, 1, 2, 3, 4
 IGNORED_LABEL = -100
-# Sequence lengths and vocabulary size of the model.
+# Sequence lengths of the model.
 MAX_INPUT_LENGTH = 48
 MAX_TARGET_LENGTH = 128
-VOCABULARY_SIZE = 32_100
 
 
 def model_input(file_name: Column, name: Column) -> Column:
-    return F.concat(file_name, F.lit(" "), name)
+    """A missing part is left out."""
+    return F.concat_ws(" ", file_name, name)
 
 
 def model_target(comment: Column, pos_tags: Column) -> Column:
     """``comment POS: ['NOUN', 'VERB']``."""
     quoted = F.transform(pos_tags, lambda tag: F.concat(F.lit("'"), tag, F.lit("'")))
-    return F.concat(comment, F.lit(" POS: ["), F.array_join(quoted, ", "), F.lit("]"))
+    tags = F.coalesce(F.array_join(quoted, ", "), F.lit(""))
+    return F.concat(F.coalesce(comment, F.lit("")), F.lit(" POS: ["), tags, F.lit("]"))
 
 
 def with_model_text(pairs: DataFrame) -> DataFrame:
@@ -35,7 +36,8 @@ def with_model_text(pairs: DataFrame) -> DataFrame:
 
 
 def encoder_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    """Tokens of a text; a missing text has none."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
 def first_tokens(text: Column, count: int) -> Column:
@@ -44,22 +46,21 @@ def first_tokens(text: Column, count: int) -> Column:
     return encoder_tokens(head)
 
 
-def build_vocabulary(texts: DataFrame, columns: list[str], size: int = VOCABULARY_SIZE) -> DataFrame:
-    """``(token, token_id, n)`` of the most frequent tokens, ties by token.
+def build_vocabulary(texts: DataFrame, columns: list[str], size: int | None = None) -> DataFrame:
+    """``(token, token_id, n)`` of all tokens by frequency, ties by token.
 
-    Counting combines before the shuffle, so frequent tokens cost one row per task.
-    ``size`` includes the special ids and is the width of the model's embedding table.
-    The result is stored: every encoding run reads it, none counts the corpus again.
+    Counting combines before the shuffle, so frequent tokens cost one row per task, and
+    the ids come from a sort by range, not from one task.  ``size``, if the caller names
+    one, is the width of the model's embedding table, special ids included; rarer tokens
+    are then unknown.  The result is stored: every encoding run reads it, none counts
+    again, and Spark knows from its size whether to broadcast it.
     """
     all_tokens = F.concat(*[encoder_tokens(F.col(c)) for c in columns])
-    ranked = (
-        texts.select(F.explode(all_tokens).alias("token"))
-        .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "token")
-        .limit(size - FIRST_TOKEN_ID)
-    )
-    number = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
-    return checkpointed(ranked.select("token", (number + F.lit(FIRST_TOKEN_ID - 1)).alias("token_id"), "n"))
+    counts = texts.select(F.explode(all_tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    ranked = with_position(counts.withColumn("_rank", -F.col("n")), ["_rank", "token"], "_place")
+    token_id = (F.col("_place") + FIRST_TOKEN_ID).cast("int").alias("token_id")
+    kept = ranked if size is None else ranked.filter(F.col("_place") < size - FIRST_TOKEN_ID)
+    return stored(kept.select("token", token_id, "n"))
 
 
 def _padded(ids: Column, length: int) -> Column:
@@ -80,8 +81,11 @@ def encode(
 
     Texts are cut to the model's lengths first, as the model's own encoder does, so a
     row explodes into at most ``max_input + max_target`` tokens.  The rows are placed by
-    id before they are exploded; with the vocabulary broadcast (its size is measured),
-    putting a row together again needs no second shuffle.
+    id before they are exploded; where Spark finds the vocabulary small enough to
+    broadcast, putting a row together again needs no second shuffle.
+
+    Rows may share an id, or have none: tokens are told apart by id and texts, and rows
+    equal in all of these are encoded once and given back as often as they came.
     """
 
     def side(column: str, length: int, start: int) -> Column:
@@ -89,14 +93,20 @@ def encode(
             first_tokens(F.col(column), length - 2), lambda t, i: F.struct((i + start).alias("at"), t.alias("token"))
         )
 
-    # Places below max_input are the input's, the others the target's.
-    both = F.concat(side(input_column, max_input, 0), side(target_column, max_target, max_input))
-    placed = rows.select(row_id, both.alias("parts")).repartition(row_id)
-    pieces = placed.select(row_id, F.explode_outer("parts").alias("part")).select(row_id, "part.at", "part.token")
-    found = lookup_join(pieces, vocabulary.select("token", "token_id"), ["token"], "left")
+    # Place -1 marks the row, places below max_input are the input's, the others the target's.
+    mark = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("token")))
+    both = F.concat(mark, side(input_column, max_input, 0), side(target_column, max_target, max_input))
+    twins = [F.xxhash64(F.lit(n), F.col(input_column), F.lit(0), F.col(target_column)).alias(f"_twin{n}") for n in (1, 2)]
+    placed = rows.select(row_id, *twins, both.alias("parts")).repartition(row_id)
+    pieces = placed.select(row_id, "_twin1", "_twin2", F.explode("parts").alias("part"))
+    pieces = pieces.select(row_id, "_twin1", "_twin2", "part.at", "part.token")
+    found = pieces.join(vocabulary.select("token", "token_id"), ["token"], "left")
     item = F.struct("at", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("token_id"))
-    whole = found.groupBy(row_id).agg(
-        F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), item))).alias("items")
+    whole = found.groupBy(row_id, "_twin1", "_twin2").agg(F.collect_list(item).alias("all"))
+    whole = whole.select(
+        row_id,
+        F.array_sort(F.array_distinct(F.filter("all", lambda x: x["at"] >= 0))).alias("items"),
+        F.explode(F.filter("all", lambda x: x["at"] < 0)).alias("_row"),
     )
 
     def ids(of_side, length: int) -> Column:

@@ -119,8 +119,9 @@ def with_shuffled_position(
 
     Rows are ordered by a hash of (seed, epoch, id).  The leading hex digits of the hash
     cut every epoch into equal buckets; a row's position is its rank in its bucket plus
-    the sizes of the buckets before it.  ``16 ** bucket_digits`` bounds both the offsets
-    that are broadcast (per epoch) and, inversely, the rows that one task ranks.
+    the sizes of the buckets before it.  ``16 ** bucket_digits`` bounds the offsets of an
+    epoch and, inversely, the rows that one task ranks; Spark broadcasts the offsets if
+    they are small enough.
     """
     epoch_value = F.col(epoch) if epoch else F.lit(0)
     keyed = df.withColumn("_key", shuffle_key(seed, epoch_value, F.col(row_id))).withColumn(
@@ -130,14 +131,20 @@ def with_shuffled_position(
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         keyed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-        .select(*groups, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        .select(
+            *[F.col(c).alias("_epoch") for c in groups], F.col("_bucket").alias("_own"),
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        )
     )
+    same = F.col("_bucket") == F.col("_own")
+    if epoch:  # a null epoch is one like any other
+        same &= F.col(epoch).eqNullSafe(F.col("_epoch"))
     rank = F.row_number().over(Window.partitionBy(*groups, "_bucket").orderBy("_key", row_id))
     return (
         keyed.withColumn("_rank", rank)
-        .join(F.broadcast(offsets), [*groups, "_bucket"])
+        .join(offsets, same)
         .withColumn(column, F.col("_rank") - 1 + F.col("_offset"))
-        .drop("_key", "_bucket", "_rank", "_offset")
+        .drop("_key", "_bucket", "_rank", "_offset", "_own", "_epoch")
     )
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from docloom.functions import grading, prompts
 from docloom.plans.corpus import VERB_WORDS
-from docloom.plans.queries import VOCABULARY_SIZE
 
 ORACLES: dict[str, str] = {}
 
@@ -481,7 +480,7 @@ texts AS (SELECT doc_id, split, regexp_extract_all(source || ' ' || lang || '-do
   FROM documents JOIN placed USING (doc_id)),
 counts AS (SELECT token, count(*) AS n FROM (SELECT unnest(list_concat(i, o)) AS token FROM texts WHERE split = 'train') GROUP BY token),
 ranked AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id, n FROM counts),
-words AS (SELECT * FROM ranked WHERE token_id < {VOCABULARY_SIZE}),
+words AS (SELECT * FROM ranked),
 cut AS (
   SELECT doc_id, 0 AS side, unnest(i[1:46]) AS token, generate_subscripts(i[1:46], 1) AS pos FROM texts
   UNION ALL SELECT doc_id, 1, unnest(o[1:126]), generate_subscripts(o[1:126], 1) FROM texts),

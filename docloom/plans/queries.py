@@ -463,19 +463,16 @@ def _texts(spark, sf) -> DataFrame:
     return rows.select("doc_id", model_input.alias("input"), F.col("comment").alias("target"))
 
 
-VOCABULARY_SIZE = 1000
-
-
 @query
 def vocabulary(spark, sf):
     split = ordering.positional_split(_texts(spark, sf), ["doc_id"])
-    found = features.build_vocabulary(split.filter("split = 'train'"), ["input", "target"], VOCABULARY_SIZE)
+    found = features.build_vocabulary(split.filter("split = 'train'"), ["input", "target"])
     return found.select("token", F.col("token_id").cast("bigint").alias("token_id"), "n")
 
 
 def _encoded(spark, sf) -> DataFrame:
     split = ordering.positional_split(_texts(spark, sf), ["doc_id"])
-    words = features.build_vocabulary(split.filter("split = 'train'"), ["input", "target"], VOCABULARY_SIZE)
+    words = features.build_vocabulary(split.filter("split = 'train'"), ["input", "target"])
     return features.encode(split, "doc_id", words)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +53,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder: joins with it know its true size."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, computed once and stored where losing executors cannot lose it."""
     checkpoint_dir(df.sparkSession)

@@ -59,11 +59,12 @@ def repository_files(repos: DataFrame, listing_answers: DataFrame, blob_answers:
     """Go files of the given repositories: ``(owner, repo, path, content)``; a file whose
     blob cannot be decoded drops out.
 
-    ``repos`` is one result page, bounded by its page size, so it is broadcast: answers of
-    other repositories go before any JSON is read, and a repository that holds most of the
-    listing is never gathered by its key.  The second join is by file, unique on both sides.
+    ``repos`` may be one result page or many: Spark broadcasts it if it is small, else
+    splits the partition of a repository that holds most of the listing.  Answers of other
+    repositories go before any JSON is read.  The second join is by file, unique on both
+    sides.
     """
-    page = F.broadcast(repos.select("owner", "repo"))
+    page = repos.select("owner", "repo")
     listed = contents_listing(listing_answers.join(page, ["owner", "repo"], "left_semi"))
     stored = blobs(blob_answers.join(page, ["owner", "repo"], "left_semi"))
     return (

@@ -71,7 +71,7 @@ def test_arguments(spark):
         ("anthropic:\n  active: true\n  access-key: k\n", "anthropic", "anthropic_url is not set"),
         ("anthropic:\n  active: true\n  url: u\n", "anthropic", "anthropic_access_key is not set"),
         ("anthropic:\n  active: true\n  url: u\n  access-key: k\nopenai:\n  active: false\n", "anthropic", None),
-        ("openai:\n  active: yes please\n", "template", None),
+        ("openai:\n  active: yes please\n", "template", "openai_active is not of type boolean"),
     ],
 )
 def test_providers(spark, text, provider, error):
@@ -98,3 +98,27 @@ def test_comment_job(spark):
     assert [(r["path"], r["provider"], r["request"]) for r in asked] == [
         ("r/x/b.go", "localai", '{"text":"func B() ()","version":4}')
     ]
+
+
+def test_empty_and_zero_values_flow_mappings_and_spellings(spark):
+    parent = "signature: team\nlocalai:\n  active: true\n  api_model_version: 5\n  url: http://p\nopenai:\n  api_key: k\n"
+    child = "signature: \"\"\nactive-examples: on\nlocalai: {active: true, url: \"\", api_model_version: 0}\nopenai: {api_key: '', active: No}\n"
+    got = resolve(spark, ["r", "r/x"], [("r/.comments.yaml", parent), ("r/x/.comments.yaml", child)])
+    assert (got["r"]["signature"], got["r"]["model_version"]) == ("team", 5)
+    row = got["r/x"]
+    assert (row["signature"], row["openai_api_key"], row["openai_active"], row["active_examples"]) == ("", "", False, True)
+    assert (row["provider"], row["model_version"], row["localai_url"], row["config_error"]) == ("localai", 5, "http://p", None)
+
+
+def test_a_bad_value_is_named(spark):
+    got = resolve(spark, ["r/x"], [("r/.comments.yaml", "localai:\n  active: maybe\n"), ("r/x/.comments.yaml", "signature: s\n")])
+    assert got["r/x"]["config_error"] == "localai_active is not of type boolean"
+
+
+def test_keys_do_not_travel_with_files(spark):
+    resolved = config.choose_provider(config.resolve_configs(
+        spark.createDataFrame([("r",)], "dir string"), config.parse_config(spark.createDataFrame([("r/.comments.yaml", CHILD)], FILES)),
+        config.module_dirs(spark.createDataFrame([], FILES)),
+    ))
+    files = config.with_config(spark.createDataFrame([("r/a.go",)], "path string"), resolved)
+    assert not set(config.SECRET_FIELDS) & set(files.columns) and files.first()["provider"] == "openai"

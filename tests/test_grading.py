@@ -41,20 +41,25 @@ def test_tags(spark):
     assert [(e["text"], e["label"]) for e in a["entities"]] == [("3", "CARDINAL"), ("Monday", "DATE")]
 
 
-@pytest.mark.parametrize("max_bytes", [1 << 20, 0])
-def test_lexicon_table(spark, monkeypatch, max_bytes):
-    """The broadcast and the salted join give the same analysis; one word is hot."""
-    from docloom.operators import joins
-
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_lexicon_table(spark, threshold):
+    """The broadcast and the shuffled join give the same analysis; one word is hot."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     text = "the " * 400 + "flurb sets the value"
     df = spark.createDataFrame([(1, text), (2, "the flurb"), (3, "")], "id long, comment string")
     lexicon = spark.createDataFrame([("flurb", "flurbo", "VERB", False), ("the", "the", "DET", True)], "word string, lemma string, pos string, is_stop boolean")
-    full = joins.lookup_join
-    monkeypatch.setattr(analysis, "lookup_join", lambda a, b, on, how: full(a, b, on, how, max_bytes=max_bytes, hot_rows=100))
     got = {r["id"]: r for r in analysis.analyze_with_lexicon(df, lexicon, ["id"]).collect()}
     assert got[1]["n_tokens"] == 404 and got[1]["n_stop"] == 401 and got[1]["n_verbs"] == 2 and got[1]["n_tech"] == 1
     assert got[1]["tokens"][-4:] == ["flurb", "sets", "the", "value"] and got[1]["lemmas"][-4:] == ["flurbo", "set", "the", "value"]
     assert got[2]["grade"] == "poor" and got[3]["n_tokens"] == 0 and got[3]["tokens"] == []
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_missing_comment_is_poor(spark):
+    df = spark.createDataFrame([(1, None), (2, "")], "id long, comment string")
+    assert [(r.grade, r.counts.n_tokens) for r in analysis.graded(df).collect()] == [("poor", 0)] * 2
+    assert [r.comment_analysis.tokens for r in analysis.analyzed(df).collect()] == [[], []]
+    assert analysis.good_only(analysis.graded(df)).count() == 0
 
 
 def test_custom_word_lists(spark):

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import evaluation, features, ordering, recipe
-from docloom.operators.joins import hot_keys, lookup_join
 
 
 @pytest.mark.parametrize("n", [1, 7, 10, 1000, 12_345])
@@ -112,7 +111,7 @@ def test_first_tokens_are_the_first_of_all_tokens(spark):
 def test_encoding_shuffles_once(spark):
     """After the placement by id nothing is exchanged again but the broadcast."""
     texts = spark.range(100).select("id", F.lit("a b").alias("input"), F.lit("c").alias("target"))
-    words = spark.createDataFrame([("a", 4)], "token string, token_id int")
+    words = features.build_vocabulary(texts, ["input", "target"])
     plan = features.encode(texts, "id", words)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastExchange") == 1
 
@@ -153,36 +152,40 @@ def test_losses(spark):
     means = {r["epoch"]: r["mean_loss"] for r in evaluation.epoch_losses(steps).collect()}
     assert means == {0: 249.5, 1: 250.0}
     df = spark.createDataFrame([([1.0, 2.0, 4.0], [5, -100, 6])], "l array<double>, y array<int>")
-    assert df.select(evaluation.batch_loss(F.col("l"), F.col("y"), 8)).first()[0] == 5.0 / 8
-
-
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join_equals_broadcast_join(spark, how):
-    """A third of the rows have one key, some have none, some keys are not in the lookup."""
-    key = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, F.col("id") % 50)
-    large = spark.range(5000).select(key.alias("k"), "id")
-    lookup = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    small, salted = (lookup_join(large, lookup, ["k"], how, max_bytes=b, hot_rows=100) for b in (1 << 30, 0))
-    assert [r["k"] for r in hot_keys(large, ["k"], 100).collect()] == [0]
-    order = lambda df: sorted(map(tuple, df.select("k", "id", "v").collect()), key=repr)
-    assert order(small) == order(salted)
-
-
-def test_hot_and_missing_keys_are_dealt_out(spark):
-    key = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, F.col("id") % 50)
-    large = spark.range(6000).select(key.alias("k"), "id")
-    lookup = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
-    before = {k: spark.conf.get(k) for k in plain}
-    try:
-        for k, v in plain.items():
-            spark.conf.set(k, v)
-        joined = lookup_join(large, lookup, ["k"], "left", max_bytes=0, hot_rows=100)
-        sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-    assert sum(sizes) == 6000 and max(sizes) < 1500
+    assert df.select(evaluation.batch_loss(F.col("l"), F.col("y"))).first()[0] == 5.0 / 2
+
+
+def test_losses_keep_rows_without_epoch_phase_or_step(spark):
+    rows = [(0, "train", 1, 1.0), (0, "train", 2, 3.0), (None, "train", 1, 5.0), (0, None, 1, 7.0), (0, None, None, 9.0), (None, None, None, 2.0)]
+    steps = spark.createDataFrame(rows, "epoch int, phase string, step int, loss double")
+    got = {(r.epoch, r.phase, r.step): r.running_loss for r in evaluation.running_losses(steps).collect()}
+    assert got == {
+        (0, "train", 1): 1.0, (0, "train", 2): 2.0, (None, "train", 1): 5.0, (0, None, None): 9.0, (0, None, 1): 8.0, (None, None, None): 2.0,
+    }
+
+
+def test_a_null_epoch_is_shuffled_too(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else 1) for i in range(20)], "id long, epoch int")
+    got = ordering.with_shuffled_position(df, "id", epoch="epoch").collect()
+    for epoch in (None, 1):
+        assert sorted(r.position for r in got if r.epoch == epoch) == list(range(10))
+
+
+def test_encoding_keeps_the_other_side_and_every_row(spark):
+    rows = [(1, "a b", None), (2, None, "a b"), (3, "a", "b"), (3, "b", "a"), (3, "b", "a"), (None, "a", "a"), (4, None, None)]
+    df = spark.createDataFrame(rows, "id long, input string, target string")
+    words = features.build_vocabulary(df, ["input", "target"])
+    assert {r.token: (r.token_id, r.n) for r in words.collect()} == {"a": (4, 7), "b": (5, 5)}
+    assert {r.token for r in features.build_vocabulary(df, ["input", "target"], 5).collect()} == {"a"}
+    got = [(r.id, [x for x in r.input_ids if x > 3], [x for x in r["labels"] if x > 3]) for r in features.encode(df, "id", words).collect()]
+    want = [(1, [4, 5], []), (2, [], [4, 5]), (3, [4], [5]), (3, [5], [4]), (3, [5], [4]), (None, [4], [4]), (4, [], [])]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert df.filter("id = 1").select(features.model_input(F.col("input"), F.col("target"))).first()[0] == "a b"
+
+
+def test_a_batch_without_labels_has_no_loss(spark):
+    df = spark.createDataFrame([([1.0], [-100])], "l array<double>, y array<int>")
+    assert df.select(evaluation.batch_loss(F.col("l"), F.col("y"))).first()[0] is None
 
 
 def test_forest(spark, tmp_path):
