@@ -11,7 +11,8 @@ Only possessive quantifiers are used.  Greedy or lazy groups recurse in
 ``java.util.regex`` and a long comment would overflow the task's stack.
 
 gofmt layout is assumed: top-level keywords stand in column 0 and the lines
-that continue a declaration are indented.
+that continue a declaration are indented.  ``unread_functions`` finds what another
+layout, or deeper nesting, would lose.
 """
 
 from __future__ import annotations
@@ -44,9 +45,10 @@ def _nested(opening: str, closing: str, depth: int) -> str:
     return pattern
 
 
-PAREN = _nested(r"\(", r"\)", 6)
-BRACKET = _nested(r"\[", r"\]", 4)
-BRACE = _nested(r"\{", r"\}", 4)
+# A header nested deeper is not read; ``unread_functions`` tells of it.
+PAREN = _nested(r"\(", r"\)", 16)
+BRACKET = _nested(r"\[", r"\]", 8)
+BRACE = _nested(r"\{", r"\}", 8)
 
 # A bare result type: stops before the body's brace, a comment or a line end.
 TYPE_TEXT = (
@@ -111,13 +113,32 @@ def parses(content: Column) -> Column:
     return content.rlike(r"(?m)^package[ \t]") & let(code_only(unix_lines(content)), test)
 
 
+def unread_functions(content: Column) -> Column:
+    """How many functions the text declares by name beyond those that are read.
+
+    A name after ``func`` or after ``func (...)`` declares one; literals and types have none.
+    """
+    declared = F.regexp_extract_all(
+        code_only(unix_lines(content)), F.lit(rf"(?d)\bfunc[ \t]++(?:{PAREN}[ \t]*+)?+{IDENT}[ \t]*+[\[(]"), F.lit(0)
+    )
+    functions = F.filter(lexeme_parts(lexemes(content)), lambda x: x["kind"] == "func")
+    read = F.filter(functions, lambda x: x["code"].rlike(rf"(?d)\A{HEADER}"))
+    return F.size(declared) - F.size(read)
+
+
 def doc_text(comment: Column) -> Column:
     """Text of a comment block: markers and directives removed, blank runs folded,
     exactly one line feed at the end ('' when nothing is left)."""
-    text = F.regexp_replace(
-        comment, r"(?md)^[ \t]*+//(?:line |extern |export |[a-z0-9]++:[a-z0-9])[^\n]*+\n?+", ""
-    )
-    text = F.regexp_replace(text, r"(?md)^[ \t]*+(?:// ?+|/\*)|\*/[ \t]*+$", "")
+
+    def body(one: Column) -> Column:
+        """Each comment by its own kind: a line's marker and one blank, or a block's two ends."""
+        return F.when(one.startswith("//"), F.regexp_replace(one, r"\A// ?+", "")).otherwise(
+            F.substr(one, F.lit(3), F.length(one) - 4)
+        )
+
+    each = F.regexp_extract_all(comment, F.lit(f"(?d){COMMENT}"), F.lit(0))
+    each = F.filter(each, lambda one: ~one.rlike(r"\A//(?:line |extern |export |[a-z0-9]++:[a-z0-9])"))
+    text = F.array_join(F.transform(each, body), "\n")
     text = F.regexp_replace(text, r"(?md)[ \t\r]++$", "")
     text = F.regexp_replace(text, r"\n{3,}+", "\n\n")
     text = F.regexp_replace(text, r"\A\n++|\n++\z", "")

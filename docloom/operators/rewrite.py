@@ -20,10 +20,16 @@ def _ends_line(text: Column) -> Column:
     )
 
 
-def _function_draft(decl: Column, signature: Column, with_example: Column) -> Column:
+def _function_draft(
+    decl: Column, pos: Column, signature: Column, with_example: Column, replies: Column | None
+) -> Column:
     skip = (decl["name"] == "") | (decl["doc"] != "") | is_entry_point(decl["name"])
-    draft = F.concat(templates.function_comment(decl, with_example), templates.author_line(signature))
-    return F.when(skip, F.lit("")).otherwise(_ends_line(draft))
+    if replies is None:
+        text = templates.function_comment(decl, with_example)
+    else:
+        text = templates.slash_lines(F.element_at(replies, pos))
+    draft = F.concat(text, templates.author_line(signature))
+    return F.when(skip, F.lit("")).otherwise(F.coalesce(_ends_line(draft), F.lit("")))
 
 
 def commented(
@@ -31,21 +37,30 @@ def commented(
     content: str = "content",
     signature: Column | None = None,
     with_example: Column | None = None,
+    replies: Column | None = None,
+    draft_values: Column | None = None,
 ) -> DataFrame:
     """Adds ``new_content``: a template comment before every undocumented declaration.
 
+    With ``replies``, a map from a function's place among the functions of its file to a
+    model's comment, functions get that instead, and those without one get none.
+    Constants and variables get a comment where ``draft_values`` holds (by default
+    everywhere).
+
     Files that do not parse, and files that need nothing, keep their text.  Existing
     comments stay where they are.  The work is one chain of array transforms per file:
     the lexemes are joined again with the drafts in between, without a shuffle.
     """
     signature = F.lit(None).cast("string") if signature is None else signature
     with_example = F.lit(False) if with_example is None else with_example
+    draft_values = F.lit(True) if draft_values is None else draft_values
 
     def rewritten_specs(item: Column) -> Column:
         indent = F.when(item["has_paren"], F.lit("\t")).otherwise(F.lit(""))
 
         def placed(spec: Column) -> Column:
-            draft = _ends_line(templates.spec_comment(item["kind"], spec, item["has_paren"], signature))
+            text = templates.spec_comment(item["kind"], spec, item["has_paren"], signature)
+            draft = _ends_line(F.when(draft_values | (item["kind"] == "type"), text).otherwise(F.lit("")))
             return F.concat(F.regexp_replace(draft, F.lit(r"(?m)^(?!\z)"), indent), spec["text"])
 
         return F.array_join(F.transform(item["specs"], placed), "")
@@ -55,9 +70,9 @@ def commented(
     def rebuilt(items: Column) -> Column:
         with_functions = F.transform(
             golang.function_parts(F.filter(items, lambda x: x["kind"] == "func")),
-            lambda d: F.struct(
+            lambda d, pos: F.struct(
                 d["at"].alias("at"),
-                F.concat(_function_draft(d, signature, with_example), d["text"]).alias("text"),
+                F.concat(_function_draft(d, pos, signature, with_example, replies), d["text"]).alias("text"),
             ),
         )
         with_specs = F.transform(

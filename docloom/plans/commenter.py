@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.prompts import request_body
+from docloom.functions.prompts import decode_response, request_body
 from docloom.functions.text import directory
 from docloom.operators.config import choose_provider, resolve_configs, with_config
 from docloom.operators.extract import undocumented_functions
@@ -37,3 +37,35 @@ def model_requests(configured: DataFrame) -> DataFrame:
     asked = undocumented_functions(configured.filter("provider != 'template' AND config_error IS NULL"))
     body = request_body(F.col("provider"), F.col("signature"), F.col("model_version"))
     return asked.select("path", "pos", "provider", body.alias("request"))
+
+
+def apply_replies(configured: DataFrame, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, rejected) of the folders whose provider is a model.
+
+    ``replies`` is ``(path, pos, body)``, the answers to ``model_requests``.  A comment goes
+    before its function with the author that the configuration names; types get their
+    template whatever the provider, constants and variables with the local provider.
+    ``rejected`` is ``(path, pos, error)``: an answer that cannot be decoded, or a file
+    (without ``pos``) whose configuration is in error.  Of several answers to one request
+    the least text counts.  A file's answers meet in its own row, so a group is never
+    larger than a file.
+    """
+    asked = configured.filter("provider != 'template'")
+    usable = asked.filter("config_error IS NULL")
+    answers = replies.groupBy("path", "pos").agg(F.min("body").alias("body"))
+    answers = usable.select("path", "provider").join(answers, "path")
+    decoded = answers.select("path", "pos", decode_response(F.col("provider"), F.col("body")).alias("reply"))
+    placed = decoded.filter("reply.error IS NULL").groupBy("path").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "reply.comment"))).alias("_replies")
+    )
+    done = commented(
+        usable.join(placed, "path", "left"),
+        signature=F.col("author"),
+        with_example=F.col("active_examples"),
+        replies=F.col("_replies"),
+        draft_values=F.col("provider") == "localai",
+    )
+    no_pos = F.lit(None).cast(replies.schema["pos"].dataType).alias("pos")
+    rejected = asked.filter("config_error IS NOT NULL").select("path", no_pos, F.col("config_error").alias("error"))
+    failed = decoded.filter("reply.error IS NOT NULL").select("path", "pos", "reply.error")
+    return done.drop("_replies"), rejected.unionByName(failed)

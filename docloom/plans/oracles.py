@@ -125,15 +125,15 @@ ORACLES["usage_examples"] = f"""
 WITH {FN} SELECT path, name, {EXAMPLE} AS example FROM fn WHERE {GENERATED} AND {BARE} AND k % 10 <> 5"""
 
 
-def _commented(example: str, author: str) -> str:
-    """CTE ``blocks``: the commented text of every function; both arguments are SQL."""
+def _commented(example: str, author: str, draft: str = "draft") -> str:
+    """CTE ``blocks``: the commented text of every function; the arguments are SQL."""
     return f"""
 blocks AS (
   SELECT f, k, path, {BARE} AS bare, {author} AS author,
     ['', '// ' || name || ' loads the value.' || {NL}, '// TODO: ' || name || {NL}, '// deprecated ' || name || {NL},
      '// ' || name || ' stores the item.' || {NL} || '// It returns early when done.' || {NL},
      '/* ' || name || ' stores it */' || {NL}, '// ' || name || ' is an orphan.' || {NL} || {NL}][k % 7 + 1]
-    || CASE WHEN {BARE} THEN draft || {example} || '//' || {NL} || '// Author: ' || {author} || '.' || {NL} ELSE '' END
+    || CASE WHEN {BARE} THEN coalesce({draft} || {example} || '//' || {NL} || '// Author: ' || {author} || '.' || {NL}, '') ELSE '' END
     || 'func ' || ['', '(x *' || brand || ') ', '(x ' || brand || ') '][k % 3 + 1] || name || '('
     || ['', 'size int', 'ctx context.Context, price float64', 'items []string, opts map[string]int', 'a, b int'][k % 5 + 1]
     || ')' || ['', ' error', ' (string, error)', ' (*' || brand || ', bool)'][r + 1]
@@ -158,6 +158,17 @@ WITH {FN}
 SELECT path, 'localai' AS provider, '{{"text":"' || signature || '","version":3}}' AS request
 FROM fn WHERE {GENERATED} AND {BARE} AND f % 5 = 3"""
 
+# A comment of a model ends where the author's lines begin; broken answers leave nothing.
+_REPLY = f"CASE WHEN pos % 5 <> 4 THEN '// note ' || name || {NL} || '// at place ' || pos || '.' END"
+ORACLES["model_commented_files"] = f"""
+WITH {FN}, {DRAFT}, {_commented("''", "r_name", _REPLY)}
+SELECT path, author, 'package p' || {NL} || {NL} || string_agg(block, '' ORDER BY k) AS new_content
+FROM blocks WHERE f % 5 = 3 GROUP BY f, path, author"""
+ORACLES["rejected_folders"] = f"""
+WITH {FN}
+SELECT DISTINCT path, NULL::BIGINT AS pos, 'openai_api_key is not set' AS error FROM fn WHERE {GENERATED} AND f % 5 = 1
+UNION ALL SELECT path, pos::BIGINT, 'error decoding response' FROM fn WHERE {GENERATED} AND {BARE} AND f % 5 = 3 AND pos % 5 = 4"""
+
 # One row per rendered const, var or type block.
 DC = f"""
 db AS (

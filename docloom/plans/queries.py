@@ -278,6 +278,27 @@ def model_requests(spark, sf):
     return commenter.model_requests(_configured(spark, sf)).select("path", "provider", "request")
 
 
+def _replied(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The model folders with answers: every fifth place of a file answers with broken text."""
+    configured = _configured(spark, sf)
+    asked = extract.undocumented_functions(filters.generator_files(go_files(spark, sf)))
+    comment = F.concat(F.lit("note "), "name", F.lit("\nat place "), F.col("pos"))
+    body = F.when(F.col("pos") % 5 == 4, F.lit('{"comment')).otherwise(F.to_json(F.struct(comment.alias("comment"))))
+    return commenter.apply_replies(configured, asked.select("path", "pos", body.alias("body")))
+
+
+@query
+def model_commented_files(spark, sf):
+    """The comment job with a model's answers placed before their functions."""
+    return _replied(spark, sf)[0].select("path", "author", "new_content")
+
+
+@query
+def rejected_folders(spark, sf):
+    """What the comment job could not do: folders in error and answers without a comment."""
+    return _replied(spark, sf)[1].select("path", F.col("pos").cast("bigint").alias("pos"), "error")
+
+
 @query
 def prompt_requests(spark, sf):
     found = extract.undocumented_functions(filters.generator_files(go_files(spark, sf)))

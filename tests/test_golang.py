@@ -182,3 +182,28 @@ def test_token_stream(go):
     ]
     kept = extract.token_stream_pairs(go(text)).collect()
     assert [r["name"] for r in kept] == ["A", "r", "C", "E"]
+
+
+def test_comment_text_by_kind(go):
+    files = go(
+        "package p\n\n// Serve handles /api/*/\nfunc A() {}\n\n/*\n// kept line\n//go:kept inside\n*/\nfunc B() {}\n\n"
+        "//go:noinline\n// C runs.\nfunc C() {}\n\n// D /* no block\n// ends */\nfunc D() {}\n"
+    )
+    docs = {r["name"]: r["doc"] for r in extract.functions(files).collect()}
+    assert docs == {"A": "Serve handles /api/*/\n", "B": "// kept line\n//go:kept inside\n", "C": "C runs.\n", "D": "D /* no block\nends */\n"}
+
+
+def test_functions_that_are_not_read_are_told_of(go):
+    from docloom.operators.filters import unparsable
+
+    deep = "func(" * 8 + ")" * 8
+    beyond = "func(" * 30 + ")" * 30
+    files = go(
+        f"package p\n\n// Deep is nested.\nfunc Deep(f {deep}) {{}}\n\nfunc After() {{ x := func(a int) {{}} }}\n",
+        f"package p\n\nfunc Lost(f {beyond}) {{}}\n",
+        "package p\n\n/* doc */ func OneLine() {}\n",
+        "package p\n\nfunc A() {}\n\n  func Indented() {}\n",
+        "package p\n\n// func InComment() {}\nvar s = \"func InText() {}\"\ntype f func(a int) error\n\nfunc G[T any](x T) {}\n",
+    )
+    assert {r["name"] for r in extract.functions(files.filter("path = 'f0.go'")).collect()} == {"Deep", "After"}
+    assert {r["path"] for r in unparsable(files).collect()} == {"f1.go", "f2.go", "f3.go"}
