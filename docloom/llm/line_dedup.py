@@ -2,7 +2,8 @@
 
 Rolling hashes over line hashes end a chunk, so equal passages are cut alike wherever
 they stand.  A chunk of several lines that an earlier place has too is removed after its
-bytes have been compared; from there the comparison goes on, line by line, to both sides.
+bytes have been compared; from there the comparison goes on, line by line, through the
+chunks beside it, which may end elsewhere.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ ROLL, LINES = 2, 2
 #: A line of so many words is a passage, and a chunk, of its own; other chunks have two
 #: lines and so many words at least.
 LONG_WORDS, LEAST_WORDS = 20, 10
-#: Lines beside a chunk that are compared too.
-BESIDE = 16
 BITMAP_BITS = 1 << 26
 
 
@@ -41,8 +40,9 @@ def line_ranges(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return data, begin, end, np.concatenate([[0], np.cumsum(count)])
 
 
-def chunks(texts: pa.Array, cuts: int = CUTS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Chunks worth comparing: hash, row, first line in the row, number of lines."""
+def chunks(texts: pa.Array, cuts: int = CUTS) -> tuple[np.ndarray, ...]:
+    """Chunks worth comparing: hash, row, first line in the row, number of lines, and the
+    lines of the chunks before and after it in the row."""
     data, begin, end, first = line_ranges(texts)
     n = len(begin)
     hashes = range_hashes(data, begin, end)
@@ -69,7 +69,10 @@ def chunks(texts: pa.Array, cuts: int = CUTS) -> tuple[np.ndarray, np.ndarray, n
         of_words = word_sums[last + 1] - word_sums[head]
         several = (size >= 2) & (of_words >= LEAST_WORDS)
         good = several | long_[head] if cut == 0 else several
-        head, last, size = head[good], last[good], size[good]
+        before, after = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        before[1:] = np.where(starts[head[1:]], 0, size[:-1])
+        after[:-1] = np.where(stops[last[:-1]], 0, size[1:])
+        head, size, before, after = head[good], size[good], before[good], after[good]
         # Order counts: the lines' hashes are weighed by their place in the chunk.
         at = np.repeat(head, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         place = (at - np.repeat(head, size)).astype(np.uint64)
@@ -77,7 +80,7 @@ def chunks(texts: pa.Array, cuts: int = CUTS) -> tuple[np.ndarray, np.ndarray, n
         np.cumsum(mixed(hashes[at] + mixed(place + np.uint64(1))), out=total[1:])
         stop = np.cumsum(size)
         value = mixed(total[stop] - total[stop - size] + size.astype(np.uint64))
-        found.append((value, row[head], head - first[row[head]], size))
+        found.append((value, row[head], head - first[row[head]], size, before, after))
     return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
@@ -104,7 +107,7 @@ def _chunk_rows(keyed: DataFrame, cuts: int) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 part = batch.slice(a, b - a)
-                value, row, begin, size = chunks(part.column("text"), cuts)
+                value, row, begin, size, _, _ = chunks(part.column("text"), cuts)
                 ids, key, twin = (part.column(c).take(pa.array(row)) for c in ("id", "key", "twin"))
                 place = _place_hash(value, key.to_numpy(), begin)
                 arrays = [pa.array(value.view(np.int64)), ids, key, twin, pa.array(begin.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(place.view(np.int64))]
@@ -139,7 +142,7 @@ def _first_texts(keyed: DataFrame, firsts: DataFrame, cuts: int) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 part = batch.slice(a, b - a)
-                value, row, begin, size = chunks(part.column("text"), cuts)
+                value, row, begin, size, before, after = chunks(part.column("text"), cuts)
                 place = _place_hash(value, part.column("key").to_numpy()[row], begin).view(np.int64)
                 bit = place % BITMAP_BITS
                 hit = np.flatnonzero((bitmap[bit // 64] >> (bit % 64)) & 1)
@@ -149,7 +152,7 @@ def _first_texts(keyed: DataFrame, firsts: DataFrame, cuts: int) -> DataFrame:
                     r, at, n = int(row[k]), int(begin[k]), int(size[k])
                     if r not in own:
                         own[r] = part.column("text")[r].as_py().split("\n")
-                    held.append((place[k], own[r][max(0, at - BESIDE) : at], own[r][at : at + n], own[r][at + n : at + n + BESIDE]))
+                    held.append((place[k], own[r][at - before[k] : at], own[r][at : at + n], own[r][at + n : at + n + after[k]]))
                 columns = list(zip(*held, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, lines) for c in columns[1:]]], ["place", "before", "lines", "after"])
 

@@ -150,8 +150,8 @@ def brute_lines(rows, cuts=line_dedup.CUTS):
     places = defaultdict(set)
     for row in rows:
         if row[1]:
-            for h, _, at, n in zip(*(a.tolist() for a in line_dedup.chunks(pa.array([row[1]]), cuts)), strict=True):
-                places[h].add((order(row), at, n, row[1]))
+            for h, _, at, n, before, after in zip(*(a.tolist() for a in line_dedup.chunks(pa.array([row[1]]), cuts)), strict=True):
+                places[h].add((order(row), at, n, row[1], before, after))
     out = []
     for row in rows:
         lines = (row[1] or "").split("\n") if row[1] else []
@@ -159,14 +159,14 @@ def brute_lines(rows, cuts=line_dedup.CUTS):
         for found in places.values():
             first = min(found)
             source = first[3].split("\n")
-            for o, at, n, text in found:
+            for o, at, n, text, _, _ in found:
                 if text != row[1] or o != order(row) or (o, at) == first[:2]:
                     continue
                 assert lines[at : at + n] == source[first[1] : first[1] + n]
                 low, high, a, b = at, at + n, first[1], first[1] + n
-                while low and a and at - low < line_dedup.BESIDE and lines[low - 1] == source[a - 1]:
+                while low and at - low < first[4] and lines[low - 1] == source[a - 1]:
                     low, a = low - 1, a - 1
-                while high < len(lines) and b < len(source) and high - at - n < line_dedup.BESIDE and lines[high] == source[b]:
+                while high < len(lines) and high - at - n < first[5] and lines[high] == source[b]:
                     high, b = high + 1, b + 1
                 gone |= set(range(low, high))
         kept = [line for i, line in enumerate(lines) if i not in gone]
