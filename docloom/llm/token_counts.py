@@ -102,8 +102,10 @@ def token_counts(
         form.alias("text"),
     )
     known = read_cache(spark, cache_folder, version)
-    # The partial aggregate drops copies before the shuffle, so a hot content moves once a task.
-    misses = contents.select("content", "text").join(known, "content", "left_anti").groupBy("content").agg(F.first("text").alias("text"))
+    # Copies are dropped before the shuffle, so a hot content moves once a task; the cache
+    # then meets the contents where they already are.
+    distinct = contents.select("content", "text").groupBy("content").agg(F.first("text").alias("text"))
+    misses = distinct.join(known, "content", "left_anti")
     new = encode_misses(misses, tokenizer_path)
     new.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_folder)
     counts = read_cache(spark, cache_folder, version)
