@@ -31,6 +31,38 @@ def good_only(graded_rows: DataFrame) -> DataFrame:
     return graded_rows.filter(F.col("grade") == "good")
 
 
+def grade_with_lexicon(
+    df: DataFrame, lexicon: DataFrame, id_columns: list[str], comment: str = "comment"
+) -> DataFrame:
+    """Counts and grade against a lexicon table, without the tokens themselves.
+
+    The words of a comment are counted where the comment has been placed by id, looked up
+    once each, and their counts summed; words the table lacks keep their built-in roles.
+    ``id_columns`` must tell the rows apart.
+    """
+    words = F.transform(grading.tokens(F.coalesce(F.col(comment), F.lit(""))), lambda t: F.lower(t))
+    pairs = F.arrays_zip(words.alias("word"), grading.roles(comment).alias("role"))
+    placed = df.select(*id_columns, comment).repartition(*id_columns)
+    counted = (
+        placed.select(*id_columns, F.explode_outer(pairs).alias("t"))
+        .groupBy(*id_columns, F.col("t.word").alias("word"), F.col("t.role").alias("role"))
+        .agg(F.count("t.word").alias("n"))
+    )
+    known = lexicon.select("word", F.lower("lemma").isin(*grading.TECH_TERMS).alias("_tech"), (F.col("pos") == "VERB").alias("_verb"), F.col("is_stop").alias("_stop"))
+    found = counted.join(known, ["word"], "left")
+
+    def total(flag: str, bit: int):
+        own = F.col("role").bitwiseAND(F.lit(bit)) > 0
+        return F.sum(F.when(F.coalesce(F.col(flag), own, F.lit(False)), F.col("n")).otherwise(0))
+
+    summed = found.groupBy(*id_columns).agg(
+        F.sum("n").alias("n_tokens"), total("_verb", grading.IS_VERB).alias("n_verbs"),
+        total("_stop", grading.IS_STOP).alias("n_stop"), total("_tech", grading.IS_TECH).alias("n_tech"),
+    )
+    c = [F.col(name) for name in ("n_tokens", "n_verbs", "n_stop", "n_tech")]
+    return summed.withColumn("grade", grading.grade(*c))
+
+
 def analyze_with_lexicon(
     df: DataFrame, lexicon: DataFrame, id_columns: list[str], comment: str = "comment"
 ) -> DataFrame:

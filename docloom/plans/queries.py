@@ -368,7 +368,7 @@ def lexicon_grades(spark, sf):
             (F.length("word") <= 3).alias("is_stop"),
         )
     )
-    rows = analysis.analyze_with_lexicon(_documents(spark, sf), lexicon, ["doc_id"])
+    rows = analysis.grade_with_lexicon(_documents(spark, sf), lexicon, ["doc_id"])
     return rows.select(
         "doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("n_tokens", "n_verbs", "n_stop", "n_tech")], "grade"
     )
@@ -543,15 +543,15 @@ def eval_matrix(spark, sf):
     )
 
 
-def _length_model() -> Callable[[str, int], str]:
-    """A stand-in for a loaded model: tells the length of its input, fails on some."""
+def _length_model(version: int) -> Callable[[list[str]], list[str]]:
+    """A stand-in for a loaded model: tells the length of its inputs, fails on some."""
 
-    def reply(value: str, version: int) -> str:
-        if version == 2 and len(value) % 3 == 0:
+    def replies(texts: list[str]) -> list[str]:
+        if version == 2 and any(len(text) % 3 == 0 for text in texts):
             raise RuntimeError("no answer")
-        return f"{version}: {len(value)} characters"
+        return [f"{version}: {len(text)} characters" for text in texts]
 
-    return reply
+    return replies
 
 
 @query

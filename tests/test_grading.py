@@ -52,6 +52,11 @@ def test_lexicon_table(spark, threshold):
     assert got[1]["n_tokens"] == 404 and got[1]["n_stop"] == 401 and got[1]["n_verbs"] == 2 and got[1]["n_tech"] == 1
     assert got[1]["tokens"][-4:] == ["flurb", "sets", "the", "value"] and got[1]["lemmas"][-4:] == ["flurbo", "set", "the", "value"]
     assert got[2]["grade"] == "poor" and got[3]["n_tokens"] == 0 and got[3]["tokens"] == []
+    counted = analysis.grade_with_lexicon(df, lexicon, ["id"])
+    for r in counted.collect():
+        assert all(r[c] == got[r["id"]][c] for c in ("n_tokens", "n_verbs", "n_stop", "n_tech", "grade"))
+    assert counted.count() == 3
+    assert "ObjectHashAggregate" not in counted._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 

@@ -121,11 +121,11 @@ def test_versions_and_batches(spark):
     matrix = evaluation.with_versions(rows, 3)
     assert matrix.count() == 6 and evaluation.with_versions(rows, 0).count() == 0
 
-    def load():
-        def model(text, version):
-            if text == "bad" and version == 2:
+    def load(version):
+        def model(texts):
+            if "bad" in texts and version == 2:
                 raise RuntimeError("no answer")
-            return "A does." if version == 3 else text
+            return ["A does." if version == 3 else text for text in texts]
 
         return model
 
@@ -137,6 +137,24 @@ def test_versions_and_batches(spark):
     assert scores[3]["exact_rate"] == 0.5 and scores[1]["exact_rate"] == 0.0 and scores[2]["n"] == 2
 
 
+def test_a_model_is_loaded_once_per_process_and_version(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load(version):
+        import os
+        import uuid
+
+        with open(f"{folder}/{os.getpid()}-{version}-{uuid.uuid4().hex}", "w"):
+            pass
+        return lambda texts: texts[1:] if len(texts) > 1 else texts
+
+    rows = evaluation.with_versions(spark.range(400).select(F.col("id").cast("string").alias("name")).repartition(20), 2)
+    replies = evaluation.predict_in_batches(rows, load)
+    assert replies.filter("predicted = name AND error IS NULL").count() == 800
+    loads = [f.name.rsplit("-", 1)[0] for f in tmp_path.iterdir()]
+    assert len(loads) == len(set(loads)) >= 2
+
+
 def test_word_f1(spark):
     cases = [("a b", "a c", 0.5), ("", "", 1.0), (None, "a", 0.0), ("A a B", "a b", 1.0)]
     df = spark.createDataFrame([(p, e) for p, e, _ in cases], "p string, e string")
