@@ -461,6 +461,26 @@ WITH {REPOS}, best AS (SELECT s_suppkey FROM repos WHERE is_go ORDER BY stars DE
 SELECT owner, repo, 'src/f' || k || '.go' AS path, 'package p // ' || p_name || {NL} AS content
 FROM entries JOIN part ON k = p_partkey WHERE s_suppkey IN (SELECT s_suppkey FROM best) AND k % 4 <> 0 AND k % 9 <> 0"""
 
+ORACLES["repo_tree"] = f"""
+WITH {REPOS} SELECT owner, repo, 'src/f' || k || '.go' AS path FROM entries WHERE k % 4 <> 0"""
+
+# -- writers and readers, there and back ---------------------------------------------------
+
+_BREAK = "chr(13) || chr(10)"
+ORACLES["archive_files"] = f"""
+SELECT url, false AS cut_short,
+  md5(html || CASE WHEN page_id % 3 = 0 THEN {_BREAK} || {_BREAK} ELSE '' END
+      || CASE WHEN page_id % 4 = 0 THEN {NL} || 'WARC/1.1' || {_BREAK} || 'WARC-Type: none' || {_BREAK} ELSE '' END) AS digest
+FROM pages"""
+ORACLES["archive_table"] = """
+SELECT CASE WHEN page_id % 5 = 0 THEN 'request' ELSE 'response' END AS rec_type, count(*) AS n FROM pages GROUP BY 1"""
+ORACLES["csv_pairs"] = f"SELECT name, comment FROM ({ORACLES['function_pairs']})"
+ORACLES["appended_dataset"] = f"""
+WITH g AS ({ORACLES['graded_dataset']})
+SELECT '20240131_07' AS bucket, name, comment, count(*) + 1 AS n FROM g GROUP BY name, comment"""
+ORACLES["json_pairs"] = ORACLES["function_pairs"]
+ORACLES["written_files"] = f"SELECT path, new_content AS content FROM ({ORACLES['rewritten_files']})"
+
 # -- training set ----------------------------------------------------------------------
 
 SPLIT = """

@@ -422,6 +422,82 @@ def repo_listing(spark, sf):
     return code_host.contents_listing(listing).groupBy("owner", "repo").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+# -- writers and readers, there and back ---------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def archive_files(spark, sf):
+    """Pages to archive files of both versions and back through the reader."""
+    folder = _folder(spark, "archive")
+    corpus.write_archive(table(spark, sf, "pages"), folder)
+    records = web_archive.responses(web_archive.read_warc(spark, folder))
+    return records.select("url", F.md5(F.col("payload").cast("binary")).alias("digest"), "cut_short")
+
+
+@query
+def archive_table(spark, sf):
+    """Records landed as a table and read again."""
+    folder = _folder(spark, "landed")
+    web_archive.parse_records(corpus.archive_records(table(spark, sf, "pages"))).write.parquet(folder)
+    return web_archive.read_archive_table(spark, folder, "parquet").groupBy("rec_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def csv_pairs(spark, sf):
+    """Pairs with comments of several lines, through a CSV file."""
+    folder = _folder(spark, "pairs")
+    sinks.write_pairs_csv(extract.function_pairs(filters.corpus_files(go_files(spark, sf))), folder)
+    return files.read_table_csv(spark, folder).select("name", "comment")
+
+
+@query
+def appended_dataset(spark, sf):
+    """Two runs into one hour repeat the rows, a run that drops repeats does not repeat its own."""
+    folder = _folder(spark, "dataset")
+    rows = sinks.dataset_rows(dataset.dataset(go_files(spark, sf)))
+    hour = F.lit("2024-01-31 07:30:00").cast("timestamp")
+    sinks.append_dataset(rows, folder, hour)
+    sinks.append_dataset(rows.unionByName(rows), folder, hour, distinct=True)
+    found = files.read_dataset(spark, folder).withColumn("bucket", F.regexp_extract(F.input_file_name(), "bucket=([0-9_]+)", 1))
+    return found.groupBy("bucket", "name", "comment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def json_pairs(spark, sf):
+    """Pairs written as JSON lines over an earlier run's."""
+    folder = _folder(spark, "json")
+    pairs = extract.function_pairs(filters.corpus_files(go_files(spark, sf)))
+    sinks.write_json(pairs.limit(1), folder)
+    sinks.write_json(pairs, folder)
+    return spark.read.schema("path string, name string, comment string").json(folder)
+
+
+@query
+def written_files(spark, sf):
+    """The changed files at their new place."""
+    folder = _folder(spark, "files")
+    done = rewrite.commented(filters.generator_files(go_files(spark, sf)), signature=F.lit("corpus"))
+    sinks.write_files(done, folder)
+    return spark.read.parquet(folder)
+
+
+@query
+def repo_tree(spark, sf):
+    """Go files of recursive listings, one listing a repository."""
+    listing, _ = corpus.repository_answers(
+        table(spark, sf, "lineitem"), table(spark, sf, "supplier"), table(spark, sf, "part")
+    )
+    entry = F.from_json("body", code_host.CONTENTS_SCHEMA)[0]["path"]
+    trees = listing.groupBy("owner", "repo").agg(
+        F.to_json(F.struct(F.collect_list(F.struct(entry.alias("path"))).alias("tree"))).alias("body")
+    )
+    return code_host.tree_listing(trees).select("owner", "repo", "path")
+
+
 # -- training set ----------------------------------------------------------------------
 
 

@@ -5,30 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORD_START = "WARC/1.0\r\n"
+# What stands between two records of any 1.x version.
+RECORD_BREAK = "\r\n\r\nWARC/1."
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """``(rec_type, url, payload)`` of the records under a path.
 
-    The record marker is the reader's line separator, so plain files split across
-    tasks.  Files compressed by member are read through the Hadoop codec, one task each.
+    What stands between records is the reader's line separator, so plain files split
+    across tasks; a payload that holds those very bytes would be cut there, and its record
+    is then shorter than its ``Content-Length`` says (``cut_short``).  Files compressed by
+    member are read through the Hadoop codec, one task each.
     """
-    return parse_records(spark.read.option("lineSep", RECORD_START).text(path))
+    return parse_records(spark.read.option("lineSep", RECORD_BREAK).text(path))
 
 
 def parse_records(records: DataFrame, value: str = "value") -> DataFrame:
-    """Splits record texts into headers and payload; the blank pieces between markers
-    drop out.  The payload of an HTTP message is its body."""
+    """Splits record texts into headers and payload; pieces that are no record drop out.
+
+    The block ends where ``Content-Length`` says, in bytes; without it, before the two
+    line breaks that close a record.  Line breaks of the payload itself stay.  The payload
+    of an HTTP message is its body.
+    """
     others = [c for c in records.columns if c != value]
 
     def header(name: str):
         return F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
 
+    stated = header("Content-Length").try_cast("int")
+    block = F.when(stated.isNull(), F.regexp_replace("rest", r"\r\n\r\n\z", "")).otherwise(
+        F.substring(F.col("rest").cast("binary"), F.lit(1), stated).cast("string")
+    )
     parts = (
-        records.withColumn("head", F.substring_index(value, "\r\n\r\n", 1))
-        .withColumn("rest", F.substr(F.col(value), F.length("head") + 5))
-        .withColumn("rest", F.regexp_replace("rest", r"(?:\r\n)++\z", ""))
+        records.withColumn("head", F.substring_index(F.regexp_replace(value, r"\A(?:WARC/1\.)?\d+\r\n", ""), "\r\n\r\n", 1))
+        .withColumn("rest", F.substr(F.col(value), F.instr(value, "\r\n\r\n") + 4))
+        .withColumn("cut_short", F.coalesce(F.octet_length("rest") < stated, F.lit(False)))
+        .withColumn("rest", block)
     )
     is_http = F.col("rest").startswith("HTTP/")
     message = F.substring_index("rest", "\r\n\r\n", 1)
@@ -38,6 +50,7 @@ def parse_records(records: DataFrame, value: str = "value") -> DataFrame:
         header("WARC-Type").alias("rec_type"),
         header("WARC-Target-URI").alias("url"),
         F.when(is_http, body).otherwise(F.col("rest")).alias("payload"),
+        "cut_short",
     ).filter(F.col("rec_type") != "")
 
 
