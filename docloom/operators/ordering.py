@@ -178,7 +178,7 @@ def row_window(df: DataFrame, order_by: Sequence[str], start: int = 0, length: i
 
 def random_split(df: DataFrame, row_id: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Seeded split with exactly ``ceil(test_share * n)`` validation rows, by hash order."""
-    keyed = df.withColumn("_key", F.xxhash64(F.lit(seed), F.col(row_id)))
+    keyed = df.withColumn("_key", shuffle_key(seed, F.lit(0), F.col(row_id)))
     return positional_split(keyed, ["_key", row_id], test_share).drop("_key")
 
 

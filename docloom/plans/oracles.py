@@ -531,6 +531,12 @@ WITH {ENCODING},
 numbered AS (SELECT doc_id, (row_number() OVER (ORDER BY md5('2022:0:' || doc_id), doc_id) - 1) // 8 AS batch FROM placed WHERE split = 'train')
 SELECT batch, sum(len(list_filter(y, lambda v: v <> 0)))::BIGINT AS n_labels FROM numbered JOIN framed USING (doc_id) GROUP BY batch"""
 
+ORACLES["training_batches"] = f"""
+WITH {ENCODING}
+SELECT epoch, (row_number() OVER (PARTITION BY epoch ORDER BY md5('2022:' || epoch || ':' || doc_id), doc_id) - 1) // 8 AS batch,
+  doc_id, array_to_string(x, ',') AS input_ids, len(list_filter(y, lambda v: v <> 0))::BIGINT AS n_labels
+FROM placed JOIN framed USING (doc_id), range(2) AS e(epoch) WHERE split = 'train'"""
+
 # -- evaluation ------------------------------------------------------------------------
 
 PREDICTED = """
@@ -582,5 +588,5 @@ ORACLES["newest_dataset"] = """
 SELECT 'dataset/functions_dataset_' || o_orderkey || '.jsonl' AS path FROM orders
 WHERE o_orderkey % 2 = 0 ORDER BY o_orderdate DESC, path LIMIT 1"""
 ORACLES["recipe_split"] = """
-SELECT split, n FROM (SELECT ceil(0.2::DOUBLE * count(*))::BIGINT AS v, count(*) AS total FROM embeddings),
-LATERAL (VALUES ('validation', v), ('train', total - v)) AS t(split, n)"""
+SELECT vec_id, CASE WHEN row_number() OVER (ORDER BY md5('42:0:' || vec_id), vec_id) > count(*) OVER () - ceil(0.2::DOUBLE * count(*) OVER ())
+  THEN 'validation' ELSE 'train' END AS split FROM embeddings"""

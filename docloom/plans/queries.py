@@ -24,7 +24,7 @@ from docloom.operators import (
     rewrite,
     sinks,
 )
-from docloom.plans import commenter, corpus, dataset
+from docloom.plans import commenter, corpus, dataset, training
 from docloom.plans.corpus import table
 from docloom.session import checkpoint_dir, spread
 from docloom.sources import code_host, files, listings, web_archive
@@ -580,8 +580,19 @@ def encoded_features(spark, sf):
 
 @query
 def label_counts(spark, sf):
-    batches = _batches(_split(spark, sf)).filter("split = 'train'").select("doc_id", "batch")
-    return features.label_counts(_encoded(spark, sf).join(batches, "doc_id")).select("batch", "n_labels")
+    train, _, words = training.split_texts(_texts(spark, sf), ["doc_id"])
+    return features.label_counts(training.training_batches(train, "doc_id", words)).select("batch", "n_labels")
+
+
+@query
+def training_batches(spark, sf):
+    """The training-set job over two epochs."""
+    train, _, words = training.split_texts(_texts(spark, sf), ["doc_id"])
+    rows = training.training_batches(train, "doc_id", words, epochs=2)
+    return rows.select(
+        F.col("epoch").cast("bigint").alias("epoch"), "batch", "doc_id", joined("input_ids", ","),
+        features.kept_labels(F.col("labels")).cast("bigint").alias("n_labels"),
+    )
 
 
 # -- evaluation ------------------------------------------------------------------------
@@ -748,8 +759,8 @@ def newest_dataset(spark, sf):
 
 @query
 def recipe_split(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id")
-    return ordering.split_counts(ordering.random_split(rows, "vec_id"))
+    """Who is held out, row by row."""
+    return ordering.random_split(table(spark, sf, "embeddings").select("vec_id"), "vec_id")
 
 
 @query
