@@ -566,6 +566,12 @@ ORACLES["rejected_requests"] = """
 SELECT conv_id, turn, 'text is required' AS error FROM conversations WHERE turn % 5 >= 3 OR text = ''"""
 ORACLES["valid_lines"] = "SELECT conv_id, turn, role AS name, text AS comment FROM conversations WHERE conv_id % 7 <> 3"
 ORACLES["rejected_lines"] = "SELECT conv_id, turn FROM conversations WHERE conv_id % 7 = 3"
+ORACLES["evaluation_run"] = f"""
+WITH {PREDICTED},
+n AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS row_no FROM conversations),
+w AS (SELECT version, length(text) AS l, version = 2 AND length(text) % 3 = 0 AS failed FROM n, versions WHERE row_no <= 50 AND conv_id % 7 <> 3)
+SELECT version, count(*) AS n, count(*) FILTER (failed) AS n_failed,
+  round(avg((NOT failed AND l % 2 = version % 2)::INTEGER), 9) AS exact_rate FROM w GROUP BY version"""
 ORACLES["row_window"] = """
 WITH n AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS row_no FROM conversations)
 SELECT row_no, role AS name, text AS comment FROM n WHERE row_no <= 50 AND conv_id % 7 <> 3"""

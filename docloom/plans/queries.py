@@ -24,7 +24,7 @@ from docloom.operators import (
     rewrite,
     sinks,
 )
-from docloom.plans import commenter, corpus, dataset, training
+from docloom.plans import commenter, corpus, dataset, evaluation_job, training
 from docloom.plans.corpus import table
 from docloom.session import checkpoint_dir, spread
 from docloom.sources import code_host, files, listings, web_archive
@@ -679,12 +679,35 @@ def rejected_requests(spark, sf):
     return _requests(spark, sf)[1].select("conv_id", "turn", "error")
 
 
-def _json_lines(spark, sf) -> DataFrame:
+def _raw_lines(spark, sf) -> DataFrame:
     rows = _eval_rows(spark, sf)
     line = F.to_json(F.struct("name", "comment"))
     broken = F.concat(F.lit("{"), line)
-    lines = rows.select("conv_id", "turn", F.when(F.col("conv_id") % 7 == 3, broken).otherwise(line).alias("value"))
-    return files.parse_dataset_lines(lines)
+    return rows.select("conv_id", "turn", F.when(F.col("conv_id") % 7 == 3, broken).otherwise(line).alias("value"))
+
+
+def _json_lines(spark, sf) -> DataFrame:
+    return files.parse_dataset_lines(_raw_lines(spark, sf))
+
+
+def _echo_model(version: int) -> Callable[[list[str]], list[str]]:
+    """A stand-in for a loaded model: gives some texts back, changes others, fails on some."""
+
+    def replies(texts: list[str]) -> list[str]:
+        if version == 2 and any(len(text) % 3 == 0 for text in texts):
+            raise RuntimeError("no answer")
+        return [text if len(text) % 2 == version % 2 else text + "!" for text in texts]
+
+    return replies
+
+
+@query
+def evaluation_run(spark, sf):
+    """The evaluation job over the first window of lines."""
+    scores, _ = evaluation_job.evaluation_run(
+        _raw_lines(spark, sf), ["conv_id", "turn"], _versions(spark, sf), _echo_model, text="comment"
+    )
+    return scores.select(F.col("version").cast("bigint").alias("version"), "n", "n_failed", F.round("exact_rate", 9).alias("exact_rate"))
 
 
 @query
