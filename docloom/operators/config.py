@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.once import with_once
 from docloom.functions.text import directory, module_name
 
 # Address and version used when a configuration names none.
@@ -74,13 +75,18 @@ def parse_config(files: DataFrame) -> DataFrame:
 
     def raw(section: str, key: str) -> Column:
         indent = r"[ \t]+" if section else ""
-        return _scalar(F.trim(F.regexp_extract(section_text(section), rf"(?md)^{indent}{key}:[ \t]+([^\n]*)$", 1)))
+        within = F.col(f"_sections.{section or 'top'}")
+        return _scalar(F.trim(F.regexp_extract(within, rf"(?md)^{indent}{key}:[ \t]+([^\n]*)$", 1)))
 
-    def bad(section: str, key: str, kind: str) -> Column:
-        wrong = raw(section, key).isNotNull() & _typed(raw(section, key), kind).isNull()
-        return F.when(wrong, F.lit(f"{field_name(section, key)} is not of type {kind}"))
+    def bad(name: str, kind: str) -> Column:
+        given = F.col(f"_raw.{name}")
+        return F.when(given.isNotNull() & _typed(given, kind).isNull(), F.lit(f"{name} is not of type {kind}"))
 
-    keys = [(s, key, kind) for s, keys in CONFIG_KEYS.items() for key, kind in keys.items()]
+    keys = [(s, key) for s, keys in CONFIG_KEYS.items() for key in keys]
+    kinds = {field_name(s, key): CONFIG_KEYS[s][key] for s, key in keys}
+    # Sections are cut out once, values found once.
+    cut = with_once(files, "_sections", F.struct(*[section_text(s).alias(s or "top") for s in CONFIG_KEYS]))
+    found = with_once(cut, "_raw", F.struct(*[raw(s, key).alias(field_name(s, key)) for s, key in keys]))
 
     block = F.regexp_extract(content, r"(?md)^prefixes:[ \t]*\n((?:[ \t]*-[ \t]+[^\n]*(?:\n|\z))*+)", 1)
     flow = F.regexp_extract(content, r"(?md)^prefixes:[ \t]*\[([^\]\n]*)\]", 1)
@@ -88,11 +94,11 @@ def parse_config(files: DataFrame) -> DataFrame:
         F.split(flow, ",")
     )
     prefixes = F.filter(F.transform(entries, lambda e: _scalar(F.trim(e))), lambda e: e != "")
-    return files.select(
+    return found.select(
         directory(F.col("path")).alias("dir"),
-        *[_typed(raw(s, key), kind).alias(field_name(s, key)) for s, key, kind in keys],
+        *[_typed(F.col(f"_raw.{name}"), kind).alias(name) for name, kind in kinds.items()],
         F.when(F.size(prefixes) > 0, prefixes).alias("prefixes"),
-        F.coalesce(*[bad(s, key, kind) for s, key, kind in keys if kind != "string"]).alias("bad_value"),
+        F.coalesce(*[bad(name, kind) for name, kind in kinds.items() if kind != "string"]).alias("bad_value"),
     )
 
 
@@ -142,33 +148,35 @@ def resolve_configs(
         "of", "step.depth", "step.dir"
     )
     chain = chain.join(modules.withColumn("has_module", F.lit(True)), ["dir"], "left")
-    chain = chain.join(configs, ["dir"], "left")
-    bounded = chain.groupBy("of").agg(
-        F.max(F.when(F.col("has_module"), F.col("depth"))).alias("floor"),
-        F.collect_list(F.struct("depth", "module", "bad_value", *FIELDS)).alias("levels"),
-    )
-    levels = F.array_sort(F.filter("levels", lambda x: x["depth"] >= F.coalesce(F.col("floor"), F.lit(0))))
-    # The order of the sort is by depth, the first field; depths are distinct.
-    bounded = bounded.withColumn("levels", levels)
+    # The walk's end first, then one aggregate a field over the levels that count.
+    ends = chain.groupBy("of").agg(F.max(F.when(F.col("has_module"), F.col("depth"))).alias("end"))
+    levels = chain.join(ends, "of").filter(F.col("depth") >= F.coalesce("end", F.lit(0)))
+    levels = levels.join(configs, ["dir"], "left")
 
-    def is_set(name: str, value: Column) -> Column:
+    def is_set(name: str) -> Column:
+        value = F.col(name)
         if name in MAY_BE_EMPTY or FIELDS.get(name) == "boolean":
             return value.isNotNull()
         return value != (0 if FIELDS.get(name) == "int" else "")
 
     def nearest(name: str) -> Column:
-        given = F.filter("levels", lambda x: is_set(name, x[name]))
-        return F.get(given, F.size(given) - 1)[name]
+        return F.max_by(name, F.when(is_set(name), F.col("depth"))).alias(name)
 
-    fields = {name: nearest(name) for name in [*FIELDS, "bad_value"] if name != "prefixes"}
-    root_local = F.lit(local) if local else F.get("levels", F.lit(0))["module"]
-    fields["local"] = F.coalesce(F.when(fields["local"] != "", fields["local"]), root_local, F.lit(""))
+    own = F.struct("depth", F.coalesce("prefixes", F.array().cast("array<string>")).alias("prefixes"))
+    merged = levels.groupBy("of").agg(
+        *[nearest(name) for name in [*FIELDS, "bad_value"] if name != "prefixes"],
+        F.min_by("module", "depth").alias("_module"),
+        F.array_sort(F.collect_list(own)).alias("_prefixes"),
+    )
+    fields = {name: F.col(name) for name in [*FIELDS, "bad_value"] if name != "prefixes"}
+    root_local = F.lit(local) if local else F.col("_module")
+    fields["local"] = F.coalesce(fields["local"], root_local, F.lit(""))
     for flag in ("update_comments", "active_examples"):
         fields[flag] = F.coalesce(fields[flag], F.lit(False))
     fields["localai_url"] = F.coalesce(fields["localai_url"], F.lit(DEFAULT_LOCAL_URL))
-    appended = F.flatten(F.transform("levels", lambda x: F.coalesce(x["prefixes"], F.array().cast("array<string>"))))
+    appended = F.flatten(F.transform("_prefixes", lambda x: x["prefixes"]))
     fields["prefixes"] = F.concat(F.array(*[F.lit(p) for p in prefixes or []]).cast("array<string>"), appended)
-    return bounded.select(F.col("of").alias("dir"), *[column.alias(name) for name, column in fields.items()])
+    return merged.select(F.col("of").alias("dir"), *[column.alias(name) for name, column in fields.items()])
 
 
 def _missing(name: str) -> Column:
