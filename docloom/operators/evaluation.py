@@ -15,11 +15,10 @@ from docloom.functions.once import let, with_once
 from docloom.functions.text import words
 from docloom.operators.features import IGNORED_LABEL, kept_labels
 from docloom.operators.filters import split_blank_inputs
+from docloom.session import stored
 
 # Fixed value: the version an inference request gets when it names none.
 DEFAULT_VERSION = 9
-# Block width and number of blocks of a running sum.
-MIN_BLOCK, MAX_BLOCKS = 65_536, 100_000
 
 
 def inference_requests(rows: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -128,18 +127,17 @@ def batch_loss(token_losses: Column, labels: Column) -> Column:
     return F.try_divide(F.aggregate(kept, F.lit(0.0), lambda total, x: total + x), kept_labels(labels))
 
 
-def running_losses(steps: DataFrame, block: int | None = None) -> DataFrame:
+def running_losses(steps: DataFrame) -> DataFrame:
     """Adds ``running_loss``, the mean loss of an epoch and phase up to each step.
 
-    Steps are cut into blocks; the sums of earlier blocks (one row per block) are added
-    to the running sum within a block, so a task never holds a whole epoch.  The width
-    of a block follows the range of the steps, which also bounds the number of blocks.
-    A null epoch or phase is a group like any other; rows without a step come first.
+    Steps are sorted into ranges of about equally many rows, however the step numbers lie;
+    the sums of earlier ranges (one row a range) are added to the running sum within a
+    range, so a task never holds a whole epoch.  The ranges are stored, so that all passes
+    see the same ones.  A null epoch or phase is a group like any other; rows without a
+    step come first.
     """
-    if block is None:
-        low, high = steps.agg(F.min("step"), F.max("step")).first()
-        block = max(MIN_BLOCK, ((high or 0) - (low or 0)) // MAX_BLOCKS + 1)
-    blocked = steps.withColumn("_block", F.floor(F.col("step") / block))
+    ranged = steps.repartitionByRange("epoch", "phase", "step")
+    blocked = stored(ranged.withColumn("_block", F.spark_partition_id()))
     key = ["epoch", "phase"]
     earlier = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = blocked.groupBy(*key, "_block").agg(F.sum("loss").alias("_s"), F.count(F.lit(1)).alias("_n"))

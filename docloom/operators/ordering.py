@@ -113,16 +113,16 @@ def with_shuffled_position(
     seed: int = 2022,
     epoch: str | None = None,
     column: str = "position",
-    bucket_digits: int = 3,
+    bucket_rows: int = 100_000,
 ) -> DataFrame:
     """Adds the 0-based position in a seeded full shuffle, per epoch when one is named.
 
     Rows are ordered by a hash of (seed, epoch, id).  The leading hex digits of the hash
     cut every epoch into equal buckets; a row's position is its rank in its bucket plus
-    the sizes of the buckets before it.  ``16 ** bucket_digits`` bounds the offsets of an
-    epoch and, inversely, the rows that one task ranks; Spark broadcasts the offsets if
-    they are small enough.
+    the sizes of the buckets before it.  There are as many buckets as give each about
+    ``bucket_rows`` rows at most; Spark broadcasts their offsets if they are small enough.
     """
+    bucket_digits = max(1, math.ceil(math.log(max(1, df.count() / bucket_rows), 16)))
     epoch_value = F.col(epoch) if epoch else F.lit(0)
     keyed = df.withColumn("_key", shuffle_key(seed, epoch_value, F.col(row_id))).withColumn(
         "_bucket", F.substring("_key", 1, bucket_digits)

@@ -163,7 +163,7 @@ def test_word_f1(spark):
 
 def test_losses(spark):
     steps = spark.range(1000).select((F.col("id") % 2).alias("epoch"), F.lit("train").alias("phase"), F.col("id").alias("step"), (F.col("id") * 0.5).alias("loss"))
-    curve = {r["step"]: r["running_loss"] for r in evaluation.running_losses(steps, block=64).collect()}
+    curve = {r["step"]: r["running_loss"] for r in evaluation.running_losses(steps).collect()}
     for step in (0, 1, 2, 500, 998, 999):
         earlier = [i * 0.5 for i in range(step % 2, step + 1, 2)]
         assert curve[step] == pytest.approx(sum(earlier) / len(earlier))
