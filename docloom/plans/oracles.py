@@ -388,6 +388,9 @@ counted AS (
   FROM documents d LEFT JOIN pieces p ON d.doc_id = p.doc_id LEFT JOIN lexicon ON p.text = t GROUP BY d.doc_id)"""
 
 ORACLES["comment_grades"] = f"WITH {TAGGED}, {GRADED} SELECT *, {GRADE} AS grade FROM counted"
+ORACLES["grades_with_gaps"] = f"""
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE n_tokens END AS n_tokens, CASE WHEN doc_id % 5 = 0 THEN 'poor' ELSE grade END AS grade
+FROM ({ORACLES['comment_grades']})"""
 ORACLES["graded_good"] = f"WITH {TAGGED}, {GRADED} SELECT doc_id FROM counted WHERE {GRADE} = 'good'"
 
 _ENTITY = f"(tag = 'NUM' OR p.text IN {_words(LEX.entities)})"
@@ -581,6 +584,9 @@ steps AS (SELECT user_id % 10 AS epoch, CASE WHEN event_type = 'error' THEN 'val
   event_id AS step, value::DECIMAL(18, 4) AS loss FROM events)"""
 ORACLES["epoch_losses"] = f"""
 WITH {STEPS} SELECT epoch, phase, count(*) AS n_steps, sum(loss)::DOUBLE / count(*) AS mean_loss FROM steps GROUP BY epoch, phase"""
+ORACLES["batch_losses"] = """
+SELECT l_orderkey, round(sum(l_quantity::DOUBLE) FILTER (l_linenumber % 3 <> 0) / count(*) FILTER (l_linenumber % 3 <> 0), 9) AS loss
+FROM lineitem GROUP BY l_orderkey"""
 ORACLES["loss_curves"] = f"""
 WITH {STEPS} SELECT epoch, phase, step, (sum(loss) OVER w)::DOUBLE / (count(*) OVER w) AS running_loss FROM steps
 WINDOW w AS (PARTITION BY epoch, phase ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""

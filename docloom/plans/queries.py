@@ -341,6 +341,13 @@ def comment_grades(spark, sf):
     )
 
 
+@query
+def grades_with_gaps(spark, sf):
+    """Every fifth comment is missing, and so graded as an empty one."""
+    rows = _documents(spark, sf).withColumn("comment", F.when(F.col("doc_id") % 5 != 0, F.col("comment")))
+    return analysis.graded(rows).select("doc_id", F.col("counts.n_tokens").cast("bigint").alias("n_tokens"), "grade")
+
+
 @query
 def graded_good(spark, sf):
     return analysis.good_only(analysis.graded(_documents(spark, sf))).select("doc_id")
@@ -742,6 +749,16 @@ def epoch_losses(spark, sf):
     )
 
 
+@query
+def batch_losses(spark, sf):
+    """An order is a batch, a line a token; every third line's label is ignored."""
+    line = F.struct("l_linenumber", "l_quantity")
+    batches = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("t"))
+    losses = F.transform("t", lambda x: x["l_quantity"].cast("double"))
+    labels = F.transform("t", lambda x: F.when(x["l_linenumber"] % 3 == 0, features.IGNORED_LABEL).otherwise(x["l_linenumber"].cast("int")))
+    return batches.select("l_orderkey", F.round(evaluation.batch_loss(losses, labels), 9).alias("loss"))
+
+
 @query
 def loss_curves(spark, sf):
     curves = evaluation.running_losses(_steps(spark, sf))
