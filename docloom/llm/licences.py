@@ -10,34 +10,50 @@ from pyspark.sql import functions as F
 from docloom.functions.once import let
 from docloom.llm.licence_texts import KNOWN
 
-#: Spellings that count as equal, as (pattern, replacement) over text in
-#: lower case without punctuation; $1 is what the parentheses matched.
+#: Spellings that count as equal, as parts of words in lower case; a blank
+#: stands for the beginning of a word.  Applied in this order.
 SPELLINGS = [
-    (r"(^|[ \n])sub licen[cs]", "$1sublicens"),
-    (r"licenc", "licens"),
-    (r"(^|[ \n])non (commercial|infring)", "$1non$2"),
-    (r"(organ|author|recogn|real|util|initial|maxim|optim|emphas|categor|capital)is(e|ing|ation)", "$1iz$2"),
-    (r"(fav|lab|behavi|hon)our", "$1or"),
-    (r"(judg|acknowledg)ement", "$1ment"),
-    (r"(^|[ \n])centre", "$1center"),
-    (r"(^|[ \n])wilful", "$1willful"),
-    (r"(^|[ \n])per cent", "$1percent"),
-    (r"(^|[ \n])whilst", "$1while"),
-    (r"https", "http"),
-    (r"copyright (owner|holder)s?", "copyright holder"),
+    ("licenc", "licens"),
+    (" sub licens", " sublicens"),
+    (" non commercial", " noncommercial"),
+    (" non infring", " noninfring"),
+    ("organis", "organiz"),
+    ("authoris", "authoriz"),
+    ("recognis", "recogniz"),
+    ("realis", "realiz"),
+    ("utilis", "utiliz"),
+    ("initialis", "initializ"),
+    ("maximis", "maximiz"),
+    ("optimis", "optimiz"),
+    ("emphasis", "emphasiz"),
+    ("categoris", "categoriz"),
+    ("capitalis", "capitaliz"),
+    ("favour", "favor"),
+    ("labour", "labor"),
+    ("behaviour", "behavior"),
+    ("honour", "honor"),
+    ("judgement", "judgment"),
+    ("acknowledgement", "acknowledgment"),
+    (" centre", " center"),
+    (" wilful", " willful"),
+    (" per cent", " percent"),
+    (" whilst", " while"),
+    ("https", "http"),
+    ("copyright owner", "copyright holder"),
+    ("copyright holders", "copyright holder"),
 ]
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything of ASCII but letters, digits and line feeds, and typographic marks.
-PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F‘’“”«»–—•]+"
+PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F‘’“”«»–—•]+"
 #: Lines that name who holds the rights, after punctuation has gone.
-COPYRIGHT = r"^ ?((copyright|copr) ((c|©) )?[0-9]|(copyright|copr) (c|©) |(copyright|copr) (by|year|yyyy) |© |c (19|20)[0-9][0-9]|all rights reserved ?$)"
-BLOCK_END = r"\n ?(\n ?)+"
+COPYRIGHT = r"^((copyright|copr) ((c|©) )?[0-9]|(copyright|copr) (c|©) |(copyright|copr) (by|year|yyyy) |© |c (19|20)[0-9][0-9]|all rights reserved$)"
+BLOCK_END = r"\n *(\n *)+"
 
 
 def canonical_lines(text: Column) -> Column:
     """Lower case without punctuation and in one spelling; line feeds stay."""
-    plain = F.regexp_replace(F.translate(text, UPPER, LOWER), PUNCTUATION, " ")
-    return reduce(lambda t, s: F.regexp_replace(t, *s), SPELLINGS, plain)
+    plain = F.lower(F.regexp_replace(text, PUNCTUATION, " "))
+    spaced = F.concat(F.lit(" "), F.replace(plain, F.lit("\n"), F.lit("\n ")))
+    return reduce(lambda t, s: F.replace(t, F.lit(s[0]), F.lit(s[1])), SPELLINGS, spaced)
 
 
 def _joined(block: Column) -> Column:

@@ -97,9 +97,9 @@ def op5_licences(spark, sf):
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"regexp_replace(translate(COALESCE({text}, ''), '{licences.UPPER}', '{licences.LOWER}'), '{licences.PUNCTUATION}', ' ', 'g')"
-    for pattern, replacement in licences.SPELLINGS:
-        out = f"regexp_replace({out}, '{pattern}', '{replacement.replace('$', chr(92))}', 'g')"
+    out = f"' ' || replace(lower(regexp_replace(COALESCE({text}, ''), '{licences.PUNCTUATION}', ' ', 'g')), chr(10), chr(10) || ' ')"
+    for old, new in licences.SPELLINGS:
+        out = f"replace({out}, '{old}', '{new}')"
     return out
 
 
