@@ -128,7 +128,7 @@ def op6_warc(spark, sf):
     """Pages to archives and back; a record that did not come back whole stops the job."""
     folder = new_folder(spark, "archives")
     write_pages(read(spark, sf, "pages"), folder)
-    records = stored(read_pages(spark, folder).drop("payload"), "records")
+    records = stored(read_pages(spark, folder, with_payload=False).drop("payload"), "records")
     resolved = resolve_revisits(records)
     whole = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("page_id"))
     return resolved.select(

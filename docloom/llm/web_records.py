@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,7 +112,7 @@ SEGMENT = (
 _SEGMENT_ARROW = pa.schema(
     [(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (f.split() for f in SEGMENT.split(", "))]
 )
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def parse_archive(content: bytes) -> Iterator[dict]:
@@ -156,25 +156,21 @@ def parse_archive(content: bytes) -> Iterator[dict]:
         at = after + 4
 
 
-def read_segments(spark: SparkSession, folder: str, cut: bool) -> DataFrame:
-    """Records of all files in a folder: those in segments (``cut``) or the others."""
+def archive_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``content`` of every file below a folder."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("content")
+
+
+def read_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The records that are cut into segments, one row a segment."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                held, size = [], 0
-                for record in parse_archive(content.as_py()):
-                    if (record.get("number") is not None) == cut:
-                        held.append(record)
-                        size += len(record.get("block") or b"")
-                    if size >= BATCH_BYTES:
-                        yield pa.RecordBatch.from_pylist(held, _SEGMENT_ARROW)
-                        held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, _SEGMENT_ARROW)
+                cut = (r for r in parse_archive(content.as_py()) if r.get("number") is not None)
+                yield from _in_batches(cut, lambda r: len(r["block"]), _SEGMENT_ARROW)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("content")
-    return files.mapInArrow(parse, SEGMENT)
+    return archive_files(spark, folder).mapInArrow(parse, SEGMENT)
 
 
 def reassemble(segments: DataFrame) -> DataFrame:
@@ -237,47 +233,69 @@ def http_payload(block: bytes) -> bytes:
 RECORD = "record_id string, kind string, page_id string, url string, digest string, refers_to string, n_bytes long, payload binary, error string"
 
 
-def decode_records(records: DataFrame) -> DataFrame:
-    """Records with their payload decoded; ``n_bytes`` and ``digest`` are of that payload.
+_RECORD_ARROW = pa.schema(
+    [(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (f.split() for f in RECORD.split(", "))]
+)
+
+
+def _decoded(record: dict, with_payload: bool) -> dict:
+    """A whole record in the fields of ``RECORD``: a response's payload is decoded and checked."""
+    out = {n: record.get(n) for n in ("record_id", "kind", "page_id", "url", "digest", "refers_to", "error")}
+    if out["error"] is None and out["kind"] == "response":
+        try:
+            payload = http_payload(record["block"])
+        except ValueError as problem:
+            out["error"] = str(problem)
+        else:
+            own = hashlib.sha1(payload).hexdigest()
+            if out["digest"] and out["digest"] != own:
+                out["error"] = "digest differs"
+            out |= {"digest": own, "n_bytes": len(payload), "payload": payload if with_payload else None}
+    return out
+
+
+def _in_batches(records: Iterator[dict], size: Callable[[dict], int], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for record in records:
+        held.append(record)
+        n += size(record) + 500
+        if n >= BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def decode_records(records: DataFrame, with_payload: bool = True) -> DataFrame:
+    """Reassembled records with their payload decoded; ``n_bytes`` and ``digest`` are of that payload.
 
     A revisit has no payload of its own: its digest is the stated one, its length null.
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_bytes, digests, payloads, errors = [], [], [], []
-            columns = [batch.column(c).to_pylist() for c in ("kind", "digest", "block", "error")]
-            for kind, digest, block, error in zip(*columns, strict=True):
-                payload = None
-                if error is None and kind == "response":
-                    try:
-                        payload = http_payload(block)
-                    except ValueError as problem:
-                        error = str(problem)
-                if payload is not None:
-                    own = hashlib.sha1(payload).hexdigest()
-                    error = "digest differs" if digest and digest != own else None
-                    digest = own
-                n_bytes.append(None if payload is None else len(payload))
-                digests.append(digest)
-                payloads.append(payload)
-                errors.append(error)
-            kept = [batch.column(c) for c in ("record_id", "kind", "page_id", "url")]
-            more = [pa.array(digests, pa.string()), batch.column("refers_to"), pa.array(n_bytes, pa.int64()), pa.array(payloads, pa.binary()), pa.array(errors, pa.string())]
-            yield pa.RecordBatch.from_arrays(kept + more, ["record_id", "kind", "page_id", "url", "digest", "refers_to", "n_bytes", "payload", "error"])
+            rows = ({c: batch.column(c)[k].as_py() for c in batch.schema.names} for k in range(batch.num_rows))
+            yield from _in_batches((_decoded(r, with_payload) for r in rows), lambda r: len(r.get("payload") or b""), _RECORD_ARROW)
 
     return records.mapInArrow(decode, RECORD)
 
 
-def read_pages(spark: SparkSession, folder: str) -> DataFrame:
+def read_pages(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
     """All records of the archives in a folder, whole and decoded, in the columns of ``RECORD``.
 
     Records of one segment are decoded where they were read; only segmented ones move.
     The files are parsed once for either kind, which is cheaper than moving or storing
-    all payloads.
+    all payloads.  Without ``with_payload`` payloads are measured, digested and let go.
     """
-    single = read_segments(spark, folder, cut=False)
-    return decode_records(single.unionByName(reassemble(read_segments(spark, folder, cut=True))))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                whole = (r for r in parse_archive(content.as_py()) if r.get("number") is None)
+                yield from _in_batches((_decoded(r, with_payload) for r in whole), lambda r: len(r.get("payload") or b""), _RECORD_ARROW)
+
+    single = archive_files(spark, folder).mapInArrow(parse, RECORD)
+    return single.unionByName(decode_records(reassemble(read_segments(spark, folder)), with_payload))
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
