@@ -1,11 +1,7 @@
-"""Commented files: place drafts before declarations, list changes, make diffs."""
+"""Commented files: place drafts before declarations, list the changes."""
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +28,44 @@ def _function_draft(
     return F.when(skip, F.lit("")).otherwise(F.coalesce(_ends_line(draft), F.lit("")))
 
 
+def _entries(
+    content: Column, signature: Column | None, with_example: Column | None, replies: Column | None, draft_values: Column | None
+) -> Column:
+    """The file in order as ``array<struct<at, sub, draft, text>>``: the texts joined are the
+    file, a draft goes before its text."""
+    signature = F.lit(None).cast("string") if signature is None else signature
+    with_example = F.lit(False) if with_example is None else with_example
+    draft_values = F.lit(True) if draft_values is None else draft_values
+
+    def entry(at: Column, sub: Column, draft: Column, text: Column) -> Column:
+        return F.struct(at.alias("at"), sub.alias("sub"), draft.alias("draft"), text.alias("text"))
+
+    def of_specs(item: Column) -> Column:
+        indent = F.when(item["has_paren"], F.lit("\t")).otherwise(F.lit(""))
+
+        def placed(spec: Column, sub: Column) -> Column:
+            text = templates.spec_comment(item["kind"], spec, item["has_paren"], signature)
+            draft = _ends_line(F.when(draft_values | (item["kind"] == "type"), text).otherwise(F.lit("")))
+            return entry(item["at"], sub, F.regexp_replace(draft, F.lit(r"(?m)^(?!\z)"), indent), spec["text"])
+
+        return F.transform(item["specs"], placed)
+
+    # Functions and other declarations go through their own parsers; both keep their
+    # place in the file and meet again in order.
+    def ordered(items: Column) -> Column:
+        none = F.lit(0)
+        functions = F.transform(
+            golang.function_parts(F.filter(items, lambda x: x["kind"] == "func")),
+            lambda d, pos: entry(d["at"], none, _function_draft(d, pos, signature, with_example, replies), d["text"]),
+        )
+        specs = golang.spec_parts(F.filter(items, lambda x: x["kind"].isin("const", "var", "type")))
+        rest = F.transform(F.filter(items, lambda x: x["kind"] == ""), lambda x: entry(x["at"], none, F.lit(""), x["text"]))
+        return F.array_sort(F.concat(functions, F.flatten(F.transform(specs, of_specs)), rest))
+
+    items = golang.lexeme_parts(golang.lexemes(content))
+    return let(F.transform(items, lambda x, i: x.withField("at", i)), ordered)
+
+
 def commented(
     files: DataFrame,
     content: str = "content",
@@ -51,108 +85,36 @@ def commented(
     comments stay where they are.  The work is one chain of array transforms per file:
     the lexemes are joined again with the drafts in between, without a shuffle.
     """
-    signature = F.lit(None).cast("string") if signature is None else signature
-    with_example = F.lit(False) if with_example is None else with_example
-    draft_values = F.lit(True) if draft_values is None else draft_values
+    entries = _entries(F.col(content), signature, with_example, replies, draft_values)
 
-    def rewritten_specs(item: Column) -> Column:
-        indent = F.when(item["has_paren"], F.lit("\t")).otherwise(F.lit(""))
+    # A file without a draft stays as it is, line ends included.
+    def joined(found: Column) -> Column:
+        text = F.array_join(F.transform(found, lambda e: F.concat(e["draft"], e["text"])), "")
+        return F.when(F.exists(found, lambda e: e["draft"] != ""), text).otherwise(F.col(content))
 
-        def placed(spec: Column) -> Column:
-            text = templates.spec_comment(item["kind"], spec, item["has_paren"], signature)
-            draft = _ends_line(F.when(draft_values | (item["kind"] == "type"), text).otherwise(F.lit("")))
-            return F.concat(F.regexp_replace(draft, F.lit(r"(?m)^(?!\z)"), indent), spec["text"])
+    parsed = F.coalesce(golang.parses(F.col(content)), F.lit(False))
+    return with_once(files, "new_content", F.when(parsed, let(entries, joined)).otherwise(F.col(content)))
 
-        return F.array_join(F.transform(item["specs"], placed), "")
 
-    # Functions and other declarations go through their own parsers; both keep their
-    # place in the file and meet again in order.
-    def rebuilt(items: Column) -> Column:
-        with_functions = F.transform(
-            golang.function_parts(F.filter(items, lambda x: x["kind"] == "func")),
-            lambda d, pos: F.struct(
-                d["at"].alias("at"),
-                F.concat(_function_draft(d, pos, signature, with_example, replies), d["text"]).alias("text"),
-            ),
-        )
-        with_specs = F.transform(
-            golang.spec_parts(F.filter(items, lambda x: x["kind"].isin("const", "var", "type"))),
-            lambda d: F.struct(d["at"].alias("at"), rewritten_specs(d).alias("text")),
-        )
-        rest = F.transform(
-            F.filter(items, lambda x: x["kind"] == ""),
-            lambda x: F.struct(x["at"].alias("at"), x["text"].alias("text")),
+def inserted_comments(
+    files: DataFrame, content: str = "content", signature: Column | None = None, with_example: Column | None = None
+) -> DataFrame:
+    """The changes that ``commented`` makes, as ``(..., line, text)``: the text goes before
+    that line (from 1) of the file with plain line feeds.  Nothing else changes."""
+    others = [c for c in files.columns if c != content]
+    entries = _entries(F.col(content), signature, with_example, None, None)
+
+    def placed(found: Column) -> Column:
+        lines = F.transform(found, lambda e: F.length(e["text"]) - F.length(F.replace(e["text"], F.lit("\n"), F.lit(""))))
+        begins = F.aggregate(
+            lines, F.array(F.lit(1)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n))
         )
-        ordered = F.array_sort(F.concat(with_functions, with_specs, rest))
-        return F.array_join(F.transform(ordered, lambda x: x["text"]), "")
-
-    items = golang.lexeme_parts(golang.lexemes(F.col(content)))
-    numbered = F.transform(items, lambda x, i: x.withField("at", i))
-    # A draft only ever adds lines, so an unchanged length means an unchanged file.
-    text = let(
-        let(numbered, rebuilt),
-        lambda t: F.when(F.length(t) == F.length(golang.unix_lines(F.col(content))), F.col(content)).otherwise(t),
-    )
-    parsed = F.coalesce(golang.parses(F.col(content)), F.lit(False))
-    return with_once(files, "new_content", F.when(parsed, text).otherwise(F.col(content)))
+        with_lines = let(begins, lambda b: F.transform(found, lambda e, k: F.struct(F.get(b, k).alias("line"), e["draft"].alias("text"))))
+        return F.filter(with_lines, lambda e: e["text"] != "")
+
+    parsed = files.filter(F.coalesce(golang.parses(F.col(content)), F.lit(False)))
+    return parsed.select(*others, F.explode(let(entries, placed)).alias("_change")).select(*others, "_change.line", "_change.text")
 
 
 def changed_paths(files: DataFrame) -> DataFrame:
     return changed(files).select("path")
-
-
-def unified_diffs(files: DataFrame) -> DataFrame:
-    """``(path, diff)`` of the changed files, in the layout of ``diff -u``."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [_diff(*row) for row in zip(batch["path"], batch["content"], batch["new_content"], strict=True)]
-            yield pd.DataFrame({"path": batch["path"], "diff": texts})
-
-    pairs = changed(files).select("path", "content", "new_content")
-    return pairs.mapInPandas(run, "path string, diff string")
-
-
-def _inserted(before: list[str], after: list[str]) -> list[tuple[str, int, int, int, int]]:
-    """Edit steps for texts that only gained lines, in linear time; [] when lines went."""
-    steps, i, j = [], 0, 0
-    while j < len(after):
-        start_i, start_j = i, j
-        if i < len(before) and before[i] == after[j]:
-            while i < len(before) and j < len(after) and before[i] == after[j]:
-                i, j = i + 1, j + 1
-            steps.append(("equal", start_i, i, start_j, j))
-        else:
-            while j < len(after) and (i == len(before) or before[i] != after[j]):
-                j += 1
-            steps.append(("insert", i, i, start_j, j))
-    return steps if i == len(before) else []
-
-
-def _diff(path: str, before: str, after: str) -> str:
-    old, new = before.splitlines(keepends=True), after.splitlines(keepends=True)
-    matcher = difflib.SequenceMatcher(None, old, new) if not (steps := _inserted(old, new)) else _Known(steps)
-    out = [f"diff -u {path}.orig {path}\n--- {path}.orig\n+++ {path}\n"]
-    for hunk in matcher.get_grouped_opcodes(3):
-        out.append(f"@@ -{_span(hunk[0][1], hunk[-1][2])} +{_span(hunk[0][3], hunk[-1][4])} @@\n")
-        for tag, i1, i2, j1, j2 in hunk:
-            gone = [(" " if tag == "equal" else "-") + line for line in old[i1:i2]]
-            come = [] if tag == "equal" else ["+" + line for line in new[j1:j2]]
-            for line in gone + come:
-                out.append(line if line.endswith("\n") else f"{line}\n\\ No newline at end of file\n")
-    return "".join(out)
-
-
-def _span(start: int, stop: int) -> str:
-    size = stop - start
-    if size == 1:
-        return str(start + 1)
-    return f"{start + 1 if size else start},{size}"
-
-
-class _Known(difflib.SequenceMatcher):
-    """A matcher whose edit steps are already known."""
-
-    def __init__(self, steps: list[tuple[str, int, int, int, int]]):
-        super().__init__()
-        self.opcodes = steps

@@ -146,6 +146,14 @@ WITH {FN}, {DRAFT}, {_commented("''", "'corpus'")}
 SELECT path, 'package p' || {NL} || {NL} || string_agg(block, '' ORDER BY k) AS new_content
 FROM blocks GROUP BY f, path HAVING bool_or(bare)"""
 
+# Lines before a block: the file's two, those of earlier blocks, and an orphan comment's two.
+ORACLES["inserted_comments"] = f"""
+WITH {FN}, {DRAFT},
+placed AS (
+  SELECT *, 3 + coalesce(sum([0, 1, 1, 1, 2, 1, 2][k % 7 + 1] + 4) OVER (PARTITION BY f ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    + CASE WHEN k % 7 = 6 THEN 2 ELSE 0 END AS line FROM drafts)
+SELECT path, line::BIGINT AS line, draft || '//' || {NL} || '// Author: corpus.' || {NL} AS text FROM placed WHERE {GENERATED} AND {BARE}"""
+
 _WITH_EXAMPLE = f"CASE WHEN f % 5 % 2 = 0 AND k % 10 <> 5 THEN {EXAMPLE} ELSE '' END"
 ORACLES["commented_corpus"] = f"""
 WITH {FN}, {DRAFT}, {_commented(_WITH_EXAMPLE, "r_name")}

@@ -219,8 +219,10 @@ def changed_files(spark, sf):
 
 
 @query
-def file_diffs(spark, sf):
-    return rewrite.unified_diffs(rewrite.commented(filters.generator_files(go_files(spark, sf))))
+def inserted_comments(spark, sf):
+    """The same changes line by line."""
+    found = rewrite.inserted_comments(filters.generator_files(go_files(spark, sf)), signature=F.lit("corpus"))
+    return found.select("path", F.col("line").cast("bigint").alias("line"), "text")
 
 
 # -- configuration ---------------------------------------------------------------------

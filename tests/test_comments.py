@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 from pyspark.sql import functions as F
 
 from docloom.functions import naming, prompts, templates
@@ -108,36 +106,19 @@ def test_rewrite_is_stable_and_keeps_other_files(go):
     assert filters.changed(done).count() == 0
 
 
-def test_diff_can_be_applied(go, tmp_path):
-    texts = (SOURCE, "package p\n\nfunc A() {\n}", "package p\n\n// A does.\nfunc A() {\n}\n")
-    done = rewrite.commented(go(*texts)).cache()
-    diffs = {r["path"]: r["diff"] for r in rewrite.unified_diffs(done).collect()}
-    assert sorted(diffs) == ["f0.go", "f1.go"] == sorted(r["path"] for r in rewrite.changed_paths(done).collect())
-    for row in done.filter("path <> 'f2.go'").collect():
-        diff = diffs[row["path"]]
-        plain = difflib.unified_diff(
-            row["content"].splitlines(keepends=True), row["new_content"].splitlines(keepends=True),
-            f"{row['path']}.orig", row["path"],
-        )
-        if row["content"].endswith("\n"):
-            assert diff.split("\n", 1)[1] == "".join(plain)
-        assert diff.startswith(f"diff -u {row['path']}.orig {row['path']}\n--- {row['path']}.orig\n+++ {row['path']}\n@@ ")
-        body = diff.splitlines()[3:]
-        kept = [line[1:] for line in body if line[0] in " -"]
-        made = [line[1:] for line in body if line[0] in " +"]
-        assert set(kept) <= set(row["content"].splitlines())
-        assert set(made) <= set(row["new_content"].splitlines())
-        added = len(row["new_content"].splitlines()) - len(row["content"].splitlines())
-        assert len(made) - len(kept) == added
-
-
-def test_diff_of_a_long_file_is_linear():
-    old = "".join(f"line {i % 3}\n" for i in range(200_000))
-    new = old.replace("line 2\n", "line 2\nline new\n", 1) + "end\n"
-    lines = rewrite._diff("p", old, new).splitlines()
-    assert [x for x in lines[3:] if x[0] == "+"] == ["+line new", "+end"]
-    changed = rewrite._diff("p", "a\nb\nc", "a\nx\nc\n")
-    assert changed.splitlines()[3:] == ["@@ -1,3 +1,3 @@", " a", "-b", "-c", "\\ No newline at end of file", "+x", "+c"]
+def test_insertions_give_the_new_file(go):
+    texts = (SOURCE, "package p\n\nfunc A() {\n}", "package p\n\n// A does.\nfunc A() {\n}\n", "no go", "package p\n\n// x\x0c\u2028y\n\nfunc B() {}\n")
+    files = go(*texts)
+    done = {r["path"]: r for r in rewrite.commented(files, signature=F.lit("me")).collect()}
+    changes = {}
+    for r in rewrite.inserted_comments(files, signature=F.lit("me")).collect():
+        changes.setdefault(r["path"], []).append((r["line"], r["text"]))
+    assert sorted(changes) == ["f0.go", "f1.go", "f4.go"]
+    for path, row in done.items():
+        lines = row["content"].split("\n")
+        for line, text in sorted(changes.get(path, []), reverse=True):
+            lines[line - 1 : line - 1] = text.removesuffix("\n").split("\n")
+        assert "\n".join(lines) == row["new_content"]
 
 
 def test_generator_files(spark):
