@@ -54,12 +54,15 @@ def _lines(*pairs: tuple[str, Column | str]) -> Column:
     return F.concat(*[F.coalesce(p, F.lit("")) for p in parts])
 
 
-def write_pages(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> None:
+def write_pages(
+    pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, compression: str = "gzip"
+) -> None:
     """Writes one record for each page, cut into segments, as archive files.
 
     The payload travels in chunked transfer framing.  Spark's text writer puts the two
     line breaks after each record and commits whole files only.  A file starts anew after
-    ``FILE_RECORDS`` segments.
+    ``FILE_RECORDS`` segments; files are compressed, as archives usually are, unless
+    ``compression`` is "none".
     """
     rows = page_records(pages)
     size = F.length("payload")
@@ -102,7 +105,7 @@ def write_pages(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTE
         F.lit("\r\n"),
     )
     record = F.concat(header.cast("binary"), part).cast("string").alias("value")
-    rows.select(record).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    rows.select(record).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", compression).text(folder)
 
 
 SEGMENT = (
