@@ -77,16 +77,21 @@ def predict_in_batches(rows: DataFrame, load: Callable[[int], Model], text: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch.reset_index(drop=True).assign(predicted=None, elapsed_ms=0, error=None)
-            for version, places in out.groupby("version").indices.items():
+            predicted, errors = [None] * len(batch), [None] * len(batch)
+            elapsed = [0] * len(batch)
+            texts = batch[text].tolist()
+            for version, places in batch.groupby("version").indices.items():
                 model = _loaded(load, name, int(version))
                 begun = time.monotonic()
-                replies = _replies(model, out[text].iloc[places].tolist())
-                elapsed = int((time.monotonic() - begun) * 1000 / len(places))
-                out.loc[places, "elapsed_ms"] = elapsed
-                for place, (reply, error) in zip(places, replies, strict=True):
-                    out.at[place, "predicted"], out.at[place, "error"] = reply, error
-            yield out.astype({"predicted": "object", "error": "object", "elapsed_ms": "int64"})
+                replies = _replies(model, [texts[k] for k in places])
+                each = int((time.monotonic() - begun) * 1000 / len(places))
+                for k, (reply, error) in zip(places, replies, strict=True):
+                    predicted[k], errors[k], elapsed[k] = reply, error, each
+            yield batch.assign(
+                predicted=pd.Series(predicted, index=batch.index, dtype="object"),
+                elapsed_ms=pd.Series(elapsed, index=batch.index, dtype="int64"),
+                error=pd.Series(errors, index=batch.index, dtype="object"),
+            )
 
     return rows.mapInPandas(run, f"{schema}, predicted string, elapsed_ms bigint, error string")
 
