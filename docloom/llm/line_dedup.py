@@ -1,9 +1,9 @@
-"""Line dedup by content-defined chunks.
+"""Line dedup by all shortest runs of lines.
 
-Rolling hashes over line hashes end a chunk, so equal passages are cut alike wherever
-they stand.  A chunk of several lines that an earlier place has too is removed after its
-bytes have been compared; from there the comparison goes on, line by line, through the
-chunks beside it, which may end elsewhere.
+At every line a chunk begins, and one ends: the shortest run of lines that reaches the
+floor.  Any passage two places share that reaches it too is covered by such chunks from
+its first line to its last, however long its lines are and whatever stands around it.  A
+chunk that an earlier place has too is removed after its bytes have been compared.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from pyspark.sql import types as T
 from docloom.llm.store import stored
 from docloom.llm.words import NOT_SPACE, mixed, range_hashes, slices, split_words, string_bytes
 
-#: Independent cuts of the same lines: a short passage that one cuts badly, another cuts well.
-CUTS = 4
-#: Lines a boundary looks at, and the lines of a chunk on average.
-ROLL, LINES = 2, 2
 #: A line of so many words is a passage, and a chunk, of its own; other chunks have two
 #: lines and so many words at least.
 LONG_WORDS, LEAST_WORDS = 20, 10
+#: Words at least of a chunk of two lines or more, and of a chunk of one line.
+CUTS = (LEAST_WORDS, LONG_WORDS)
+#: An odd number: the base of the hashes of runs of lines.
+BASE = 0x9E3779B97F4A7C15
 BITMAP_BITS = 1 << 26
 
 
@@ -40,48 +40,54 @@ def line_ranges(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return data, begin, end, np.concatenate([[0], np.cumsum(count)])
 
 
-def chunks(texts: pa.Array, cuts: int = CUTS) -> tuple[np.ndarray, ...]:
+def _shortest(sums: np.ndarray, top: np.ndarray, stop: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end (exclusive) of the shortest runs of two lines and ``least`` words, from
+    each line on and up to each line, inside the line's text; ``sums`` are those of words."""
+    n = len(top)
+    worded = np.diff(sums) > 0
+    # A run of blank lines gives its last one as a begin and its first one as an end.
+    begin = np.flatnonzero(worded | np.append(worded[1:], False))
+    end = np.maximum(np.searchsorted(sums, sums[begin] + least), begin + 2)
+    inside = end <= stop[begin]
+    last = np.flatnonzero(worded | np.append(False, worded[:-1]))
+    first = np.minimum(np.searchsorted(sums, sums[last + 1] - least, side="right") - 1, last - 1)
+    within = first >= top[last]
+    both = np.unique(np.concatenate([begin[inside] * (n + 1) + end[inside], first[within] * (n + 1) + last[within] + 1]))
+    return both // (n + 1), both % (n + 1)
+
+
+def chunks(texts: pa.Array, cuts: tuple[int, int] = CUTS) -> tuple[np.ndarray, ...]:
     """Chunks worth comparing: hash, row, first line in the row, number of lines, and the
-    lines of the chunks before and after it in the row."""
+    blank lines beside it in the row, before a blank first and after a blank last line."""
+    least, long_ = cuts
     data, begin, end, first = line_ranges(texts)
     n = len(begin)
-    hashes = range_hashes(data, begin, end)
     words = split_words(texts, NOT_SPACE).start
     n_words = np.searchsorted(words, end) - np.searchsorted(words, begin)
+    sums = np.concatenate([[0], np.cumsum(n_words)])
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    starts, stops = np.zeros(n, bool), np.zeros(n, bool)
-    starts[first[:-1][np.diff(first) > 0]] = True
-    stops[first[1:][np.diff(first) > 0] - 1] = True
-    long_ = n_words >= LONG_WORDS
-    word_sums = np.concatenate([[0], np.cumsum(n_words)])
-    found = []
-    for cut in range(cuts):
-        rolling = np.zeros(n, np.uint64)
-        for back in range(ROLL):
-            earlier = np.zeros(n, np.uint64)
-            earlier[back:] = hashes[: n - back]
-            rolling = rolling * np.uint64(31) + np.where(np.arange(n) - back >= first[row], earlier, np.uint64(0))
-        ends = stops | long_ | (mixed(rolling + np.uint64(cut + 1)) % np.uint64(LINES) == 0)
-        ends[:-1] |= long_[1:]
-        last = np.flatnonzero(ends)
-        head = np.concatenate([[0], last[:-1] + 1]).astype(np.int64) if len(last) else last
-        size = last - head + 1
-        of_words = word_sums[last + 1] - word_sums[head]
-        several = (size >= 2) & (of_words >= LEAST_WORDS)
-        good = several | long_[head] if cut == 0 else several
-        before, after = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-        before[1:] = np.where(starts[head[1:]], 0, size[:-1])
-        after[:-1] = np.where(stops[last[:-1]], 0, size[1:])
-        head, size, before, after = head[good], size[good], before[good], after[good]
-        # Order counts: the lines' hashes are weighed by their place in the chunk.
-        at = np.repeat(head, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        place = (at - np.repeat(head, size)).astype(np.uint64)
-        total = np.zeros(len(at) + 1, np.uint64)
-        np.cumsum(mixed(hashes[at] + mixed(place + np.uint64(1))), out=total[1:])
-        stop = np.cumsum(size)
-        value = mixed(total[stop] - total[stop - size] + size.astype(np.uint64))
-        found.append((value, row[head], head - first[row[head]], size, before, after))
-    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+    top, stop = first[row], first[row + 1]
+    head, tail = _shortest(sums, top, stop, least)
+    # A run of lines that are all chunks of their own finds nothing more.
+    longs = np.concatenate([[0], np.cumsum(n_words >= long_)])
+    more = longs[tail] - longs[head] < tail - head
+    head, tail = head[more], tail[more]
+    alone = np.flatnonzero(n_words >= long_)
+    head, tail = np.concatenate([head, alone]), np.concatenate([tail, alone + 1])
+    # Order counts: a run's hash is a polynomial in BASE, from sums over all lines.
+    power, back = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
+    np.cumprod(np.full(n, BASE, np.uint64), out=power[1:])
+    np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), np.uint64), out=back[1:])
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mixed(range_hashes(data, begin, end)) * power[:-1], out=total[1:])
+    size = tail - head
+    value = mixed((total[tail] - total[head]) * back[head] + size.astype(np.uint64))
+    at, blank = np.arange(n), n_words == 0
+    previous = np.maximum(np.maximum.accumulate(np.where(blank, -1, at)), top - 1)
+    following = np.minimum(np.minimum.accumulate(np.where(blank, n, at)[::-1])[::-1], stop)
+    before = np.where(blank[head], head - 1 - previous[head], 0)
+    after = np.where(blank[tail - 1], following[tail - 1] - tail, 0)
+    return value, row[head], head - top[head], size, before, after
 
 
 _KEY = [T.StructField("key", T.LongType()), T.StructField("twin", T.LongType())]
@@ -102,7 +108,7 @@ def _place_hash(chunk: np.ndarray, key: np.ndarray, begin: np.ndarray) -> np.nda
     return mixed(chunk.view(np.uint64) + mixed(key.view(np.uint64) + begin.astype(np.uint64)))
 
 
-def _chunk_rows(keyed: DataFrame, cuts: int) -> DataFrame:
+def _chunk_rows(keyed: DataFrame, cuts: tuple[int, int]) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column("text")):
@@ -128,7 +134,7 @@ def _bitmap(values: DataFrame, column: str) -> np.ndarray:
     return held
 
 
-def _first_texts(keyed: DataFrame, firsts: DataFrame, cuts: int) -> DataFrame:
+def _first_texts(keyed: DataFrame, firsts: DataFrame, cuts: tuple[int, int]) -> DataFrame:
     """(place, before, lines, after) of the first places, from a second reading.
 
     A bitmap of fixed size tells the reading task which chunks to send on; the few others
@@ -161,7 +167,7 @@ def _first_texts(keyed: DataFrame, firsts: DataFrame, cuts: int) -> DataFrame:
 
 
 def _drop(lines: list[str], removals: list[dict]) -> list[bool]:
-    """Which lines go: those of a removal that is equal byte for byte, and equal neighbours."""
+    """Which lines go: those of a removal that is equal byte for byte, and equal blank neighbours."""
     gone = [False] * len(lines)
     for r in removals:
         at, own = r["begin"], r["lines"]
@@ -177,13 +183,15 @@ def _drop(lines: list[str], removals: list[dict]) -> list[bool]:
     return gone
 
 
-def drop_repeated_lines(docs: DataFrame, text: str = "text", id_column: str = "doc_id", cuts: int = CUTS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, text: str = "text", id_column: str = "doc_id", cuts: tuple[int, int] = CUTS) -> DataFrame:
     """The documents, all columns kept, without repeated passages, and ``n_lines``, ``n_removed``.
 
     Places are ordered by id (nulls last), hash of the row and line; the first place of a
     chunk keeps it, all later ones lose it, in the same document too.  A line goes only
     if an earlier place has an equal one, so some place keeps every line.  A chunk has
-    two lines or more, or is one line of ``LONG_WORDS`` words.
+    two lines or more and ``LEAST_WORDS`` words, or is one line of ``LONG_WORDS`` words;
+    every passage of that size that an earlier place has too goes whole, but for blank
+    lines at its ends.
 
     Rows equal in id and text are one document and lose the same lines.  Null and empty
     texts have no lines and stay as they are.  A text all of whose lines go becomes

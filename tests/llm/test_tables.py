@@ -200,6 +200,54 @@ def test_line_dedup_matches_brute_force(spark):
             assert all(left[x] == 1 for x in p if len(x.split()) >= line_dedup.LONG_WORDS)
 
 
+def shared_lines(texts):
+    """Lines with words that stand in a passage an earlier place has too, by all pairs of places."""
+    lines = [(d, x) for d, t in enumerate(texts) for x in t.split("\n")]
+    n = [len(x.split()) for _, x in lines]
+    places = defaultdict(list)
+    for k, (_, x) in enumerate(lines):
+        places[x].append(k)
+    gone = set()
+    for k, (d, x) in enumerate(lines):
+        for j in places[x]:
+            if j >= k:
+                break
+            if k and j and lines[k - 1] == (d, lines[j - 1][1]) and lines[j - 1][0] == lines[j][0]:
+                continue
+            size = 1
+            while k + size < len(lines) and lines[k + size] == (d, lines[j + size][1]) and lines[j + size][0] == lines[j][0]:
+                size += 1
+            if size >= 2 and sum(n[k : k + size]) >= 10:
+                gone |= set(range(k, k + size))
+            else:
+                gone |= {i for i in range(k, k + size) if n[i] >= 20}
+    left = defaultdict(list)
+    for k, (d, x) in enumerate(lines):
+        if n[k] and k not in gone:
+            left[d].append(x)
+    return [left[d] for d in range(len(texts))]
+
+
+def test_line_dedup_finds_every_planted_passage(spark):
+    rng = random.Random(11)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    texts, planted = [], []
+    for size, n in [(3, 18), (4, 13), (5, 11), (2, 5), (12, 1), (3, 4)] * 8 + [(1000, 1)]:
+        passage = [line(n) for _ in range(size)]
+        for _ in range(2):
+            around = [[line(rng.choice([1, 3, 6, 30])) for _ in range(rng.randrange(4))] for _ in range(2)]
+            texts.append("\n".join([*around[0], *passage, *around[1]]))
+        planted.append(passage)
+    # Few different lines, blank ones too: passages that overlap and meet in parts only.
+    few = [line(n) for n in [1, 1, 2, 4, 6, 9, 12, 19, 20]] + ["", " "]
+    texts += ["\n".join(rng.choice(few) for _ in range(rng.randrange(1, 9))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [r.text for r in line_dedup.drop_repeated_lines(docs).orderBy("doc_id").collect()]
+    left = Counter(x for t in got for x in t.split("\n"))
+    assert all(left[x] == 1 for p in planted for x in p)
+    assert [[x for x in t.split("\n") if x.split()] for t in got] == shared_lines(texts)
+
+
 def test_line_dedup_edge_rows(edge, edge_rows, empty):
     rows = line_dedup.drop_repeated_lines(edge).collect()
     assert len(rows) == len(edge_rows)
