@@ -14,6 +14,8 @@ from docloom.llm.store import stored
 
 #: No source may be repeated more often, in a mix as large as what is left.
 REPETITIONS = 1.5
+#: Words of a shingle of the similar-documents stage, and the least similarity in hundredths.
+SHINGLE_WORDS, SIMILAR = 5, 80
 
 
 def _row(docs: DataFrame) -> Column:
@@ -42,7 +44,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def similar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of similar ones; the others go."""
     named = docs.withColumn("_row", _row(docs))
-    groups = similar_sets(named, id_column="_row")
+    groups = similar_sets(named, id_column="_row", width=SHINGLE_WORDS, least=SIMILAR)
     first = groups.filter(F.col("_row") == F.col("component_id")).select("_row").distinct()
     return named.dropDuplicates(["_row"]).join(first, "_row", "left_semi").select(docs.columns)
 

@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from docloom.llm.components import components
 from docloom.llm.decontaminate import find_contamination, remove_contamination
 from docloom.llm.parity_join import Bands, similar_sets
@@ -60,6 +61,27 @@ def test_similar_sets_match_brute_force(spark, least, seed):
     assert got == want
 
 
+def test_the_pipelines_stage_matches_brute_force(spark):
+    rng = random.Random(8)
+    line = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(4):
+        long_, short = line(200), line(50)
+        texts += [long_, long_[:165], short, [*short[:25], "changed", *short[26:]]]
+    for n in [4, 5, 6, 20, 60, 150, 400]:
+        base = line(n)
+        for share in [0, 0.01, 0.02, 0.03, 0.04, 0.06]:
+            texts.append([w if rng.random() >= share else "v" for w in base])
+            texts.append(base[: round(n * (1 - 4 * share))])
+    texts = [" ".join(t) for t in texts]
+    sets = [shingles(t, 5) for t in texts]
+    similar = [len(a & b) / len(a | b) for a, b in combinations(sets, 2)]
+    assert sum(0.80 <= s < 0.85 for s in similar) > 8
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.similar_documents(spark, docs, "").collect()}
+    assert kept == set(groups(sets, 80))
+
+
 def test_a_chain_and_a_large_group_are_one_component(spark):
     base = [f"w{i}" for i in range(200)]
     # Neighbours differ in one word; the ends do not link directly.
