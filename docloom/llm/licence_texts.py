@@ -1,5 +1,12 @@
 """Well-known licence texts and the short notices that stand for a licence."""
 
+from __future__ import annotations
+
+from pathlib import Path
+
+#: Entire texts, one file for each licence.
+FILES = Path(__file__).parent / "licence_files"
+
 MIT = """\
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -49,6 +56,33 @@ http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 
+#: How the GNU texts have named their publisher's place over the years.
+PLACES = ["51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "<https://fsf.org/>", ""]
+ENDS = "END OF TERMS AND CONDITIONS"
+SPDX = [
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC0-1.0", "EPL-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib",
+]
+
+
+def entire_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files: whole, without what follows the terms, by each place."""
+    found = []
+    for path in sorted(FILES.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        forms = [text]
+        if ENDS in text:
+            terms = text[: text.index(ENDS)]
+            forms += [terms, terms + ENDS]
+        for form in list(forms):
+            lines = form.split("\n")
+            at = next((n for n, line in enumerate(lines[:8]) if "Franklin Street" in line), None)
+            if at is not None:
+                forms += ["\n".join([*lines[:at], place, *lines[at + 1 :]]) for place in PLACES]
+        found += [(path.stem, form) for form in forms]
+    return found
+
+
 #: (licence, text): a licence may have several texts.
 KNOWN = [
     ("MIT", MIT),
@@ -78,4 +112,6 @@ KNOWN = [
     ("GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-or-later"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    *[(name, f"SPDX-License-Identifier: {name}") for name in SPDX],
+    *entire_texts(),
 ]

@@ -44,8 +44,10 @@ SPELLINGS = [
 ]
 #: Everything of ASCII but letters, digits and line feeds, and typographic marks.
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F‘’“”«»–—•]+"
+#: What follows "copyright" in the terms themselves, where lines are broken before it.
+TERMS = "and|as|disclaimer|for|holder|if|in|interests?|is|it|laws?|licens(e|es|ed|ing|or|able)|notices?|of|on|or|owners?|permission|protection|statement|that|the (library|program|software|work)|this|to|treat(y|ies)|which"
 #: Lines that name who holds the rights, after punctuation has gone.
-COPYRIGHT = r"^((copyright|copr) ((c|©) )?[0-9]|(copyright|copr) (c|©) |(copyright|copr) (by|year|yyyy) |© |c (19|20)[0-9][0-9]|all rights reserved$)"
+COPYRIGHT = rf"^((portions )?(copyright|copr) (?!({TERMS})( |$)).|© |c (19|20)[0-9][0-9]|all rights reserved$)"
 BLOCK_END = r"\n *(\n *)+"
 
 

@@ -7,6 +7,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import public_tokenizers
 import pyarrow as pa
@@ -184,6 +185,24 @@ def test_canonical_forms_meet(spark, edge, edge_rows, empty):
     assert [(r.whole_licence, r.licences) for r in found] == [("a", ["a"])]
 
 
+def test_entire_licence_texts_are_known(spark):
+    known = licences.known_licences(spark)
+    folder = Path(licences.__file__).parent / "licence_files"
+    want, texts = [], []
+    for name in ["Apache-2.0", "BSL-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]:
+        whole = (folder / f"{name}.txt").read_text()
+        # One line for each paragraph, under a holder's name.
+        wide = "\n\n".join(" ".join(block.split("\n")) for block in whole.split("\n\n"))
+        texts += [whole, "Copyright Some Body <some@body.org>\nCopyright Intel Corporation\nCopyright Oracle\nPortions Copyright (c) The Authors\n\n" + whole, wide if name == "Unlicense" else whole.upper()]
+        want += [name] * 3
+    gpl = (folder / "GPL-3.0.txt").read_text()
+    texts += [gpl[: gpl.index("END OF TERMS")], gpl.replace("Preamble", "Foreword"), "SPDX-License-Identifier: MPL-2.0", licences.KNOWN[0][1].replace("shall be", "\ncopyright law shall be", 1)]
+    want += ["GPL-3.0", None, "MPL-2.0", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.whole_licence for r in licences.scan_licences(docs, known).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 # -- token counts ------------------------------------------------------------------------
 
 
