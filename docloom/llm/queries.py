@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from docloom.llm import licences
 from docloom.llm.decontaminate import find_contamination
+from docloom.llm.exact_dedup import exact_duplicates
 from docloom.llm.language_id import held_out, predict_language, train
 from docloom.llm.line_dedup import drop_repeated_lines
+from docloom.llm.merkle import leaf_digest, lower_ascii, manifest
 from docloom.llm.mixing import mix_sources
 from docloom.llm.parity_join import similar_sets
 from docloom.llm.quality_rules import judge
@@ -18,6 +20,7 @@ from docloom.llm.secrets import SINGLE, find_secrets
 from docloom.llm.store import new_folder, stored
 from docloom.llm.token_counts import token_counts
 from docloom.llm.web_records import read_pages, resolve_revisits, write_pages
+from docloom.llm.whitening import fixed_point, whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,3 +193,87 @@ def op9_mixing(spark, sf):
 def op10_line_dedup(spark, sf):
     kept = drop_repeated_lines(read(spark, sf, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query
+def op11_whitening(spark, sf):
+    white = whiten(fixed_point(read(spark, sf, "embeddings")))
+    parts = white.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "part"))
+    return parts.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", F.col("deviation").cast("long").alias("deviation"),
+        F.col("part.whitened").alias("whitened"), F.col("part.explained").alias("explained"), "identity_error",
+    )
+
+
+@query
+def op12_exact_dedup(spark, sf):
+    found = exact_duplicates(read(spark, sf, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+ORACLES["op12_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, length(COALESCE(text, '')) AS n, sha256(regexp_replace(COALESCE(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
+       count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) = 1 AS kept, text_sha256
+FROM d
+"""
+
+#: The columns of a leaf, and one of how many documents is shown with another text.
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+TAMPERED = 3
+
+
+@query
+def op13_merkle_manifest(spark, sf):
+    changed = leaf_digest([lower_ascii(F.col(c)) if c == "text" else F.col(c) for c in LEAF_COLUMNS])
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % TAMPERED == 0
+    found = manifest(read(spark, sf, "documents"), LEAF_COLUMNS, shown=F.when(chosen, changed))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _sql_levels(name: str, levels: int) -> str:
+    """Tables {name}0 .. (tree, p, node, n), each with what stands left and right in a node's run
+    as {name}_s0 ..: runs of eight become one node until the tree is one."""
+    run = "PARTITION BY tree, p // 8 ORDER BY p ROWS BETWEEN"
+    return "".join(
+        f"""{name}_s{k} AS (SELECT tree, p, n, COALESCE(string_agg(node, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+            COALESCE(string_agg(node, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k}),
+{name}{k + 1} AS (SELECT tree, p // 8 AS p, sha256(string_agg(node, '' ORDER BY p)) AS node, (any_value(n) + 7) // 8 AS n FROM {name}{k} WHERE n > 1 GROUP BY tree, p // 8
+            UNION ALL SELECT tree, p, node, n FROM {name}{k} WHERE n = 1),
+"""
+        for k in range(levels)
+    )
+
+
+def _sql_folds(rows: str, name: str, levels: int) -> str:
+    """Tables {rows}0 .. of documents on their way up: place, folded digest, proof so far."""
+    return "".join(
+        f"""{rows}{k + 1} AS (SELECT m.* EXCLUDE (p, f, proof), p // 8 AS p, CASE WHEN n > 1 THEN sha256(l || f || r) ELSE f END AS f, proof || l || r AS proof
+            FROM {rows}{k} m JOIN {name}_s{k} USING (tree, p)),
+"""
+        for k in range(levels)
+    )
+
+
+#: Levels of a language's tree and of the tree of languages that the SQL has tables for.
+_LEVELS, _TOP_LEVELS = 6, 2
+_SQL_FRAMED = " || ".join(f"COALESCE(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in LEAF_COLUMNS)
+_SQL_LOWERED = _SQL_FRAMED.replace("|| text", "|| translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+#: crc32 of the digits: each byte is xored in, then eight shifts follow (marked by -1).
+_SQL_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_concat([ord(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+       lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295::BIGINT)"""
+
+ORACLES["op13_merkle_manifest"] = f"""
+WITH d AS (SELECT doc_id, COALESCE('=' || lang, '') AS tree, sha256({_SQL_FRAMED}) AS node, CASE WHEN {_SQL_CRC} % {TAMPERED} = 0 THEN sha256({_SQL_LOWERED}) END AS shown FROM documents),
+a0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS p, count(*) OVER (PARTITION BY tree) AS n FROM d),
+{_sql_levels('a', _LEVELS)}
+m0 AS (SELECT doc_id, tree, p, node AS leaf, COALESCE(shown, node) AS f, '' AS proof FROM a0),
+{_sql_folds('m', 'a', _LEVELS)}
+b0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS p, node, count(*) OVER () AS n, tree AS lang FROM a{_LEVELS}),
+{_sql_levels('b', _TOP_LEVELS)}
+k0 AS (SELECT doc_id, leaf, b0.node AS subroot, b0.tree, b0.p, f, proof FROM m{_LEVELS} m JOIN b0 ON m.tree = b0.lang),
+{_sql_folds('k', 'b', _TOP_LEVELS)}
+e AS (SELECT doc_id, leaf, subroot, b{_TOP_LEVELS}.node AS root, sha256(proof) AS proof_sha256, f AS folded_root FROM k{_TOP_LEVELS} CROSS JOIN b{_TOP_LEVELS})
+SELECT *, folded_root = root AS verified FROM e
+"""

@@ -264,7 +264,7 @@ def test_queries_agree_with_their_sql(spark, name):
     folder = "/root/testdata/sf0.001"
     if name in ORACLES:
         assert compare(spark, connect(folder), folder, QUERIES[name], ORACLES[name])[1] is None
-    else:
+    elif name != "op11_whitening":  # a row for each component, see test_new_tables
         table = "pages" if name.startswith("op6") else "documents"
         assert QUERIES[name](spark, folder).count() == spark.read.parquet(f"{folder}/{table}.parquet").count()
 
