@@ -1,7 +1,8 @@
 """Go source text as Spark columns.
 
 A file is cut into *lexemes* by one possessive regular expression that covers
-the text without gaps, so joining the lexemes gives the file back.  Every
+the text without gaps, so joining the lexemes gives the file back (laid out again, if
+``golayout`` had to do that first).  Every
 top-level declaration, together with the comment block that touches it, is one
 lexeme; strings and comments are consumed whole, so a ``func`` inside them is
 never seen.  All later steps are array transforms on that one row: no shuffle,
@@ -10,9 +11,8 @@ no Python worker.
 Only possessive quantifiers are used.  Greedy or lazy groups recurse in
 ``java.util.regex`` and a long comment would overflow the task's stack.
 
-gofmt layout is assumed: top-level keywords stand in column 0 and the lines
-that continue a declaration are indented.  ``unread_functions`` finds what another
-layout, or deeper nesting, would lose.
+The expressions expect top-level keywords in column 0 and indented lines below them;
+``golayout`` brings other files into that form.  ``unread`` finds what is lost all the same.
 """
 
 from __future__ import annotations
@@ -20,21 +20,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.golayout import (
+    BLOCK_COMMENT,
+    CODE_LINE,
+    COMMENT,
+    LINE_COMMENT,
+    OPAQUE,
+    readable,
+    shallow,
+)
 from docloom.functions.once import let
 
 IDENT = r"[\p{L}_][\p{L}\p{Nd}_]*+"
 NAMES = rf"{IDENT}(?:, *+{IDENT})*+"
-LINE_COMMENT = r"//[^\n]*+"
-BLOCK_COMMENT = r"/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
-STRING = r'"(?:[^"\\\n]++|\\.)*+"'
-RAW_STRING = r"`[^`]*+`"
-RUNE = r"'(?:[^'\\\n]++|\\.)++'"
-COMMENT = rf"{LINE_COMMENT}|{BLOCK_COMMENT}"
-OPAQUE = rf"{RAW_STRING}|{STRING}|{RUNE}|{COMMENT}"
-
-# The rest of a line; a string or comment that spans lines stays in one piece.
-CODE_LINE = rf"(?:[^\n\"'`/]++|{OPAQUE}|[\"'`/])*+(?:\n|\z)"
-
 
 def _nested(opening: str, closing: str, depth: int) -> str:
     """A bracket pair with up to ``depth`` further pairs of its kind inside."""
@@ -45,7 +43,8 @@ def _nested(opening: str, closing: str, depth: int) -> str:
     return pattern
 
 
-# A header nested deeper is not read; ``unread_functions`` tells of it.
+# Headers and types nested deeper than this lose what lies deeper, which no rendered type shows.
+DEEPEST = 8
 PAREN = _nested(r"\(", r"\)", 16)
 BRACKET = _nested(r"\[", r"\]", 8)
 BRACE = _nested(r"\{", r"\}", 8)
@@ -64,7 +63,7 @@ HEADER_RECEIVER, HEADER_NAME, HEADER_PARAMS, HEADER_RESULTS = 1, 2, 4, 5
 _DOC_LINE = rf"^(?:{LINE_COMMENT}|{BLOCK_COMMENT}[ \t]*+)(?:\n|\z)"
 _MORE_LINES = rf"(?:^[ \t]{CODE_LINE}|^\n)*+(?:^[)}}]{CODE_LINE})?+"
 _DECLARATION = (
-    rf"(?:^{HEADER}{CODE_LINE}{_MORE_LINES}"
+    rf"(?:^func[ \t]++(?=[\p{{L}}_(]){CODE_LINE}(?:^[ \t)}}]{CODE_LINE}|^\n)*+"
     rf"|^(?:const|var|type)[ \t]++\({CODE_LINE}{_MORE_LINES}"
     rf"|^(?:const|var|type)[ \t]++(?={IDENT}){CODE_LINE}{_MORE_LINES})"
 )
@@ -89,8 +88,8 @@ def unix_lines(content: Column) -> Column:
 
 
 def lexemes(content: Column) -> Column:
-    """Gap-free cut of a file: ``array_join(lexemes, '')`` is the file."""
-    return F.regexp_extract_all(unix_lines(content), F.lit(LEXEME), F.lit(0))
+    """Gap-free cut of a file: ``array_join(lexemes, '')`` is the file, in a readable layout."""
+    return F.regexp_extract_all(readable(unix_lines(content)), F.lit(LEXEME), F.lit(0))
 
 
 def code_only(content: Column) -> Column:
@@ -102,7 +101,7 @@ def parses(content: Column) -> Column:
     """Whether a file looks like Go: a package clause and balanced brackets."""
 
     def test(code: Column) -> Column:
-        balanced = code.rlike(rf"(?md)^package[ \t]+{IDENT}[ \t;]*$")
+        balanced = code.rlike(rf"(?md)^[ \t]*+package[ \t]++{IDENT}[ \t]*+(?:;|$)")
         for opening, closing in ("()", "[]", "{}"):
             unopened = F.length(F.translate(code, opening, ""))
             unclosed = F.length(F.translate(code, closing, ""))
@@ -110,20 +109,27 @@ def parses(content: Column) -> Column:
         return balanced
 
     # The cheap test first: most texts that are no Go stop there.
-    return content.rlike(r"(?m)^package[ \t]") & let(code_only(unix_lines(content)), test)
+    return content.rlike(r"(?m)^[ \t]*+package[ \t]") & let(code_only(unix_lines(content)), test)
 
 
-def unread_functions(content: Column) -> Column:
-    """How many functions the text declares by name beyond those that are read.
+def unread(content: Column) -> Column:
+    """Whether the text declares more than is read: a function by name, a constant, variable
+    or type at the beginning of a line, or a member of a group.
 
     A name after ``func`` or after ``func (...)`` declares one; literals and types have none.
     """
-    declared = F.regexp_extract_all(
-        code_only(unix_lines(content)), F.lit(rf"(?d)\bfunc[ \t]++(?:{PAREN}[ \t]*+)?+{IDENT}[ \t]*+[\[(]"), F.lit(0)
-    )
-    functions = F.filter(lexeme_parts(lexemes(content)), lambda x: x["kind"] == "func")
-    read = F.filter(functions, lambda x: x["code"].rlike(rf"(?d)\A{HEADER}"))
-    return F.size(declared) - F.size(read)
+
+    def lost(parts: Column) -> Column:
+        code = code_only(F.array_join(F.transform(parts, lambda x: x["text"]), ""))
+        named = F.regexp_extract_all(shallow(code, DEEPEST), F.lit(rf"(?d)\bfunc[ \t]++(?:{PAREN}[ \t]*+)?+{IDENT}[ \t]*+[\[(]"), F.lit(0))
+        begun = F.regexp_extract_all(code, F.lit(r"(?md)^(?:const|var|type)\b"), F.lit(0))
+        functions = function_parts(F.filter(parts, lambda x: x["kind"] == "func"))
+        values = spec_parts(F.filter(parts, lambda x: x["kind"].isin("const", "var", "type")))
+        gap = r"(?d)\A(?:[\s;]*+|(?:const|var|type)[ \t]++\([\s)]*+|\)\s*+)\z"
+        strange = F.exists(values, lambda v: F.exists(v["specs"], lambda s: (F.size(s["names"]) == 0) & ~code_only(s["text"]).rlike(gap)))
+        return (F.size(named) > F.size(F.filter(functions, lambda d: d["name"] != ""))) | (F.size(begun) > F.size(values)) | strange
+
+    return let(lexeme_parts(lexemes(content)), lost)
 
 
 def doc_text(comment: Column) -> Column:
@@ -247,9 +253,12 @@ def lexeme_parts(texts: Column) -> Column:
 
 def function_parts(items: Column) -> Column:
     """``array<struct<..., doc, name, receiver, params, results>>`` for function lexemes."""
-    items = F.transform(
-        items, lambda x: x.withField("header", F.regexp_extract(x["code"], rf"(?d)\A{HEADER}", 0))
-    )
+    # Most headers are read as they are; only nested ones are cut at a depth first.
+    def header(code: Column) -> Column:
+        plain = F.regexp_extract(code, rf"(?d)\A{HEADER}", 0)
+        return let(plain, lambda h: F.when(h != "", h).otherwise(F.regexp_extract(shallow(code, DEEPEST), rf"(?d)\A{HEADER}", 0)))
+
+    items = F.transform(items, lambda x: x.withField("header", header(x["code"])))
 
     def group(item: Column, number: int) -> Column:
         return F.regexp_extract(item["header"], rf"(?d)\A{HEADER}", number)
@@ -307,7 +316,10 @@ def spec_parts(items: Column) -> Column:
         type_text = F.regexp_extract(
             spec["code"], rf"(?d)\Atype[ \t]++{IDENT}(?:{BRACKET})?+[ \t]*+=?+[ \t]*+([\s\S]*+)\z", 1
         )
-        type_text = F.regexp_replace(type_text, rf"(?d){OPAQUE}", "")
+        type_text = let(
+            F.regexp_replace(type_text, rf"(?d){OPAQUE}", ""),
+            lambda t: F.when(F.length(F.regexp_replace(t, r"[^(\[{]++", "")) > DEEPEST, shallow(t, DEEPEST)).otherwise(t),
+        )
         return F.struct(
             spec["text"].alias("text"),
             doc_text(spec["comment"]).alias("doc"),

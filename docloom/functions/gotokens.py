@@ -11,7 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions.once import let
-from docloom.functions.golang import COMMENT, IDENT, OPAQUE, RAW_STRING, RUNE, STRING
+from docloom.functions.golang import IDENT
+from docloom.functions.golayout import COMMENT, OPAQUE, RAW_STRING, RUNE, STRING
 
 # Words that are never names.
 KEYWORDS = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.golang import parses, unread_functions
+from docloom.functions.golang import parses, unread
 from docloom.functions.text import base_name
 
 # Words that disqualify a comment, tested without regard to case.
@@ -45,10 +45,10 @@ def parsable(files: DataFrame) -> DataFrame:
 
 def unparsable(files: DataFrame) -> DataFrame:
     """The files that are not read whole, kept aside for inspection: those that do not
-    parse, and those that declare functions which were not recognised."""
+    parse, and those with declarations that were not recognised."""
     content = F.col("content")
     # The parsing is only done for what looks like Go at all.
-    lost = F.when(F.coalesce(parses(content), F.lit(False)), unread_functions(content) > 0).otherwise(True)
+    lost = F.when(F.coalesce(parses(content), F.lit(False)), unread(content)).otherwise(True)
     return files.filter(lost)
 
 

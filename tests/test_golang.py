@@ -193,7 +193,7 @@ def test_comment_text_by_kind(go):
     assert docs == {"A": "Serve handles /api/*/\n", "B": "// kept line\n//go:kept inside\n", "C": "C runs.\n", "D": "D /* no block\nends */\n"}
 
 
-def test_functions_that_are_not_read_are_told_of(go):
+def test_declarations_that_are_not_read_are_told_of(go):
     from docloom.operators.filters import unparsable
 
     deep = "func(" * 8 + ")" * 8
@@ -206,4 +206,8 @@ def test_functions_that_are_not_read_are_told_of(go):
         "package p\n\n// func InComment() {}\nvar s = \"func InText() {}\"\ntype f func(a int) error\n\nfunc G[T any](x T) {}\n",
     )
     assert {r["name"] for r in extract.functions(files.filter("path = 'f0.go'")).collect()} == {"Deep", "After"}
-    assert {r["path"] for r in unparsable(files).collect()} == {"f1.go", "f2.go", "f3.go"}
+    names = {r["name"] for r in extract.functions(files).collect()}
+    assert names == {"Deep", "After", "Lost", "OneLine", "A", "Indented", "G"}
+    assert unparsable(files).count() == 0
+    strange = go("package p\n\nvar (\n\t= 3\n)\n", "package p\n\nfunc 3(x int) {}\n\ntype = int\n")
+    assert unparsable(strange).count() == 2
