@@ -29,7 +29,7 @@ from docloom.functions.golayout import (
     readable,
     shallow,
 )
-from docloom.functions.once import let
+from docloom.functions.once import built_once, let
 
 IDENT = r"[\p{L}_][\p{L}\p{Nd}_]*+"
 NAMES = rf"{IDENT}(?:, *+{IDENT})*+"
@@ -87,6 +87,7 @@ def unix_lines(content: Column) -> Column:
     return F.replace(content, F.lit("\r\n"), F.lit("\n"))
 
 
+@built_once
 def lexemes(content: Column) -> Column:
     """Gap-free cut of a file: ``array_join(lexemes, '')`` is the file, in a readable layout."""
     return F.regexp_extract_all(readable(unix_lines(content)), F.lit(LEXEME), F.lit(0))
@@ -97,6 +98,7 @@ def code_only(content: Column) -> Column:
     return F.regexp_replace(content, rf"(?d){OPAQUE}", "")
 
 
+@built_once
 def parses(content: Column) -> Column:
     """Whether a file looks like Go: a package clause and balanced brackets."""
 
@@ -112,6 +114,7 @@ def parses(content: Column) -> Column:
     return content.rlike(r"(?m)^[ \t]*+package[ \t]") & let(code_only(unix_lines(content)), test)
 
 
+@built_once
 def unread(content: Column) -> Column:
     """Whether the text declares more than is read: a function by name, a constant, variable
     or type at the beginning of a line, or a member of a group.

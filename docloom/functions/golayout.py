@@ -28,6 +28,20 @@ OPAQUE = rf"{RAW_STRING}|{STRING}|{RUNE}|{COMMENT}"
 # The rest of a line; a string or comment that spans lines stays in one piece.
 CODE_LINE = rf"(?:[^\n\"'`/]++|{OPAQUE}|[\"'`/])*+(?:\n|\z)"
 
+# A file in the usual layout, by its lines: declarations in column 0; a line that ends with
+# an opening bracket or an operator there goes on in lines indented by tabs, and closing
+# brackets end them in column 0.  Members of a group have one tab.
+_OPEN = r"(?<=[(\[{,=+*/&|<>.-]\n)"
+_BODY = rf"(?:^\t++(?! ){CODE_LINE}|^\n)*+"
+_GROUP = rf"^(?:const|var|type) \(\n(?:^\t(?![ \t])(?:[^\n;\"'`/]++|{OPAQUE}|/)*+\n|^\n)*+^\)(?:\n|\z)"
+_ITEM = rf"^(?:package|import|const|var|type|func)\b(?![ \t]*+\()(?:(?:[^\n;\"'`/]++|{OPAQUE}|/)*+(?:\n|\z))"
+_FUNC = rf"^func\b(?:(?:[^\n;\"'`/]++|{OPAQUE}|/)*+(?:\n|\z))"
+_IMPORT = rf"^import \(\n{_BODY}^\)(?:\n|\z)"
+USUAL = (
+    rf"(?md)\A(?:^\n|^(?:{COMMENT})[ \t]*+(?:\n|\z)|{_GROUP}|{_IMPORT}"
+    rf"|(?:{_ITEM}|{_FUNC})(?:{_OPEN}{_BODY}(?:^[)}}\]](?:[^\n;\"'`/]++|{OPAQUE}|/)*+(?:\n|\z))?+(?:{_OPEN}{_BODY}^[)}}\]]{CODE_LINE})*+)?+)*+\z"
+)
+
 TOKEN = rf"(?d){OPAQUE}|\n|[ \t\r]++|[;()\[\]{{}}]|[^\s;()\[\]{{}}\"'`/]++|[\s\S]"
 #: Passes of a running sum: enough for any text that fits into a row.
 PASSES = 31
@@ -49,7 +63,8 @@ def running(values: Column, combine: Callable[[Column, Column], Column]) -> Colu
 
 
 def _step(token: Column) -> Column:
-    return F.when(token.isin("(", "[", "{"), 1).when(token.isin(")", "]", "}"), -1).otherwise(0)
+    opened = F.when(token.rlike(r"\A[(\[{]"), 1)
+    return opened.when(token.rlike(r"\A[)\]}]"), -1).otherwise(0)
 
 
 def depth_tokens(text: Column) -> Column:
@@ -60,7 +75,7 @@ def depth_tokens(text: Column) -> Column:
         depth = running(F.transform(tokens, _step), lambda a, b: a + b)
         return F.zip_with(
             tokens, depth,
-            lambda t, a: F.struct(t.alias("t"), a.alias("after"), F.when(t.isin("(", "[", "{"), a - 1).otherwise(a).alias("d")),
+            lambda t, a: F.struct(t.alias("t"), a.alias("after"), F.when(t.rlike(r"\A[(\[{]"), a - 1).otherwise(a).alias("d")),
         )
 
     return let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), deep)
@@ -72,101 +87,82 @@ def shallow(text: Column, most: int) -> Column:
     return F.array_join(F.transform(kept, lambda x: x["t"]), "")
 
 
-def _blank(token: Column) -> Column:
-    return token.rlike(r"\A[ \t\r]")
+_BLANK, _ASIDE = r"\A[ \t\r]", r"\A(?:[ \t\r]|//|/\*)"
+
+
+def _with_neighbours(items: Column) -> Column:
+    """Adds ``last``, the last token before that is neither blank nor comment, and ``next``,
+    the first after that is not blank; '' where there is none."""
 
+    def seen(x: Column, i: Column) -> Column:
+        some = F.slice(items, F.greatest(i - BACK, F.lit(0)) + 1, F.least(i, F.lit(BACK)))
+        last = F.try_element_at(F.filter(some, lambda y: ~y["t"].rlike(_ASIDE)), F.lit(-1))["t"]
+        one = F.get(items, i + 1)["t"]
+        following = F.when(one.rlike(_BLANK), F.get(items, i + 2)["t"]).otherwise(one)
+        none = F.lit("")
+        return F.struct(x["t"].alias("t"), x["after"].alias("after"), x["d"].alias("d"), F.coalesce(last, none).alias("last"), F.coalesce(following, none).alias("next"))
 
-def _comment(token: Column) -> Column:
-    return token.startswith("//") | token.startswith("/*")
+    return F.transform(items, seen)
 
 
-def _before(items: Column, i: Column) -> Column:
-    """The last token before a place that is neither blank nor comment; null if there is none."""
-    some = F.slice(items, F.greatest(i - BACK, F.lit(0)) + 1, F.least(i, F.lit(BACK)))
-    return F.try_element_at(F.filter(some, lambda x: ~_blank(x["t"]) & ~_comment(x["t"])), F.lit(-1))["t"]
+def _with_places(items: Column) -> Column:
+    """Adds ``in``, what the last bracket of depth 0 opened (1 a group of members, 2 a type's
+    body, else 0), and ``cut``, whether a line must end after the token: after a semicolon
+    between two statements, a group's bracket, or a comment block before a declaration."""
 
+    def opened(x: Column, i: Column) -> Column:
+        kind = F.when((x["t"] == "(") & x["last"].rlike(r"\A(?:const|var|type)\z"), 1).when((x["t"] == "{") & x["last"].rlike(r"\A(?:struct|interface)\z"), 2).otherwise(0)
+        return F.when((x["d"] == 0) & x["t"].rlike(r"\A[(\[{]"), (i + 1) * 4 + kind).otherwise(0)
 
-def _next(items: Column, i: Column) -> Column:
-    """The token after a place, blanks left out; null at the end."""
-    one = F.get(items, i + 1)["t"]
-    return F.when(_blank(one), F.get(items, i + 2)["t"]).otherwise(one)
+    def placed(x: Column, mark: Column) -> Column:
+        inside = mark % 4
+        goes_on = ~x["next"].rlike(r"\A(?:[\n)}]|//|/\*|\z)")
+        statement = (x["t"] == ";") & goes_on & ((x["d"] == 0) | ((x["d"] == 1) & (inside == 1)))
+        group = (x["t"] == "(") & goes_on & (x["d"] == 0) & (inside == 1)
+        head = x["t"].startswith("/*") & (x["d"] == 0) & x["last"].rlike(r"\A[\n;]?\z") & x["next"].rlike(r"\A(?:const|var|type|func)\z")
+        return F.struct(x["t"].alias("t"), x["after"].alias("after"), x["d"].alias("d"), x["last"].alias("last"), x["next"].alias("next"), inside.alias("in"), (statement | group | head).alias("cut"))
+
+    return F.zip_with(items, running(F.transform(items, opened), lambda a, b: F.greatest(a, b)), placed)
 
 
 def relaid(text: Column) -> Column:
     """The text with every declaration and every member of a group on a line of its own."""
+    none, tab, line = F.lit(""), F.lit("\t"), F.lit("\n")
 
-    # What the last bracket of depth 0 opened: 1 a group of members, 2 a type's body.
-    def opened(x: Column, i: Column, items: Column) -> Column:
-        group = (x["t"] == "(") & _before(items, i).isin("const", "var", "type")
-        body = (x["t"] == "{") & _before(items, i).isin("struct", "interface")
-        kind = F.when(group, 1).when(body, 2).otherwise(0)
-        return F.when((x["d"] == 0) & (_step(x["t"]) == 1), (i + 1) * 4 + kind).otherwise(0)
-
-    def marked(items: Column) -> Column:
-        last = running(F.transform(items, lambda x, i: opened(x, i, items)), lambda a, b: F.greatest(a, b))
-        return F.zip_with(items, last, lambda x, m: F.struct(x["t"].alias("t"), x["after"].alias("after"), x["d"].alias("d"), (m % 4).alias("in")))
-
-    # A semicolon between two statements on one line.
-    def breaks(items: Column, i: Column) -> Column:
-        x, following = F.get(items, i), _next(items, i)
-        outside = (x["d"] == 0) | ((x["d"] == 1) & (x["in"] == 1))
-        return (x["t"] == ";") & outside & ~following.isin("\n", ")", "}") & ~_comment(following) & following.isNotNull()
-
-    def opens_group(items: Column, i: Column) -> Column:
-        x = F.get(items, i)
-        return (x["t"] == "(") & (x["d"] == 0) & (x["in"] == 1)
-
-    def breaks_group(items: Column, i: Column) -> Column:
-        following = _next(items, i)
-        return opens_group(items, i) & ~following.isin("\n", ")") & ~_comment(following)
-
-    def indent(items: Column, i: Column) -> Column:
-        x, following, last = F.get(items, i), _next(items, i), _before(items, i)
-        goes_on = F.coalesce(~last.rlike(ENDS_STATEMENT) & ~last.isin("\n", ";", "(", "[", "{"), F.lit(False))
-        members = (x["in"] > 0) & (x["after"] > 0)
-        closing = following.isin(")", "]", "}")
-        level = F.when(closing, x["after"] - 1).otherwise(x["after"])
-        deeper = F.when(goes_on & ~closing & (x["in"] == 1) & (x["after"] == 1), 1).otherwise(0)
-        own = F.when(_blank(F.get(items, i + 1)["t"]), F.lit("")).when(closing, F.lit("")).otherwise(F.lit("\t"))
+    def indent(x: Column, following: Column) -> Column:
+        goes_on = ~x["last"].rlike(rf"\A(?:[\n;(\[{{]|\z)|{ENDS_STATEMENT}")
+        closing = x["next"].rlike(r"\A[)\]}]")
+        level = x["after"] - F.when(closing, 1).when(goes_on & (x["in"] == 1) & (x["after"] == 1), -1).otherwise(0)
         return (
-            F.when(following.isNull() | (following == "\n"), F.lit(""))
-            .when(x["after"] == 0, F.when(goes_on, F.lit("\t")).otherwise(F.lit("")))
-            .when(members | (closing & (x["after"] == 1)), F.repeat(F.lit("\t"), level + deeper))
-            .otherwise(own)
+            F.when(x["next"].rlike(r"\A\n?\z"), none)
+            .when(x["after"] == 0, F.when(goes_on, tab).otherwise(none))
+            .when((x["in"] > 0) | (closing & (x["after"] == 1)), F.repeat(tab, level))
+            # A function's body or a list keeps the indentation that it has.
+            .when(closing | following.rlike(_BLANK), none)
+            .otherwise(tab)
         )
 
-    # A comment block before a declaration on its own line.
-    def heads(items: Column, i: Column) -> Column:
-        x, last = F.get(items, i), F.get(items, i - 1)["t"]
-        at_line = last.isNull() | (last == "\n") | (_blank(last) & F.coalesce(F.get(items, i - 2)["t"] == "\n", F.lit(True)))
-        return x["t"].startswith("/*") & (x["d"] == 0) & at_line & _next(items, i).isin("const", "var", "type", "func")
-
-    # Blanks after a new line go, unless they indent a function's body or a list.
-    def keeps_blanks(items: Column, i: Column) -> Column:
-        last = F.get(items, i - 1)
-        at_line = (last["t"] == "\n") & ((last["after"] == 0) | (last["in"] > 0) | ((last["after"] == 1) & F.get(items, i + 1)["t"].isin(")", "]", "}")))
-        return ~(at_line | breaks(items, i - 1) | breaks_group(items, i - 1) | heads(items, i - 1))
-
     def laid(x: Column, i: Column, items: Column) -> Column:
-        t = x["t"]
-        member = F.when(x["d"] == 1, F.lit("\n\t")).otherwise(F.lit("\n"))
-        outside = (x["d"] == 0) | ((x["d"] == 1) & (x["in"] == 1))
-        opening = F.concat(F.when((i > 0) & ~_blank(F.get(items, i - 1)["t"]), F.lit(" ")).otherwise(F.lit("")), F.lit("("), F.when(breaks_group(items, i), F.lit("\n\t")).otherwise(F.lit("")))
-        closes = (t == ")") & (x["d"] == 0) & (x["in"] == 1)
+        t, before = x["t"], F.get(items, i - 1)
+        newline = (before["t"] == "\n") & ((before["after"] == 0) | (before["in"] > 0) | ((before["after"] == 1) & x["next"].rlike(r"\A[)\]}]")))
+        member = F.when((x["d"] == 1) | (t == "("), F.lit("\n\t")).otherwise(line)
+        grouped = (x["d"] == 0) & (x["in"] == 1)
+        spaced = F.when(before["t"].rlike(_BLANK), t).otherwise(F.lit(" ("))
         return (
-            F.when(t == "\n", F.concat(t, indent(items, i)))
-            .when(t == ";", F.when(breaks(items, i), member).when(outside, F.lit("")).otherwise(t))
-            .when(_blank(t), F.when((i > 0) & keeps_blanks(items, i), t).otherwise(F.lit("")))
-            .when(opens_group(items, i), opening)
-            .when(heads(items, i), F.concat(t, F.lit("\n")))
-            .when(closes & ~F.coalesce(_before(items, i).isin("\n", "("), F.lit(True)), F.lit("\n)"))
+            F.when(t == "\n", F.concat(t, indent(x, F.coalesce(F.get(items, i + 1)["t"], none))))
+            .when(t == ";", F.when(x["cut"], member).when((x["d"] == 0) | ((x["d"] == 1) & (x["in"] == 1)), none).otherwise(t))
+            .when(t.rlike(_BLANK), F.when(F.coalesce(newline | before["cut"], F.lit(True)), none).otherwise(t))
+            .when((t == "(") & grouped, F.concat(spaced, F.when(x["cut"], member).otherwise(none)))
+            .when((t == ")") & grouped & ~x["last"].rlike(r"\A[\n(]"), F.lit("\n)"))
+            # On the declaration's own line it documents nothing, so it is set apart.
+            .when(x["cut"], F.concat(t, F.lit("\n\n")))
             .otherwise(t)
         )
 
     def joined(items: Column) -> Column:
         return F.array_join(F.transform(items, lambda x, i: laid(x, i, items)), "")
 
-    return let(let(depth_tokens(text), marked), joined)
+    return let(let(let(depth_tokens(text), _with_neighbours), _with_places), joined)
 
 
 def needs_layout(text: Column) -> Column:
@@ -184,18 +180,14 @@ def needs_layout(text: Column) -> Column:
             return opened - F.length(F.regexp_replace(line, r"[^)\]}]++", ""))
 
         def odd(line: Column, depth: Column, last: Column) -> Column:
-            outside = (
-                line.rlike(r"\A(?:[ \t]++|_[ \t]*+)(?:const|var|type|func)\b") | line.rlike(r";[ \t]*+[^ \t\n]")
-                | line.rlike(r"\A(?:const|var|type)(?:\(|[ \t]++\([ \t]*+[^ \t\n])")
+            outside = line.rlike(
+                r"\A(?:[ \t]++|_[ \t]*+)(?:const|var|type|func)\b|;[ \t]*+[^ \t\n]|\A(?:const|var|type)(?:\(|[ \t]++\([ \t]*+[^ \t\n])"
             )
-            inside = line.rlike(r"\A(?:[^ \t\n)}\]:]++(?:\n|\z|[^:\n])|\t*+ )") | (
-                (depth == 1)
-                & (
-                    (line.rlike(r"\A\t[ \t]++[^ \t\n)}\]]") & last.rlike(r"[\p{L}\p{Nd}_)\]}][ \t]*+\n"))
-                    | line.rlike(r"\A\t(?!(?:for|if|switch|else|case|select|go|defer|func)\b|\})[^\n]*+(?<=[^\n])\n?+\z") & line.rlike(r";[ \t]*+[^ \t\n]")
-                )
+            inside = line.rlike(r"\A(?:[^ \t\n)}\]:]++(?:\n|\z|[^:\n])|\t*+ )")
+            member = (line.rlike(r"\A\t[ \t]++[^ \t\n)}\]]") & last.rlike(r"[\p{L}\p{Nd}_)\]}][ \t]*+\n")) | line.rlike(
+                r"\A\t(?!(?:for|if|switch|else|case|select|go|defer|func)\b|\})[^\n;]*+;[ \t]*+[^ \t\n]"
             )
-            return F.when(depth <= 0, outside).otherwise(inside)
+            return F.when(depth <= 0, outside).otherwise(inside | ((depth == 1) & member))
 
         def with_depth(depth: Column) -> Column:
             return F.exists(
@@ -209,5 +201,5 @@ def needs_layout(text: Column) -> Column:
 
 
 def readable(text: Column) -> Column:
-    """The text, in the layout that is read."""
-    return let(text, lambda t: F.when(needs_layout(t), relaid(t)).otherwise(t))
+    """The text, in the layout that is read.  Most files pass one regular expression."""
+    return let(text, lambda t: F.when(~t.rlike(USUAL) & needs_layout(t), relaid(t)).otherwise(t))

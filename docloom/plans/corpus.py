@@ -134,6 +134,19 @@ def declaration_files(part: DataFrame) -> DataFrame:
     return _files(named.withColumn("block", F.concat(doc, body)), path)
 
 
+def other_layouts(files: DataFrame) -> DataFrame:
+    """The same declarations in other layouts, by the number in the path: as it was, indented
+    by blanks, whole file indented, joined by semicolons with groups on one line, and types
+    nested 40 deep."""
+    number = F.regexp_extract("path", r"_(\d+)\.go$", 1).cast("int")
+    text = F.col("content")
+    one_line = F.regexp_replace(text, r'const \(\n\t(\w+) = "x"\n\n\t// second is documented.\n\tsecond = 2\n\)', 'const ( $1 = "x"; // and\n\n // second is documented.\n second = 2; )')
+    joined = F.regexp_replace(F.regexp_replace(one_line, r"\n\n(const|var|type) ", "; $1 "), "package p; ", "package p\n\n")
+    nested = F.replace(text, F.lit("func(int) error"), F.lit("func(" * 40 + "int" + ")" * 40))
+    layouts = [text, F.replace(text, F.lit("\t"), F.lit("    ")), F.replace(text, F.lit("\n"), F.lit("\n  ")), joined, nested]
+    return files.withColumn("content", _pick(number % len(layouts), layouts))
+
+
 def config_tree(lineitem: DataFrame, supplier: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files, config files, module files): one organisation folder per supplier."""
     files = lineitem.select(

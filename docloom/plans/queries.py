@@ -47,6 +47,10 @@ def declared_files(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.declaration_files(table(spark, sf, "part"))
 
 
+def oddly_declared_files(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.other_layouts(declared_files(spark, sf))
+
+
 def joined(column: str, sep: str = " "):
     return F.array_join(F.col(column).cast("array<string>"), sep).alias(column.split(".")[-1])
 
@@ -89,7 +93,7 @@ def last_comment_pairs(spark, sf):
 
 @query
 def declarations(spark, sf):
-    found = extract.declarations(declared_files(spark, sf))
+    found = extract.declarations(oddly_declared_files(spark, sf))
     listed = F.transform("fields", lambda f: F.concat(F.when(f["is_ptr"], "*").otherwise(""), f["name"]))
     return found.select(
         "path", "kind", "name", "exported", "has_paren", "doc",
@@ -99,7 +103,7 @@ def declarations(spark, sf):
 
 @query
 def undocumented_declarations(spark, sf):
-    both = declared_files(spark, sf).unionByName(filters.generator_files(go_files(spark, sf)))
+    both = oddly_declared_files(spark, sf).unionByName(filters.generator_files(go_files(spark, sf)))
     found = extract.undocumented(extract.declarations(both))
     return found.groupBy("kind", "exported").agg(F.count(F.lit(1)).alias("n"))
 
@@ -125,7 +129,7 @@ def line_counts(spark, sf):
 def rejected_files(spark, sf):
     """Documents are no Go files: all of them are set aside, none of the rendered files is."""
     docs = _documents(spark, sf).select(F.concat(F.lit("doc"), "doc_id").alias("path"), F.col("comment").alias("content"))
-    return filters.unparsable(docs.unionByName(go_files(spark, sf))).select("path")
+    return filters.unparsable(docs.unionByName(go_files(spark, sf)).unionByName(oddly_declared_files(spark, sf))).select("path")
 
 
 # -- comment drafts --------------------------------------------------------------------
@@ -173,7 +177,7 @@ def usage_examples(spark, sf):
 
 
 def _spec_texts(spark, sf, kind: str) -> DataFrame:
-    found = extract.value_and_type_specs(declared_files(spark, sf)).filter(F.col("kind") == kind)
+    found = extract.value_and_type_specs(oddly_declared_files(spark, sf)).filter(F.col("kind") == kind)
     draft = templates.spec_comment(F.col("kind"), F.col("spec"), F.col("has_paren"), F.lit("corpus"))
     return found.select("path", F.array_join("spec.names", ", ").alias("names"), draft.alias("comment")).filter(
         F.col("comment") != ""

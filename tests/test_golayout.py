@@ -29,7 +29,7 @@ LAYOUTS = {
     "package p; type T int; var x = 3; func F() { a := 1; b := 2; _, _ = a, b }\n": [("type", "T", ""), ("var", "x", ""), ("func", "F", "")],
     "package p\n\nvar a = 1 +\n2\nvar b = f(\n1,\n2)\n": [("var", "a", ""), ("var", "b", "")],
     "package p\n\nfunc F() {\nvar inner int\ntype local struct{}\n_ = inner\n}\n\nvar Outer int\n": [("func", "F", ""), ("var", "Outer", "")],
-    "package p\n\n/* one */ var a int\n/* two */ func F() {}\n": [("var", "a", "one\n"), ("func", "F", "two\n")],
+    "package p\n\n/* one */ var a int\n/* two */ func F() {}\n": [("var", "a", ""), ("func", "F", "")],
     "package p\n\ntype (\n  A struct {\n    x, y int\n    *Base\n    p *int\n  }\n  B = map[string]int\n)\n": [("type", "A", ""), ("type", "B", "")],
     "package p\n\nvar s = `\ntype inText int\n`\n   const X = 1\n": [("var", "s", ""), ("const", "X", "")],
     "package p\n\nvar f = func() int {\nreturn 1\n}\nfunc\tG ( ) { }\n": [("var", "f", ""), ("func", "G", "")],
