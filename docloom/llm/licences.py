@@ -46,8 +46,9 @@ SPELLINGS = [
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F‘’“”«»–—•]+"
 #: What follows "copyright" in the terms themselves, where lines are broken before it.
 TERMS = "and|as|disclaimer|for|holder|if|in|interests?|is|it|laws?|licens(e|es|ed|ing|or|able)|notices?|of|on|or|owners?|permission|protection|statement|that|the (library|program|software|work)|this|to|treat(y|ies)|which"
-#: Lines that name who holds the rights, after punctuation has gone.
-COPYRIGHT = rf"^((portions )?(copyright|copr) (?!({TERMS})( |$)).|© |c (19|20)[0-9][0-9]|all rights reserved$)"
+#: Lines that name who holds the rights, after punctuation has gone, unless they begin a term.
+COPYRIGHT = r"^((portions )?(copyright|copr) .|© |c (19|20)[0-9][0-9]|all rights reserved$)"
+TERM_LINE = rf"^(portions )?(copyright|copr) ({TERMS})( |$)"
 BLOCK_END = r"\n *(\n *)+"
 
 
@@ -61,7 +62,7 @@ def canonical_lines(text: Column) -> Column:
 def _joined(block: Column) -> Column:
     """One unit: a block's lines, without copyright lines, in one."""
     lines = F.transform(F.split(block, "\n", -1), lambda line: F.trim(line))
-    return F.array_join(F.filter(lines, lambda line: (line != "") & ~line.rlike(COPYRIGHT)), " ")
+    return F.array_join(F.filter(lines, lambda line: (line != "") & (~line.rlike(COPYRIGHT) | line.rlike(TERM_LINE))), " ")
 
 
 def units(text: Column) -> Column:

@@ -108,7 +108,7 @@ def _sql_canonical(text: str) -> str:
 
 def _sql_unit(block: str) -> str:
     lines = f"list_transform(string_split({block}, chr(10)), lambda l: trim(l))"
-    return f"array_to_string(list_filter({lines}, lambda l: l <> '' AND NOT regexp_matches(l, '{licences.COPYRIGHT}')), ' ')"
+    return f"array_to_string(list_filter({lines}, lambda l: l <> '' AND (NOT regexp_matches(l, '{licences.COPYRIGHT}') OR regexp_matches(l, '{licences.TERM_LINE}'))), ' ')"
 
 
 _SQL_KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licences.KNOWN)
