@@ -3,6 +3,12 @@
 Every shingle flips one bit of a sketch.  Two sets whose sketches differ in h bits differ
 in h shingles at least, so sets that may differ in D shingles agree on one of any D + 1
 blocks of the sketch.  Blocks are join keys, one set of blocks for each band of sizes.
+
+A sketch has some blocks more than that needs, so linked sets share one key more than those.
+Keys have one order for all sets, the most frequent ones first, and every set leaves out as
+many of its first ones: of the keys that two sets share the last one stays with both.  So
+keys of passages that many sets hold vanish and no link is lost, however the order came
+about.
 """
 
 from __future__ import annotations
@@ -24,10 +30,19 @@ WIDTH = 4
 LEAST, PART = 85, 100
 #: Bits of a block: a handful of shingles in it make a key that few other sets have.
 BLOCK_BITS = 256
-#: Sets of a bucket whose pairs are listed, and sets of one side of a cell beyond that.
-FEW, CELL = 4, 1000
-#: Bits of the bitmap that tells which sets a second reading needs: 8 MB, whatever the data.
-BITMAP_BITS = 1 << 26
+#: Keys that every set leaves out.
+DROPPED = 3
+#: The order of keys: sets that are counted about, times that make a key frequent, and keys
+#: that are held as frequent at most.  Another order would cost time, but no link.
+SAMPLE_SETS, FREQUENT, MOST_FREQUENT = 10_000, 4, 50_000
+#: Parts into which the rows of a frequent key are dealt.
+SALTS = 1024
+#: Sets of a bucket whose pairs are listed; sets, and shingles of sets, of one side of a cell
+#: beyond that.
+FEW, CELL, CELL_SHINGLES = 4, 4000, 2_000_000
+#: Bits for each set of the bitmap that tells which sets a second reading needs, and its
+#: bounds: 32 MB at most.
+BITS_A_SET, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
 
 class Bands:
@@ -52,15 +67,16 @@ class Bands:
         """Blocks of a band's sketch, and how many of them two linked sets may miss by zeros.
 
         A block that no shingle flipped is zero, and no key.  With ``spare`` blocks more
-        than D + 1, two linked sets agree on ``spare`` + 1, so on one that is not zero
-        unless both have more zeros than that; such sets use their zeros as keys too.
+        than D + 1 + ``DROPPED``, two linked sets agree on ``spare`` + ``DROPPED`` + 1, so on
+        ``DROPPED`` + 1 that are not zero unless both have more than ``spare`` zeros; such
+        sets use their zeros as keys too.
         """
         most = self.difference(band)
         if not most:
             return 0, 0
         spare, low = 0, self.edges[band]
         while True:
-            n = most + 1 + spare
+            n = most + 1 + DROPPED + spare
             zeros = n * math.exp(-low / n)
             if zeros + 2 * math.sqrt(zeros) <= spare or spare > most:
                 return n, spare
@@ -114,7 +130,27 @@ def _sketch(shingle: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _keys(shingle: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+def _times(key: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How often the sample had each key; 0 for those that are not frequent."""
+    known, times = frequent
+    if not len(known):
+        return np.zeros(len(key), np.int64)
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    return np.where(known[at] == key, times[at], 0)
+
+
+def _without_first(key: np.ndarray, row: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which keys stay when each row leaves out its ``DROPPED`` most frequent ones."""
+    order = np.lexsort((key, -_times(key, frequent), row))
+    ordered = row[order]
+    begin = np.searchsorted(ordered, ordered, side="left")
+    return order[np.arange(len(order)) - begin >= DROPPED]
+
+
+NO_KEYS = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _keys(shingle: np.ndarray, first: np.ndarray, bands: Bands, frequent: tuple[np.ndarray, np.ndarray] = NO_KEYS) -> tuple[np.ndarray, np.ndarray]:
     """Join keys of each set, and the row of each key."""
     size = np.diff(first)
     edges = bands.upto(int(size.max(initial=1)))
@@ -141,16 +177,19 @@ def _keys(shingle: np.ndarray, first: np.ndarray, bands: Bands) -> tuple[np.ndar
             place = np.uint64(group << 32) + block[begin]
             set_ = value != 0
             owner, used = row[begin][set_], block[begin][set_].astype(np.int64)
-            keys.append(mixed(value[set_] + mixed(place[set_])))
-            rows.append(owner)
+            own_keys, own_rows = [mixed(value[set_] + mixed(place[set_]))], [owner]
             zeros = n - np.bincount(owner, minlength=len(size))[which]
             for r in which[zeros > spare].tolist():
                 absent = np.setdiff1d(np.arange(n), used[owner == r])
-                keys.append(mixed(np.uint64(1) + mixed(np.uint64(group << 32) + absent.astype(np.uint64))))
-                rows.append(np.full(len(absent), r))
+                own_keys.append(mixed(np.uint64(1) + mixed(np.uint64(group << 32) + absent.astype(np.uint64))))
+                own_rows.append(np.full(len(absent), r))
+            key, row = np.concatenate(own_keys).view(np.int64), np.concatenate(own_rows)
+            stays = _without_first(key, row, frequent)
+            keys.append(key[stays])
+            rows.append(row[stays])
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys).view(np.int64), np.concatenate(rows)
+    return np.concatenate(keys), np.concatenate(rows)
 
 
 def _slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +224,9 @@ def _fresh(node: np.ndarray, size: np.ndarray, seen: set[int]) -> np.ndarray:
     return np.array(rows, np.int64)
 
 
-def block_keys(docs: DataFrame, width: int, seed: int, least: int, part_: int) -> DataFrame:
-    """(key, node) for each set, once a task."""
+def block_keys(docs: DataFrame, width: int, seed: int, least: int, part_: int, frequent: tuple[np.ndarray, np.ndarray] = NO_KEYS) -> DataFrame:
+    """(key, node, n) for each set, once a task; n is how often the sample had a frequent key."""
+    wanted = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(least, part_), set()
@@ -196,30 +236,43 @@ def block_keys(docs: DataFrame, width: int, seed: int, least: int, part_: int) -
             size = np.diff(first)
             rows = _fresh(node, size, seen)
             at = np.repeat(first[rows], size[rows]) + np.arange(int(size[rows].sum())) - np.repeat(np.cumsum(size[rows]) - size[rows], size[rows])
-            key, row = _keys(shingle[at], np.concatenate([[0], np.cumsum(size[rows])]), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[rows][row])], ["key", "node"])
+            key, row = _keys(shingle[at], np.concatenate([[0], np.cumsum(size[rows])]), bands, wanted.value)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[rows][row]), pa.array(_times(key, wanted.value))], ["key", "node", "n"])
+
+    return docs.mapInArrow(scan, "key long, node long, n long")
 
-    return docs.mapInArrow(scan, "key long, node long")
 
+def frequent_keys(docs: DataFrame, sets: int, width: int, seed: int, least: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent keys in order and how often they occur, from about ``SAMPLE_SETS`` different texts."""
+    digest = F.xxhash64("text")
+    sample = docs.filter(F.pmod(digest, F.lit(max(1, sets // SAMPLE_SETS))) == 0).groupBy(digest.alias("digest")).agg(F.first("text").alias("text"))
+    counted = block_keys(sample, width, seed, least, part).groupBy("key").count().filter(F.col("count") >= FREQUENT)
+    found = counted.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).toArrow().sort_by("key")
+    return found.column("key").to_numpy(), found.column("count").to_numpy()
 
-def _bitmap(nodes: DataFrame) -> np.ndarray:
-    """A bitmap with the bit of each node set; another node's bit may be set by chance."""
-    bit = F.pmod(F.col("node"), F.lit(BITMAP_BITS))
+
+def _bitmap(nodes: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap with the bit of each node set, and its size; another node's bit may be set by chance."""
+    bits, n = LEAST_BITS, nodes.count()
+    while bits < min(MOST_BITS, BITS_A_SET * n):
+        bits *= 2
+    bit = F.pmod(F.col("node"), F.lit(bits))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
     words = nodes.groupBy((bit / 64).cast("int").alias("word")).agg(F.bit_or(mask).alias("mask"))
-    held = np.zeros(BITMAP_BITS // 64, np.int64)
+    held = np.zeros(bits // 64, np.int64)
     for batch in words.toArrow().to_batches():
         held[batch.column("word").to_numpy()] = batch.column("mask").to_numpy()
-    return held
+    return held, bits
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, width: int, seed: int) -> DataFrame:
     """(node, shingles) for the given nodes, from a second reading of the texts.
 
-    Which sets to send on is decided in the reading task by a bitmap of fixed size;
-    the few others it lets through find no partner.
+    Which sets to send on is decided in the reading task by a bitmap whose size follows
+    their number up to a bound; the few others it lets through find no partner.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+    held, bits = _bitmap(nodes)
+    wanted = docs.sparkSession.sparkContext.broadcast(held)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -227,7 +280,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int, seed: int) -> DataFra
         for part in _slices_of(batches):
             shingle, first = _sets(part.column("text"), width)
             node = _names(shingle, first, seed)[0]
-            bit = node % BITMAP_BITS
+            bit = node % bits
             hit = (bitmap[bit // 64] >> (bit % 64)) & 1
             rows = _fresh(node, np.diff(first) * hit, seen)
             chosen = [shingle[first[r] : first[r + 1]].view(np.int64) for r in rows.tolist()]
@@ -333,53 +386,113 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(open_)
 
 
-def _close_in_cell(cell: pa.Table, least: int, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a cell's two parts that are still apart and may link."""
-    side, node, root, size = (cell.column(c).to_numpy() for c in ("side", "node", "root", "size"))
-    sketches = [np.array(x, np.int64).view(np.uint64) for x in cell.column("sketch").to_pylist()]
-    length = min(len(x) for x in sketches)
-    folded = np.stack([np.bitwise_xor.reduce(x.reshape(-1, length), axis=0) for x in sketches])
-    low, high = int(cell.column("low")[0].as_py()), int(cell.column("high")[0].as_py())
-    ones, others = np.flatnonzero(side == low), np.flatnonzero(side == high)
-    found = []
-    for i in ones.tolist():
-        differ = np.bitwise_count(folded[others] ^ folded[i]).sum(axis=1)
-        both = size[others] + size[i]
-        most = both - 2 * -(-both * least // (part + least))
-        fits = np.minimum(size[others], size[i]) * part >= np.maximum(size[others], size[i]) * least
-        hit = others[(differ <= most) & fits & (root[others] != root[i])]
-        found.append(np.stack([np.minimum(node[hit], node[i]), np.maximum(node[hit], node[i])]))
-    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    return pairs[0], pairs[1]
-
-
-def close_in_large(rows: DataFrame, nodes: DataFrame, least: int, part: int) -> DataFrame:
-    """Pairs (a, b) that may link, from buckets of many sets: ``rows`` is (key, node, root, n).
-
-    A bucket is dealt into parts of about ``CELL`` sets and every two parts meet in a
-    cell of their own, so a large bucket is many equal tasks.  A cell sends on the pairs
-    whose sketches are near, never all of its pairs.
-    """
-    parts = F.ceil(F.col("n") / CELL).cast("int")
+class _Cell:
+    """The sets of a cell: those of one part of a bucket (``ones``) meet those of another."""
+
+    def __init__(self, table: pa.Table, least: int, part: int):
+        side, self.node, self.root, self.size = (table.column(c).to_numpy() for c in ("side", "node", "root", "size"))
+        sketch = table.column("sketch").combine_chunks()
+        ends, values = sketch.offsets.to_numpy(), sketch.values.to_numpy().view(np.uint64)
+        lengths = np.diff(ends)
+        length = int(lengths.min())
+        self.folded = np.zeros((len(lengths), length), np.uint64)
+        for longer in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == longer)
+            self.folded[rows] = np.bitwise_xor.reduce(values[ends[rows][:, None] + np.arange(longer)].reshape(len(rows), -1, length), axis=1)
+        self.ones = np.flatnonzero(side == table.column("low")[0].as_py())
+        self.others = np.flatnonzero(side == table.column("high")[0].as_py())
+        self.least, self.part = least, part
+
+    def close(self, i: int, root: np.ndarray) -> np.ndarray:
+        """Others that may link with a set by size and sketch and are apart by ``root``."""
+        others = self.others[root[self.others] != root[i]]
+        both, less, more = self.size[others] + self.size[i], np.minimum(self.size[others], self.size[i]), np.maximum(self.size[others], self.size[i])
+        others, both = (x[less * self.part >= more * self.least] for x in (others, both))
+        differ = np.bitwise_count(self.folded[others] ^ self.folded[i]).sum(axis=1)
+        return others[differ <= both - 2 * -(-both * self.least // (self.part + self.least))]
+
+
+def _wanted_in_cell(table: pa.Table, least: int, part: int) -> np.ndarray:
+    """Sets of a cell with a partner that may link."""
+    cell = _Cell(table, least, part)
+    wanted = np.zeros(len(cell.node), bool)
+    for i in cell.ones.tolist():
+        near_ones = cell.close(i, cell.root)
+        wanted[near_ones] = True
+        wanted[i] |= len(near_ones) > 0
+    return np.unique(cell.node[wanted])
+
+
+def _links_in_cell(table: pa.Table, least: int, part: int) -> list[tuple[int, int]]:
+    """Links between the sets of a cell, compared whole: a forest, no link between joined ones."""
+    cell = _Cell(table, least, part)
+    shingles = table.column("shingles").combine_chunks()
+    ends, values = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+    group, found = cell.root.copy(), []
+    for i in cell.ones.tolist():
+        mine = values[ends[i] : ends[i + 1]]
+        for j in cell.close(i, group).tolist():
+            if group[i] == group[j]:
+                continue
+            theirs = values[ends[j] : ends[j + 1]]
+            shared = len(np.intersect1d(mine, theirs, assume_unique=True))
+            if shared * part >= (len(mine) + len(theirs) - shared) * least:
+                group[group == group[j]] = group[i]
+                found.append((int(cell.node[i]), int(cell.node[j])))
+    return found
+
+
+def _cells(rows: DataFrame, key: str, parts: Column, columns: list[str]) -> DataFrame:
+    """Rows of groups dealt into ``parts``, of which every two meet in a cell of their own
+    (key, low, high): a large group is many tasks, one of a single part is one cell."""
     dealt = rows.withColumn("side", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "root")
-    dealt = dealt.join(nodes.select("node", "size", "sketch"), "node").select("key", "low", "high", "side", "node", "root", "size", "sketch")
-    ordered = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)))
+    dealt = dealt.select(key, F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", *columns)
+    return dealt.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def links_in_large(open_: DataFrame, nodes: DataFrame, held: DataFrame, width: int, seed: int, least: int, part: int) -> DataFrame:
+    """Links (a, b) from buckets of many sets that are still apart: ``open_`` is (key, node, root, n).
+
+    First the cells of a bucket compare sketches and name, as a group, the sets that have a
+    near partner; the same group from several buckets is one.  Then the shingles of those
+    sets are fetched, and cells that are smaller where sets are long compare them and send
+    on a forest of links.  So what leaves a cell is never more than the sets in it.
+    """
+    facts = nodes.select("node", "size", "sketch")
+    first = _cells(open_.join(facts, "node"), "key", F.ceil(F.col("n") / CELL), ["node", "root", "size", "sketch"])
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _runs(batches, 3):
+            found = _wanted_in_cell(cell, least, part)
+            name = mixed(found.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), name)), pa.array(found)], ["group", "node"])
+
+    near_sets = stored(first.mapInArrow(wanted, "group long, node long").distinct(), "near")
+    sets = stored(sets_of(held, near_sets.select("node").distinct(), width, seed), "near-sets")
+    rows = near_sets.join(open_.select("node", "root").distinct(), "node").join(facts, "node")
+    volume = rows.groupBy("group").agg(F.sum("size").alias("volume"))
+    met = rows.join(volume, "group").join(sets, "node")
+    second = _cells(met, "group", F.ceil(F.col("volume") / CELL_SHINGLES), ["node", "root", "size", "sketch", "shingles"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _runs(batches, 3):
-            a, b = _close_in_cell(cell, least, part)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            a, b = np.array(_links_in_cell(cell, least, part), np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return ordered.mapInArrow(compare, "a long, b long").distinct()
+    return second.mapInArrow(linked, "a long, b long")
 
 
 def _links(held: DataFrame, nodes: DataFrame, width: int, seed: int, least: int, part: int) -> DataFrame:
-    bucket = Window.partitionBy("key")
-    keys = block_keys(held, width, seed, least, part)
-    shared = keys.select("key", "node", F.min("node").over(bucket).alias("low"), F.max("node").over(bucket).alias("high"), F.count(F.lit(1)).over(bucket).alias("n"))
-    shared = stored(shared.filter("low <> high").select("key", "node", "n").distinct(), "buckets")
+    frequent = frequent_keys(held, nodes.count(), width, seed, least, part)
+    keys = block_keys(held, width, seed, least, part, frequent)
+    # Rows of a frequent key are dealt by salts too: it is shared anyway, and about how many
+    # have it is known.  Only the rest is counted in a window, which no hot key reaches.
+    keys = keys.withColumn("salt", F.when(F.col("n") > 0, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0))
+    bucket = Window.partitionBy("key", "salt")
+    seen = keys.select("key", "salt", "node", "n", F.min("node").over(bucket).alias("low"), F.max("node").over(bucket).alias("high"), F.count(F.lit(1)).over(bucket).alias("m"))
+    shared = seen.filter("n > 0 OR low <> high").select("key", "salt", "node", F.greatest("n", F.when(F.col("n") == 0, F.col("m"))).alias("n"))
+    shared = stored(shared.distinct().drop("salt"), "buckets")
     # The more sets share a node's keys, the nearer it is to the middle of its group.
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     centres = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("centre"))
@@ -395,6 +508,6 @@ def _links(held: DataFrame, nodes: DataFrame, width: int, seed: int, least: int,
     one = few.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
     two = few.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
     pairs = one.join(two, "key").filter(F.col("root_a") < F.col("root_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = near(pairs, nodes, least, part).union(close_in_large(open_.filter(F.col("n") > FEW), nodes, least, part)).distinct()
-    second = verified(stored(pairs, "pairs"), held, width, seed, least, part)
-    return first.union(second)
+    second = verified(stored(near(pairs, nodes, least, part), "pairs"), held, width, seed, least, part)
+    large = open_.filter(F.col("n") > FEW)
+    return first.union(second) if large.isEmpty() else first.union(second).union(links_in_large(large, nodes, held, width, seed, least, part))

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from docloom.llm import parity_join
 from docloom.llm.components import components
 from docloom.llm.decontaminate import find_contamination, remove_contamination
 from docloom.llm.parity_join import Bands, similar_sets
@@ -179,3 +180,35 @@ def test_contamination_matches_brute_force(spark, edge, edge_rows, empty, block_
         none = find_contamination(edge, items.filter("false")).collect()
         assert len(none) == len(edge_rows)
         assert not any(r.n_hit for r in none)
+
+
+def test_large_buckets_are_compared_in_cells(spark, monkeypatch):
+    """Chains of near copies that do not link to their middle, around passages that all share."""
+    monkeypatch.setattr(parity_join, "CELL", 7)
+    monkeypatch.setattr(parity_join, "CELL_SHINGLES", 900)
+    rng = random.Random(11)
+    common = [f"c{rng.randrange(40)}" for _ in range(30)]
+    texts = []
+    for n in (40, 90, 200):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for _ in range(90):
+            text = list(text)
+            for _ in range(max(1, n // 60)):
+                text[rng.randrange(n)] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(text[: n // 2] + common[: rng.randrange(4) * n // 40] + text[n // 2 :]))
+    texts += [" ".join(common + [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 60))]) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for width, least in ((4, 85), (5, 80)):
+        got = {r.doc_id: r.component_id for r in similar_sets(docs, width=width, least=least).collect()}
+        assert got == dict(enumerate(groups([shingles(t, width) for t in texts], least)))
+
+
+def test_any_order_of_keys_loses_no_link(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(300)}" for _ in range(60)] for _ in range(6)]
+    texts = [" ".join(w if rng.random() > 0.02 else "v" for w in b) for b in base for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(enumerate(groups([shingles(t) for t in texts])))
+    for times in (1, 10**9):
+        monkeypatch.setattr(parity_join, "FREQUENT", times)
+        assert {r.doc_id: r.component_id for r in similar_sets(docs).collect()} == want
