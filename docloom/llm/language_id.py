@@ -184,6 +184,10 @@ class Trees:
         return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)], score
 
 
+#: Characters of a text that stand for a language of which no whole text was chosen.
+PIECE = 20_000
+
+
 def held_out(id_column: str) -> Column:
     """Rows kept from training: a quarter, by a checksum of the id; a null id is not held out."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -194,7 +198,8 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", id_column: s
 
     A language gives about ``language_bytes``, all together ``sample_bytes``: rows are
     chosen by a hash, at a rate that follows from the bytes the language has, so no
-    language is gathered in one place.  The id only spreads the choice over copies.  The counts that reach the driver are fewer than
+    language is gathered in one place.  A language of few long texts may give none; then the
+    first ``PIECE`` characters of one text stand for it.  The id only spreads the choice over copies.  The counts that reach the driver are fewer than
     the sample's bytes.
     """
     labelled = docs.select(F.col(text).alias("text"), F.col(label).cast("string").alias("lang"), F.col(id_column).alias("id")).dropna(subset=["text", "lang"])
@@ -218,7 +223,18 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", id_column: s
                 arrays = [pa.array(lang[(both >> np.uint64(32)).astype(np.int64)].tolist(), pa.string()), pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(arrays, ["lang", "gram", "n"])
 
-    counts = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    def counted(rows: DataFrame) -> pa.Table:
+        return rows.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+
+    counts = counted(chosen)
+    absent = sorted(set(languages) - set(counts.column("lang").to_pylist()))
+    if absent:
+        # The beginning of the text with the least hash; partial minima meet before the shuffle.
+        piece = F.struct(F.xxhash64("text", "id").alias("draw"), F.substring("text", 1, PIECE).alias("text"))
+        floor = labelled.filter(F.col("lang").isin(absent)).groupBy("lang").agg(F.min(piece).alias("piece"))
+        counts = pa.concat_tables([counts, counted(floor.select(F.col("piece.text").alias("text"), "lang"))])
+    # A language that has no statistics at all, such as one of empty texts, is not learned.
+    languages = sorted(set(counts.column("lang").to_pylist()))
     gram = counts.column("gram").to_numpy().astype(np.uint32)
     column = np.searchsorted(np.array(languages), np.array(counts.column("lang").to_pylist(), dtype=str))
     key, owner = np.unique(gram, return_inverse=True)

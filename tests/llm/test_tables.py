@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check_oracles import compare, connect
-from docloom.llm import line_dedup, web_records
+from docloom.llm import language_id, line_dedup, web_records
 from docloom.llm.mixing import find_exponent, mix_sources
 from docloom.llm.queries import ORACLES, QUERIES
 
@@ -282,7 +282,14 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     again = corpus_pipeline.decontamination(spark, kept, folder)
     assert sorted(again.select("doc_id", "text").collect()) == sorted(kept.select("doc_id", "text").collect())
     mixed = corpus_pipeline.run(spark, folder)
-    assert {r.doc_id for r in mixed.collect()} == {r.doc_id for r in kept.collect()}
+    rows = mixed.collect()
+    assert {r.doc_id for r in rows} <= {r.doc_id for r in kept.collect()}
+    # What is drawn meets the weights, to a document of each source.
+    budget = sum(len((r.text or "").split()) for r in kept.collect())
+    for source in {r.source for r in rows}:
+        own = [r for r in rows if r.source == source]
+        assert abs(sum(r.n_tokens for r in own) - own[0].weight * budget) <= max(r.n_tokens for r in own) + 1
+    assert all(1 <= r.copy <= r.copies for r in rows) and len({(r.doc_id, r.copy) for r in rows}) == len(rows)
     assert kept.count() > 0.7 * docs.count()
 
 
@@ -294,3 +301,25 @@ def test_pipeline_stages_on_edge_rows(spark, edge, empty):
     groups = corpus_pipeline.similar_documents(spark, edge, folder)
     texts = [r.text for r in groups.collect() if r.text and len(r.text.split()) > 50]
     assert len(texts) == len(set(texts))
+
+
+def test_pipeline_keeps_other_columns(spark, edge):
+    folder = "/root/testdata/sf0.001"
+    names = ["_row", "_before", "n_lines", "n_removed", "lang_pred", "score", "key", "a b", "other column 3"]
+    docs = edge.dropDuplicates(["doc_id"]).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in [*names, "weight"]})
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, docs, folder).collect()
+        assert rows, name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names if r.doc_id is not None), name
+    assert isinstance(rows[0].weight, float)
+
+
+def test_languages_of_few_long_texts(spark):
+    words = {"en": "the people of this house are not at home ", "fr": "les gens de cette maison ne sont pas chez eux ", "el": "οι άνθρωποι αυτού του σπιτιού δεν είναι εδώ "}
+    rows = [(i, words[lang] * 3, lang) for lang in ("en", "fr") for i in range(200)] + [(900 + i, words["el"] * 4000, "el") for i in range(3)] + [(999, "", "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = language_id.train(docs, language_bytes=5000)
+    assert trees.languages == ["el", "en", "fr"]
+    texts = [words["el"], words["fr"], words["en"]]
+    found = language_id.predict_language(spark.createDataFrame([(t,) for t in texts], "text string"), trees).collect()
+    assert {r.text: r.lang_pred for r in found} == {words["el"]: "el", words["fr"]: "fr", words["en"]: "en"}
