@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import grading
 from docloom.functions.once import with_once
 from docloom.functions.grading import DEFAULT_LEXICON, Lexicon
+from docloom.session import stored
 
 
 def graded(df: DataFrame, comment: str = "comment", lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
@@ -31,36 +32,53 @@ def good_only(graded_rows: DataFrame) -> DataFrame:
     return graded_rows.filter(F.col("grade") == "good")
 
 
+def one_entry_a_word(lexicon: DataFrame) -> DataFrame:
+    """The lexicon with one row a word, of several the first by tag and lemma.
+
+    A word that is a verb and a noun has two entries in most lexicons; joined as they are,
+    they would count it twice.
+    """
+    entry = F.struct("pos", "lemma", "is_stop")
+    first = lexicon.filter(F.col("word").isNotNull()).groupBy("word").agg(F.min(entry).alias("entry"))
+    return first.select("word", "entry.lemma", "entry.pos", "entry.is_stop")
+
+
+def _placed(df: DataFrame, id_columns: list[str], comment: str) -> DataFrame:
+    """The comments with a key of their own, stored, so that equal or missing ids are no group."""
+    keyed = stored(df.select(*id_columns, comment).withColumn("_row", F.monotonically_increasing_id()))
+    return keyed.repartition("_row")
+
+
 def grade_with_lexicon(
     df: DataFrame, lexicon: DataFrame, id_columns: list[str], comment: str = "comment"
 ) -> DataFrame:
     """Counts and grade against a lexicon table, without the tokens themselves.
 
-    The words of a comment are counted where the comment has been placed by id, looked up
-    once each, and their counts summed; words the table lacks keep their built-in roles.
-    ``id_columns`` must tell the rows apart.
+    The words of a comment are counted where the comment has been placed, looked up once
+    each, and their counts summed; words the table lacks keep their built-in roles.  There
+    is one row for each row of ``df``, whatever its ids, and one entry counts for a word.
     """
+    row = ["_row", *id_columns]
     words = F.transform(grading.tokens(F.coalesce(F.col(comment), F.lit(""))), lambda t: F.lower(t))
     pairs = F.arrays_zip(words.alias("word"), grading.roles(comment).alias("role"))
-    placed = df.select(*id_columns, comment).repartition(*id_columns)
     counted = (
-        placed.select(*id_columns, F.explode_outer(pairs).alias("t"))
-        .groupBy(*id_columns, F.col("t.word").alias("word"), F.col("t.role").alias("role"))
+        _placed(df, id_columns, comment).select(*row, F.explode_outer(pairs).alias("t"))
+        .groupBy(*row, F.col("t.word").alias("word"), F.col("t.role").alias("role"))
         .agg(F.count("t.word").alias("n"))
     )
-    known = lexicon.select("word", F.lower("lemma").isin(*grading.TECH_TERMS).alias("_tech"), (F.col("pos") == "VERB").alias("_verb"), F.col("is_stop").alias("_stop"))
+    known = one_entry_a_word(lexicon).select("word", F.lower("lemma").isin(*grading.TECH_TERMS).alias("_tech"), (F.col("pos") == "VERB").alias("_verb"), F.col("is_stop").alias("_stop"))
     found = counted.join(known, ["word"], "left")
 
     def total(flag: str, bit: int):
         own = F.col("role").bitwiseAND(F.lit(bit)) > 0
         return F.sum(F.when(F.coalesce(F.col(flag), own, F.lit(False)), F.col("n")).otherwise(0))
 
-    summed = found.groupBy(*id_columns).agg(
+    summed = found.groupBy(*row).agg(
         F.sum("n").alias("n_tokens"), total("_verb", grading.IS_VERB).alias("n_verbs"),
         total("_stop", grading.IS_STOP).alias("n_stop"), total("_tech", grading.IS_TECH).alias("n_tech"),
     )
     c = [F.col(name) for name in ("n_tokens", "n_verbs", "n_stop", "n_tech")]
-    return summed.withColumn("grade", grading.grade(*c))
+    return summed.withColumn("grade", grading.grade(*c)).drop("_row")
 
 
 def analyze_with_lexicon(
@@ -71,29 +89,29 @@ def analyze_with_lexicon(
     Tokens are exploded and looked up by word; where the lexicon is too large to
     broadcast, adaptive execution splits the partition of a frequent word.  A comment is
     put together again from its own tokens, so a group never exceeds one input row.
-    Words that the table lacks keep the built-in lemma and tag.  ``id_columns`` must tell
-    the rows apart.
+    Words that the table lacks keep the built-in lemma and tag.  There is one row for each
+    row of ``df``, whatever its ids, and one entry counts for a word.
     """
-    # Placed by id before the explode: with the lexicon broadcast, the comments are the
-    # only rows that are shuffled, not their tokens.
-    placed = df.select(*id_columns, comment).repartition(*id_columns)
-    rows = placed.select(
-        *id_columns,
+    # Placed before the explode: with the lexicon broadcast, the comments are the only rows
+    # that are shuffled, not their tokens.
+    row = ["_row", *id_columns]
+    rows = _placed(df, id_columns, comment).select(
+        *row,
         F.posexplode_outer(grading.tagged(comment)).alias("pos_in_text", "item"),
     ).withColumn("word", F.col("item.word"))
-    known = lexicon.select(
+    known = one_entry_a_word(lexicon).select(
         "word",
         F.col("lemma").alias("_lemma"), F.col("pos").alias("_pos"), F.col("is_stop").alias("_stop"),
     )
     found = rows.join(known, ["word"], "left")
     item = F.col("item")
     found = found.select(
-        *id_columns, "pos_in_text", F.col("item.text").alias("text"),
+        *row, "pos_in_text", F.col("item.text").alias("text"),
         F.coalesce("_lemma", item["lemma"]).alias("lemma"),
         F.coalesce("_pos", item["pos"]).alias("pos"),
         F.coalesce("_stop", item["word"].isin(*DEFAULT_LEXICON.stop_words), F.lit(False)).alias("is_stop"),
     )
-    whole = found.groupBy(*id_columns).agg(
+    whole = found.groupBy(*row).agg(
         F.array_sort(
             F.collect_list(
                 F.when(F.col("text").isNotNull(), F.struct("pos_in_text", "text", "lemma", "pos", "is_stop"))

@@ -57,26 +57,62 @@ def _typed(value: Column, kind: str) -> Column:
     return value.try_cast(kind)
 
 
+# A flow mapping or list, which may go over several lines, or what is no part of one.
+_QUOTED = r'"[^"\n]*+"|\'[^\'\n]*+\''
+_PIECE = rf"(?d)#[^\n]*+|{_QUOTED}|(?<=: |:\t)(?:\{{(?:{_QUOTED}|[^{{}}\"'])*+\}}|\[(?:{_QUOTED}|[^\[\]\"'])*+\])|[^#\"'{{\[]++|[\s\S]"
+# An entry of a flow mapping or list: a comma between quotes does not end it.
+_ENTRY = rf"(?:{_QUOTED}|[^,\"'])++"
+# A block scalar: key, style, and lines indented more than the key.
+_BLOCK = r"(?md)^([ \t]*+)([\w.-]+):[ \t]++([|>])([+-]?)[ \t]*+(?:#[^\n]*+)?\n((?:\1[ \t]++[^\n]*+(?:\n|\z)|[ \t]*+\n)*+)"
+_LINE = r"\A[ \t]*+(?:#.*+|[\w.-]++:(?:[ \t].*+)?|-(?:[ \t].*+)?|---|\.\.\.)?\z"
+_UNCLOSED = r"(?md)(?:^[ \t]*+[\w.-]++:|^[ \t]*+-)[ \t]++(?:\{[^}\n]*+|\[[^\]\n]*+|\"[^\"\n]*+|'[^'\n]*+)$"
+
+
+def _on_one_line(content: Column) -> Column:
+    """Flow mappings and lists without line feeds and comments."""
+    pieces = F.regexp_extract_all(content, F.lit(_PIECE), F.lit(0))
+    flat = F.transform(
+        pieces, lambda p: F.when(p.rlike(r"\A[{\[].*\n"), F.regexp_replace(F.regexp_replace(p, r"[ \t]#[^\n]*+", ""), r"\s*\n\s*", " ")).otherwise(p)
+    )
+    return F.array_join(flat, "")
+
+
+def _block_text(body: Column, style: Column, chomp: Column) -> Column:
+    """A block scalar's text: without its indentation, lines kept or folded, one line feed
+    at the end unless it is chomped."""
+    indent = F.length(F.regexp_extract(body, r"\A(?:[ \t]*\n)*([ \t]*)", 1))
+    lines = F.transform(F.split(F.regexp_replace(body, r"\s++\z", ""), "\n"), lambda line: F.substr(line, indent + 1))
+    kept = F.array_join(lines, "\n")
+    text = F.when(style == ">", F.regexp_replace(kept, r"(?<!\n)\n(?!\n)", " ")).otherwise(kept)
+    return F.when(chomp == "-", text).otherwise(F.concat(text, F.lit("\n")))
+
+
 def parse_config(files: DataFrame) -> DataFrame:
     """``(path, content)`` of configuration files to one row of fields per directory.
 
     Spark's file sources skip dot-files, so the files come as a landed table.  A section
-    is a block of indented lines or a flow mapping on one line.  A value that is not of
-    its kind is null, and the first such field is named in ``bad_value``.
+    is a block of indented lines or a flow mapping, on one line or several; values are
+    plain, quoted, or block scalars.  A value that is not of its kind is null, and the first
+    such field is named in ``bad_value``, as is a line that cannot be read and a value that
+    is not closed: their folder is in error rather than without settings.
     """
     content = F.replace(F.col("content"), F.lit("\r\n"), F.lit("\n"))
 
-    def section_text(section: str) -> Column:
+    def section_text(whole: Column, section: str) -> Column:
         if not section:
-            return content
-        block = F.regexp_extract(content, rf"(?md)^{section}:[ \t]*\n((?:[ \t]+[^\n]*(?:\n|\z)|\n)*+)", 1)
-        flow = F.regexp_extract(content, rf"(?md)^{section}:[ \t]*\{{([^}}\n]*)\}}", 1)
-        return F.when(block != "", block).otherwise(F.concat(F.lit(" "), F.regexp_replace(flow, r"[ \t]*,[ \t]*", "\n ")))
+            return whole
+        block = F.regexp_extract(whole, rf"(?md)^{section}:[ \t]*(?:#[^\n]*)?\n((?:[ \t]+[^\n]*(?:\n|\z)|\n)*+)", 1)
+        flow = F.regexp_extract(whole, rf"(?md)^{section}:[ \t]*\{{([^\n]*)\}}", 1)
+        entries = F.transform(F.regexp_extract_all(flow, F.lit(_ENTRY), F.lit(0)), lambda e: F.concat(F.lit(" "), F.trim(e)))
+        return F.when(block != "", block).otherwise(F.array_join(entries, "\n"))
 
     def raw(section: str, key: str) -> Column:
         indent = r"[ \t]+" if section else ""
-        within = F.col(f"_sections.{section or 'top'}")
-        return _scalar(F.trim(F.regexp_extract(within, rf"(?md)^{indent}{key}:[ \t]+([^\n]*)$", 1)))
+        within, full = F.col(f"_cut.{section or 'top'}"), F.col(f"_cut.{section or 'top'}_full")
+        plain = _scalar(F.trim(F.regexp_extract(within, rf"(?md)^{indent}{key}:[ \t]+([^\n]*)$", 1)))
+        pattern = _BLOCK.replace(r"([ \t]*+)([\w.-]+)", rf"({indent})({key})")
+        part = [F.regexp_extract(full, pattern, n) for n in (5, 3, 4)]
+        return F.coalesce(plain, F.when(F.col("_cut.blocks") & (part[1] != ""), _block_text(*part)))
 
     def bad(name: str, kind: str) -> Column:
         given = F.col(f"_raw.{name}")
@@ -84,21 +120,30 @@ def parse_config(files: DataFrame) -> DataFrame:
 
     keys = [(s, key) for s, keys in CONFIG_KEYS.items() for key in keys]
     kinds = {field_name(s, key): CONFIG_KEYS[s][key] for s, key in keys}
-    # Sections are cut out once, values found once.
-    cut = with_once(files, "_sections", F.struct(*[section_text(s).alias(s or "top") for s in CONFIG_KEYS]))
+    # The text is laid out once, sections are cut out once, values found once.
+    flat = with_once(files, "_flat", _on_one_line(content))
+    bare = with_once(flat, "_bare", F.regexp_replace("_flat", _BLOCK, "$1$2:\n"))
+    sections = [section_text(F.col("_bare"), s).alias(s or "top") for s in CONFIG_KEYS]
+    full = [section_text(F.col("_flat"), s).alias(f"{s or 'top'}_full") for s in CONFIG_KEYS]
+    cut = with_once(bare, "_cut", F.struct(*sections, *full, (F.col("_bare") != F.col("_flat")).alias("blocks")))
     found = with_once(cut, "_raw", F.struct(*[raw(s, key).alias(field_name(s, key)) for s, key in keys]))
 
-    block = F.regexp_extract(content, r"(?md)^prefixes:[ \t]*\n((?:[ \t]*-[ \t]+[^\n]*(?:\n|\z))*+)", 1)
-    flow = F.regexp_extract(content, r"(?md)^prefixes:[ \t]*\[([^\]\n]*)\]", 1)
+    block = F.regexp_extract("_bare", r"(?md)^prefixes:[ \t]*(?:#[^\n]*)?\n((?:[ \t]*-[ \t]+[^\n]*(?:\n|\z))*+)", 1)
+    flow = F.regexp_extract("_bare", r"(?md)^prefixes:[ \t]*\[([^\n]*)\]", 1)
     entries = F.when(block != "", F.regexp_extract_all(block, F.lit(r"(?md)^[ \t]*-[ \t]+([^\n]*)$"), F.lit(1))).otherwise(
-        F.split(flow, ",")
+        F.regexp_extract_all(flow, F.lit(_ENTRY), F.lit(0))
     )
     prefixes = F.filter(F.transform(entries, lambda e: _scalar(F.trim(e))), lambda e: e != "")
+    strange = F.get(F.filter(F.split("_bare", "\n"), lambda line: ~line.rlike(_LINE)), F.lit(0))
     return found.select(
         directory(F.col("path")).alias("dir"),
         *[_typed(F.col(f"_raw.{name}"), kind).alias(name) for name, kind in kinds.items()],
         F.when(F.size(prefixes) > 0, prefixes).alias("prefixes"),
-        F.coalesce(*[bad(name, kind) for name, kind in kinds.items() if kind != "string"]).alias("bad_value"),
+        F.coalesce(
+            F.when(strange.isNotNull(), F.concat(F.lit("line cannot be read: "), F.trim(strange))),
+            F.when(F.col("_bare").rlike(_UNCLOSED), F.lit("value is not closed")),
+            *[bad(name, kind) for name, kind in kinds.items() if kind != "string"],
+        ).alias("bad_value"),
     )
 
 

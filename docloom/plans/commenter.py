@@ -11,6 +11,7 @@ from docloom.operators.config import choose_provider, resolve_configs, with_conf
 from docloom.operators.extract import undocumented_functions
 from docloom.operators.filters import generator_files
 from docloom.operators.rewrite import commented
+from docloom.session import stored
 
 
 def configured_files(
@@ -45,16 +46,24 @@ def apply_replies(configured: DataFrame, replies: DataFrame) -> tuple[DataFrame,
     ``replies`` is ``(path, pos, body)``, the answers to ``model_requests``.  A comment goes
     before its function with the author that the configuration names; types get their
     template whatever the provider, constants and variables with the local provider.
-    ``rejected`` is ``(path, pos, error)``: an answer that cannot be decoded, or a file
-    (without ``pos``) whose configuration is in error.  Of several answers to one request
+    ``rejected`` is ``(path, pos, error)``: an answer that cannot be decoded, a request
+    without an answer, an answer that nothing asked for, or a file (without ``pos``) whose
+    configuration is in error.  Every request and every answer is in one of the frames.  Of several answers to one request
     the least text counts.  A file's answers meet in its own row, so a group is never
     larger than a file.
     """
     asked = configured.filter("provider != 'template'")
     usable = asked.filter("config_error IS NULL")
     answers = replies.groupBy("path", "pos").agg(F.min("body").alias("body"))
-    answers = usable.select("path", "provider").join(answers, "path")
-    decoded = answers.select("path", "pos", decode_response(F.col("provider"), F.col("body")).alias("reply"))
+    requests = undocumented_functions(usable).select("path", F.col("pos").cast("long").alias("_pos"), "provider")
+    both = requests.withColumn("_asked", F.lit(True)).join(
+        answers.withColumnsRenamed({"path": "_path", "pos": "_place"}), (F.col("path") == F.col("_path")) & (F.col("_pos") == F.col("_place")), "full"
+    )
+    both = stored(both.select(F.coalesce("path", "_path").alias("path"), F.coalesce("_place", "_pos").cast(replies.schema["pos"].dataType).alias("pos"), "provider", "body", "_asked", F.col("_path").isNotNull().alias("_answered")))
+    met = both.filter("_asked AND _answered")
+    decoded = met.select("path", "pos", decode_response(F.col("provider"), F.col("body")).alias("reply"))
+    lost = both.filter("NOT _answered").select("path", "pos", F.lit("no answer").alias("error"))
+    stray = both.filter("_asked IS NULL").select("path", "pos", F.lit("nothing was asked here").alias("error"))
     placed = decoded.filter("reply.error IS NULL").groupBy("path").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "reply.comment"))).alias("_replies")
     )
@@ -68,4 +77,4 @@ def apply_replies(configured: DataFrame, replies: DataFrame) -> tuple[DataFrame,
     no_pos = F.lit(None).cast(replies.schema["pos"].dataType).alias("pos")
     rejected = asked.filter("config_error IS NOT NULL").select("path", no_pos, F.col("config_error").alias("error"))
     failed = decoded.filter("reply.error IS NOT NULL").select("path", "pos", "reply.error")
-    return done.drop("_replies"), rejected.unionByName(failed)
+    return done.drop("_replies"), rejected.unionByName(failed).unionByName(lost).unionByName(stray)

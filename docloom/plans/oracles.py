@@ -167,7 +167,7 @@ SELECT path, 'localai' AS provider, '{{"text":"' || signature || '","version":3}
 FROM fn WHERE {GENERATED} AND {BARE} AND f % 5 = 3"""
 
 # A comment of a model ends where the author's lines begin; broken answers leave nothing.
-_REPLY = f"CASE WHEN pos % 5 <> 4 THEN '// note ' || name || {NL} || '// at place ' || pos || '.' END"
+_REPLY = f"CASE WHEN pos % 5 NOT IN (2, 4) THEN '// note ' || name || {NL} || '// at place ' || pos || '.' END"
 ORACLES["model_commented_files"] = f"""
 WITH {FN}, {DRAFT}, {_commented("''", "r_name", _REPLY)}
 SELECT path, author, 'package p' || {NL} || {NL} || string_agg(block, '' ORDER BY k) AS new_content
@@ -175,7 +175,9 @@ FROM blocks WHERE f % 5 = 3 GROUP BY f, path, author"""
 ORACLES["rejected_folders"] = f"""
 WITH {FN}
 SELECT DISTINCT path, NULL::BIGINT AS pos, 'openai_api_key is not set' AS error FROM fn WHERE {GENERATED} AND f % 5 = 1
-UNION ALL SELECT path, pos::BIGINT, 'error decoding response' FROM fn WHERE {GENERATED} AND {BARE} AND f % 5 = 3 AND pos % 5 = 4"""
+UNION ALL SELECT path, CASE WHEN pos % 5 = 3 THEN pos + 1000 ELSE pos END::BIGINT,
+  CASE pos % 5 WHEN 4 THEN 'error decoding response' WHEN 2 THEN 'no answer' ELSE 'nothing was asked here' END
+FROM fn WHERE {GENERATED} AND {BARE} AND f % 5 = 3 AND pos % 5 IN (2, 3, 4)"""
 
 # One row per rendered const, var or type block.
 DC = f"""

@@ -122,3 +122,28 @@ def test_keys_do_not_travel_with_files(spark):
     ))
     files = config.with_config(spark.createDataFrame([("r/a.go",)], "path string"), resolved)
     assert not set(config.SECRET_FIELDS) & set(files.columns) and files.first()["provider"] == "openai"
+
+
+def test_forms_of_several_lines(spark):
+    texts = [
+        "localai: { active: true,\n  url: http://h }\nsignature: x # c\n",
+        "signature: |\n  line one\n    two\n\n  three\nlocal: a\n",
+        'prefixes: ["a,b", c]\nsignature: >-\n  a\n  b\n',
+        "openai:\n  api_key: |\n    url: no\n  url: \"http://x#y\"\n",
+        'prefixes: [\n  "x, y", # first\n  z\n]\nanthropic: {active: yes, url: "a,b"}',
+    ]
+    rows = config.parse_config(spark.createDataFrame([(f"d{i}/.c", t) for i, t in enumerate(texts)], "path string, content string")).collect()
+    found = {r["dir"]: {k: v for k, v in r.asDict().items() if v is not None and k != "dir"} for r in rows}
+    assert found == {
+        "d0": {"localai_active": True, "localai_url": "http://h", "signature": "x"},
+        "d1": {"signature": "line one\n  two\n\nthree\n", "local": "a"},
+        "d2": {"prefixes": ["a,b", "c"], "signature": "a b"},
+        "d3": {"openai_api_key": "url: no\n", "openai_url": "http://x#y"},
+        "d4": {"prefixes": ["x, y", "z"], "anthropic_active": True, "anthropic_url": "a,b"},
+    }
+
+
+def test_unreadable_lines_are_errors(spark):
+    texts = ["localai: { active: true\nsignature: x\n", "what is this\nlocal: b\n", 'local: "a\n', "prefixes: [a\n", "localai:\n  active: maybe\n", "# c\n---\nlocal: fine\n"]
+    rows = config.parse_config(spark.createDataFrame([(f"d{i}/.c", t) for i, t in enumerate(texts)], "path string, content string")).collect()
+    assert [r["bad_value"] is not None for r in sorted(rows, key=lambda r: r["dir"])] == [True] * 5 + [False]

@@ -106,3 +106,12 @@ def test_dataset_job_and_layout(spark, go, tmp_path):
         sinks.append_dataset(stored, str(tmp_path / "out"), ts)
     back = spark.read.json(str(tmp_path / "out"))
     assert back.count() == 2 and [r[0] for r in back.select("bucket").distinct().collect()] == ["20240131_07"]
+
+
+def test_lexicon_with_homographs_and_rows_without_ids(spark):
+    lexicon = spark.createDataFrame([("foo", "foo", "VERB", False), ("foo", "foo", "NOUN", False), (None, "x", "NOUN", True)], "word string, lemma string, pos string, is_stop boolean")
+    df = spark.createDataFrame([(None, "foo bar"), (None, "x y z"), (1, "foo bar"), (1, "foo bar"), (2, None)], "id int, comment string")
+    for rows in (analysis.grade_with_lexicon(df, lexicon, ["id"]), analysis.analyze_with_lexicon(df, lexicon, ["id"])):
+        assert "_row" not in rows.columns
+        counts = sorted(((r["id"] or 0, r["n_tokens"]) for r in rows.collect()))
+        assert [c for c in counts if c[0] < 2] == [(0, 2), (0, 3), (1, 2), (1, 2)] and len(counts) == 5
