@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions import golang, templates
+from docloom.functions import golang, patches, templates
+from docloom.functions.golayout import readable
 from docloom.functions.once import let, with_once
 from docloom.operators.filters import changed, is_entry_point
 
@@ -96,13 +97,8 @@ def commented(
     return with_once(files, "new_content", F.when(parsed, let(entries, joined)).otherwise(F.col(content)))
 
 
-def inserted_comments(
-    files: DataFrame, content: str = "content", signature: Column | None = None, with_example: Column | None = None
-) -> DataFrame:
-    """The changes that ``commented`` makes, as ``(..., line, text)``: the text goes before
-    that line (from 1) of the file with plain line feeds.  Nothing else changes."""
-    others = [c for c in files.columns if c != content]
-    entries = _entries(F.col(content), signature, with_example, None, None)
+def _changes(content: Column, signature: Column | None, with_example: Column | None) -> Column:
+    """``array<struct<line, text>>``: texts that go before lines of the laid-out file."""
 
     def placed(found: Column) -> Column:
         lines = F.transform(found, lambda e: F.length(e["text"]) - F.length(F.replace(e["text"], F.lit("\n"), F.lit(""))))
@@ -112,8 +108,39 @@ def inserted_comments(
         with_lines = let(begins, lambda b: F.transform(found, lambda e, k: F.struct(F.get(b, k).alias("line"), e["draft"].alias("text"))))
         return F.filter(with_lines, lambda e: e["text"] != "")
 
-    parsed = files.filter(F.coalesce(golang.parses(F.col(content)), F.lit(False)))
-    return parsed.select(*others, F.explode(let(entries, placed)).alias("_change")).select(*others, "_change.line", "_change.text")
+    return let(_entries(content, signature, with_example, None, None), placed)
+
+
+def _parsed(files: DataFrame, content: str) -> DataFrame:
+    return files.filter(F.coalesce(golang.parses(F.col(content)), F.lit(False)))
+
+
+def inserted_comments(
+    files: DataFrame, content: str = "content", signature: Column | None = None, with_example: Column | None = None
+) -> DataFrame:
+    """The changes that ``commented`` makes, as ``(..., line, text)``: the text goes before
+    that line (from 1) of the file with plain line feeds, in the layout that is read."""
+    others = [c for c in files.columns if c != content]
+    found = _parsed(files, content).select(*others, F.explode(_changes(F.col(content), signature, with_example)).alias("_change"))
+    return found.select(*others, "_change.line", "_change.text")
+
+
+def file_patches(
+    files: DataFrame, content: str = "content", signature: Column | None = None, with_example: Column | None = None
+) -> DataFrame:
+    """The changed files with ``patch``, a unified patch from ``content`` to what ``commented``
+    makes of it.  A file that was laid out again, or had other line ends, is replaced whole."""
+    text = F.col(content)
+    laid = with_once(_parsed(files, content), "_laid", readable(golang.unix_lines(text)))
+    found = with_once(laid, "_changes", _changes(text, signature, with_example)).filter(F.size("_changes") > 0)
+    inserted = with_once(found, "_patch", patches.insertion_patch(F.col("path"), F.col("_laid"), F.col("_changes")))
+    whole = patches.replacement_patch(F.col("path"), text, patches.apply_patch(F.col("_laid"), F.col("_patch")))
+    return inserted.withColumn("patch", F.when(F.col("_laid") == text, F.col("_patch")).otherwise(whole)).drop("_laid", "_changes", "_patch")
+
+
+def patched(files: DataFrame, content: str = "content", patch: str = "patch") -> DataFrame:
+    """Adds ``new_content``: the file with its patch applied, null if the patch does not fit."""
+    return files.withColumn("new_content", patches.apply_patch(F.col(content), F.col(patch)))
 
 
 def changed_paths(files: DataFrame) -> DataFrame:

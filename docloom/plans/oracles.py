@@ -146,6 +146,9 @@ WITH {FN}, {DRAFT}, {_commented("''", "'corpus'")}
 SELECT path, 'package p' || {NL} || {NL} || string_agg(block, '' ORDER BY k) AS new_content
 FROM blocks GROUP BY f, path HAVING bool_or(bare)"""
 
+# A patch that fits gives the commented file.
+ORACLES["patched_files"] = ORACLES["rewritten_files"]
+
 # Lines before a block: the file's two, those of earlier blocks, and an orphan comment's two.
 ORACLES["inserted_comments"] = f"""
 WITH {FN}, {DRAFT},

@@ -222,6 +222,13 @@ def changed_files(spark, sf):
     return rewrite.changed_paths(rewrite.commented(both))
 
 
+@query
+def patched_files(spark, sf):
+    """The changed files as patches, applied again to the files as they were."""
+    made = rewrite.file_patches(filters.generator_files(go_files(spark, sf)), signature=F.lit("corpus"))
+    return rewrite.patched(made).select("path", "new_content")
+
+
 @query
 def inserted_comments(spark, sf):
     """The same changes line by line."""
