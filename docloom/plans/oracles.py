@@ -494,6 +494,11 @@ ORACLES["csv_pairs"] = f"SELECT name, comment FROM ({ORACLES['function_pairs']})
 ORACLES["appended_dataset"] = f"""
 WITH g AS ({ORACLES['graded_dataset']})
 SELECT '20240131_07' AS bucket, name, comment, count(*) + 1 AS n FROM g GROUP BY name, comment"""
+ORACLES["idempotent_append"] = f"""
+WITH g AS ({ORACLES['graded_dataset']})
+SELECT '20240131_07' AS bucket, file_name, name, comment, count(*) * CASE WHEN file_name LIKE '%1' THEN 2 ELSE 1 END AS n
+FROM g GROUP BY file_name, name, comment
+UNION ALL SELECT '20240131_08', file_name, name, comment, count(*) FROM g WHERE file_name LIKE '%3' GROUP BY file_name, name, comment"""
 ORACLES["json_pairs"] = ORACLES["function_pairs"]
 ORACLES["written_files"] = f"SELECT path, new_content AS content FROM ({ORACLES['rewritten_files']})"
 

@@ -490,6 +490,22 @@ def appended_dataset(spark, sf):
     return found.groupBy("bucket", "name", "comment").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def idempotent_append(spark, sf):
+    """A run that broke off after some rows, two whole runs, and one of another hour: each
+    row is there as often as one run has it."""
+    folder = _folder(spark, "dataset")
+    rows = sinks.dataset_rows(dataset.dataset(go_files(spark, sf)))
+    repeated = rows.unionByName(rows.filter("file_name LIKE '%1'"))
+    hour = F.lit("2024-01-31 07:30:00").cast("timestamp")
+    sinks.append_dataset(repeated.filter("file_name LIKE '%1' OR file_name LIKE '%2'").dropDuplicates(["file_name", "name"]), folder, hour)
+    sinks.append_dataset(rows.filter("file_name LIKE '%3'"), folder, F.lit("2024-01-31 08:30:00").cast("timestamp"))
+    for _ in range(2):
+        sinks.append_once(repeated, folder, hour)
+    found = files.read_dataset(spark, folder).withColumn("bucket", F.regexp_extract(F.input_file_name(), "bucket=([0-9_]+)", 1))
+    return found.groupBy("bucket", "file_name", "name", "comment").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def json_pairs(spark, sf):
     """Pairs written as JSON lines over an earlier run's."""
