@@ -7,6 +7,8 @@ relational formulation of the same rule.
 
 from __future__ import annotations
 
+import math
+
 from docloom.functions import grading, prompts
 from docloom.plans.corpus import VERB_WORDS
 
@@ -580,6 +582,24 @@ sets AS (SELECT version, predicted = comment AS exact, list_distinct(regexp_extr
 SELECT version, count(*) AS n, round(avg(exact::INTEGER), 9) AS exact_rate,
   round(avg(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) END::DOUBLE), 9) AS mean_f1
 FROM sets GROUP BY version"""
+# Weights are Poisson numbers of mean 1: limits of the distribution function times 2^32.
+_LIMITS = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(12)]
+_WEIGHT = " + ".join(f"(u >= {limit})::INTEGER" for limit in _LIMITS)
+ORACLES["version_intervals"] = f"""
+WITH {PREDICTED},
+sets AS (SELECT conv_id, turn, version, list_distinct(regexp_extract_all(lower(predicted), '\\S+')) AS a,
+  list_distinct(regexp_extract_all(lower(comment), '\\S+')) AS b FROM predicted),
+scored AS (SELECT conv_id, turn, version,
+  round(CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) END::DOUBLE * 1e6)::BIGINT AS score FROM sets),
+gains AS (SELECT s.conv_id, s.turn, s.version, s.score - f.score AS gain
+  FROM scored s JOIN scored f ON f.conv_id = s.conv_id AND f.turn = s.turn AND f.version = 1 WHERE s.version > 1),
+drawn AS (SELECT conv_id, turn, b, {_WEIGHT} AS w FROM (
+  SELECT conv_id, turn, b, ('0x' || substr(md5((b // 4) || ':2022:' || conv_id || ':' || turn), 1 + 8 * (b % 4), 8))::BIGINT AS u FROM conversations, range(0, 200) r(b))),
+sums AS (SELECT version, b, sum(w * gain)::DOUBLE / sum(w)::DOUBLE / 1e6 AS mean FROM gains JOIN drawn USING (conv_id, turn) GROUP BY version, b HAVING sum(w) > 0),
+limits AS (SELECT version, list_sort(list(mean)) AS m FROM sums GROUP BY version),
+whole AS (SELECT version, count(*) AS n, sum(gain)::DOUBLE / count(*)::DOUBLE / 1e6 AS difference FROM gains GROUP BY version)
+SELECT version, n, round(difference, 9) AS difference, round(m[ceil(len(m) * 0.025)::INTEGER], 9) AS low, round(m[ceil(len(m) * 0.975)::INTEGER], 9) AS high
+FROM whole JOIN limits USING (version)"""
 ORACLES["inference_requests"] = """
 SELECT conv_id, turn, text, CASE WHEN turn % 2 = 0 THEN turn + 1 ELSE 9 END AS version
 FROM conversations WHERE turn % 5 < 3 AND text <> ''"""

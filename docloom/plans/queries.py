@@ -698,6 +698,13 @@ def version_scores(spark, sf):
     )
 
 
+@query
+def version_intervals(spark, sf):
+    """Each version against the first, with limits from 200 bootstrap replicates."""
+    found = evaluation.version_intervals(_first_words(spark, sf), ["conv_id", "turn"])
+    return found.select(F.col("version").cast("bigint").alias("version"), "n", *[F.round(c, 9).alias(c) for c in ("difference", "low", "high")])
+
+
 def _requests(spark, sf) -> tuple[DataFrame, DataFrame]:
     turn = F.col("turn")
     return evaluation.inference_requests(

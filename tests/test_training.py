@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -213,3 +214,21 @@ def test_forest(spark, tmp_path):
     recipe.save_model(model, str(tmp_path / "m"))
     x, y = recipe.split_target(df, "y")
     assert x.columns == ["id", "e"] and y.columns == ["y"]
+
+
+def test_version_intervals_hold_the_difference(spark):
+    from docloom.operators.evaluation import bootstrap_weights, version_intervals
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        text = [f"w{i}x{k}" for k in range(10)]
+        for version, kept in ((1, 5), (2, rng.choice([4, 5, 6])), (3, rng.choice([5, 6, 7]))):
+            rows.append((i, version, " ".join(text), " ".join(text[:kept])))
+    rows += [(900, 1, "a b", None), (901, 2, "a b", "a")]
+    df = spark.createDataFrame(rows, "id int, version int, comment string, predicted string")
+    found = {r["version"]: r for r in version_intervals(df, ["id"]).collect()}
+    assert set(found) == {2, 3} and found[2]["n"] == found[3]["n"] == 400
+    assert found[2]["low"] < 0 < found[2]["high"] and 0 < found[3]["low"] < found[3]["difference"] < found[3]["high"]
+    weights = [w for r in spark.range(200).select(bootstrap_weights([F.col("id")], 100, 1).alias("w")).collect() for w in r["w"]]
+    assert abs(sum(weights) / len(weights) - 1) < 0.03 and abs(sum(w == 0 for w in weights) / len(weights) - 0.368) < 0.02
