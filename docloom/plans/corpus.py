@@ -192,18 +192,22 @@ def repository_settings(region: DataFrame) -> DataFrame:
     )
 
 
-def write_archive(pages: DataFrame, folder: str) -> None:
-    """The same pages as archive files, 1.0 and 1.1 in turn, with lengths; every third
-    payload ends in blank lines and every fourth holds a record's first line."""
-    page = F.col("page_id")
-    html = F.concat(
+def marked_payload(page: Column) -> Column:
+    """A page's html; every third ends in blank lines and every fourth holds a record's first line."""
+    return F.concat(
         F.coalesce("html", F.lit("")),
         F.when(page % 3 == 0, F.lit("\r\n\r\n")).otherwise(F.lit("")),
         F.when(page % 4 == 0, F.lit("\nWARC/1.1\r\nWARC-Type: none\r\n")).otherwise(F.lit("")),
     )
+
+
+def write_archive(pages: DataFrame, folder: str) -> None:
+    """The same pages as archive files, 1.0 and 1.1 in turn, with lengths; every third
+    payload ends in blank lines and every fourth holds a record's first line."""
+    html = marked_payload(F.col("page_id"))
     block = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"), html)
     record = F.concat(
-        F.lit("WARC/1."), page % 2, F.lit("\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.col("url"),
+        F.lit("WARC/1."), F.col("page_id") % 2, F.lit("\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.col("url"),
         F.lit("\r\nContent-Length: "), F.octet_length(block), F.lit("\r\n\r\n"), block,
     )
     pages.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").text(folder)

@@ -490,6 +490,7 @@ SELECT url, false AS cut_short,
   md5(html || CASE WHEN page_id % 3 = 0 THEN {_BREAK} || {_BREAK} ELSE '' END
       || CASE WHEN page_id % 4 = 0 THEN {NL} || 'WARC/1.1' || {_BREAK} || 'WARC-Type: none' || {_BREAK} ELSE '' END) AS digest
 FROM pages"""
+ORACLES["archive_members"] = f"{ORACLES['archive_files']} WHERE page_id % 5 <> 0"
 ORACLES["archive_table"] = """
 SELECT CASE WHEN page_id % 5 = 0 THEN 'request' ELSE 'response' END AS rec_type, count(*) AS n FROM pages GROUP BY 1"""
 ORACLES["csv_pairs"] = f"SELECT name, comment FROM ({ORACLES['function_pairs']})"

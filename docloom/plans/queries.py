@@ -27,7 +27,7 @@ from docloom.operators import (
 from docloom.plans import commenter, corpus, dataset, evaluation_job, training
 from docloom.plans.corpus import table
 from docloom.session import checkpoint_dir, spread
-from docloom.sources import code_host, files, listings, web_archive
+from docloom.sources import code_host, files, listings, warc_source, web_archive
 from docloom.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -462,6 +462,20 @@ def archive_files(spark, sf):
     return records.select("url", F.md5(F.col("payload").cast("binary")).alias("digest"), "cut_short")
 
 
+@query
+def archive_members(spark, sf):
+    """Pages to three archives compressed by record, read in byte ranges of some records each."""
+    folder = _folder(spark, "members")
+    pages = table(spark, sf, "pages")
+    record = pages.select(
+        F.when(F.col("page_id") % 5 == 0, "request").otherwise("response").alias("rec_type"), "url",
+        F.concat(F.lit("HTTP/1.1 200 OK\r\n\r\n"), corpus.marked_payload(F.col("page_id"))).alias("block"),
+    )
+    warc_source.write_archives(record.repartition(3, "url"), folder)
+    records = warc_source.read_archives(spark, folder, ("response",), split_bytes=1 << 16)
+    return records.select("url", F.md5(F.col("payload").cast("binary")).alias("digest"), "cut_short")
+
+
 @query
 def archive_table(spark, sf):
     """Records landed as a table and read again."""
