@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.fm_index import FMIndex
-from docloom.llm.words import LETTER_DIGIT, Words, mixed, range_hashes, slices, split_words, string_bytes
+from docloom.llm.store import stored
+from docloom.llm.words import LETTER_DIGIT, SLICE_BYTES, Words, range_hashes, slices, split_words, string_bytes
 
 WINDOW = 10
-#: Words of test items searched in one pass: the bound of what is broadcast.
+#: Words of test items in a block: the unit that a task holds at least.
 BLOCK_WORDS = 200_000
-
-
-def _pairs(hashes: np.ndarray) -> np.ndarray:
-    return mixed(hashes[:-1] * np.uint64(3) + hashes[1:])
+#: Bytes of blocks that a task keeps from slice to slice, and of texts in a slice at most
+#: (a longer text is a slice of its own).
+KEPT_BYTES = 64 << 20
+MOST_SLICE_BYTES = 16 << 20
 
 
 def _member(values: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,20 +39,14 @@ def _member(values: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.nda
 class Phrases:
     """The distinct windows of a block of items.
 
-    A word's symbol is its place in the ordered hashes, plus 2: 0 ends an index and 1
-    parts its stretches.  ``by_length`` maps a window's length to its symbols, one window
-    a row, and the items that hold it.
+    A word's symbol is its place in the ordered hashes.  ``by_length`` maps a window's
+    length to its symbols, one window a row, and the items that hold it.
     """
 
     hashes: np.ndarray
     words: list[bytes]
-    pairs: np.ndarray
     by_length: dict[int, tuple[np.ndarray, list[list[str]]]]
 
-    @property
-    def shortest(self) -> int:
-        return min(self.by_length, default=1)
-
 
 def phrases_of(items: list[tuple[str | None, str]], window: int = WINDOW) -> Phrases:
     """Windows of ``(item, text)``; an item without an id is searched but not named."""
@@ -56,79 +54,84 @@ def phrases_of(items: list[tuple[str | None, str]], window: int = WINDOW) -> Phr
     hashes = range_hashes(words.data, words.start, words.end)
     distinct, first, symbol = np.unique(hashes, return_index=True, return_inverse=True)
     found: dict[int, dict[tuple, set]] = {}
-    pairs = []
     for row, (item, _) in enumerate(items):
-        own = symbol[words.first[row] : words.first[row + 1]] + 2
+        own = symbol[words.first[row] : words.first[row + 1]]
         width = min(window, len(own))
         for at in range(len(own) - width + 1 if width else 0):
             found.setdefault(width, {}).setdefault(tuple(own[at : at + width].tolist()), set()).add(item)
-        pairs.append(_pairs(hashes[words.first[row] : words.first[row + 1]]))
     by_length = {
-        width: (np.array(list(windows), np.int64), [sorted(i for i in named if i is not None) for named in windows.values()])
+        width: (np.array(list(windows), np.int32), [sorted(i for i in named if i is not None) for named in windows.values()])
         for width, windows in found.items()
     }
-    return Phrases(distinct, [words.text(i) for i in first.tolist()], np.unique(np.concatenate([np.zeros(0, np.uint64), *pairs])), by_length)
+    return Phrases(distinct, [words.text(i) for i in first.tolist()], by_length)
 
 
-def _stretches(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """What a phrase can lie in: symbols with 1 between stretches, and the word of each.
+class TextIndex:
+    """An FM-index of the words of some texts, symbol 1 behind each text.
 
-    Words that no phrase has, and neighbours that no phrase has as neighbours, part the
-    text; a stretch shorter than the shortest phrase is left out.  Nothing is lost: a
-    phrase's words and neighbours are all its own.
+    A word's symbol is the place of its hash among those of the texts, plus 2.
     """
-    hashes = range_hashes(words.data, words.start, words.end)
-    at, known = _member(hashes, phrases.hashes)
-    where = np.flatnonzero(known)
-    if not len(where):
-        return where, where
-    joined = (where[1:] == where[:-1] + 1) & (words.row[where[1:]] == words.row[where[:-1]])
-    both = np.flatnonzero(joined)
-    pair = mixed(hashes[where[both]] * np.uint64(3) + hashes[where[both + 1]])
-    joined[both] = _member(pair, phrases.pairs)[1]
-    begin = np.concatenate([[0], np.flatnonzero(~joined) + 1])
-    length = np.diff(np.concatenate([begin, [len(where)]]))
-    begin, length = begin[length >= phrases.shortest], length[length >= phrases.shortest]
-    if not len(begin):
-        return where[:0], where[:0]
-    total = length + 1
-    first = np.cumsum(total) - total
-    symbols, word = np.ones(int(total.sum()), np.int64), np.full(int(total.sum()), -1, np.int64)
-    inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    source = where[np.repeat(begin, length) + inside]
-    target = np.repeat(first, length) + inside
-    symbols[target], word[target] = at[source] + 2, source
-    return symbols, word
-
-
-def find_phrases(words: Words, phrases: Phrases) -> tuple[np.ndarray, list[set[str]]]:
-    """Which words lie in an occurrence of a phrase, and each row's items.
-
-    Words are indexed by hashes; an occurrence counts only if its bytes are the phrase's.
-    """
-    hit = np.zeros(len(words.start), bool)
-    items: list[set[str]] = [set() for _ in range(len(words.first) - 1)]
-    symbols, word = _stretches(words, phrases)
-    if not len(symbols):
-        return hit, items
-    index = FMIndex(symbols, len(phrases.hashes) + 2)
-    row_of = words.row
-    same: dict[int, bool] = {}
-    for width, (windows, named) in phrases.by_length.items():
-        which, low, high = index.search(windows)
-        owner, start = index.locate(low, high)
-        for phrase, at in zip(which[owner].tolist(), start.tolist(), strict=True):
-            first = int(word[at])
-            for k in range(width):
-                if first + k not in same:
-                    same[first + k] = words.text(first + k) == phrases.words[symbols[at + k] - 2]
-            if all(same[first + k] for k in range(width)):
-                hit[first : first + width] = True
-                items[row_of[first]].update(named[phrase])
-    return hit, items
-
-
-RANGES = "array<struct<begin: int, end: int>>"
+
+    def __init__(self, words: Words):
+        self.words, self.row = words, words.row
+        hashes = range_hashes(words.data, words.start, words.end)
+        self.hashes, symbol = np.unique(hashes, return_inverse=True)
+        symbols = np.ones(len(hashes) + len(words.first) - 1, np.int64)
+        symbols[np.arange(len(hashes)) + self.row] = symbol + 2
+        # The word at each place; a place behind a text is never located.
+        self.word = np.cumsum(symbols != 1) - 1
+        self.index = FMIndex(symbols, len(self.hashes) + 2) if len(hashes) else None
+
+    def find(self, phrases: Phrases, hit: np.ndarray, items: list[set[str]]) -> None:
+        """Marks the words that lie in an occurrence of a phrase, and names each row's items.
+
+        An occurrence counts only if its bytes are the phrase's.
+        """
+        if self.index is None:
+            return
+        at, known = _member(phrases.hashes, self.hashes)
+        symbols = np.where(known, at + 2, 0)
+        same: dict[int, bool] = {}
+        for width, (windows, named) in phrases.by_length.items():
+            own = symbols[windows]
+            chosen = np.flatnonzero((own > 0).all(axis=1))
+            which, low, high = self.index.search(own[chosen])
+            owner, start = self.index.locate(low, high)
+            for phrase, first in zip(chosen[which[owner]].tolist(), self.word[start].tolist(), strict=True):
+                for k in range(width):
+                    if first + k not in same:
+                        same[first + k] = self.words.text(first + k) == phrases.words[windows[phrase, k]]
+                if all(same[first + k] for k in range(width)):
+                    hit[first : first + width] = True
+                    items[self.row[first]].update(named[phrase])
+
+
+class Blocks:
+    """Blocks of phrases in the shared folder; a task keeps some and reads the others again."""
+
+    def __init__(self, files: list[str]):
+        self.files = files
+        self.kept: list[Phrases] | None = None
+
+    def __iter__(self) -> Iterator[Phrases]:
+        if self.kept is not None:
+            yield from self.kept
+            return
+        kept, size = [], 0
+        for file in self.files:
+            fs, path = pafs.FileSystem.from_uri(file)
+            with fs.open_input_file(path) as held:
+                for batch in pq.ParquetFile(held).iter_batches(batch_size=1, columns=["phrases"]):
+                    for stored_block in batch.column(0).to_pylist():
+                        block = pickle.loads(stored_block)
+                        size += len(stored_block)
+                        if size <= KEPT_BYTES:
+                            kept.append(block)
+                        yield block
+        if size <= KEPT_BYTES:
+            self.kept = kept
+
+
 _RANGES_TYPE = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 FOUND = [
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
@@ -155,20 +158,21 @@ def _without(text: str | None, spans: list[dict]) -> str | None:
     return "".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
 
 
-def _search_slice(texts: pa.Array, before: list, named: list, phrases: Phrases) -> dict[str, list]:
-    """One slice of texts: what is found now, added to what an earlier block found."""
+def _search_slice(texts: pa.Array, blocks: Blocks) -> dict[str, list]:
+    """One index of a slice of texts, through which all blocks of phrases pass."""
     words = split_words(texts, LETTER_DIGIT)
-    hit, items = find_phrases(words, phrases)
-    for row, ranges in enumerate(before):
-        for r in ranges or ():
-            hit[words.first[row] + r["begin"] : words.first[row] + r["end"]] = True
+    index = TextIndex(words)
+    n = len(texts)
+    hit = np.zeros(len(words.start), bool)
+    items: list[set[str]] = [set() for _ in range(n)]
+    for phrases in blocks:
+        index.find(phrases, hit, items)
     row, first, last = _ranges(words, hit)
     points = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
     base = words.first[row]
     offset = points[string_bytes(texts)[1][row]]
-    n = len(texts)
-    found = {"n_words": np.diff(words.first).tolist(), "n_hit": np.bincount(words.row[hit], minlength=n).tolist()}
-    found["items"] = [sorted(set(old or ()) | new) for old, new in zip(named, items, strict=True)]
+    found = {"n_words": np.diff(words.first).tolist(), "n_hit": np.bincount(index.row[hit], minlength=n).tolist()}
+    found["items"] = [sorted(named) for named in items]
     found["words"], found["spans"] = [[] for _ in range(n)], [[] for _ in range(n)]
     places = zip(row.tolist(), (first - base).tolist(), (last - base + 1).tolist(), (points[words.start[first]] - offset).tolist(), (points[words.end[last]] - offset).tolist(), strict=True)
     for r, a, b, begin, end in places:
@@ -177,20 +181,40 @@ def _search_slice(texts: pa.Array, before: list, named: list, phrases: Phrases)
     return found
 
 
-def _pass(frame: DataFrame, phrases: Phrases, texts: str) -> DataFrame:
-    """Searches one block of phrases.  ``texts``: the column comes back "same", "cleaned" or "empty"."""
-    held = frame.sparkSession.sparkContext.broadcast(phrases)
+def phrase_blocks(items: DataFrame, text: str, item_id: str, window: int, block_words: int) -> list[str]:
+    """The items in blocks of about ``block_words`` words, as files in the shared folder: their names.
+
+    An item goes to a block by hash; each block is made in a task of its own.
+    """
+    chosen = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    # A word and what parts it from the next take two bytes at least.
+    size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // (2 * block_words)))
+    dealt = chosen.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+
+    def build(block: pa.Table) -> pa.Table:
+        held = phrases_of(list(zip(block.column("item").to_pylist(), block.column("text").to_pylist(), strict=True)), window)
+        return pa.table({"phrases": pa.array([pickle.dumps(held)], pa.binary())})
+
+    return sorted(stored(dealt.groupBy("block").applyInArrow(build, "phrases binary"), "phrases").inputFiles())
+
+
+def _search(docs: DataFrame, keep: list[str], items: DataFrame, text: str, item_text: str, item_id: str, window: int, block_words: int, cleaned: bool) -> DataFrame:
+    """One pass over the texts, however many blocks there are; ``cleaned``: texts come back without the spans."""
+    frame = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(text).alias("text"))
+    blocks = Blocks(phrase_blocks(items, item_text, item_id, window, block_words))
+    # The more blocks are read again for each slice, the larger the slices.
+    limit = min(MOST_SLICE_BYTES, SLICE_BYTES * max(1, len(blocks.files)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("text")
-            for begin, end in slices(column):
+            for begin, end in slices(batch.column("text"), limit):
                 part = batch.slice(begin, end - begin)
-                found = _search_slice(part.column("text"), part.column("words").to_pylist(), part.column("items").to_pylist(), held.value)
                 text = part.column("text")
-                if texts == "cleaned":
+                found = _search_slice(text, blocks)
+                if cleaned:
                     text = pa.array([_without(t.as_py(), s) if s else t.as_py() for t, s in zip(text, found["spans"], strict=True)], pa.string())
-                elif texts == "empty":
+                else:
                     text = pa.nulls(len(text), pa.string())
                 arrays = [
                     part.column("doc"), text, pa.array(found["n_words"], pa.int64()), pa.array(found["n_hit"], pa.int64()),
@@ -201,31 +225,6 @@ def _pass(frame: DataFrame, phrases: Phrases, texts: str) -> DataFrame:
     return frame.mapInArrow(scan, T.StructType([frame.schema["doc"], frame.schema["text"], *FOUND]))
 
 
-def phrase_blocks(items: DataFrame, text: str, item_id: str, window: int, block_words: int) -> Iterator[Phrases]:
-    """The items in blocks of about ``block_words`` words, one at a time on the driver."""
-    held, size = [], 0
-    for row in items.select(F.col(item_id).cast("string"), F.col(text)).filter(F.col(text).isNotNull()).toLocalIterator():
-        held.append((row[0], row[1]))
-        size += len(row[1]) // 2 + 1
-        if size >= 2 * block_words:
-            yield phrases_of(held, window)
-            held, size = [], 0
-    if held:
-        yield phrases_of(held, window)
-
-
-def _search(docs: DataFrame, keep: list[str], items: DataFrame, text: str, item_text: str, item_id: str, window: int, block_words: int, texts: str) -> DataFrame:
-    found = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(text).alias("text"))
-    found = found.select("*", F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(RANGES).alias("words"))
-    blocks = phrase_blocks(items, item_text, item_id, window, block_words)
-    phrases = next(blocks, phrases_of([], window))
-    while phrases is not None:
-        following = next(blocks, None)
-        found = _pass(found, phrases, texts if following is None else "same")
-        phrases = following
-    return found
-
-
 def find_contamination(
     docs: DataFrame, items: DataFrame, text: str = "text", id_column: str = "doc_id", item_text: str = "text",
     item_id: str = "item_id", window: int = WINDOW, block_words: int = BLOCK_WORDS,
@@ -236,14 +235,15 @@ def find_contamination(
     ``items`` are the ids, as sorted strings, of items with a phrase in the text;
     ``words`` and ``spans`` the merged runs of hit words, in words and in code points.
 
-    Texts never move: each slice of a partition gets an index, in which the phrases of a
-    block of items are searched; further blocks read the texts again.  Null and empty
+    Texts never move: each slice of a partition gets one index of its whole texts, in
+    which all blocks of items are searched in turn.  Items are dealt to blocks and written
+    to the shared folder by tasks; the driver sees the names of the files.  Null and empty
     texts have no words, null and empty items no phrases; an item without an id hits but
     is not named; rows with one item id count as one item.  Repeated documents and null
     ids stay as they are, other columns are ignored, and an empty table of documents
     gives no rows, one of items no hits.
     """
-    found = _search(docs, [id_column], items, text, item_text, item_id, window, block_words, "empty")
+    found = _search(docs, [id_column], items, text, item_text, item_id, window, block_words, False)
     return found.select(F.col(f"doc.`{id_column}`").alias(id_column), "n_words", "n_hit", "items", "words", "spans")
 
 
@@ -253,5 +253,5 @@ def remove_contamination(
 ) -> DataFrame:
     """The documents, all columns kept, without the spans ``find_contamination`` reports."""
     rest = [c for c in docs.columns if c != text]
-    found = _search(docs, rest, items, text, item_text, item_id, window, block_words, "cleaned")
+    found = _search(docs, rest, items, text, item_text, item_id, window, block_words, True)
     return found.select(*[(F.col("text") if c == text else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -8,20 +8,34 @@ SAMPLE = 8
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes in order, by doubling the compared length."""
+    """Starts of the suffixes in order, by doubling the compared length.
+
+    The first sort compares as many symbols as fit into 63 bits; after that only suffixes
+    that are still equal to another are sorted again, inside their group.
+    """
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    width = 1
+    bits = max(1, int(symbols.max()).bit_length())
+    width = max(1, 63 // bits)
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key <<= bits
+        key[: max(0, n - k)] |= symbols[k:]
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(n, np.int64)
+    active = np.arange(n)
+    ordered = key[order]
     while True:
-        later = np.zeros(n, np.int64)
-        later[: max(0, n - width)] = rank[width:] + 1
-        key = rank * (n + 1) + later
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        if rank[order[-1]] == n - 1:
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        # A group's rank is the place where it begins.
+        rank[order[active]] = active[np.maximum.accumulate(np.where(new, np.arange(len(active)), 0))]
+        active = active[~(new & np.concatenate([new[1:], [True]]))]
+        if not len(active):
             return order
+        suffix = order[active]
+        later = np.where(suffix + width < n, rank[np.minimum(suffix + width, n - 1)] + 1, 0)
+        key = rank[suffix] * (n + 1) + later
+        sort = np.argsort(key, kind="stable")
+        order[active], ordered = suffix[sort], key[sort]
         width *= 2
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from docloom.llm import parity_join
+from docloom.llm import decontaminate, parity_join
 from docloom.llm.components import components
 from docloom.llm.decontaminate import find_contamination, remove_contamination
 from docloom.llm.parity_join import Bands, similar_sets
@@ -182,6 +182,29 @@ def test_contamination_matches_brute_force(spark, edge, edge_rows, empty, block_
         assert not any(r.n_hit for r in none)
 
 
+def test_contamination_is_one_pass_over_the_texts(spark):
+    """One Python node and one index a slice however many blocks; blocks that are not kept are read again."""
+    rng = random.Random(5)
+    items = [(i, " ".join(f"q{rng.randrange(900)}" for _ in range(12))) for i in range(40)]
+    texts = [f"start {items[i % 40][1]} {items[(i * 7) % 40][1]} end" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), block_words=24)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"], [(s.begin, s.end) for s in r.spans]) for r in found.collect()}
+    assert got == dict(enumerate(contamination(texts, items)))
+
+
+def test_blocks_beyond_what_a_task_keeps_are_read_again(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(30)], "item_id long, text string")
+    files = decontaminate.phrase_blocks(items, "text", "item_id", 10, 5)
+    whole = sorted(len(b.hashes) for b in decontaminate.Blocks(files))
+    monkeypatch.setattr(decontaminate, "KEPT_BYTES", 500)
+    blocks = decontaminate.Blocks(files)
+    assert [sorted(len(b.hashes) for b in blocks) for _ in range(2)] == [whole] * 2
+    assert blocks.kept is None
+    assert sum(whole) == 90
+
+
 def test_large_buckets_are_compared_in_cells(spark, monkeypatch):
     """Chains of near copies that do not link to their middle, around passages that all share."""
     monkeypatch.setattr(parity_join, "CELL", 7)
