@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,13 +24,14 @@ HEX = re.compile(r"[0-9a-f]+")
 SINGLE = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
 
 #: Weak parts.  A secret has 20 or more characters of at least three classes.
-IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|client_?id|access_?id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|client_?id|access_?id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
 SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+""", re.A)
 LINKED = ("identifier", "key", "endpoint")
 KIND_ORDER = {kind: n for n, kind in enumerate((*[s[0] for s in SINGLE], *LINKED))}
 
-#: Characters between two parts of one credential, and the least entropy of a secret.
+#: Characters between two parts of one credential, if they are in no block together, and
+#: the least entropy of a secret.
 SCOPE = 200
 ENTROPY = 3.5
 
@@ -73,10 +74,10 @@ class _Intervals:
                 self.spans.append([begin, end])
         self.ends = [end for _, end in self.spans]
 
-    def near(self, begin: int, end: int, within: int) -> bool:
-        """Whether a place beside [begin, end), not across it, is at most ``within`` away."""
-        at = bisect_left(self.ends, begin - within)
-        while at < len(self.spans) and self.spans[at][0] <= end + within:
+    def near(self, begin: int, end: int, low: int, high: int) -> bool:
+        """Whether a place beside [begin, end), not across it, reaches into [low, high]."""
+        at = bisect_left(self.ends, low)
+        while at < len(self.spans) and self.spans[at][0] <= high:
             if self.spans[at][1] <= begin or self.spans[at][0] >= end:
                 return True
             at += 1
@@ -87,12 +88,48 @@ class _Intervals:
         return at < len(self.spans) and self.spans[at][0] < end
 
 
+class _Scopes:
+    """Blocks of a text: runs of lines that are not blank and not longer than a scope.
+
+    A block begins with a line that ends in an opening bracket and ends with one that
+    begins with a closing bracket.  A longer line is prose and in no block.
+    """
+
+    def __init__(self, text: str, scope: int):
+        self.scope = scope
+        self.blocks: list[list[int]] = []
+        at, open_ = 0, False
+        for line in text.split("\n"):
+            end, shown = at + len(line), line.strip(" \t\r\v\f")
+            if shown and len(line) <= scope:
+                if open_ and not shown.endswith(("{", "[", "(")):
+                    self.blocks[-1][1] = end
+                else:
+                    self.blocks.append([at, end])
+                open_ = not shown.startswith(("}", "]", ")"))
+            else:
+                open_ = False
+            at = end + 1
+        self.begins = [begin for begin, _ in self.blocks]
+
+    def around(self, begin: int, end: int) -> tuple[int, int]:
+        """The block that holds [begin, end), or ``scope`` characters to both sides if that is wider."""
+        low, high = begin - self.scope, end + self.scope
+        at = bisect_right(self.begins, begin) - 1
+        if at >= 0 and end <= self.blocks[at][1]:
+            low, high = min(low, self.blocks[at][0]), max(high, self.blocks[at][1])
+        return low, high
+
+
 def linked_spans(text: str, single: list[Span], scope: int = SCOPE) -> list[Span]:
-    """Weak parts that a complementary part, weak or already found, stands next to.
+    """Weak parts with a complementary part, weak or already found, in one scope.
+
+    A scope is the block of lines that holds a part, or ``scope`` characters to both
+    sides, whichever is wider.
 
     An identifier or an endpoint needs a secret; a secret needs one of those two or an
-    access key.  The parts of a kind do not overlap, so each looks at its neighbours only
-    and no pairs are listed.
+    access key.  The parts of a kind do not overlap, so each looks for the first in its scope
+    only and no pairs are listed.
     """
     ids = [m.span() for m in IDENTIFIER.finditer(text)]
     places = [m.span() for m in ENDPOINT.finditer(text)]
@@ -102,9 +139,10 @@ def linked_spans(text: str, single: list[Span], scope: int = SCOPE) -> list[Span
     keys = [m.span() for m in SECRET.finditer(text) if not taken.overlap(*m.span()) and _is_random(m[0])]
     secrets = _Intervals(keys + [(b, e) for b, e, kind in single if kind in ("assign", "hex")])
     partners = _Intervals(ids + places + [(b, e) for b, e, kind in single if kind == "access"])
-    found = [(b, e, "identifier") for b, e in ids if secrets.near(b, e, scope)]
-    found += [(b, e, "key") for b, e in keys if partners.near(b, e, scope)]
-    found += [(b, e, "endpoint") for b, e in places if secrets.near(b, e, scope)]
+    scopes = _Scopes(text, scope)
+    found = [(b, e, "identifier") for b, e in ids if secrets.near(b, e, *scopes.around(b, e))]
+    found += [(b, e, "key") for b, e in keys if partners.near(b, e, *scopes.around(b, e))]
+    found += [(b, e, "endpoint") for b, e in places if secrets.near(b, e, *scopes.around(b, e))]
     return found
 
 
