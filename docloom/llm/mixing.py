@@ -91,8 +91,13 @@ def schedule(docs: DataFrame, mix: DataFrame, seed: int = 0, block_tokens: int =
     source is ordered in as many tasks as it has blocks.  The rest ends with the document
     that reaches the budget.  ``position`` (0 to 1) is a document's place in that last
     permutation, by tokens.
+
+    A document without tokens fills no budget and has no place: it is drawn as often as
+    its source is drawn whole, and never enters a block, so a block has no more documents
+    than tokens.
     """
-    blocked = docs.join(mix.select("source", "weight", "budget", "n"), "source", "left")
+    weighed = docs.join(mix.select("source", "weight", "budget", "n"), "source", "left")
+    blocked = weighed.filter("n_tokens > 0")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_tokens))).cast("long")
     draw = F.xxhash64(F.lit(seed), "key")
     blocked = blocked.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), blocks)).withColumn("draw", draw)
@@ -110,6 +115,7 @@ def schedule(docs: DataFrame, mix: DataFrame, seed: int = 0, block_tokens: int =
     within = Window.partitionBy("source", "block").orderBy("draw", "key").rowsBetween(Window.unboundedPreceding, -1)
     place = F.col("block_before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
     placed = placed.withColumn("place", place)
+    placed = placed.unionByName(weighed.filter("n_tokens = 0"), allowMissingColumns=True)
     whole = F.floor(F.col("budget") / F.col("n"))
     rest = F.col("budget") - whole * F.col("n")
     copies = whole + F.when(F.col("place") < rest, 1).otherwise(0)
@@ -127,8 +133,8 @@ def mix_sources(
     ``tokens``, or are the words of the text, cut at white space.  Exactly one of
     ``entropy`` and ``repetitions`` is the target (see ``find_exponent``).
 
-    A null source is a source like any other.  Documents without tokens have weight and
-    position null if their source has none at all, and no copies unless their source is
+    A null source is a source like any other.  Documents without tokens have no position,
+    no weight if their source has no tokens at all, and no copies unless their source is
     drawn whole.  Rows with one id, or none, are documents of their own, told apart by
     their text; rows equal in both draw alike.  Other columns are ignored; an empty
     table gives no rows.

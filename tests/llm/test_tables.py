@@ -130,6 +130,20 @@ def test_copies_fill_each_budget(spark):
         assert not extra or not rest or max(extra) <= min(rest)
 
 
+def test_documents_without_tokens_enter_no_block(spark):
+    rows = [(i, "" if i % 3 else "one two three", "a" if i % 2 else "b", None) for i in range(600)]
+    rows += [(1000 + i, None, "silent", None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string")
+    got = mix_sources(docs, repetitions=2.0, block_tokens=50).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    for r in got:
+        assert (r.position is None) == (r.n_tokens == 0)
+        assert (r.weight is None) == (r.source == "silent")
+        assert r.source != "silent" or r.copies == 0
+    whole = {s: min(r.copies for r in got if r.source == s) for s in "ab"}
+    assert all(r.copies == whole[r.source] for r in got if r.source in whole and not r.n_tokens)
+
+
 def test_mixing_edge_rows(edge, edge_rows, empty):
     assert mix_sources(edge, entropy=1.0).count() == len(edge_rows)
     assert mix_sources(empty, entropy=1.0).count() == 0
