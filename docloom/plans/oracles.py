@@ -482,6 +482,22 @@ FROM entries JOIN part ON k = p_partkey WHERE s_suppkey IN (SELECT s_suppkey FRO
 ORACLES["repo_tree"] = f"""
 WITH {REPOS} SELECT owner, repo, 'src/f' || k || '.go' AS path FROM entries WHERE k % 4 <> 0"""
 
+_NAME_WORDS = r"regexp_extract_all(COALESCE(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLES["entity_spans"] = f"""
+WITH RECURSIVE i AS (SELECT item_id, {_NAME_WORDS} AS w FROM benchmark),
+g AS (SELECT name, min(label) AS label, len(string_split(name, ' ')) AS n FROM (
+  SELECT CASE item_id % 3 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'PLACE' ELSE 'GROUP' END AS label,
+    unnest([array_to_string(w[1:2], ' '), array_to_string(w[1:4], ' '), array_to_string(w[3:7], ' '), array_to_string(w[2:2], ' ')]) AS name
+  FROM i) WHERE name <> '' GROUP BY name),
+d AS (SELECT doc_id, {_NAME_WORDS} AS w FROM documents),
+o AS (SELECT doc_id, k, n, array_to_string(w[k + 1 : k + n], ' ') AS name
+  FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n)),
+m AS (SELECT doc_id, k AS b, max(k + n) AS e, arg_max(name, n) AS name, arg_max(label, n) AS label FROM o JOIN g USING (name, n) GROUP BY doc_id, k),
+nx AS (SELECT m.doc_id, m.b, m.e, m.name, m.label, f.b AS nb FROM m ASOF LEFT JOIN m AS f ON m.doc_id = f.doc_id AND f.b >= m.e),
+p AS (SELECT nx.* FROM nx JOIN (SELECT doc_id, min(b) AS b FROM m GROUP BY 1) USING (doc_id, b)
+  UNION ALL SELECT nx.* FROM p JOIN nx ON nx.doc_id = p.doc_id AND nx.b = p.nb)
+SELECT doc_id, b::INT AS "begin", e::INT AS "end", name, label FROM p"""
+
 # -- writers and readers, there and back ---------------------------------------------------
 
 _BREAK = "chr(13) || chr(10)"

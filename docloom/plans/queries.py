@@ -15,6 +15,7 @@ from docloom.functions import grading, naming, prompts, templates, text
 from docloom.operators import (
     analysis,
     config,
+    entities,
     evaluation,
     extract,
     features,
@@ -380,6 +381,16 @@ def comment_analysis(spark, sf):
     )
 
 
+@query
+def entity_spans(spark, sf):
+    """Names of a gazetteer in the documents; here beginnings and middles of the benchmark texts."""
+    cut = table(spark, sf, "benchmark").select("item_id", entities.words("text").alias("w"))
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("PERSON", "PLACE", "GROUP")]), (F.col("item_id") % 3 + 1).cast("int"))
+    names = F.array(*[F.array_join(F.slice("w", at, n), " ") for at, n in ((1, 2), (1, 4), (3, 5), (2, 1))])
+    gazetteer = cut.select(F.explode(names).alias("name"), kinds.alias("label"))
+    return entities.entity_spans(table(spark, sf, "documents"), gazetteer, ["doc_id"])
+
+
 @query
 def lexicon_grades(spark, sf):
     """Grading against a lexicon table; here the words of the benchmark texts."""
