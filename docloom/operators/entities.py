@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.once import let
 from docloom.session import stored
 
 #: A word: letters, digits and whatever is not ASCII.
@@ -44,11 +45,13 @@ def entity_spans(df: DataFrame, gazetteer: DataFrame, id_columns: list[str], tex
     names, firsts = name_tables(gazetteer, name, label)
     key = ["_key", *[f"_id{k}" for k in range(len(id_columns))]]
     ids = [F.col(f"`{c}`").alias(k) for c, k in zip(id_columns, key[1:], strict=True)]
-    rows = df.select(F.xxhash64(text, F.length(text)).alias("_key"), *ids, words(text).alias("w"))
-    begun = rows.select("*", F.posexplode("w").alias("begin", "first")).join(firsts, "first")
-    # The lengths that still fit; the text's own words go no further.
-    fitting = F.filter("lengths", lambda n: F.col("begin") + n <= F.size("w"))
-    tried = begun.select(*key, "begin", F.explode(F.transform(fitting, lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.col("begin") + 1, n), " ").alias("phrase")))).alias("t"))
+    most = firsts.agg(F.max(F.array_max("lengths"))).first()[0] or 1
+    # A place takes along as many words as the longest name has, never the whole text.
+    places = let(words(text), lambda w: F.transform(w, lambda x, at: F.struct(at.alias("begin"), x.alias("first"), F.slice(w, at + 1, F.lit(most)).alias("w"))))
+    rows = df.select(F.xxhash64(text, F.length(text)).alias("_key"), *ids, F.explode(places).alias("p"))
+    begun = rows.select(*key, "p.begin", "p.first", "p.w").join(firsts, "first")
+    fitting = F.filter("lengths", lambda n: n <= F.size("w"))
+    tried = begun.select(*key, "begin", F.explode(F.transform(fitting, lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.lit(1), n), " ").alias("phrase")))).alias("t"))
     met = tried.select(*key, "begin", F.col("t.n").alias("n"), F.col("t.phrase").alias("phrase")).join(names, "phrase")
     longest = met.groupBy(*key, "begin").agg(F.max(F.struct("n", "phrase", "label")).alias("m"))
     longest = longest.select(*key, "begin", (F.col("begin") + F.col("m.n")).alias("end"), F.col("m.phrase").alias("name"), F.col("m.label").alias("label"))

@@ -388,7 +388,7 @@ def entity_spans(spark, sf):
     kinds = F.element_at(F.array(*[F.lit(k) for k in ("PERSON", "PLACE", "GROUP")]), (F.col("item_id") % 3 + 1).cast("int"))
     names = F.array(*[F.array_join(F.slice("w", at, n), " ") for at, n in ((1, 2), (1, 4), (3, 5), (2, 1))])
     gazetteer = cut.select(F.explode(names).alias("name"), kinds.alias("label"))
-    return entities.entity_spans(table(spark, sf, "documents"), gazetteer, ["doc_id"])
+    return entities.entity_spans(spread(table(spark, sf, "documents"), "doc_id"), gazetteer, ["doc_id"])
 
 
 @query
