@@ -351,6 +351,8 @@ class WarcSource(DataSource):
 
 
 def _uri(path: str) -> str:
+    """The path as other readers than Hadoop's name it."""
+    path = path.replace("s3a://", "s3://", 1)
     return path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
 
 
