@@ -119,7 +119,8 @@ class Blocks:
             return
         kept, size = [], 0
         for file in self.files:
-            fs, path = pafs.FileSystem.from_uri(file)
+            # Hadoop's name of the S3 client is no scheme elsewhere.
+            fs, path = pafs.FileSystem.from_uri(file.replace("s3a://", "s3://", 1))
             with fs.open_input_file(path) as held:
                 for batch in pq.ParquetFile(held).iter_batches(batch_size=1, columns=["phrases"]):
                     for stored_block in batch.column(0).to_pylist():
