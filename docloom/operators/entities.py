@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.once import let
 from docloom.session import stored
 
 #: A word: letters, digits and whatever is not ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 
 
 def words(text: str) -> Column:
@@ -17,17 +17,48 @@ def words(text: str) -> Column:
 
 
 def name_tables(gazetteer: DataFrame, name: str = "name", label: str = "label") -> tuple[DataFrame, DataFrame]:
-    """``(phrase, label)``, one row a name, and ``(first, lengths)``: how long the names are that begin with a word.
+    """``(phrase, label, name_id)``, one row a name, and ``(first, lengths)``: how long the names are that begin with a word.
 
     Of several labels of a name the first by alphabet counts.  Names without words and
     names without a label drop out.
     """
     cut = gazetteer.select(words(name).alias("w"), F.col(label).alias("label")).filter((F.size("w") > 0) & F.col("label").isNotNull())
-    names = stored(cut.groupBy(F.array_join("w", " ").alias("phrase")).agg(F.min("label").alias("label")))
+    names = cut.groupBy(F.array_join("w", " ").alias("phrase")).agg(F.min("label").alias("label"))
+    names = stored(names.withColumn("name_id", F.monotonically_increasing_id()))
     each = names.select(F.substring_index("phrase", " ", 1).alias("first"), F.size(F.split("phrase", " ")).alias("n"))
     return names, stored(each.groupBy("first").agg(F.collect_set("n").alias("lengths")))
 
 
+def _chosen(matches: Column, most: int) -> Column:
+    """Of matches ``(begin, -n, name_id)`` in order, the longest at its place, from the left, without overlaps.
+
+    A match overlaps none but the ``most`` places before it, so the array falls into chains
+    of matches that overlap, and only inside a chain are matches chosen one after another.
+    """
+
+    def end(m: Column) -> Column:
+        return m["begin"] - m["minus_n"]
+
+    def chains(m: Column) -> Column:
+        def apart(x: Column, at: Column) -> Column:
+            first = F.greatest(at - F.lit(most) + 1, F.lit(1))
+            return ~F.exists(F.slice(m, first, at - first + 1), lambda y: end(y) > x["begin"])
+
+        flags = F.transform(m, lambda x, at: F.when(apart(x, at), at + 1))
+        starts = F.concat(F.array_compact(flags), F.array(F.size(m) + 1))
+        return let(starts, lambda s: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda b, k: F.slice(m, b, F.get(s, k + 1) - b)))
+
+    def from_left(chain: Column) -> Column:
+        return F.aggregate(
+            F.slice(chain, F.lit(2), F.size(chain) - 1),
+            F.slice(chain, F.lit(1), F.lit(1)),
+            lambda kept, x: F.when(x["begin"] >= end(F.element_at(kept, -1)), F.concat(kept, F.array(x))).otherwise(kept),
+        )
+
+    longest = let(matches, lambda m: F.filter(m, lambda x, at: (at == 0) | (F.get(m, at - 1)["begin"] != x["begin"])))
+    return let(longest, lambda m: F.flatten(F.transform(chains(m), from_left)))
+
+
 def entity_spans(df: DataFrame, gazetteer: DataFrame, id_columns: list[str], text: str = "text", name: str = "name", label: str = "label") -> DataFrame:
     """``(ids, begin, end, name, label)``: names in each text, from the left, the longest first.
 
@@ -37,10 +68,10 @@ def entity_spans(df: DataFrame, gazetteer: DataFrame, id_columns: list[str], tex
 
     A word meets the table of first words, and only those that begin a name go on, with
     as many words as such names have.  Both tables are written before they are joined, so
-    their true sizes decide whether they are broadcast.  Matches of a text that overlap in
-    a chain are put in order together, so neither a long text nor a frequent name makes a
-    large group.  Null and empty texts have no names; rows equal in ids and text are one;
-    null ids are ids.
+    their true sizes decide whether they are broadcast.  Matches travel as three numbers
+    and are put in order by text: there are no more of them than the text has words, times
+    the lengths that names have.  Null and empty texts have no names; rows equal in ids and
+    text are one; null ids are ids.
     """
     names, firsts = name_tables(gazetteer, name, label)
     key = ["_key", *[f"_id{k}" for k in range(len(id_columns))]]
@@ -52,18 +83,9 @@ def entity_spans(df: DataFrame, gazetteer: DataFrame, id_columns: list[str], tex
     begun = rows.select(*key, "p.begin", "p.first", "p.w").join(firsts, "first")
     fitting = F.filter("lengths", lambda n: n <= F.size("w"))
     tried = begun.select(*key, "begin", F.explode(F.transform(fitting, lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.lit(1), n), " ").alias("phrase")))).alias("t"))
-    met = tried.select(*key, "begin", F.col("t.n").alias("n"), F.col("t.phrase").alias("phrase")).join(names, "phrase")
-    longest = met.groupBy(*key, "begin").agg(F.max(F.struct("n", "phrase", "label")).alias("m"))
-    longest = longest.select(*key, "begin", (F.col("begin") + F.col("m.n")).alias("end"), F.col("m.phrase").alias("name"), F.col("m.label").alias("label"))
-    # A chain ends where no match before reaches.
-    before = Window.partitionBy(*key).orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
-    apart = F.coalesce(F.col("begin") >= F.max("end").over(before), F.lit(True))
-    chained = longest.withColumn("apart", apart).withColumn("chain", F.sum(F.col("apart").cast("int")).over(Window.partitionBy(*key).orderBy("begin").rowsBetween(Window.unboundedPreceding, 0)))
-    chains = chained.groupBy(*key, "chain").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "name", "label"))).alias("m"))
-    chosen = F.aggregate(
-        F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(0))),
-        F.slice("m", 1, 1),
-        lambda kept, x: F.when(x["begin"] >= F.element_at(kept, -1)["end"], F.concat(kept, F.array(x))).otherwise(kept),
-    )
-    spans = chains.select(*key, F.explode(chosen).alias("s"))
-    return spans.select(*[F.col(k).alias(c) for k, c in zip(key[1:], id_columns, strict=True)], F.col("s.begin").alias("begin"), F.col("s.end").alias("end"), F.col("s.name").alias("name"), F.col("s.label").alias("label"))
+    met = tried.select(*key, "begin", (-F.col("t.n")).alias("minus_n"), F.col("t.phrase").alias("phrase")).join(names.select("phrase", "name_id"), "phrase")
+    # Of rows equal in ids and text each gives the same matches: one set of them.
+    matches = met.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("begin", "minus_n", "name_id"))).alias("m"))
+    spans = matches.select(*key, F.explode(_chosen(F.col("m"), most)).alias("s"))
+    spans = spans.select(*key, "s.begin", (F.col("s.begin") - F.col("s.minus_n")).alias("end"), F.col("s.name_id").alias("name_id")).join(names, "name_id")
+    return spans.select(*[F.col(k).alias(c) for k, c in zip(key[1:], id_columns, strict=True)], "begin", "end", F.col("phrase").alias("name"), "label")

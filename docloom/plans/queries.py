@@ -469,7 +469,7 @@ def archive_files(spark, sf):
     """Pages to archive files of both versions and back through the reader."""
     folder = _folder(spark, "archive")
     corpus.write_archive(table(spark, sf, "pages"), folder)
-    records = web_archive.responses(web_archive.read_warc(spark, folder))
+    records = warc_source.read_archives(spark, folder, ("response",))
     return records.select("url", F.md5(F.col("payload").cast("binary")).alias("digest"), "cut_short")
 
 

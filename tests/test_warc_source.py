@@ -8,7 +8,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from docloom.sources import warc_source
+from docloom.sources import warc_source, web_archive
 
 
 def record(url: str, block: bytes, kind: str = "response") -> bytes:
@@ -82,3 +82,20 @@ def test_damaged_member():
     for split in (500, 1 << 20):
         got = read(b"".join(members), split)
         assert [len(b) for _, b, cut in got if not cut] == [3000] * 4
+
+
+def test_separators_where_a_read_buffer_ends(spark, tmp_path):
+    """Payloads that end in line breaks, the separator at every place around 64 KB."""
+    def record(url, payload):
+        return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {url}\r\nContent-Length: {len(payload)}\r\n\r\n{payload}\r\n\r\n"
+
+    want = {}
+    for k in range(20):
+        head = len(record(f"a{k:02}", "")) + 1  # the length has five digits
+        want |= {f"a{k:02}": "x" * (65536 - head - k) + "\r\n\r\n", f"b{k:02}": "y\r\n", f"c{k:02}": "z"}
+        text = "".join(record(f"{n}{k:02}", want[f"{n}{k:02}"]) for n in "abc")
+        (tmp_path / f"{k}.warc").write_bytes(text.encode())
+    for records in (web_archive.read_warc(spark, str(tmp_path)), warc_source.read_archives(spark, str(tmp_path))):
+        rows = records.select("url", "payload", "cut_short").collect()
+        assert len(rows) == len(want) and {r["url"]: r["payload"] for r in rows} == want
+        assert not any(r["cut_short"] for r in rows)
