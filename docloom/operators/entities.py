@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from docloom.session import stored
 #: A word: letters, digits and whatever is not ASCII.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 
+#: Slots of the flags that say which words may begin a name.
+SLOTS = 1 << 16
+
 
 def words(text: str) -> Column:
     return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
@@ -29,6 +34,22 @@ def name_tables(gazetteer: DataFrame, name: str = "name", label: str = "label")
     return names, stored(each.groupBy("first").agg(F.collect_set("n").alias("lengths")))
 
 
+def _slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS))
+
+
+def _may_begin(firsts: DataFrame) -> Callable[[Column], Column]:
+    """Whether a word may be one of the first words: a byte for each slot of a hash.
+
+    The flags are of one size whatever the gazetteer's; the join with the table decides.
+    """
+    flags = bytearray(SLOTS)
+    for (slot,) in firsts.select(_slot(F.col("first"))).distinct().collect():
+        flags[slot] = 1
+    table = F.lit(bytes(flags))
+    return lambda word: F.substring(table, (_slot(word) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+
+
 def _chosen(matches: Column, most: int) -> Column:
     """Of matches ``(begin, -n, name_id)`` in order, the longest at its place, from the left, without overlaps.
 
@@ -66,8 +87,8 @@ def entity_spans(df: DataFrame, gazetteer: DataFrame, id_columns: list[str], tex
     matched by their words, in the letter case given.  A name that overlaps one chosen
     before it is left out.
 
-    A word meets the table of first words, and only those that begin a name go on, with
-    as many words as such names have.  Both tables are written before they are joined, so
+    Flags tell in the row which words may begin a name; only those meet the table of first
+    words, with as many words as the longest name has.  Both tables are written before they are joined, so
     their true sizes decide whether they are broadcast.  Matches travel as three numbers
     and are put in order by text: there are no more of them than the text has words, times
     the lengths that names have.  Null and empty texts have no names; rows equal in ids and
@@ -77,8 +98,14 @@ def entity_spans(df: DataFrame, gazetteer: DataFrame, id_columns: list[str], tex
     key = ["_key", *[f"_id{k}" for k in range(len(id_columns))]]
     ids = [F.col(f"`{c}`").alias(k) for c, k in zip(id_columns, key[1:], strict=True)]
     most = firsts.agg(F.max(F.array_max("lengths"))).first()[0] or 1
+    may_begin = _may_begin(firsts)
+
     # A place takes along as many words as the longest name has, never the whole text.
-    places = let(words(text), lambda w: F.transform(w, lambda x, at: F.struct(at.alias("begin"), x.alias("first"), F.slice(w, at + 1, F.lit(most)).alias("w"))))
+    def places_of(w: Column) -> Column:
+        numbered = F.transform(w, lambda x, at: F.when(may_begin(x), F.struct(at.alias("begin"), x.alias("first"))))
+        return F.transform(F.array_compact(numbered), lambda p: F.struct(p["begin"].alias("begin"), p["first"].alias("first"), F.slice(w, p["begin"] + 1, F.lit(most)).alias("w")))
+
+    places = let(words(text), places_of)
     rows = df.select(F.xxhash64(text, F.length(text)).alias("_key"), *ids, F.explode(places).alias("p"))
     begun = rows.select(*key, "p.begin", "p.first", "p.w").join(firsts, "first")
     fitting = F.filter("lengths", lambda n: n <= F.size("w"))
