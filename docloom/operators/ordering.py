@@ -114,6 +114,7 @@ def with_shuffled_position(
     epoch: str | None = None,
     column: str = "position",
     bucket_rows: int = 100_000,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
     """Adds the 0-based position in a seeded full shuffle, per epoch when one is named.
 
@@ -121,16 +122,23 @@ def with_shuffled_position(
     cut every epoch into equal buckets; a row's position is its rank in its bucket plus
     the sizes of the buckets before it.  There are as many buckets as give each about
     ``bucket_rows`` rows at most; Spark broadcasts their offsets if they are small enough.
+
+    Rows are counted twice besides.  ``ids`` are the ids (and epochs) of the same rows where
+    they cost less than ``df``, which is then worked out once.
     """
-    bucket_digits = max(1, math.ceil(math.log(max(1, df.count() / bucket_rows), 16)))
+    ids = df if ids is None else ids
+    bucket_digits = max(1, math.ceil(math.log(max(1, ids.count() / bucket_rows), 16)))
     epoch_value = F.col(epoch) if epoch else F.lit(0)
-    keyed = df.withColumn("_key", shuffle_key(seed, epoch_value, F.col(row_id))).withColumn(
-        "_bucket", F.substring("_key", 1, bucket_digits)
-    )
+
+    def with_bucket(rows: DataFrame) -> DataFrame:
+        keys = rows.withColumn("_key", shuffle_key(seed, epoch_value, F.col(row_id)))
+        return keys.withColumn("_bucket", F.substring("_key", 1, bucket_digits))
+
+    keyed = with_bucket(df)
     groups = [epoch] if epoch else []
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        keyed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        with_bucket(ids).groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
         .select(
             *[F.col(c).alias("_epoch") for c in groups], F.col("_bucket").alias("_own"),
             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),

@@ -26,8 +26,10 @@ def training_batches(
     """``(epoch, position, batch, row_id, input_ids, attention_mask, labels)``.
 
     Rows are encoded once; the epochs share the features, each in a shuffled order of its
-    own, so that batches hold what a trainer needs without another join.
+    own, so that batches hold what a trainer needs without another join.  Positions are
+    counted on the ids of the training rows, not on their features.
     """
-    encoded = encode(train, row_id, vocabulary)
-    shuffled = with_shuffled_position(with_epochs(encoded, epochs), row_id, seed, epoch="epoch")
+    encoded = with_epochs(encode(train, row_id, vocabulary), epochs)
+    ids = with_epochs(train.select(row_id), epochs)
+    shuffled = with_shuffled_position(encoded, row_id, seed, epoch="epoch", ids=ids)
     return with_batch(shuffled, batch_size)

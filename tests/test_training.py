@@ -232,3 +232,22 @@ def test_version_intervals_hold_the_difference(spark):
     assert found[2]["low"] < 0 < found[2]["high"] and 0 < found[3]["low"] < found[3]["difference"] < found[3]["high"]
     weights = [w for r in spark.range(200).select(bootstrap_weights([F.col("id")], 100, 1).alias("w")).collect() for w in r["w"]]
     assert abs(sum(weights) / len(weights) - 1) < 0.03 and abs(sum(w == 0 for w in weights) / len(weights) - 0.368) < 0.02
+
+
+def test_batches_encode_once(spark):
+    """Counting for the positions does not look into the vocabulary again."""
+    from docloom.plans import training
+
+    looked_up = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(token):
+        looked_up.add(1)
+        return True
+
+    rows = spark.createDataFrame([(i, f"a w{i % 5}", f"b w{i % 3}") for i in range(40)], "id long, input string, target string")
+    words = spark.createDataFrame([(w, n + 4) for n, w in enumerate(["a", "b", "w0", "w1", "w2", "w3"])], "token string, token_id int")
+    plain = training.training_batches(rows, "id", words, epochs=2).select("epoch", "id", "position", "input_ids").collect()
+    counted = training.training_batches(rows, "id", words.filter(seen("token")), epochs=2).select("epoch", "id", "position", "input_ids").collect()
+    assert sorted(counted) == sorted(plain) and sorted(r["position"] for r in plain if r["epoch"] == 1) == list(range(40))
+    assert looked_up.value == words.count()
