@@ -115,3 +115,14 @@ def test_lexicon_with_homographs_and_rows_without_ids(spark):
         assert "_row" not in rows.columns
         counts = sorted(((r["id"] or 0, r["n_tokens"]) for r in rows.collect()))
         assert [c for c in counts if c[0] < 2] == [(0, 2), (0, 3), (1, 2), (1, 2)] and len(counts) == 5
+
+
+def test_lexicon_tasks_are_bounded(spark, monkeypatch):
+    """More text is more tasks, not larger ones, and the same grades."""
+    rows = spark.range(400).select("id", F.concat(F.lit("return the value "), F.repeat(F.lit("parse x "), (F.col("id") % 50).cast("int"))).alias("comment"))
+    lexicon = spark.createDataFrame([("value", "value", "VERB", False)], "word string, lemma string, pos string, is_stop boolean")
+    want = sorted(analysis.grade_with_lexicon(rows, lexicon, ["id"]).collect())
+    monkeypatch.setattr(analysis, "TASK_CHARS", 2000)
+    sizes = analysis._placed(rows, ["id"], "comment").groupBy(F.spark_partition_id()).agg(F.sum(F.length("comment")).alias("n")).collect()
+    assert len(sizes) > 30 and max(r["n"] for r in sizes) < 10 * 2000
+    assert sorted(analysis.grade_with_lexicon(rows, lexicon, ["id"]).collect()) == want
