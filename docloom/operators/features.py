@@ -40,10 +40,13 @@ def encoder_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
+def head(text: Column, count: int) -> Column:
+    """What holds the first ``count`` tokens, without cutting up the rest of a long text."""
+    return F.regexp_extract(text, rf"\A(?:[^\S\n]*+(?:{TOKEN})){{0,{count}}}+", 0)
+
+
 def first_tokens(text: Column, count: int) -> Column:
-    """The first ``count`` tokens, without cutting up the rest of a long text."""
-    head = F.regexp_extract(text, rf"\A(?:[^\S\n]*+(?:{TOKEN})){{0,{count}}}+", 0)
-    return encoder_tokens(head)
+    return encoder_tokens(head(text, count))
 
 
 def build_vocabulary(texts: DataFrame, columns: list[str], size: int | None = None) -> DataFrame:
@@ -88,17 +91,17 @@ def encode(
     equal in all of these are encoded once and given back as often as they came.
     """
 
-    def side(column: str, length: int, start: int) -> Column:
-        return F.transform(
-            first_tokens(F.col(column), length - 2), lambda t, i: F.struct((i + start).alias("at"), t.alias("token"))
-        )
+    def side(column: str, start: int) -> Column:
+        return F.transform(encoder_tokens(F.col(column)), lambda t, i: F.struct((i + start).alias("at"), t.alias("token")))
 
     # Place -1 marks the row, places below max_input are the input's, the others the target's.
     mark = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("token")))
-    both = F.concat(mark, side(input_column, max_input, 0), side(target_column, max_target, max_input))
+    both = F.concat(mark, side("_input", 0), side("_target", max_input))
+    heads = [head(F.col(input_column), max_input - 2).alias("_input"), head(F.col(target_column), max_target - 2).alias("_target")]
     twins = [F.xxhash64(F.lit(n), F.col(input_column), F.lit(0), F.col(target_column)).alias(f"_twin{n}") for n in (1, 2)]
-    placed = rows.select(row_id, *twins, both.alias("parts")).repartition(row_id)
-    pieces = placed.select(row_id, "_twin1", "_twin2", F.explode("parts").alias("part"))
+    # The beginnings of the texts are placed as they stand, a fraction of their tokens with places.
+    placed = rows.select(row_id, *twins, *heads).repartition(row_id)
+    pieces = placed.select(row_id, "_twin1", "_twin2", F.explode(both).alias("part"))
     pieces = pieces.select(row_id, "_twin1", "_twin2", "part.at", "part.token")
     found = pieces.join(vocabulary.select("token", "token_id"), ["token"], "left")
     item = F.struct("at", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("token_id"))

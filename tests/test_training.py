@@ -251,3 +251,11 @@ def test_batches_encode_once(spark):
     counted = training.training_batches(rows, "id", words.filter(seen("token")), epochs=2).select("epoch", "id", "position", "input_ids").collect()
     assert sorted(counted) == sorted(plain) and sorted(r["position"] for r in plain if r["epoch"] == 1) == list(range(40))
     assert looked_up.value == words.count()
+
+
+def test_encoding_places_texts_not_tokens(spark, capsys):
+    rows = spark.createDataFrame([(1, "a b", "c d")], "id long, input string, target string")
+    words = spark.createDataFrame([("a", 4)], "token string, token_id int")
+    features.encode(rows, "id", words).explain()
+    plan = capsys.readouterr().out
+    assert "regexp_extract_all" in plan and "regexp_extract_all" not in plan[plan.index("REPARTITION_BY_COL"):]
