@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", app: str = "docloom", memory: str = "8g") -> SparkSession:
@@ -28,14 +30,27 @@ def local_session(cpus: int | str = "*", app: str = "docloom", memory: str = "8g
     )
 
 
+#: Rows that a task of CPU-bound work takes.
+TASK_ROWS = 1 << 10
+
+
+def tasks_for(spark: SparkSession, rows: int, task_rows: int = TASK_ROWS) -> int:
+    """Tasks for CPU-bound work on so many rows: all cores, and a bounded number of rows each."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / task_rows))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deals a small input over all cores before CPU-bound work.
+    """Deals an input over all cores before CPU-bound work.
 
-    Only an input with fewer splits than the session has cores is moved; a large table
-    has many more and is left where it is.
+    The number of splits says little: a file has its rows in as few of them as it has row
+    groups.  So the rows of each split are counted, which reads no column; only an input
+    with a split of more than twice a task's share is moved.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    spark = df.sparkSession
+    held = df.groupBy(F.spark_partition_id()).count().agg(F.sum("count"), F.max("count")).first()
+    rows, largest = held[0] or 0, held[1] or 0
+    tasks = tasks_for(spark, rows)
+    return df.repartition(tasks, key) if largest * tasks > 2 * rows else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
