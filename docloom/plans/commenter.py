@@ -11,7 +11,10 @@ from docloom.operators.config import choose_provider, resolve_configs, with_conf
 from docloom.operators.extract import undocumented_functions
 from docloom.operators.filters import generator_files
 from docloom.operators.rewrite import commented
-from docloom.session import stored
+from docloom.session import stored, tasks_for
+
+#: Files that a task comments.
+TASK_FILES = 1 << 9
 
 
 def configured_files(
@@ -21,11 +24,16 @@ def configured_files(
     local: str | None = None,
     prefixes: list[str] | None = None,
 ) -> DataFrame:
-    """Go files with the merged configuration and provider of their directory."""
+    """Go files with the merged configuration and provider of their directory.
+
+    The join may bring a directory's files together, so they are dealt again by path, a
+    bounded number a task, before anything reads them.
+    """
     kept = generator_files(files)
     dirs = kept.select(directory(F.col("path")).alias("dir"))
     resolved = choose_provider(resolve_configs(dirs, configs, modules, local, prefixes))
-    return with_config(kept, resolved.withColumnRenamed("signature", "author"))
+    placed = with_config(kept, resolved.withColumnRenamed("signature", "author"))
+    return placed.repartition(tasks_for(files.sparkSession, kept.count(), TASK_FILES), "path")
 
 
 def commented_files(configured: DataFrame) -> DataFrame:

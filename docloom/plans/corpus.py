@@ -10,8 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.once import with_once
+from docloom.session import tasks_for
+
 VERB_WORDS = ["Get", "Set", "Init", "Is", "Has", "New", "Create", "Handle", "get", "delete"]
 BLOCKS_PER_FILE = 10
+#: Parts that a task renders and whose files it reads.
+TASK_PARTS = 1 << 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +32,13 @@ def _camel(name: Column) -> Column:
 
 
 def _parts(part: DataFrame) -> DataFrame:
+    """The parts, dealt by file before anything is rendered: a fixed number a task, however
+    narrow the table is, as its files take long to read."""
     k = F.col("p_partkey")
-    return part.select(
-        k.alias("k"),
-        F.floor(k / BLOCKS_PER_FILE).alias("f"),
+    narrow = part.select(k.alias("k"), F.floor(k / BLOCKS_PER_FILE).alias("f"), "p_name", "p_brand", "p_size")
+    dealt = narrow.repartition(tasks_for(part.sparkSession, part.count(), TASK_PARTS), "f")
+    return dealt.select(
+        "k", "f",
         _camel(F.col("p_name")).alias("words"),
         F.replace("p_brand", F.lit("#"), F.lit("")).alias("brand"),
         F.col("p_size").alias("size"),
@@ -80,10 +88,14 @@ def part_functions(part: DataFrame) -> DataFrame:
 
 
 def _files(blocks: DataFrame, path: Column) -> DataFrame:
-    """Blocks of a file (a fixed number of them) put together in order."""
+    """Blocks of a file (a fixed number of them) put together in order.
+
+    Tests of the path stay above the deal by file: below it they would run once a part, in
+    the few tasks that read the table.
+    """
     whole = blocks.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("k", "block"))).alias("blocks"))
     text = F.array_join(F.transform("blocks", lambda b: b["block"]), "")
-    return whole.select(path.alias("path"), F.concat(F.lit("package p\n\n"), text).alias("content"))
+    return with_once(whole, "path", path).select("path", F.concat(F.lit("package p\n\n"), text).alias("content"))
 
 
 def function_path(f: Column) -> Column:

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.operators import config, filters
+from docloom.plans import commenter, corpus
 from docloom.session import spread
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_rows_of_one_row_group_are_spread(spark, tmp_path):
     """A file has more splits than cores, and all rows in one of them."""
@@ -22,3 +26,26 @@ def test_rows_of_one_row_group_are_spread(spark, tmp_path):
     assert sum(sizes) == 4000 and max(sizes) <= 1000
     even = spark.range(0, 4000, 1, 8)
     assert spread(even, "id") is even
+
+
+def test_rendered_files_are_dealt(spark, monkeypatch):
+    """Narrow parts give a bounded number of files a task, and no path is tested part by part."""
+    monkeypatch.setattr(corpus, "TASK_PARTS", 10)
+    part = corpus.table(spark, DATA, "part")
+    for files in (corpus.function_files(part), corpus.declaration_files(part)):
+        sizes = [r["count"] for r in files.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) * 10 == part.count() and len(sizes) > 8
+    plan = filters.generator_files(corpus.function_files(part))._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RepartitionByExpression")
+    assert "vendor" in above and "vendor" not in below
+
+
+def test_files_of_one_folder_are_dealt(spark, monkeypatch):
+    """All files lie in one folder, which is the key of the join with its configuration."""
+    monkeypatch.setattr(commenter, "TASK_FILES", 10, raising=False)
+    path = F.concat(F.lit("repo/f"), F.col("id"), F.lit(".go"))
+    files = spark.range(200).select(path.alias("path"), F.lit("package p\n\nfunc A() {}\n").alias("content"))
+    none = spark.createDataFrame([], "path string, content string")
+    placed = commenter.configured_files(files, config.parse_config(none), config.module_dirs(none))
+    sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 200 and len(sizes) > 8
