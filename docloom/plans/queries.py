@@ -27,7 +27,7 @@ from docloom.operators import (
 )
 from docloom.plans import commenter, corpus, dataset, evaluation_job, training
 from docloom.plans.corpus import table
-from docloom.session import checkpoint_dir, spread
+from docloom.session import checkpoint_dir, spread, stored
 from docloom.sources import code_host, files, listings, warc_source, web_archive
 from docloom.streaming import incremental
 
@@ -520,7 +520,8 @@ def idempotent_append(spark, sf):
     """A run that broke off after some rows, two whole runs, and one of another hour: each
     row is there as often as one run has it."""
     folder = _folder(spark, "dataset")
-    rows = sinks.dataset_rows(dataset.dataset(go_files(spark, sf)))
+    # The runs append the rows of one job; a run of its own would read all files anew.
+    rows = stored(sinks.dataset_rows(dataset.dataset(go_files(spark, sf))))
     repeated = rows.unionByName(rows.filter("file_name LIKE '%1'"))
     hour = F.lit("2024-01-31 07:30:00").cast("timestamp")
     sinks.append_dataset(repeated.filter("file_name LIKE '%1' OR file_name LIKE '%2'").dropDuplicates(["file_name", "name"]), folder, hour)

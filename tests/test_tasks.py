@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.operators import config, filters
-from docloom.plans import commenter, corpus
+from docloom.plans import commenter, corpus, queries
 from docloom.session import spread
 
 DATA = "/root/testdata/sf0.001"
@@ -40,6 +40,14 @@ def test_rendered_files_are_dealt(spark, monkeypatch):
     assert "vendor" in above and "vendor" not in below
 
 
+def test_append_runs_share_one_job(spark, monkeypatch):
+    """The rows that are appended are read from a table; the files are parsed once."""
+    plans = []
+    monkeypatch.setattr(queries.sinks, "append_once", lambda rows, *_: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()))
+    assert queries.QUERIES["idempotent_append"](spark, DATA).count() > 0
+    assert len(plans) == 2 and not any("regexp_extract_all" in plan for plan in plans)
+
+
 def test_files_of_one_folder_are_dealt(spark, monkeypatch):
     """All files lie in one folder, which is the key of the join with its configuration."""
     monkeypatch.setattr(commenter, "TASK_FILES", 10, raising=False)
