@@ -30,6 +30,8 @@ WIDTH = 4
 LEAST, PART = 85, 100
 #: Bits of a block: a handful of shingles in it make a key that few other sets have.
 BLOCK_BITS = 256
+#: Bytes of text whose sets are worked out at once; the arrays for it take fifty times as much.
+SET_BYTES = 1 << 19
 #: Keys that every set leaves out.
 DROPPED = 3
 #: The order of keys: sets that are counted about, times that make a key frequent, and keys
@@ -194,7 +196,7 @@ def _keys(shingle: np.ndarray, first: np.ndarray, bands: Bands, frequent: tuple[
 
 def _slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for begin, end in slices(batch.column("text")):
+        for begin, end in slices(batch.column("text"), SET_BYTES):
             yield batch.slice(begin, end - begin)
 
 

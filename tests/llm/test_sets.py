@@ -7,6 +7,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -235,3 +236,18 @@ def test_any_order_of_keys_loses_no_link(spark, monkeypatch):
     for times in (1, 10**9):
         monkeypatch.setattr(parity_join, "FREQUENT", times)
         assert {r.doc_id: r.component_id for r in similar_sets(docs).collect()} == want
+
+
+def test_sets_of_many_texts_take_little_memory():
+    """A worker holds the arrays of a part of a batch, not of all of it."""
+    import tracemalloc
+
+    words = [f"w{n * 7919 % 100_003}" for n in range(400)]
+    texts = pa.array([" ".join(words[i % 300 :]) + f" {i}" for i in range(2000)])
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    tracemalloc.start()
+    sizes = [np.diff(parity_join._sets(part.column("text"))[1]).tolist() for part in parity_join._slices_of([batch])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes, []) == np.diff(parity_join._sets(texts)[1]).tolist()
+    assert peak < 60e6, peak
