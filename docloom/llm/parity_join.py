@@ -28,8 +28,10 @@ from docloom.llm.words import NOT_SPACE, mixed, range_hashes, slices, split_word
 WIDTH = 4
 #: Two sets link when PART * intersection >= LEAST * union.
 LEAST, PART = 85, 100
-#: Bits of a block: a handful of shingles in it make a key that few other sets have.
-BLOCK_BITS = 256
+#: Bits of a block, of which only the flipped ones are looked at.  They are so many that sets
+#: without a common shingle have no common key: with 256, a block of one shingle has as many
+#: values, and the sets that meet in each grow with the table.
+BLOCK_BITS = 1 << 32
 #: Bytes of text whose sets are worked out at once; the arrays for it take fifty times as much.
 SET_BYTES = 1 << 19
 #: Keys that every set leaves out.

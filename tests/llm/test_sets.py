@@ -251,3 +251,18 @@ def test_sets_of_many_texts_take_little_memory():
     tracemalloc.stop()
     assert sum(sizes, []) == np.diff(parity_join._sets(texts)[1]).tolist()
     assert peak < 60e6, peak
+
+
+def test_sets_without_a_common_shingle_share_no_key():
+    """Chance keys would grow with the square of the table; blocks of one shingle are the ones to watch."""
+    sets, size = 3000, 60
+    shingle = np.concatenate([np.sort(np.random.default_rng(n).integers(0, (1 << 64) - 1, size, dtype=np.uint64)) for n in range(sets)])
+    assert len(np.unique(shingle)) == sets * size
+    for bands in (Bands(85, 100), Bands(80, 100)):
+        # Sets whose zeros are keys too share those; the others have only keys of their shingles.
+        key, row = parity_join._keys(shingle, np.arange(0, sets * size + 1, size), bands)
+        blocks = sum(bands.blocks(int(np.searchsorted(bands.upto(size), size, side="right")) - 1 - k)[0] for k in (0, 1))
+        absent = {int(k) for g in range(40) for k in parity_join.mixed(np.uint64(1) + parity_join.mixed(np.uint64(g << 32) + np.arange(blocks, dtype=np.uint64))).view(np.int64)}
+        own = np.array([k for k in key.tolist() if k not in absent])
+        assert len(own) > 20 * sets
+        assert len(np.unique(own)) == len(own)
